@@ -6,7 +6,7 @@ at random from one document of a pair to the other until one of the two fraction
 expectations hold and each pair's words stay the same. A source's documents are dealt by a hash
 into buckets of about ``BUCKET`` rows, each folded to one unsettled residual; the residuals are
 dealt and folded again, level by level, until each source has one. Only that last one changes the
-source's number of words, by less than its own size. DataFrame functions only.
+source's number of words, by less than its own size; as the largest go first, it is a small one. DataFrame functions only.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), null ids are kept.
 Empty table: empty result. Repeated rows are counted as one key with a number and told apart by
@@ -87,7 +87,8 @@ def _fold(items: Column, seed: int) -> Column:
 
 def _grouped(rows: DataFrame, seed: int) -> DataFrame:
     """rows (sid, bucket, key, w, x, ...) folded by (sid, bucket): items, ones, residual."""
-    items = F.array_sort(F.collect_list(F.struct("key", "w", "x", "size", "id", "copy")))
+    # the largest first: what is left at the end is then small
+    items = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("less"), "key", "w", "x", "size", "id", "copy")))
     g = rows.groupBy("sid", "bucket").agg(items.alias("items"))
     at = F.transform("items", lambda e, i: F.struct(e["key"].alias("key"), e["w"].alias("w"), e["x"].alias("x"), i.alias("at")))
     return g.withColumn("done", _fold(F.filter(at, lambda e: (e["x"] > 0) & (e["w"] > 0)), seed))
