@@ -7,10 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, mixing
 from .common import read
 
 
+def op1_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    out = chat.format_chat(rows.unionByName(own)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    lines = F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, CASE WHEN contains(text, chr(92)) OR regexp_matches(text, '\[/?INST\]|</?s>|\[TURN|\[/TURN\]')
+      THEN length(regexp_replace(text, '([\\\[<])', '\\\1', 'g')) ELSE length(text) END
+    + CASE WHEN role = 'user' THEN 15 WHEN role = 'assistant' THEN 9 ELSE 15 + CASE WHEN role IS NULL THEN 0
+        WHEN regexp_full_match(role, '[A-Za-z0-9_.-]+') THEN 1 + length(role) ELSE 2 + 2 * octet_length(encode(role)) END END AS shown
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(shown) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.word_count(F.col("text"))).select(
@@ -23,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_format_chat": OP1_SQL}
