@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CHUNK, OVERLAP = 1 << 14, 256
+CHUNK, OVERLAP = 1 << 16, 256
 
 
 @lru_cache(maxsize=2)
