@@ -5,8 +5,8 @@ norm, gives all candidates the norm sqrt(M), and 0 to the query; then
 |q - c|^2 = |q|^2 + M - 2 <q, c>, so the largest inner products are the nearest points of a metric
 space. For each candidate the distances to ``pivots`` candidates are tabled; by the triangle
 inequality the largest |d(q, p) - d(c, p)| over the pivots bounds d(q, c) from below. A query takes
-its candidates in the order of these bounds, in growing batches, and stops when the next bound
-exceeds the k-th best distance. Scores are integers and exact.
+its candidates in the order of these bounds: a first batch gives its k-th best distance so far, and
+those whose bound exceeds it are never evaluated. Scores are integers and exact.
 
 Queries and candidates are dealt into blocks, and each pair of blocks is one task's group of bounded
 size, which yields k rows per query; these are merged by a grouped top-k. Pivots are a bounded
@@ -52,27 +52,31 @@ def search(frame: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray, top:
     to_pivots = np.sqrt(np.maximum(0.0, q_norm[:, None] + top - 2 * (q @ pivots.T))).astype(np.float32)
     slack = 1e-3 * (1 + np.sqrt(top))  # more than the rounding of the table
     columns = np.ascontiguousarray(table.T)
-    out = []
+    out, step = [], max(4 * k, 256)
     for i in range(len(q)):
         bound = np.abs(columns[0] - to_pivots[i, 0])
         for p in range(1, len(columns)):
             np.maximum(bound, np.abs(columns[p] - to_pivots[i, p]), out=bound)
-        order = np.argsort(bound)
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        at, step = 0, max(4 * k, 256)
-        while at < len(order):
-            if len(best) == k:
-                far = np.sqrt(max(0.0, q_norm[i] + top - 2 * best[-1])) + slack
-                if bound[order[at]] > far:
-                    break
-            take = order[at : at + step]
-            score = c[take] @ q[i]
-            keep = ids[take] != q_ids[i]
-            best_ids, best = np.r_[best_ids, ids[take][keep]], np.r_[best, score[keep]]
-            top_k = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top_k], best[top_k]
-            at, step = at + step, 4 * step
-        out.append(pd.DataFrame({"query_row": queries["row"].iloc[i], "query_id": q_ids[i], "vec_id": best_ids, "score": best.astype(np.int64)}))
+        first = np.argpartition(bound, min(step, len(bound)) - 1)[:step]  # the nearest by bound give a radius
+        rows = first[ids[first] != q_ids[i]]
+        score = c[rows] @ q[i]
+        if len(score) >= k and len(bound) > step:
+            far = np.sqrt(max(0.0, q_norm[i] + top - 2 * np.partition(score, len(score) - k)[len(score) - k])) + slack
+            near = bound <= far  # in the order of bounds, all before the stop
+        else:
+            near = np.ones(len(bound), bool)
+        near &= ids != q_ids[i]
+        if near.sum() > len(near) // 8:  # the whole block costs less than picking its rows
+            rows = np.flatnonzero(near)
+            score = (c @ q[i])[rows]
+        else:
+            rows = np.flatnonzero(near)
+            score = c[rows] @ q[i]
+        if len(score) > k:
+            best = score >= np.partition(score, len(score) - k)[len(score) - k]
+            rows, score = rows[best], score[best]
+        order = np.lexsort((ids[rows], -score))[:k]
+        out.append(pd.DataFrame({"query_row": queries["row"].iloc[i], "query_id": q_ids[i], "vec_id": ids[rows[order]], "score": score[order].astype(np.int64)}))
     return pd.concat(out)
 
 
