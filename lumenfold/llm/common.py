@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,16 @@ def lower_ascii(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def slices(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+    """texts in order, in lists of about so many characters: what is made of them is held for one list only."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text)
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, topk, urls
-from .common import read
+from . import bpe, chat, media, mixing, topk, toxicity, urls
+from .common import crc_bucket, read
 
 
 def op1_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,13 @@ FROM s GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.word_count(F.col("text"))).select(
