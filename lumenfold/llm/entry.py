@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, neardup, topk, toxicity, urls
+from . import bpe, chat, lm, media, mixing, neardup, topk, toxicity, urls
 from .common import crc_bucket, read
 
 
@@ -112,6 +112,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumnRenamed("id", "doc_id")
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"), crc_bucket(F.col("id"), 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
