@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ids_of, written
 
 CHUNK, OVERLAP = 1 << 16, 256
 
@@ -77,9 +77,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         enc = encoding(ranks_path, pattern)
         for pdf in rows:
             ids = [encode_piece(enc, t) for t in pdf["text"]]
-            yield pd.DataFrame([(i, *summary(x, decode(enc, x))) for i, x in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), ids)], columns=names)
+            yield pd.DataFrame([(i, *summary(x, decode(enc, x))) for i, x in zip(ids_of(pdf["id"]), ids)], columns=names)
 
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = docs.where(F.length("text") <= chunk).mapInPandas(whole, schema)
     return short.unionByName(_long(docs.where(F.length("text") > chunk), ranks_path, pattern, chunk, overlap, summary, names, schema))
 
@@ -122,7 +122,7 @@ def _long(docs: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: i
 
     def join(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out = [(i, *summary(b"".join(p["ids"] for p in parts), b"".join(p["decoded"] for p in parts))) for i, parts in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["parts"])]
+            out = [(i, *summary(b"".join(p["ids"] for p in parts), b"".join(p["decoded"] for p in parts))) for i, parts in zip(ids_of(pdf["id"]), pdf["parts"])]
             yield pd.DataFrame(out, columns=names)
 
     return docs.select("row", "id").join(joined, "row").select("id", "parts").mapInPandas(join, schema)

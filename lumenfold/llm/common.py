@@ -61,3 +61,8 @@ def slices(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
             part, n = [], 0
     if part:
         yield part
+
+
+def ids_of(texts) -> list[int | None]:
+    """Ids that travelled as text, so that a null among them leaves large ones exact."""
+    return [None if t is None else int(t) for t in texts]

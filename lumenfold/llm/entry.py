@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, media, mixing, neardup, topk, toxicity, urls
+from . import bpe, chat, html, lm, media, mixing, neardup, topk, toxicity, urls
 from .common import crc_bucket, read
 
 
@@ -81,6 +81,11 @@ FROM n LEFT JOIN reach USING (doc_id) GROUP BY doc_id, n
 """
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html.main_text(pages, html.fit(pages)).withColumnRenamed("id", "page_id")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.word_count(F.col("text"))).select(

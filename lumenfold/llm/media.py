@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ids_of
+
 SAMPLE, KEY_EVERY, TIMESCALE, CHUNK_SAMPLES = 64, 32, 8000, 1024
 #: Boxes that hold boxes (fixed by the format).
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
@@ -169,6 +171,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([(i, *row(t)) for i, t in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["text"])], columns=names)
+            yield pd.DataFrame([(i, *row(t)) for i, t in zip(ids_of(pdf["id"]), pdf["text"])], columns=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(fill, schema)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(fill, schema)
