@@ -1,0 +1 @@
+"""Nothing here: none of the engine's inputs is a stream. Increments go through ``plans.flows.missing_results``."""
