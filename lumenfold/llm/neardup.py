@@ -13,8 +13,10 @@ with a chance of 2^-64; nothing else is approximate in a confirmed link). Steps:
    that are in some pair.
 5. Confirmed links give components. Where a bucket still holds more than one component, the documents that
    aren't in its largest are paired with all of the bucket in other components, by an equi-join whose
-   condition has the size bound, the estimate, and, for two documents confirmed against the same hub, the
-   triangle inequality of Jaccard distance; the rest is confirmed as before and the components are joined.
+   condition has exact bounds (sizes; shingles that nothing else in these buckets has; for two documents
+   confirmed against the same hub the triangle inequality of Jaccard distance) and the estimate; what is left
+   is confirmed as before and the components are joined. So hundreds of copies that were each edited too much
+   to be linked are told apart by their own shingles, not by confirming all their pairs.
 
 So a component lacks a link only if its two documents share no band: with the default 32 bands of 5 minima
 that has a chance of (1 - 0.85^5)^32 = 7e-9 at the threshold, and less above it.
@@ -147,8 +149,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of classes with the sizes of their sets and of the intersection: a, b, same, na, nb."""
+def full_sets(some: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cls, set) of some classes, from the texts of the rows that stand for them."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
@@ -161,10 +163,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
                     out.append((cls, s.view(np.int64)))
             yield pd.DataFrame(out, columns=["cls", "set"])
 
-    pairs = written(pairs)
-    some = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    some = classes.join(some, "cls").select("cls", "whole", F.col("rep").alias("id"))
-    full = written(docs.join(some, "id").select("cls", "whole", "text").mapInPandas(sets, "cls long, set array<long>"))
+    some = classes.join(some.select("cls").distinct(), "cls").select("cls", "whole", F.col("rep").alias("id"))
+    return written(docs.join(some, "id").select("cls", "whole", "text").mapInPandas(sets, "cls long, set array<long>"))
+
+
+def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with the sizes of their sets and of the intersection: a, b, same, na, nb."""
     # a's set travels to b's, once for each pair; a row of the result is numbers only
     sent = pairs.join(full.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
     both = sent.join(full.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
@@ -205,7 +209,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     stars = in_bucket.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     sides = reps.select("cls", "n", "bits")
     stars = stars.join(sides.alias("x"), F.col("a") == F.col("x.cls")).join(sides.alias("y"), F.col("b") == F.col("y.cls")).where(alike("x", "y"))
-    by_hub = confirmed(stars.select("a", "b"), classes, docs, width)
+    stars = written(stars.select("a", "b"))
+    paired = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls")))
+    by_hub = confirmed(stars, full_sets(paired, classes, docs, width))
     union = F.col("na") + F.col("nb") - F.col("same")
     is_link = F.col("same") * den >= union * num
     links = written(by_hub.where(is_link).select("a", "b").unionByName(ties))
@@ -218,14 +224,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     parts = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("band", "key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
     main = written(main.where("parts > 1").select("band", "key", F.col("m.root").alias("main")))
-    mixed = written(placed.join(main, ["band", "key"]).join(sides, "cls"))
+    mixed = written(placed.join(main, ["band", "key"]))
+    # shingles that no other class of these buckets has can be in no intersection: others is the number of the rest
+    full = full_sets(mixed, classes, docs, width)
+    lone = full.select("cls", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("cls").alias("cls"))
+    lone = written(lone.where("times = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone")))
+    known = sides.join(lone, "cls", "left").withColumn("others", F.col("n") - F.coalesce("lone", F.lit(0)))
+    mixed = written(mixed.join(known, "cls").where(F.col("others") * den >= F.col("n") * num))  # else it can have no link at all
     x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - t + 1e-9, F.lit(True))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    both = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & near & alike("x", "y")
+    shared = F.least("x.others", "y.others")
+    enough = shared * den >= (F.col("x.n") + F.col("y.n") - shared) * num
+    both = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & enough & near & alike("x", "y")
     cross = x.join(y, both).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
     cross = cross.join(by_hub.select("a", "b"), ["a", "b"], "left_anti")
-    more = confirmed(cross, classes, docs, width).where(is_link).select("a", "b")
+    more = confirmed(written(cross), full).where(is_link).select("a", "b")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
