@@ -65,14 +65,14 @@ MEASURES = """wide AS (SELECT CAST(c_nationkey AS BIGINT) AS subject, o_orderpri
 def many_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many subjects as suppliers x 5 treatments, four metrics, wide."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    d = lambda c: F.avg(F.col(c).cast("double"))
+    d = lambda c: F.round(F.avg(F.col(c).cast("double")), 10)  # noqa: E731  ties must not hang on the order of a sum
     return li.groupBy(F.col("l_suppkey").cast("long").alias("subject"), F.col("o_orderpriority").alias("treatment")).agg(
         d("l_quantity").alias("qty"), d("l_extendedprice").alias("price"), d("l_discount").alias("disc"), d("l_tax").alias("tax")
     )
 
 
-MANY = """wide AS (SELECT CAST(l_suppkey AS BIGINT) AS subject, o_orderpriority AS treatment, avg(CAST(l_quantity AS DOUBLE)) AS qty,
-  avg(CAST(l_extendedprice AS DOUBLE)) AS price, avg(CAST(l_discount AS DOUBLE)) AS disc, avg(CAST(l_tax AS DOUBLE)) AS tax
+MANY = """wide AS (SELECT CAST(l_suppkey AS BIGINT) AS subject, o_orderpriority AS treatment, round(avg(CAST(l_quantity AS DOUBLE)), 10) AS qty,
+  round(avg(CAST(l_extendedprice AS DOUBLE)), 10) AS price, round(avg(CAST(l_discount AS DOUBLE)), 10) AS disc, round(avg(CAST(l_tax AS DOUBLE)), 10) AS tax
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
