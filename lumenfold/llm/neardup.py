@@ -50,7 +50,7 @@ def shingle_hashes(text: str, width: int, cache: dict) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII letters and white space count
     if not words:
         return np.empty(0, np.uint64)
-    if len(cache) > 300_000:
+    if len(cache) > 100_000:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = xxhash.xxh3_64_intdigest(w)
