@@ -79,7 +79,7 @@ def wilcoxon(paired: DataFrame) -> DataFrame:
     """
     keys = ["metric", "a", "b"]
     d = paired.withColumn("d", F.col("va") - F.col("vb"))
-    means = d.groupBy(*keys).agg(F.round(F.avg("va"), 4).alias("mean_a"), F.round(F.avg("vb"), 4).alias("mean_b"), F.round(F.avg("va") - F.avg("vb"), 4).alias("diff"), F.count_if(F.col("d") == 0).alias("zeros"))
+    means = d.groupBy(*keys).agg(F.round(F.avg("va"), 4).alias("mean_a"), F.round(F.avg("vb"), 4).alias("mean_b"), (F.round(F.avg("va") - F.avg("vb"), 4) + F.lit(0.0)).alias("diff"), F.count_if(F.col("d") == 0).alias("zeros"))
     r = d.where("d <> 0").withColumn("size", F.abs("d"))
     r = r.withColumn("rank", average_rank(F.col("size"), *keys)).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "size")))
     s = r.groupBy(*keys).agg(

@@ -92,7 +92,7 @@ def friedman_many(spark, sf_dir):
 FAMILY = ("1-", "2-")
 WILCOX = """d AS (SELECT a.metric, a.treatment AS a, b.treatment AS b, a.subject, a.value AS va, b.value AS vb, a.value - b.value AS d FROM meas a JOIN meas b USING (metric, subject)
   WHERE (a.treatment LIKE '1-%' OR a.treatment LIKE '2-%') AND NOT (b.treatment LIKE '1-%' OR b.treatment LIKE '2-%')),
-mean AS (SELECT metric, a, b, round(avg(va), 4) AS mean_a, round(avg(vb), 4) AS mean_b, round(avg(va) - avg(vb), 4) AS diff, count(*) FILTER (d = 0) AS zeros FROM d GROUP BY 1, 2, 3),
+mean AS (SELECT metric, a, b, round(avg(va), 4) AS mean_a, round(avg(vb), 4) AS mean_b, round(avg(va) - avg(vb), 4) + 0.0 AS diff, count(*) FILTER (d = 0) AS zeros FROM d GROUP BY 1, 2, 3),
 r AS (SELECT *, rank() OVER (PARTITION BY metric, a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, a, b, abs(d)) - 1) / CAST(2 AS DOUBLE) AS rk, count(*) OVER (PARTITION BY metric, a, b, abs(d)) AS ties FROM d WHERE d <> 0),
 s AS (SELECT metric, a, b, coalesce(sum(rk) FILTER (d > 0), 0) AS up, coalesce(sum(rk) FILTER (d < 0), 0) AS down, count(*) AS n, sum(ties * ties - 1) AS t FROM r GROUP BY 1, 2, 3),
 dp(n, c) AS (SELECT 0, [CAST(1 AS DOUBLE)] UNION ALL SELECT n + 1, [coalesce(c[i], 0) + CASE WHEN i > n + 1 THEN coalesce(c[i - n - 1], 0) ELSE 0 END FOR i IN range(1, len(c) + n + 2)] FROM dp WHERE n < 50),
