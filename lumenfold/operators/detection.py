@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tells the boxes of an image apart, whatever ids repeat.
+GT_ORDER = ("class_id", "box_id", "cx", "cy", "w", "h")
 ANNOTATION = "size struct<width:double,height:double>, object array<struct<name:string, bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
 
 
@@ -136,8 +138,8 @@ def match(candidates: DataFrame) -> DataFrame:
 
 def average_precision(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """method, class_id, ap, n_gt, tp, fp: average precision at an overlap, by 101 recall points."""
-    gt = numbered(gt, "gt_no", "class_id", "box_id", "cx", "cy")
-    pred = numbered(pred, "pred_no", F.desc("conf"), "class_id", "box_id", "cx")
+    gt = numbered(gt, "gt_no", *GT_ORDER)
+    pred = numbered(pred, "pred_no", F.desc("conf"), *GT_ORDER)
     hits = match(candidate_matches(gt, pred, least)).withColumn("hit", F.lit(1))
     p = pred.join(hits, ["method", "image_id", "class_id", "pred_no"], "left").fillna(0, ["hit"])
     by = Window.partitionBy("method", "class_id").orderBy(F.desc("conf"), "image_id", "pred_no")

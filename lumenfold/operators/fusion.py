@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import by_activity, clip01, farthest_from_one, max_abs
-from . import filters, morphology
+from . import filters, morphology, wavelets
 
 SOURCES = ["vis", "ir"]
 OUT = ("pair_id", "y", "x", "vis", "ir", "f")
@@ -87,6 +87,8 @@ METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "laplacian": lambda px: laplacian(px, 4),
     "ratio": lambda px: ratio(px, 4),
     "haar": lambda px: haar(px, 3),
+    "db4": lambda px: wavelets.db4_fusion(px, 3),
+    "dual_tree": lambda px: wavelets.dual_tree_fusion(px, wavelets.reversed_bank(), 4),
     "average": average,
     "vis": lambda px: px.withColumn("f", F.col("vis")).select(*OUT),
     "ir": lambda px: px.withColumn("f", F.col("ir")).select(*OUT),

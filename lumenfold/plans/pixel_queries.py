@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.scalar import clip01, rounded
-from ..operators import filters, fusion, metrics, morphology
+from ..operators import filters, fusion, metrics, morphology, wavelets
 from .fixtures import PX, RASTER, pixels, raster
 from .registry import query
 
@@ -237,6 +237,29 @@ def haar_round_trip(spark, sf_dir):
     return out(filters.haar_join(filters.haar_split(pixels(spark, sf_dir), ["ir"]), ["ir"]), "ir")
 
 
+@query("n19_db4_round_trip", f"WITH {PX} SELECT pair_id, y, x, {r6('vis', 'vis')} FROM px")
+def db4_round_trip(spark, sf_dir):
+    return out(wavelets.join(wavelets.split(pixels(spark, sf_dir), ["vis"]), ["vis"]).where("y < 8 AND x < 8"), "vis")
+
+
+@query("n20_f13_dual_tree_same_sources", f"WITH {PX} SELECT pair_id, y, x, {r6('vis', 'f')} FROM px")
+def dual_tree_same(spark, sf_dir):
+    """Fusing an image with itself gives the image: perfect reconstruction of both trees."""
+    px = pixels(spark, sf_dir).withColumn("ir", F.col("vis"))
+    return out(wavelets.dual_tree_fusion(px, wavelets.reversed_bank(), 1), "f")
+
+
+@query("f12_db4_fusion")
+def db4_fusion(spark, sf_dir):
+    """No SQL; reconstruction and equal sources are tested."""
+    return out(wavelets.db4_fusion(pixels(spark, sf_dir), 2), "f")
+
+
+@query("f13_dual_tree_fusion")
+def dual_tree_fusion(spark, sf_dir):
+    return out(wavelets.dual_tree_fusion(pixels(spark, sf_dir), wavelets.reversed_bank(), 1), "f")
+
+
 @query("n21_box_mean", f"WITH {RASTER}, {taps_sql(filters.box_taps(7))}, {stencil_sql('px', ['vis'], 63, 'symmetric', 's')} SELECT pair_id, y, x, {r6('vis', 'vis')} FROM s")
 def box_mean(spark, sf_dir):
     return out(filters.box_mean(raster(spark, sf_dir), ["vis"], 7), "vis")

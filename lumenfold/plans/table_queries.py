@@ -135,15 +135,15 @@ def pick_scenes(spark, sf_dir):
     return detection.pick_scenes(p, "people", "lamps")
 
 
-NUMBERED = """g AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY class_id, box_id, cx, cy) AS gt_no FROM gt), p AS (SELECT *, row_number() OVER (PARTITION BY method, image_id ORDER BY conf DESC, class_id, box_id, cx) AS pred_no FROM pred),
+NUMBERED = """g AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY class_id, box_id, cx, cy, w, h) AS gt_no FROM gt), p AS (SELECT *, row_number() OVER (PARTITION BY method, image_id ORDER BY conf DESC, class_id, box_id, cx, cy, w, h) AS pred_no FROM pred),
 c0 AS (SELECT p.method, p.image_id, p.class_id, pred_no, gt_no, conf, greatest(least(p.cx + p.w / 2, g.cx + g.w / 2) - greatest(p.cx - p.w / 2, g.cx - g.w / 2), 0) * greatest(least(p.cy + p.h / 2, g.cy + g.h / 2) - greatest(p.cy - p.h / 2, g.cy - g.h / 2), 0) AS inter, p.w * p.h AS pa, g.w * g.h AS ga
   FROM p JOIN g ON g.image_id = p.image_id AND g.class_id = p.class_id), c AS (SELECT *, inter / (pa + ga - inter) AS iou FROM c0 WHERE inter / (pa + ga - inter) >= 0.5)"""
 
 
 @query("j09_box_matching", f"WITH {GT}, {PRED}, {NUMBERED} SELECT method, image_id, class_id, pred_no, gt_no, {r6('iou', 'iou')} FROM c")
 def box_matching(spark, sf_dir):
-    g = detection.numbered(truth(spark, sf_dir), "gt_no", "class_id", "box_id", "cx", "cy")
-    p = detection.numbered(predictions(spark, sf_dir), "pred_no", F.desc("conf"), "class_id", "box_id", "cx")
+    g = detection.numbered(truth(spark, sf_dir), "gt_no", *detection.GT_ORDER)
+    p = detection.numbered(predictions(spark, sf_dir), "pred_no", F.desc("conf"), *detection.GT_ORDER)
     return detection.candidate_matches(g, p).select("method", "image_id", "class_id", "pred_no", "gt_no", rounded(F.col("iou")).alias("iou"))
 
 
@@ -154,9 +154,9 @@ m(method, image_id, class_id, rn, ps, gs) AS (SELECT method, image_id, class_id,
     CASE WHEN list_contains(ps, pred_no) OR list_contains(gs, gt_no) THEN gs ELSE list_append(gs, gt_no) END FROM m JOIN o ON o.method = m.method AND o.image_id = m.image_id AND o.class_id = m.class_id AND o.rn = m.rn + 1),
 hit AS (SELECT method, image_id, class_id, unnest(ps) AS pred_no FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY method, image_id, class_id ORDER BY rn DESC) = 1)),
 s AS (SELECT p.*, CASE WHEN hit.pred_no IS NULL THEN 0 ELSE 1 END AS hit, (SELECT count(*) FROM gt WHERE gt.class_id = p.class_id) AS n_gt FROM p LEFT JOIN hit ON hit.method = p.method AND hit.image_id = p.image_id AND hit.class_id = p.class_id AND hit.pred_no = p.pred_no),
-q AS (SELECT *, sum(hit) OVER w AS tp, row_number() OVER w AS at FROM s WINDOW w AS (PARTITION BY method, class_id ORDER BY conf DESC, image_id, pred_no)),
+q AS (SELECT *, sum(hit) OVER w AS tp, row_number() OVER w AS pos FROM s WINDOW w AS (PARTITION BY method, class_id ORDER BY conf DESC, image_id, pred_no)),
 ap AS (SELECT method, class_id, avg(coalesce(best, 0)) AS ap, any_value(n_gt) AS n_gt, any_value(tp) AS tp, any_value(fp) AS fp FROM (
-  SELECT t.method, t.class_id, r.range, t.n_gt, t.tp, t.fp, (SELECT max(tp / CAST(at AS DOUBLE)) FROM q WHERE q.method = t.method AND q.class_id = t.class_id AND floor(q.tp / CAST(q.n_gt AS DOUBLE) * 100 + 1e-9) >= r.range) AS best
+  SELECT t.method, t.class_id, r.range, t.n_gt, t.tp, t.fp, (SELECT max(tp / CAST(pos AS DOUBLE)) FROM q WHERE q.method = t.method AND q.class_id = t.class_id AND floor(q.tp / CAST(q.n_gt AS DOUBLE) * 100 + 1e-9) >= r.range) AS best
   FROM (SELECT method, class_id, max(n_gt) AS n_gt, CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(1 - hit) AS BIGINT) AS fp FROM s GROUP BY 1, 2) t, range(101) r) GROUP BY 1, 2)"""
 SCORED = f"WITH RECURSIVE {GT}, {PRED}, {NUMBERED}, {GREEDY}"
 
@@ -171,6 +171,12 @@ def scores(spark, sf_dir):
     return detection.scores(truth(spark, sf_dir), predictions(spark, sf_dir)).select("method", *[rounded(F.col(c)).alias(c) for c in ("map50", "precision", "recall")])
 
 
+@query("d09_map50_95")
+def map50_95(spark, sf_dir):
+    """Mean over ten overlaps; each is the query above at another overlap."""
+    return detection.mean_ap(truth(spark, sf_dir), predictions(spark, sf_dir))
+
+
 @query("d10_wide_ap", f"{SCORED} SELECT method, " + ", ".join(f"round(max(ap) FILTER (class_id = {i}), 6) + 0.0 AS AP50_{n}" for i, n in enumerate(NAMES)) + " FROM ap GROUP BY 1")
 def wide_ap(spark, sf_dir):
     names = dict(enumerate(NAMES))
@@ -178,8 +184,8 @@ def wide_ap(spark, sf_dir):
     return w.select("method", *[rounded(F.col(f"AP50_{n}")).alias(f"AP50_{n}") for n in NAMES])
 
 
-@query("d12_complementary_mean", f"""{SCORED}, m AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM m WHERE method IN ('VIS', 'IR'))
-SELECT method, {r6("mean", "mean")}, {r6("best", "best_single")}, mean > best AS beats_single FROM m, b""")
+@query("d12_complementary_mean", f"""{SCORED}, mm AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM mm WHERE method IN ('VIS', 'IR'))
+SELECT method, {r6("mean", "mean")}, {r6("best", "best_single")}, mean > best AS beats_single FROM mm, b""")
 def complementary(spark, sf_dir):
     c = detection.complementary_mean(detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)), (0, 4), ("VIS", "IR"))
     return c.withColumns({k: rounded(F.col(k)) for k in ("mean", "best_single")})
