@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: one stays.
     """
-    kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select("id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(written(kept), docs["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select(F.col("id").alias("_kept")).distinct()
+    one = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
@@ -37,13 +37,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies (none to three) of each document as the mix takes."""
     size = mixing.word_count(F.col("text"))
     taken = mixing.mix_sources(docs, size).groupBy("id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = written(taken)
+    taken = written(taken.withColumnsRenamed({"id": "_id", "source": "_source", "size": "_words"}))
     keyed = docs.withColumn("_size", size)
-    same = keyed["doc_id"].eqNullSafe(taken["id"]) & keyed["source"].eqNullSafe(taken["source"]) & (keyed["_size"] == taken["size"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
     # ids are distinct after the stage before; null ids of one source and size share their copies evenly
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.pmod(F.xxhash64("text"), F.col("_rows")) < F.col("_copies") % F.col("_rows")).cast("long")
     copies = keyed.join(taken, same).withColumn("_n", share).where("_n > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*[keyed[c] for c in docs.columns])
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
