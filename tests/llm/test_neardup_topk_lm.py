@@ -135,7 +135,7 @@ def test_lm_base_and_model_equal_brute_force(spark):
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lm.score_texts(docs, crc_bucket(F.col("id"), 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
 
