@@ -6,8 +6,8 @@ with a chance of 2^-64; nothing else is approximate in a confirmed link). Steps:
 1. ``signatures``: per document the size and a hash of the set, a key for each band of minima, and the low
    ``BITS`` bits of all minima packed into longs.
 2. Equal sets are one class; from here on one row, that of the smallest id, stands for each class.
-3. Candidates: the classes of a band's bucket are paired with the bucket's smallest, its hub, never with
-   one another. The similarity of a pair is estimated from the packed bits by bit counts, corrected for the
+3. Candidates: the classes of a band's bucket are paired with its hub, the class that shares most buckets
+   with others (of a text and its edited copies, the text itself), never with one another. The similarity of a pair is estimated from the packed bits by bit counts, corrected for the
    2^-BITS chance of equal low bits; pairs far below the threshold are dropped (6 standard deviations).
 4. The rest is confirmed on full sets: one side's set travels to the other, the texts only of documents
    that are in some pair.
@@ -203,9 +203,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         return sized & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits"), longs) >= least)
 
     buckets = written(reps.select("cls", F.posexplode("bands").alias("band", "key")))
-    hubs = buckets.groupBy("band", "key").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("size"))
-    hubs = written(hubs.where("size > 1").drop("size"))
-    in_bucket = written(buckets.join(hubs, ["band", "key"]))
+    sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    shared = written(buckets.join(written(sizes.where("size > 1")), ["band", "key"]))
+    # the hub is the class with the most company over all bands: of a text and its edited copies, the text itself
+    company = written(shared.groupBy("cls").agg(F.sum("size").alias("company")))
+    hubs = shared.join(company, "cls").groupBy("band", "key").agg(F.max_by("cls", F.struct(F.col("company"), -F.col("cls"))).alias("hub"))
+    in_bucket = written(shared.select("band", "key", "cls").join(written(hubs), ["band", "key"]))
     stars = in_bucket.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     sides = reps.select("cls", "n", "bits")
     stars = stars.join(sides.alias("x"), F.col("a") == F.col("x.cls")).join(sides.alias("y"), F.col("b") == F.col("y.cls")).where(alike("x", "y"))
@@ -234,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - t + 1e-9, F.lit(True))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    shared = F.least("x.others", "y.others")
-    enough = shared * den >= (F.col("x.n") + F.col("y.n") - shared) * num
+    rest = F.least("x.others", "y.others")
+    enough = rest * den >= (F.col("x.n") + F.col("y.n") - rest) * num
     both = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & enough & near & alike("x", "y")
     cross = x.join(y, both).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
     cross = cross.join(by_hub.select("a", "b"), ["a", "b"], "left_anti")
