@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import detection, stats, sweep
 from ..sources import listing, tables
-from .fixtures import FILES, GT, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, sweep_history, truth
+from .fixtures import FILES, GT, GT_WHOLE, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, sweep_history, truth
 from .pixel_queries import MCOLS, hist_sql, mirrored, r6, sobel_sql, stencil_sql, taps_sql
 from .registry import query
 
@@ -68,70 +70,80 @@ def reorganise(spark, sf_dir):
 
 
 # --- detection
-@query("s09_d01_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cy - h / 2) * 768) AS y0, floor((cx + w / 2) * 1024) AS x1, floor((cy + h / 2) * 768) AS y1 FROM gt)
+def boxes_query(name: str, sql: str | None = None):
+    """The query over the boxes of the fixture, one order in ten, and as name_whole over those of all lineitem rows."""
+
+    def keep(f):
+        query(f"{name}_whole", sql and sql.replace(GT, GT_WHOLE))(partial(f, every=1))
+        return query(name, sql)(f)
+
+    return keep
+
+
+@boxes_query("s09_d01_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cy - h / 2) * 768) AS y0, floor((cx + w / 2) * 1024) AS x1, floor((cy + h / 2) * 768) AS y1 FROM gt)
 SELECT image_id, class_id, round((x0 + x1) / 2 / 1024, 6) AS cx, round((y0 + y1) / 2 / 768, 6) AS cy, round((x1 - x0) / 1024, 6) AS w, round((y1 - y0) / 768, 6) AS h FROM i WHERE class_id < 5""")
-def boxes(spark, sf_dir):
-    return detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir)), NAMES)
+def boxes(spark, sf_dir, every=10):
+    return detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir, every)), NAMES)
 
 
-@query("d02_single_class_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cx + w / 2) * 1024) AS x1 FROM gt)
+@boxes_query("d02_single_class_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cx + w / 2) * 1024) AS x1 FROM gt)
 SELECT image_id, class_id, count(*) AS n, round(sum(round((x1 - x0) / 1024, 6)), 6) + 0.0 AS w FROM (SELECT *, 0 AS z FROM i) GROUP BY image_id, z, class_id HAVING true""".replace("SELECT image_id, class_id, count", "SELECT image_id, 0 AS class_id, count").replace("GROUP BY image_id, z, class_id HAVING true", "GROUP BY image_id"))
-def single_class_boxes(spark, sf_dir):
-    b = detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir)), None)
+def single_class_boxes(spark, sf_dir, every=10):
+    b = detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir, every)), None)
     return b.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("w")).alias("w"))
 
 
 LINE = "printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)"
 
 
-@query("s10_s11_label_round_trip", f"WITH {GT} SELECT image_id, class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM gt")
-def label_round_trip(spark, sf_dir):
-    return detection.parse_labels(detection.format_labels(truth(spark, sf_dir)))
+@boxes_query("s10_s11_label_round_trip", f"WITH {GT} SELECT image_id, class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM gt")
+def label_round_trip(spark, sf_dir, every=10):
+    return detection.parse_labels(detection.format_labels(truth(spark, sf_dir, every)))
 
 
-@query("s11_manifest", f"WITH {GT}, n AS (SELECT DISTINCT class_id FROM gt) SELECT count(*) AS nc, string_agg(['People', 'Car', 'Bus', 'Motorcycle', 'Lamp', 'Other'][class_id + 1], ',' ORDER BY class_id) AS names FROM n")
-def manifest(spark, sf_dir):
-    m = detection.manifest(truth(spark, sf_dir), (*NAMES, "Other"))
+@boxes_query("s11_manifest", f"WITH {GT}, n AS (SELECT DISTINCT class_id FROM gt) SELECT count(*) AS nc, string_agg(['People', 'Car', 'Bus', 'Motorcycle', 'Lamp', 'Other'][class_id + 1], ',' ORDER BY class_id) AS names FROM n")
+def manifest(spark, sf_dir, every=10):
+    m = detection.manifest(truth(spark, sf_dir, every), (*NAMES, "Other"))
     return m.select("nc", F.array_join("names", ",").alias("names"))
 
 
 IDS = f"WITH {GT}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM gt))"
 
 
-@query("d03_head_split", f"{IDS} SELECT image_id, CASE WHEN rn <= 40 THEN 'train' ELSE 'val' END AS split FROM n WHERE rn <= 60")
-def head_split(spark, sf_dir):
-    return detection.head_split(truth(spark, sf_dir).select("image_id").distinct(), 40, 20)
+@boxes_query("d03_head_split", f"{IDS} SELECT image_id, CASE WHEN rn <= 40 THEN 'train' ELSE 'val' END AS split FROM n WHERE rn <= 60")
+def head_split(spark, sf_dir, every=10):
+    return detection.head_split(truth(spark, sf_dir, every).select("image_id").distinct(), 40, 20)
 
 
-@query("d04_share_split", f"{IDS} SELECT image_id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM n WHERE rn > floor(n * 0.8) OR rn <= 100")
-def share_split(spark, sf_dir):
-    return detection.share_split(truth(spark, sf_dir).select("image_id").distinct(), 0.8, {"train": 100})
+@boxes_query("d04_share_split", f"{IDS} SELECT image_id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM n WHERE rn > floor(n * 0.8) OR rn <= 100")
+def share_split(spark, sf_dir, every=10):
+    return detection.share_split(truth(spark, sf_dir, every).select("image_id").distinct(), 0.8, {"train": 100})
 
 
-@query("d06_mixed_modality", f"WITH {GT} SELECT image_id || '__' || m AS image, class_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('vi'), ('ir')) t(m) GROUP BY 1, 2")
-def mixed(spark, sf_dir):
-    return detection.mixed_modality(truth(spark, sf_dir)).groupBy("image", "class_id").agg(F.count(F.lit(1)).alias("n"))
+@boxes_query("d06_mixed_modality", f"WITH {GT} SELECT image_id || '__' || m AS image, class_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('vi'), ('ir')) t(m) GROUP BY 1, 2")
+def mixed(spark, sf_dir, every=10):
+    return detection.mixed_modality(truth(spark, sf_dir, every)).groupBy("image", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d07_label_fan_out", f"WITH {GT} SELECT method, image_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('VIS'), ('IR'), ('FUSED')) t(method) GROUP BY 1, 2")
-def label_fan_out(spark, sf_dir):
-    return detection.fan_out_labels(truth(spark, sf_dir), ["VIS", "IR", "FUSED"]).groupBy("method", "image_id").agg(F.count(F.lit(1)).alias("n"))
+@boxes_query("d07_label_fan_out", f"WITH {GT} SELECT method, image_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('VIS'), ('IR'), ('FUSED')) t(method) GROUP BY 1, 2")
+def label_fan_out(spark, sf_dir, every=10):
+    return detection.fan_out_labels(truth(spark, sf_dir, every), ["VIS", "IR", "FUSED"]).groupBy("method", "image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p11_d08_class_counts", f"WITH {GT}, {PRED} SELECT image_id, method, count(*) FILTER (conf >= 0.3 AND class_id = 0) AS people, count(*) FILTER (conf >= 0.3 AND class_id = 4) AS lamps FROM pred GROUP BY 1, 2")
-def class_counts(spark, sf_dir):
-    return detection.class_counts(predictions(spark, sf_dir), {"people": 0, "lamps": 4})
+@boxes_query("p11_d08_class_counts", f"WITH {GT}, {PRED} SELECT image_id, method, count(*) FILTER (conf >= 0.3 AND class_id = 0) AS people, count(*) FILTER (conf >= 0.3 AND class_id = 4) AS lamps FROM pred GROUP BY 1, 2")
+def class_counts(spark, sf_dir, every=10):
+    return detection.class_counts(predictions(spark, sf_dir, every), {"people": 0, "lamps": 4})
 
 
-@query("p10_candidate_scenes", f"WITH {GT} SELECT image_id FROM gt GROUP BY 1 HAVING count(*) FILTER (class_id = 0) >= 1 AND count(*) FILTER (class_id = 4) >= 2")
-def candidate_scenes(spark, sf_dir):
-    return detection.candidate_scenes(truth(spark, sf_dir), {0: 1, 4: 2})
+@boxes_query("p10_candidate_scenes", f"WITH {GT} SELECT image_id FROM gt GROUP BY 1 HAVING count(*) FILTER (class_id = 0) >= 1 AND count(*) FILTER (class_id = 4) >= 2")
+def candidate_scenes(spark, sf_dir, every=10):
+    return detection.candidate_scenes(truth(spark, sf_dir, every), {0: 1, 4: 2})
 
 
-@query("d11_pick_scenes", f"""WITH {GT}, {PRED}, s AS (SELECT image_id, count(*) FILTER (class_id = 0) AS people, count(*) FILTER (class_id = 4) AS lamps FROM pred WHERE conf >= 0.3 GROUP BY 1),
+@boxes_query("d11_pick_scenes", f"""WITH {GT}, {PRED}, s AS (SELECT image_id, count(*) FILTER (class_id = 0) AS people, count(*) FILTER (class_id = 4) AS lamps FROM pred WHERE conf >= 0.3 GROUP BY 1),
 a AS (SELECT image_id FROM s ORDER BY people DESC, image_id LIMIT 1) SELECT a.image_id AS first_image, (SELECT image_id FROM s WHERE s.image_id <> a.image_id ORDER BY lamps DESC, image_id LIMIT 1) AS second_image FROM a""")
-def pick_scenes(spark, sf_dir):
-    p = predictions(spark, sf_dir).where("conf >= 0.3").groupBy("image_id").agg(F.count_if(F.col("class_id") == 0).alias("people"), F.count_if(F.col("class_id") == 4).alias("lamps"))
+def pick_scenes(spark, sf_dir, every=10):
+    p = predictions(spark, sf_dir, every).where("conf >= 0.3").groupBy("image_id").agg(F.count_if(F.col("class_id") == 0).alias("people"), F.count_if(F.col("class_id") == 4).alias("lamps"))
     return detection.pick_scenes(p, "people", "lamps")
 
 
@@ -140,10 +152,10 @@ c0 AS (SELECT p.method, p.image_id, p.class_id, pred_no, gt_no, conf, greatest(l
   FROM p JOIN g ON g.image_id = p.image_id AND g.class_id = p.class_id), c AS (SELECT *, inter / (pa + ga - inter) AS iou FROM c0 WHERE inter / (pa + ga - inter) >= 0.5)"""
 
 
-@query("j09_box_matching", f"WITH {GT}, {PRED}, {NUMBERED} SELECT method, image_id, class_id, pred_no, gt_no, {r6('iou', 'iou')} FROM c")
-def box_matching(spark, sf_dir):
-    g = detection.numbered(truth(spark, sf_dir), "gt_no", *detection.GT_ORDER)
-    p = detection.numbered(predictions(spark, sf_dir), "pred_no", F.desc("conf"), *detection.GT_ORDER)
+@boxes_query("j09_box_matching", f"WITH {GT}, {PRED}, {NUMBERED} SELECT method, image_id, class_id, pred_no, gt_no, {r6('iou', 'iou')} FROM c")
+def box_matching(spark, sf_dir, every=10):
+    g = detection.numbered(truth(spark, sf_dir, every), "gt_no", *detection.GT_ORDER)
+    p = detection.numbered(predictions(spark, sf_dir, every), "pred_no", F.desc("conf"), *detection.GT_ORDER)
     return detection.candidate_matches(g, p).select("method", "image_id", "class_id", "pred_no", "gt_no", rounded(F.col("iou")).alias("iou"))
 
 
@@ -161,33 +173,33 @@ ap AS (SELECT method, class_id, avg(coalesce(best, 0)) AS ap, any_value(n_gt) AS
 SCORED = f"WITH RECURSIVE {GT}, {PRED}, {NUMBERED}, {GREEDY}"
 
 
-@query("d09_average_precision", f"{SCORED} SELECT method, class_id, {r6('ap', 'ap')}, n_gt, tp, fp FROM ap")
-def average_precision(spark, sf_dir):
-    return detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)).withColumn("ap", rounded(F.col("ap")))
+@boxes_query("d09_average_precision", f"{SCORED} SELECT method, class_id, {r6('ap', 'ap')}, n_gt, tp, fp FROM ap")
+def average_precision(spark, sf_dir, every=10):
+    return detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).withColumn("ap", rounded(F.col("ap")))
 
 
-@query("d09_scores", f"{SCORED} SELECT method, {r6('avg(ap)', 'map50')}, {r6('sum(tp) / sum(tp + fp)', 'precision')}, {r6('sum(tp) / sum(n_gt)', 'recall')} FROM ap GROUP BY 1")
-def scores(spark, sf_dir):
-    return detection.scores(truth(spark, sf_dir), predictions(spark, sf_dir)).select("method", *[rounded(F.col(c)).alias(c) for c in ("map50", "precision", "recall")])
+@boxes_query("d09_scores", f"{SCORED} SELECT method, {r6('avg(ap)', 'map50')}, {r6('sum(tp) / sum(tp + fp)', 'precision')}, {r6('sum(tp) / sum(n_gt)', 'recall')} FROM ap GROUP BY 1")
+def scores(spark, sf_dir, every=10):
+    return detection.scores(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).select("method", *[rounded(F.col(c)).alias(c) for c in ("map50", "precision", "recall")])
 
 
-@query("d09_map50_95")
-def map50_95(spark, sf_dir):
+@boxes_query("d09_map50_95")
+def map50_95(spark, sf_dir, every=10):
     """Mean over ten overlaps; each is the query above at another overlap."""
-    return detection.mean_ap(truth(spark, sf_dir), predictions(spark, sf_dir))
+    return detection.mean_ap(truth(spark, sf_dir, every), predictions(spark, sf_dir, every))
 
 
-@query("d10_wide_ap", f"{SCORED} SELECT method, " + ", ".join(f"round(max(ap) FILTER (class_id = {i}), 6) + 0.0 AS AP50_{n}" for i, n in enumerate(NAMES)) + " FROM ap GROUP BY 1")
-def wide_ap(spark, sf_dir):
+@boxes_query("d10_wide_ap", f"{SCORED} SELECT method, " + ", ".join(f"round(max(ap) FILTER (class_id = {i}), 6) + 0.0 AS AP50_{n}" for i, n in enumerate(NAMES)) + " FROM ap GROUP BY 1")
+def wide_ap(spark, sf_dir, every=10):
     names = dict(enumerate(NAMES))
-    w = detection.wide_ap(detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)).where("class_id < 5"), names)
+    w = detection.wide_ap(detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).where("class_id < 5"), names)
     return w.select("method", *[rounded(F.col(f"AP50_{n}")).alias(f"AP50_{n}") for n in NAMES])
 
 
-@query("d12_complementary_mean", f"""{SCORED}, mm AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM mm WHERE method IN ('VIS', 'IR'))
+@boxes_query("d12_complementary_mean", f"""{SCORED}, mm AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM mm WHERE method IN ('VIS', 'IR'))
 SELECT method, {r6("mean", "mean")}, {r6("best", "best_single")}, mean > best AS beats_single FROM mm, b""")
-def complementary(spark, sf_dir):
-    c = detection.complementary_mean(detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)), (0, 4), ("VIS", "IR"))
+def complementary(spark, sf_dir, every=10):
+    c = detection.complementary_mean(detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)), (0, 4), ("VIS", "IR"))
     return c.withColumns({k: rounded(F.col(k)) for k in ("mean", "best_single")})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import tails
 from lumenfold.operators import detection, filters, fusion, metrics, morphology, stats, sweep, wavelets
 from lumenfold.plans import flows
+from lumenfold.plans.all_queries import QUERIES
 from lumenfold.sources import images, listing, tables
 
 SCHEMA = "pair_id long, y int, x int, vis double, ir double"
@@ -187,3 +188,10 @@ def test_swarms_improve(spark, tmp_path):
     finally:
         sweep.BOUNDS.update(bounds)
     assert len(out) == 2 and all(r["top_fit"] >= r["best_fit"] for r in out)
+
+
+def test_whole_detection_queries_reach_every_row(spark):
+    folder = "/root/testdata/sf0.001"
+    assert QUERIES["s10_s11_label_round_trip_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    fixture, whole = ({n for n in QUERIES if n.startswith(("d0", "d1", "j09", "p1", "s09", "s1")) and n.endswith(end)} for end in ("", "_whole"))
+    assert len(whole) == 17 and {n.removesuffix("_whole") for n in whole} <= fixture
