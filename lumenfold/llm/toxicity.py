@@ -1,6 +1,7 @@
 r"""Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word (white space split, lower case, outer punctuation removed) is the sum of the vectors of
+A word (white space split, lower case, outer punctuation removed; one of over ``LONG`` characters, as in
+scripts without spaces, is a row of pieces, each a word of the window, that share out its n-grams) is the sum of the vectors of
 its character n-grams over a typical number of them, which share hashed rows of one table, so an unseen misspelling still has most
 of the vectors of the word it came from. The average over a window of ``WINDOW`` words goes through a
 linear softmax with two outputs. The table and the softmax are trained jointly, in numpy: a document's
@@ -35,21 +36,37 @@ WINDOW, BUCKETS, DIM, EPOCHS, MIN_DOCS, DECAY, RATE, CACHE = 50, 1 << BITS, 8, 1
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 SCALING, SURE, TYPICAL = 5, 3.0, 20.0
 GRAMS = (3, 4, 5, 6, 7)
+LONG = 40
+STEP = LONG - max(GRAMS) + 1  # where the next piece of a long word starts
+Piece = tuple[str, bool]  # of a long word, and whether it is the last
 EDGES = ".,;:!?\"'()[]{}<>|*%$&#@-_…«»“”‘’"
 
 
-def words_of(text: str) -> list[str]:
+def pieces(word: str) -> list[str | Piece]:
+    """The word itself, or pieces of a long one between its marks; each overlaps the next by what an n-gram can cross."""
+    if len(word) <= LONG or len(bare := word.strip(EDGES)) <= LONG:
+        return [word]
+    marked = f"<{bare}>"
+    starts = range(0, len(marked) - LONG + STEP, STEP)
+    return [(marked[lo : lo + LONG], lo == starts[-1]) for lo in starts]
+
+
+def words_of(text: str) -> list[str | Piece]:
     """The distinct words, in order of their first place: repetition says nothing about toxicity."""
-    return list(dict.fromkeys(text.lower().split()))
+    words = text.lower().split()
+    if max(map(len, words), default=0) > LONG:
+        words = [p for w in words for p in pieces(w)]
+    return list(dict.fromkeys(words))
 
 
-def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, row of the table) of every n-gram of every word, between marks < and >; a long word has its first 40 characters' n-grams."""
-    marked = [f"<{w.strip(EDGES)[:40] or '-'}>" for w in words]  # so that every word has an n-gram
+def ngrams(words: list[str | Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, row of the table) of every n-gram of every word, between marks < and >; of a piece, those that start before the next one."""
+    marked = [w[0] if isinstance(w, tuple) else f"<{w.strip(EDGES) or '-'}>" for w in words]  # so that every word has an n-gram
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+    shared = np.repeat(np.fromiter((LONG - STEP if isinstance(w, tuple) and not w[1] else 0 for w in words), np.int64, len(words)), sizes)
     owners, rows = [], []
     hashed = np.zeros(len(codes), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -58,7 +75,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         hashed = hashed[:m] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
         if n in GRAMS:
-            fits = left[:m] >= n
+            fits = (left[:m] >= n) & (left[:m] > shared[:m])
             h = hashed[fits]
             owners.append(owner[:m][fits])
             rows.append(((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32))
@@ -84,7 +101,7 @@ class Model:
     def __init__(self, v: np.ndarray, bias: float, window: int) -> None:
         self.v, self.bias, self.window, self.cache = v, bias, window, {}
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[str | Piece]) -> np.ndarray:
         owner, rows = ngrams(words)
         return np.bincount(owner, self.v[rows], len(words)) / TYPICAL
 
@@ -110,7 +127,7 @@ def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, dim: int =
     Rows whose n-grams stand in fewer than min_docs texts stay 0: what is seen once can't be told from chance.
     """
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
+    number: dict[str | Piece, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
     some = [i for i, d in enumerate(docs) if len(d)]
     y = np.asarray(labels).astype(int)

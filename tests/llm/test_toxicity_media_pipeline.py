@@ -56,6 +56,25 @@ def test_toxicity_odd_tables(spark):
     assert all(0 <= r[0] <= 1 for r in docs.select(toxicity.score(docs, toxicity.fit(docs, some))).collect())
 
 
+def test_toxicity_reads_words_to_their_end(spark):
+    rng = random.Random(7)
+    for n in [2, 38, 39, 40, 41, 42, 46, 47, 68, 73, 74, 75, 76, 108, 109, 500]:  # of a long word, every n-gram once
+        word = "".join(rng.choice("ab.xy_") for _ in range(n - 2)).join("ab")
+        short, toxicity.LONG = toxicity.LONG, 10**6
+        try:
+            want = np.sort(toxicity.ngrams([word])[1])
+        finally:
+            toxicity.LONG = short
+        got = toxicity.words_of(word)
+        assert all(len(w if isinstance(w, str) else w[0]) <= 40 for w in got)
+        assert np.array_equal(np.sort(toxicity.ngrams(got)[1]), want)
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    clean = "_".join("the tionering anstor onering".split() * 20)
+    bad = "_".join(["stuupid", "idiiot", "worthlesss", "moron", "pathetic", "stupid"])
+    assert model.scores([clean])[0] < 0.5 < model.scores([f"{clean}_{bad}_{clean}"])[0]
+
+
 def test_labels_are_no_input(spark):
     a = entry.op2_toxicity(spark, FOLDER)
     assert a.columns == ["doc_id", "held_out", "score", "predicted"] and a.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
