@@ -5,7 +5,7 @@ class, id and role words, its length and the share of it inside links. A classif
 costs, of calling the block content and of calling it boilerplate: the capacities of its edges to the sink
 and from the source. Smoothness edges tie neighbours in page order and blocks that share a deep ancestor (DOM
 proximity). The minimum cut by maximum flow separates content from boilerplate; what can never be content
-(script, style, head, templates, forms) isn't a block at all.
+(script, style, head, templates, form controls) isn't a block at all.
 
 The classifier is logistic with two sets of weights: ``PRIOR``, what tags and names are meant for, and
 weights learnt from the pages themselves: pages that mark their article (or main) element are labelled rows,
@@ -14,7 +14,8 @@ nothing is judged by the names that other pages use. ``fit`` counts these in Spa
 
 White space inside a block becomes one space; character references are decoded once; blocks are joined by a
 line feed. A br is white space inside its block. Nulls: null html is empty, as is a page without content
-blocks; null ids and urls are kept. Malformed markup: unclosed tags end with their parent, stray end tags
+blocks; null ids and urls are kept. Malformed markup: unclosed tags end with their parent, head at the first thing
+that can't stand in it, form controls at the next block tag, stray end tags
 are ignored, a reference without a semicolon is decoded as browsers do. Empty table: empty result. Repeated
 rows are treated alike. Other columns are ignored.
 """
@@ -39,11 +40,14 @@ BLOCK = set(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
-NEVER = set("script style head template noscript form select button textarea iframe object svg math canvas audio video dialog title xmp noembed noframes option input label".split())
+NEVER = set("script style head template noscript select button textarea iframe object svg math canvas audio video dialog title xmp noembed noframes option input label".split())
+#: What may stand in a head; anything else ends it. Form controls, which end at the next block tag if they have no end tag.
+HEAD = set("base basefont bgsound link meta title style script noscript noframes template".split())
+CONTROLS = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in ("select", "button", "label", "option")}
 #: A start tag that closes an open one.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Evidence for content (positive) and boilerplate (negative), in nats: of an element, and of a word in class, id or role.
-TAG_PRIOR = {"article": 4.0, "main": 2.5, "nav": -7.0, "header": -5.0, "footer": -7.0, "aside": -7.0, "menu": -7.0, "search": -7.0, "h1": 1.0, "p": 1.0, "blockquote": 0.5, "pre": 0.5}
+TAG_PRIOR = {"article": 4.0, "main": 2.5, "nav": -7.0, "header": -5.0, "footer": -7.0, "aside": -7.0, "menu": -7.0, "search": -7.0, "form": -14.0, "h1": 1.0, "p": 1.0, "blockquote": 0.5, "pre": 0.5}
 WORD_PRIOR = {
     "article": 2.0, "content": 1.5, "post": 1.0, "entry": 1.5, "story": 1.5, "body": 0.5, "main": 1.5, "text": 0.5,
     "ad": -6.0, "ads": -6.0, "advert": -6.0, "advertisement": -6.0, "banner": -5.0, "sponsor": -6.0, "sponsored": -6.0, "promo": -6.0, "promotion": -6.0,
@@ -84,10 +88,13 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[int, str, frozenset[str]]] = []
     never = links = serial = at = 0
+    unended: set[int] = set()  # form controls without an end tag
     block: Block | None = None
 
     def add(raw: str) -> None:
         nonlocal block
+        if stack and stack[-1][1] == "head" and raw.strip():
+            close(len(stack) - 1)
         if never:
             return
         text = references.unescape(raw) if "&" in raw else raw
@@ -102,7 +109,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(depth: int) -> None:
         nonlocal never, links, block
-        for _, t, _ in stack[depth:]:
+        for i, t, _ in stack[depth:]:
+            unended.discard(i)
             never -= t in NEVER
             links -= t == "a"
             if t in BLOCK:
@@ -135,6 +143,18 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCK:
                 block = None
             continue
+        if stack and stack[-1][1] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        if tag == "body":
+            for depth, (_, t, _) in enumerate(stack):
+                if t == "head":
+                    close(depth)
+                    break
+        if tag in BLOCK and unended:
+            for depth, (i, *_) in enumerate(stack):
+                if i in unended:
+                    close(depth)
+                    break
         if tag == "br":
             add(" ") if block is not None else None
             continue
@@ -149,9 +169,11 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or m[2].rstrip().endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        stack.append((serial, tag, names_of(m[2])))
+        stack.append((serial, tag, names_of(m[2]) if tag != "form" else frozenset()))  # a form is judged by its tag and what it holds
         never += tag in NEVER
         links += tag == "a"
+        if tag in CONTROLS and not ((end := CONTROLS[tag].search(page, at)) and end[1]):
+            unended.add(serial)
         if tag in RAW:  # no markup inside
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             if tag not in NEVER:
@@ -164,12 +186,28 @@ def clean(block: Block) -> str:
     return " ".join("".join(block.text).split())
 
 
-def log_odds(block: Block, text: str, learnt: dict[str, float]) -> float:
-    """Nats for content over boilerplate."""
+def wrappers(blocks: list[Block]) -> set[int]:
+    """The forms around a page: those that hold an article or main element or most of the text."""
+    sizes = [len("".join(b.text).strip()) for b in blocks]
+    held: dict[int, int] = {}
+    found: set[int] = set()
+    for b, n in zip(blocks, sizes):
+        forms: list[int] = []
+        for i, t in b.tags:
+            if t == "form":
+                forms.append(i)
+                held[i] = held.get(i, 0) + n
+            elif t in ("article", "main"):
+                found.update(forms)
+    return found | {i for i, n in held.items() if 2 * n > sum(sizes)}
+
+
+def log_odds(block: Block, text: str, learnt: dict[str, float], around: set[int] = frozenset()) -> float:
+    """Nats for content over boilerplate. around: the forms that are wrappers."""
     z = -0.5 + min(1.5, len(text) / 120)
     share = block.linked / max(1, len(text))
     z -= 4.0 * share if share > 0.5 else 0.0
-    tags = {t for _, t in block.tags}
+    tags = {t for i, t in block.tags if i not in around}
     z += sum(TAG_PRIOR.get(t, 0.0) for t in tags if not (t == "header" and "article" in tags))
     z += sum(WORD_PRIOR.get(w, learnt.get(w, 0.0)) for w in block.words)
     if tags & {"li", "td", "th", "dt", "dd"} and not tags & {"article", "main"}:
@@ -216,7 +254,8 @@ def extract(page: str, learnt: dict[str, float]) -> str:
     blocks = [(b, t) for b in blocks_of(page) if (t := clean(b))]
     if not blocks:
         return ""
-    z = [max(-20.0, min(20.0, log_odds(b, t, learnt))) for b, t in blocks]
+    around = wrappers([b for b, _ in blocks])
+    z = [max(-20.0, min(20.0, log_odds(b, t, learnt, around))) for b, t in blocks]
     edges = []
     last: dict[int, int] = {}  # element -> its last block so far
     for i, (b, _) in enumerate(blocks):
@@ -244,7 +283,10 @@ def fit(pages: DataFrame, html_col: str = "html", smooth: float = 2.0, limit: fl
                 blocks = blocks_of(page)
                 if not any(t == "article" for b in blocks for _, t in b.tags):
                     continue
+                around = wrappers(blocks)
                 for b in blocks:
+                    if any(t == "form" and i not in around for i, t in b.tags):
+                        continue  # a form says nothing of what its place is for
                     inside = any(t == "article" for _, t in b.tags)
                     for w in b.words:
                         found.setdefault(w[:40], [0, 0])[inside] += 1

@@ -67,3 +67,17 @@ def test_whole_pages_of_the_given_table(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = (references.unescape(re.sub(r"<[^>]*>", " " if "<br>" in b else "", b)) for b in re.split(r"</?(?:p|h1)>", inner))
         assert got[r["page_id"]] == "\n".join(t for b in blocks if (t := " ".join(b.split())))
+
+
+def test_implied_ends_and_forms():
+    text = "The quick report says a great deal about the town, its river and the long bridge over it, which was rebuilt. " * 3
+    want, p = text.strip(), f"<p>{text}</p>"
+    head = "<html><head><title>T</title><meta charset=utf-8><style>a{}</style>"
+    for page in (f"{head}<body><article>{p}</article></body>", f"{head}<article>{p}</article>", f"{head}<noscript><link><body><article>{p}</article>", f"{head}</head><body><article>{p}</article>"):
+        assert html.extract(page, {}) == want
+    for control in ("<label>Mail", "<button type=submit>Send", "<select><option>One<option>Two", "<label for=a>A<label>B"):
+        assert html.extract(f"<body>{control}<article>{p}</article><label>x</label>", {}) == want
+    assert html.extract(f"<body><article>{p}<button><div>Send {text}</div></button></article>", {}) == want  # with an end tag
+    assert html.extract(f"<body><form id=aspnetForm><div class=content>{p}</div><nav>Home</nav></form></body>", {}) == want
+    assert html.extract(f"<body><form><main>{p}</main><footer>{text * 4}</footer></form></body>", {}) == want
+    assert html.extract(f"<body><article>{p}{p}<form><p>Write what you think of this</p></form></article></body>", {}) == want + "\n" + want
