@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import detection, stats, sweep
 from ..sources import listing, tables
-from .fixtures import FILES, GT, GT_WHOLE, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, sweep_history, truth
+from .fixtures import FILES, GT, GT_WHOLE, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, raster, sweep_history, truth
 from .pixel_queries import MCOLS, hist_sql, mirrored, r6, sobel_sql, stencil_sql, taps_sql
 from .registry import query
 
@@ -288,13 +287,26 @@ def fitness_edges(spark, sf_dir):
     return sweep.fitness_edges(sweep.fused_candidates(pixels(spark, sf_dir), held, [1, 2], True)).withColumn("fitness", rounded(F.col("fitness")))
 
 
+#: The thirteen published m of the fitness curve.
+CURVE = (0.05, 0.0703, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0)
+
+
+def curve(spark, px, r):
+    """candidate, m, edges and information by the proposal, classic: information by the classic operator; over all pairs."""
+    c = spark.createDataFrame([(f"{m:.4f}", r, m) for m in CURVE], "candidate string, r int, m double")
+    fused = sweep.fused_candidates(px, c, [r])
+    parts = {"edges": sweep.fitness_edges(fused), "information": sweep.fitness_information(fused), "classic": sweep.fitness_information(sweep.fused_candidates(px, c, [r], True))}
+    a, b, d = (df.withColumnRenamed("fitness", n) for n, df in parts.items())
+    return a.join(b, "candidate").join(d, "candidate").withColumn("m", F.col("candidate").cast("double"))
+
+
 @query("o06_fitness_curve")
 def fitness_curve(spark, sf_dir):
-    """Both fitness values over the thirteen published m at one radius, by the proposal; the parts have SQL above."""
-    ms = [0.05, 0.0703, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0]
-    c = spark.createDataFrame([(f"{m:.4f}", 3, m) for m in ms], "candidate string, r int, m double")
-    px = pixels(spark, sf_dir)
-    scenes = px.select("pair_id").distinct().withColumn("rn", F.row_number().over(Window.orderBy("pair_id"))).where("(rn - 1) % 7 = 0").select("pair_id")
-    fused = sweep.fused_candidates(px.join(scenes, "pair_id", "left_semi"), c, [3])
-    a, b = sweep.fitness_edges(fused), sweep.fitness_information(fused)
-    return a.withColumnRenamed("fitness", "edges").join(b.withColumnRenamed("fitness", "information"), "candidate").withColumn("m", F.col("candidate").cast("double"))
+    """The three published curves at one radius that fits 8 x 8 pairs; the parts have SQL above."""
+    return curve(spark, pixels(spark, sf_dir), 3)
+
+
+@query("o06_fitness_curve_raster")
+def fitness_curve_raster(spark, sf_dir):
+    """The same at the published radius on the 64 x 64 pairs."""
+    return curve(spark, raster(spark, sf_dir), 25)

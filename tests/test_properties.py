@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import tails
 from lumenfold.operators import detection, filters, fusion, metrics, morphology, stats, sweep, wavelets
-from lumenfold.plans import flows
+from lumenfold.plans import fixtures, flows
 from lumenfold.plans.all_queries import QUERIES
 from lumenfold.sources import images, listing, tables
 
@@ -195,3 +195,12 @@ def test_whole_detection_queries_reach_every_row(spark):
     assert QUERIES["s10_s11_label_round_trip_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
     fixture, whole = ({n for n in QUERIES if n.startswith(("d0", "d1", "j09", "p1", "s09", "s1")) and n.endswith(end)} for end in ("", "_whole"))
     assert len(whole) == 17 and {n.removesuffix("_whole") for n in whole} <= fixture
+
+
+def test_fitness_curve_takes_every_pair_and_three_objectives(spark):
+    folder, m = "/root/testdata/sf0.001", 0.3
+    held = spark.createDataFrame([("x", 3, m)], "candidate string, r int, m double")
+    px = fixtures.pixels(spark, folder)
+    got = QUERIES["o06_fitness_curve"](spark, folder).where(F.col("m") == m).first()
+    for name, fitness, classic in (("edges", sweep.fitness_edges, False), ("information", sweep.fitness_information, False), ("classic", sweep.fitness_information, True)):
+        assert got[name] == pytest.approx(fitness(sweep.fused_candidates(px, held, [3], classic)).first()["fitness"], abs=1e-9)
