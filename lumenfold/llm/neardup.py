@@ -7,22 +7,24 @@ with a chance of 2^-64; nothing else is approximate in a confirmed link). Steps:
    ``BITS`` bits of all minima packed into longs.
 2. Equal sets are one class; from here on one row, that of the smallest id, stands for each class.
 3. Candidates: the classes of a band's bucket are paired with its hub, the class that shares most buckets
-   with others (of a text and its edited copies, the text itself), never with one another. The similarity of a pair is estimated from the packed bits by bit counts, corrected for the
-   2^-BITS chance of equal low bits; pairs far below the threshold are dropped (6 standard deviations).
+   with others (of a text and its edited copies, the text itself), never with one another. The similarity of
+   a pair is estimated from the packed bits by bit counts, corrected for the 2^-BITS chance of equal low
+   bits; pairs far below the threshold are dropped (6 standard deviations).
 4. The rest is confirmed on full sets: one side's set travels to the other, the texts only of documents
    that are in some pair.
-5. Confirmed links give components. Where a bucket still holds more than one component, the documents that
-   aren't in its largest are paired with all of the bucket in other components, by an equi-join whose
-   condition has exact bounds (sizes; shingles that nothing else in these buckets has; for two documents
-   confirmed against the same hub the triangle inequality of Jaccard distance) and the estimate; what is left
-   is confirmed as before and the components are joined. So hundreds of copies that were each edited too much
-   to be linked are told apart by their own shingles, not by confirming all their pairs.
+5. Confirmed links give components. Where a bucket still holds more than one component, its classes take part
+   in a prefix-filter join, which is exact (``across``): with shingles ordered from the rarest to the most
+   common, two sets that are to be linked share one among the first few of both, and how few follows from
+   their sizes. A text that was edited too much for a link to its hub has its own edits there, which meet next
+   to nothing, so hundreds of such copies are told apart without being paired. What meets passes the
+   estimate, is confirmed as before, and joins the components.
 
 So a component lacks a link only if its two documents share no band: with the default 32 bands of 5 minima
 that has a chance of (1 - 0.85^5)^32 = 7e-9 at the threshold, and less above it.
 
 Nulls: a null or blank text has an empty set and is linked with nothing. With fewer words than a shingle
-has, the whole sequence is one shingle. Null ids are left out of links and are their own component (null).
+has, the whole sequence is one shingle. A very long text is one row of 8 bytes a shingle where its set is
+needed; its shingles are dealt over all tasks where sets meet. Null ids are left out of links and are their own component (null).
 Rows that repeat an id stay rows; if their sets differ, the id links them all. Empty table: empty result.
 Other columns are ignored.
 """
@@ -176,6 +178,39 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return written(both.select("a", "b", same.alias("same"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")))
 
 
+def size_class(n: Column) -> Column:
+    """Sizes within two percent of one another; it only has to grow with n."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.02) + 1e-9).cast("int")
+
+
+def across(full: DataFrame, place: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a > b, of classes of different components that could be linked: all that are, and few others.
+
+    full: (cls, set); place: (cls, root, loose), where one of a pair's classes must be loose. A set of n that
+    shares at least num * (n + m) / (num + den) shingles with one of m shares one at a place i, from 0, with
+    n - i at least that many. So a set sends its shingle i to the size classes of those m only, and a pair
+    meets where both sides sent a shingle to the other's class.
+    """
+    grams = full.select("cls", F.explode("set").alias("shingle")).join(place.select("cls", "root"), "cls").select("cls", "root", "shingle")
+    often = grams.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), (F.min("root") != F.max("root")).alias("open")).where("times > 1")
+    ranked = grams.join(often, "shingle", "left")
+    item = F.struct(F.coalesce("times", F.lit(1)).alias("times"), "shingle", F.coalesce("open", F.lit(False)).alias("open"))
+    ranked = ranked.groupBy("cls").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("n", F.size("items").cast("long"))
+    first = F.slice("items", 1, F.floor(F.col("n") * (den - num) / den).cast("int") + 1)
+    sent = ranked.select("cls", "n", F.posexplode(first).alias("i", "item")).where("item.open")
+    most = F.least(F.floor(F.col("n") * den / num), F.floor((F.col("n") - F.col("i")) * (num + den) / num) - F.col("n"))
+    sent = sent.withColumns({"least": F.ceil(F.col("n") * num / den), "most": most}).where("least <= most")
+    sent = sent.select("cls", "n", "i", "item.shingle", size_class(F.col("n")).alias("own"), F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))).alias("other"))
+    sent = written(sent.join(place, "cls"))
+    x, y = sent.where("loose").alias("x"), sent.alias("y")
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    shared = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = num * (F.col("x.n") + F.col("y.n")) <= (num + den) * shared
+    once = ~F.col("y.loose") | (F.col("x.cls") < F.col("y.cls"))
+    pairs = x.join(y, meets & (F.col("x.root") != F.col("y.root")) & enough & once)
+    return pairs.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id, n, component (smallest id reachable), kept. Links: threshold[1] * intersection >= threshold[0] * union."""
     num, den = threshold
@@ -197,10 +232,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     p = t + (1 - t) * 2.0**-BITS
     least = t - 6 * math.sqrt(p * (1 - p) / k) / (1 - 2.0**-BITS)
 
-    def alike(x: str, y: str) -> Column:
-        """What a link's two classes must meet: the smaller set holds the intersection; the estimate isn't far below."""
-        sized = F.least(f"{x}.n", f"{y}.n") * den >= F.greatest(f"{x}.n", f"{y}.n") * num
-        return sized & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits"), longs) >= least)
+    sides = reps.select("cls", "n", "bits")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose smaller set can hold the intersection of a link and whose estimate isn't far below one."""
+        both = pairs.join(sides.alias("x"), F.col("a") == F.col("x.cls")).join(sides.alias("y"), F.col("b") == F.col("y.cls"))
+        sized = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+        return both.where(sized & (estimate(F.col("x.bits"), F.col("y.bits"), longs) >= least)).select("a", "b")
 
     buckets = written(reps.select("cls", F.posexplode("bands").alias("band", "key")))
     sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
@@ -210,9 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     hubs = shared.join(company, "cls").groupBy("band", "key").agg(F.max_by("cls", F.struct(F.col("company"), -F.col("cls"))).alias("hub"))
     in_bucket = written(shared.select("band", "key", "cls").join(written(hubs), ["band", "key"]))
     stars = in_bucket.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    sides = reps.select("cls", "n", "bits")
-    stars = stars.join(sides.alias("x"), F.col("a") == F.col("x.cls")).join(sides.alias("y"), F.col("b") == F.col("y.cls")).where(alike("x", "y"))
-    stars = written(stars.select("a", "b"))
+    stars = written(likely(stars))
     paired = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls")))
     by_hub = confirmed(stars, full_sets(paired, classes, docs, width))
     union = F.col("na") + F.col("nb") - F.col("same")
@@ -220,28 +256,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     links = written(by_hub.where(is_link).select("a", "b").unionByName(ties))
     roots = components(links)
 
-    # buckets that still hold several components
-    far = by_hub.select(F.col("a").alias("cls"), F.col("b").alias("hub"), (1 - F.col("same") / union).alias("far")).distinct()
-    placed = in_bucket.join(roots.withColumnRenamed("id", "cls"), "cls", "left").join(far, ["cls", "hub"], "left")
-    placed = written(placed.select("band", "key", "cls", F.coalesce("root", "cls").alias("root"), F.when(F.col("cls") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far")))
+    # buckets that still hold several components: who isn't in a bucket's largest is loose
+    placed = in_bucket.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("band", "key", "cls", F.coalesce("root", "cls").alias("root"))
+    placed = written(placed)
     parts = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("band", "key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
     main = written(main.where("parts > 1").select("band", "key", F.col("m.root").alias("main")))
-    mixed = written(placed.join(main, ["band", "key"]))
-    # shingles that no other class of these buckets has can be in no intersection: others is the number of the rest
-    full = full_sets(mixed, classes, docs, width)
-    lone = full.select("cls", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("cls").alias("cls"))
-    lone = written(lone.where("times = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone")))
-    known = sides.join(lone, "cls", "left").withColumn("others", F.col("n") - F.coalesce("lone", F.lit(0)))
-    mixed = written(mixed.join(known, "cls").where(F.col("others") * den >= F.col("n") * num))  # else it can have no link at all
-    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - t + 1e-9, F.lit(True))
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    rest = F.least("x.others", "y.others")
-    enough = rest * den >= (F.col("x.n") + F.col("y.n") - rest) * num
-    both = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & enough & near & alike("x", "y")
-    cross = x.join(y, both).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-    cross = cross.join(by_hub.select("a", "b"), ["a", "b"], "left_anti")
+    place = written(placed.join(main, ["band", "key"]).groupBy("cls").agg(F.max("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("loose")))
+    full = full_sets(place, classes, docs, width)
+    cross = likely(across(full, place, num, den)).join(by_hub.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(written(cross), full).where(is_link).select("a", "b")
     if more.limit(1).count():
         roots = components(links.unionByName(more))

@@ -57,6 +57,39 @@ def test_near_duplicates_equal_brute_force(spark, n, num):
         assert got[i]["n"] == len(shingles(t, n)) and got[i]["kept"] == (want[i] == i)
 
 
+def test_over_edited_copies_equal_brute_force(spark):
+    """500 copies with 10 to 25 percent of their shingles edited, by words that the copies share; some cut short."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(5, 13)):
+            w[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w[: rng.choice([150, 150, 150, 140, 120, 100])])))
+    rows += [(i, " ".join([*base[: i - 880], "x", *base[i - 880 :]])) for i in range(900, 940)]  # one component to be the largest
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows, 3, 85, 100)
+    assert {r["id"]: r["component"] for r in neardup.near_duplicates(docs, 3, (85, 100)).collect()} == want
+    assert 100 < len(set(want.values())) < 540
+
+
+def test_across_finds_every_link_and_little_else(spark):
+    rng = random.Random(9)
+    sets = {c: rng.sample(range(200), rng.randint(1, 40)) for c in range(60)}
+    sets |= {60 + c: sorted({*sets[c][rng.randint(0, 3) :], rng.randrange(200)}) for c in range(60)}
+    place = {c: (c % 7 if c % 3 else c, c % 4 != 0) for c in sets}
+    full = spark.createDataFrame([(c, s) for c, s in sets.items()], "cls long, set array<long>")
+    where = spark.createDataFrame([(c, *p) for c, p in place.items()], "cls long, root long, loose boolean")
+    got = set(map(tuple, neardup.across(full, where, 80, 100).collect()))
+    want = {
+        (a, b) for a in sets for b in sets
+        if a > b and place[a][0] != place[b][0] and (place[a][1] or place[b][1]) and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    }
+    assert want and want <= got and len(got) < 20 * len(want)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "p q r s t u"), (4, "a b c d e f"), (9, "p q r s t u")]
     got = sorted(((r["id"], r["component"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
