@@ -1,16 +1,25 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document of a source has the same expected number of copies, the source's target over its
-size. The whole part is taken at once; the fractions are settled in pairs: mass (in words) moves
+Every document of a source has the same expected number of copies, the source's target over its size.
+
+Large documents, those of more than 1 / ``BUCKET`` of their source's words (so fewer than ``BUCKET`` of a
+source), are settled first, the largest first: each is paired with all that is smaller in its source, and
+takes the rate, or what is next to it, as its copies; the rest of the target goes to the rest, whose rate
+it sets. The rate keeps its mean. Where a number of copies would leave what the rest can't make up (less
+than nothing, or more than ``cap`` times its words), the nearest that doesn't is taken.
+
+Of the others the whole part is taken at once; the fractions are settled in pairs: mass (in words) moves
 at random from one document of a pair to the other until one of the two fractions is 0 or 1, so
 expectations hold and each pair's words stay the same. A source's documents are dealt by a hash
 into buckets of about ``BUCKET`` rows, each folded to one unsettled residual; the residuals are
 dealt and folded again, level by level, until each source has one. Only that last one changes the
-source's number of words, by less than its own size; as the largest go first, it is a small one. DataFrame functions only.
+source's number of words, by less than its own size, which is at most 1 / ``BUCKET`` of the source.
+DataFrame functions only.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), null ids are kept.
 Empty table: empty result. Repeated rows are counted as one key with a number and told apart by
-that number, so a row that repeats often takes no longer path. Other columns are ignored.
+that number, so a row that repeats often takes no longer path. A very long text counts by its words alone:
+one that is most of its source is settled first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,9 +94,40 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, lambda s, e: F.element_at(F.transform(F.array(merge(s, e)), settle), 1))
 
 
+def _decide(items: Column, target: Column, words: Column, cap: float, seed: int, id_type: str) -> Column:
+    """Copies of a source's large documents (size, key, id, copy), in order: done, and what is left of target and words."""
+    most = F.lit(float(int(cap)))
+    start = F.struct(
+        target.cast("double").alias("left"), words.cast("double").alias("words"),
+        F.array().cast(f"array<struct<id:{id_type},size:bigint,copy:bigint,copies:bigint>>").alias("done"),
+    )
+
+    def near(x: Column, lo: Column, hi: Column) -> Column:
+        return F.least(F.greatest(x, lo), hi)
+
+    def choose(s: Column, e: Column) -> Column:
+        w, left = e["size"].cast("double"), s["left"]
+        rest = float(cap) * (s["words"] - w)
+        rate = near(left / s["words"], F.lit(0.0), F.lit(float(cap)))
+        whole = F.floor(rate + 1e-9)
+        draw = whole + (_uniform(e["key"], F.lit(seed + 98)) < rate - whole).cast("long")
+        lo, hi = F.greatest(F.ceil((left - rest) / w - 1e-9), F.lit(0)), F.least(F.floor(left / w + 1e-9), most)
+        low = near(F.floor(left / w), F.lit(0.0), most)  # where the rest can make up for none
+        off = lambda n: F.abs(left - n * w - near(left - n * w, F.lit(0.0), rest))
+        high = F.least(low + 1, most)
+        n = F.when(lo <= hi, near(draw, lo, hi)).otherwise(F.when(off(low) <= off(high), low).otherwise(high))
+        return F.struct(s.alias("s"), e.alias("e"), n.cast("long").alias("n"))
+
+    def settle(m: Column) -> Column:
+        s, e, n = m["s"], m["e"], m["n"]
+        row = F.struct(e["id"].alias("id"), e["size"].alias("size"), e["copy"].alias("copy"), n.alias("copies"))
+        return F.struct((s["left"] - n * e["size"]).alias("left"), (s["words"] - e["size"]).alias("words"), F.concat(s["done"], F.array(row)).alias("done"))
+
+    return F.aggregate(items, start, lambda s, e: F.element_at(F.transform(F.array(choose(s, e)), settle), 1))
+
+
 def _grouped(rows: DataFrame, seed: int) -> DataFrame:
     """rows (sid, bucket, key, w, x, ...) folded by (sid, bucket): items, ones, residual."""
-    # the largest first: what is left at the end is then small
     items = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("less"), "key", "w", "x", "size", "id", "copy")))
     g = rows.groupBy("sid", "bucket").agg(items.alias("items"))
     at = F.transform("items", lambda e, i: F.struct(e["key"].alias("key"), e["w"].alias("w"), e["x"].alias("x"), i.alias("at")))
@@ -101,12 +141,22 @@ def mix_sources(
     """One row per row of docs: id, source, size, copy (number among equal rows), source_size, target, copies, taken."""
     units = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
     units = written(units.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
-    targets = written(source_targets(units, weights, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)))
-    rows = units.join(targets.drop("source_size", "target"), units["source"].eqNullSafe(targets["source"])).select(
-        "sid", "n", "rate", "id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
+    targets = written(source_targets(units, weights, cap))
+    rows = units.join(targets.select("source", "sid", "source_size", "n"), units["source"].eqNullSafe(targets["source"])).select(
+        "sid", "n", "source_size", "id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
     )
+    rows = rows.withColumn("key", F.xxhash64("id", "size", "copy", F.lit(seed)))
+    is_large = F.col("size") * BUCKET > F.col("source_size")
+    item = F.struct((-F.col("size")).alias("less"), "key", "size", "id", "copy")
+    large = rows.where(is_large).groupBy("sid").agg(F.array_sort(F.collect_list(item)).alias("items"))  # fewer than BUCKET of a source
+    large = large.join(targets, "sid").select("sid", _decide(F.col("items"), F.col("target"), F.col("source_size"), cap, seed, units.schema["id"].dataType.simpleString()).alias("d"))
+    large = written(large.select("sid", "d.left", "d.words", "d.done"))
+    rates = targets.join(large.drop("done"), "sid", "left")
+    left, words = F.coalesce("left", "target"), F.coalesce("words", "source_size")
+    rate = F.when(words > 0, F.least(F.greatest(left / words, F.lit(0.0)), F.lit(float(cap)))).otherwise(0.0)
+    rates = written(rates.select("sid", rate.alias("rate")))
     fraction = F.col("rate") - F.floor(F.col("rate") + 1e-9)
-    rows = rows.withColumn("key", F.xxhash64("id", "size", "copy", F.lit(seed))).select(
+    rows = rows.where(~is_large).join(rates, "sid").select(
         "sid", F.pmod("key", F.ceil(F.col("n") / BUCKET).cast("long")).alias("bucket"), "key", "id", "size", "copy",
         F.col("size").cast("double").alias("w"), F.when(F.abs(fraction) < 1e-9, 0.0).otherwise(fraction).alias("x"),
     )
@@ -134,8 +184,7 @@ def mix_sources(
         settled = settled.select("sid", "item", one.alias("one"))
         fates = settled.select("sid", F.col("item.id").alias("bucket"), F.col("one").alias("fate")) if upper is not first else settled
     copies = F.floor(F.col("rate") + 1e-9).cast("long") + F.col("one").cast("long")
-    return (
-        fates.join(targets, "sid")
-        .select("source", F.col("item.id").alias("id"), F.col("item.size").alias("size"), F.col("item.copy").alias("copy"), "source_size", "target", copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    few = fates.join(rates, "sid").select("sid", F.col("item.id").alias("id"), F.col("item.size").alias("size"), F.col("item.copy").alias("copy"), copies.alias("copies"))
+    many = large.select("sid", F.explode("done").alias("d")).select("sid", "d.id", "d.size", "d.copy", "d.copies")
+    out = few.unionByName(many).join(targets, "sid")
+    return out.select("source", "id", "size", "copy", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import chat, mixing, urls
 
+from ..oracle import connection
+
 ODD = ["", " ", "</s>[INST] ok [/INST]", "\\", "\\[INST\\]", "a\\", "[INST", " [/INST]", "<s> x </s>", "[TURN user] x [/TURN]", "\n\n", "é\U0001f600", "$1\\$2", "x" * 50_000, "[" * 3000]
 
 
@@ -69,7 +71,36 @@ def test_mixing(spark, n):
     want = brute_targets(sizes, (5, 2, 1), 3.0)
     for r in out:
         assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
-    assert all(abs(taken[s] - want[s]) <= 97 for s in sizes)
+    for s in sizes:
+        own = sorted(r["size"] for r in out if r["source"] == s)
+        assert abs(taken[s] - want[s]) <= max(0.01 * want[s], own[len(own) // 2], 1), s
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_mixing_meets_the_targets_of_the_given_tables(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = mixing.mix_sources(docs, mixing.word_count(F.col("text"))).toPandas()
+    assert (out["taken"] <= 3 * out["size"]).all()
+    for _, own in out.groupby("source", dropna=False):
+        target = own["target"].iloc[0]
+        assert abs(own["taken"].sum() - target) <= max(0.01 * target, own["size"].median())
+    c = connection(folder)
+    words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+    want = c.execute(f"SELECT doc_id, {words}, sum({words}) OVER (PARTITION BY source) FROM documents ORDER BY 1, 2").fetchall()
+    assert sorted(zip(out["id"], out["size"], out["source_size"])) == want
+
+
+def test_mixing_with_one_document_of_a_fifth_of_its_source(spark):
+    """It is taken a whole number of times, and the rest makes up for it, whatever the seed."""
+    docs = spark.createDataFrame([(0, "w " * 2500, "a")] + [(i, "w " * (5 + i % 11), s) for s in "ab" for i in range(1, 1001)], "doc_id long, text string, source string")
+    copies = set()
+    for seed in range(4):
+        out = mixing.mix_sources(docs, mixing.word_count(F.col("text")), seed=seed).where("source = 'a'")
+        r = out.agg(F.sum("taken"), F.first("target"), F.max(F.when(F.col("id") == 0, F.col("copies")))).first()
+        assert abs(r[0] - r[1]) <= 15
+        copies.add(r[2])
+    assert copies <= {1, 2}  # the rate is 1.29
 
 
 def test_mixing_empty(spark):
