@@ -137,6 +137,36 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(v.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_mixed_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 3 + i % 3)]) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in rng.normal(0, 3e5, 4)]) for i in range(20)]  # products beyond 2^53
+    rows += [(300 + i, [float(x) for x in rng.normal(0, 3e8, 2)]) for i in range(3)]  # beyond 2^62
+    rows += [(320, [3e5, 0.0]), (340, []), (360, [0.5] * 40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    longest = max(len(x) for _, x in rows)
+    got = sorted(map(tuple, topk.top_k(v, F.col("id") % 20 == 0, k=9, row_block=50).collect()))
+    ends = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = brute_top([(i, x + [0.0] * (longest - len(x))) for i, x in rows], 20, 9)
+    assert got == sorted((q, n, j, ends(s)) for q, n, j, s in want)
+
+
+def evaluated(vectors, every, **blocks):
+    options = dict(id_col="vec_id", vector_col="embedding", scale=64.0, pivots=64, query_block=64, row_block=256) | blocks
+    return topk.candidates(vectors, F.col("id") % every == 0, 5, **options).agg(F.sum("evaluated")).first()[0]
+
+
+def test_top_k_stops_early_where_vectors_have_structure(spark):
+    """Tight clusters: the bounds leave little more than a query's own cluster; without structure they leave all."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (30, 16))
+    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(0, 0.01, 16)]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert evaluated(v, 50) < 0.2 * 60 * 3000
+    got = sorted(map(tuple, topk.top_k(v, F.col("id") % 300 == 0, k=5, query_block=64, row_block=256).collect()))
+    assert got == brute_top(rows, 300, 5)
+
+
 def docs_for_lm(spark, n=300):
     rng = random.Random(4)
     parts = ["the", "ing", "tion", "er", "on", "an", "é"]
