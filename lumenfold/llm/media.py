@@ -4,7 +4,8 @@
 one track and its sample tables, mdat. ``boxes`` walks nested boxes; ``describe`` reads the sample
 tables of every track (stsd, stts, stsc, stsz, stco or co64, stss) and gives codec, duration, the byte
 range of every chunk's samples and of each keyframe, without touching the payload; ``payload`` takes the
-bytes that the ranges name. A keyframe starts every ``KEY_EVERY`` samples.
+bytes that the ranges name, and ``sample_feature`` says how they sound: level, power, peak, changes of sign around the
+level and the most common value. A keyframe starts every ``KEY_EVERY`` samples.
 
 Nulls: a null text is empty (its payload: one sample of zeros). Null ids are kept. Empty table: empty
 result. Repeated rows give equal rows. Other columns are ignored. Rows are handled one by one, so
@@ -148,11 +149,22 @@ def payload(data: bytes, track: dict) -> bytes:
     return b"".join(data[starts[a] : ends[b]] for a, b in zip(lo, hi)) if len(starts) else b""
 
 
+def sample_feature(back: bytes) -> str:
+    """Of unsigned 8-bit samples: mean and mean square, largest, crossings of the mean, and the most common value; in whole numbers."""
+    x = np.frombuffer(back, np.uint8)
+    n = np.bincount(x, minlength=256)
+    values = np.arange(256)
+    total = int((n * values).sum())
+    above = x.astype(np.int64) * len(x) >= total
+    crossings = int((above[1:] != above[:-1]).sum())
+    return f"mean={total // len(x)} power={int((n * values * values).sum()) // len(x)} peak={int(n.nonzero()[0].max())} crossings={crossings} mode={int(n.argmax())}"
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, payload_*, tail_crc32, media_*, codec, duration, key_ranges, feature; with keep_media also the container."""
     schema = (
         "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-        "codec string, duration double, n_keyframes long, feature string" + ", key_ranges array<struct<offset:long,length:long>>, media binary" * keep_media
+        "codec string, duration double, n_keyframes long, feature string, key_ranges array<struct<offset:long,length:long>>" + ", media binary" * keep_media
     )
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -161,13 +173,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         media = pack(padded(raw))
         (track,) = describe(media)
         back, ranges = payload(media, track), key_ranges(track)
-        digest = hashlib.sha256(np.asarray(ranges, ">i8").tobytes()).hexdigest()[:16]
         duration = track["ticks"] / track["timescale"]
-        feature = f"{track['codec']}/{track['timescale']} ticks={track['ticks']} samples={track['n_samples']} keyframes={len(ranges)} ranges={digest}"
+        feature = f"{track['codec']}/{track['timescale']} ticks={track['ticks']} samples={track['n_samples']} keyframes={len(ranges)} {sample_feature(back)}"
         return (
             len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(media), hashlib.sha256(media).hexdigest(),
-            track["codec"], duration, len(ranges), feature,
-        ) + (ranges, media) * keep_media
+            track["codec"], duration, len(ranges), feature, ranges,
+        ) + (media,) * keep_media
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

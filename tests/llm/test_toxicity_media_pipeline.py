@@ -109,6 +109,14 @@ def test_media_of_another_writer():
     assert (track["codec"], track["ticks"], track["keys"].tolist()) == ("avc1", 40, [0, 1, 2])
 
 
+def test_sample_feature():
+    x = [3, 250, 250, 0, 7, 9] * 40
+    mean = sum(x) // len(x)
+    crossings = sum((a * len(x) >= sum(x)) != (b * len(x) >= sum(x)) for a, b in zip(x, x[1:]))
+    assert media.sample_feature(bytes(x)) == f"mean={mean} power={sum(v * v for v in x) // len(x)} peak=250 crossings={crossings} mode=250"
+    assert media.sample_feature(bytes(64)) == "mean=0 power=0 peak=0 crossings=0 mode=0"
+
+
 @pytest.mark.parametrize("bad", [b"abc", struct.pack(">I4s", 4, b"moov"), struct.pack(">I4s", 99, b"mdat")])
 def test_malformed_media(bad):
     with pytest.raises(ValueError):
