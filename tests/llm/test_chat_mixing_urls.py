@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, mixing, urls
+from lumenfold.llm import chat, entry, mixing, urls
 
 from ..oracle import connection
 
@@ -157,10 +157,34 @@ def test_mined_rules_equal_brute_force(spark):
     for items in (("a",), ("b",), ("c",), ("a", "b"), ("b", "c")):
         hit = [v for t, v in rows if set(items) <= set(t)]
         n = hit.count("block")
-        if n / len(rows) >= 0.05 and n / len(hit) >= 0.5:
+        if n / len(rows) >= 0.05 and n / len(hit) >= 0.5 and not any(set(w) < set(items) for w in want):
             want[items] = (round(n / len(hit), 9), round(n / len(rows), 9))
+    assert ("b",) in want and ("a", "b") not in want  # covered
     assert got == want
 
 
-def test_digest_of_op1(spark):
-    assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+def test_tokens_are_whole_and_all_there(spark):
+    long = "p" * 100
+    given = f"HTTP://a.b.Example.org/x/{long}1/{long}2.html?k={long}&l&k=2#f"
+    host, path = urls.url_parts(F.col("u"))
+    got = spark.createDataFrame([(given,), (None,), ("http:///x",)], "u string").select(urls.url_tokens(F.col("u"), host, path).alias("t")).collect()
+    assert set(got[0]["t"]) == {
+        "scheme=HTTP", "top=org", "name=example.org", "sub=a", "sub=b", "dir=x", f"dir={long}1", f"dir={long}2.html", "ending=.html", "shape=mixed", "key=k", "key=l", "fragment=yes",
+    }
+    assert got[1]["t"] == got[2]["t"] == []
+
+
+def test_equally_long_rules(spark):
+    host, path = urls.url_parts(F.lit("http://a.example.org/12/x"))
+    rules = [("example.org", "/12", "allow"), ("a.example.org", "/", "block"), ("example.org", "/12/", "allow")]
+    pick = lambda *r: spark.range(1).select(urls.fixed_rule(host, path, [rules[i] for i in r]).alias("r")).first()["r"]["verdict"]
+    assert pick(0, 1) == pick(1, 0) == "block" and pick(1, 2) == "allow"
+
+
+def test_digests_of_op1(spark, tmp_path):
+    turns_of(spark, [(1, 0, "user", "a", ""), (1, 1, "assistant", "x </s>", ""), (1, 2, None, None, "")]).drop("formatted").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in entry.op1_format_chat(spark, str(tmp_path)).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    own = "</s>[INST] ok [/INST]"
+    assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_sha256"], got[1]["loss_chars"]) == (3, digest("user\na\nassistant\nx </s>\n\n\n"), digest("x </s>"), 6)
+    assert (got[-7]["turns_sha256"], got[-7]["loss_sha256"]) == (digest(f"user\n{own}\nassistant\n{own}\n"), digest(own))
