@@ -59,15 +59,13 @@ def products(c: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c, q = c[:, :w], q[:, :w]
     most = [max(abs(int(a.max(initial=0))), abs(int(a.min(initial=0)))) for a in (c, q)]
     size = max(1, w) * most[0] * most[1]
-    kind = np.float64 if size < 1 << 53 else np.int64 if size < 1 << 62 else object
+    kind = np.float32 if size < 1 << 24 else np.float64 if size < 1 << 53 else np.int64 if size < 1 << 62 else object
     return c.astype(kind), q.astype(kind)
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties by id."""
-    if score.dtype == object:
-        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
-    return np.lexsort((ids, -score))[:k]
+def largest(x: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, the least of them first."""
+    return np.sort(x, axis=1)[:, -k:] if x.dtype == object else np.partition(x, x.shape[1] - k, axis=1)[:, -k:]
 
 
 class Pivots:
@@ -108,36 +106,48 @@ class Pivots:
         return cls([points[i] for i in taken], [ids[i] for i in taken], top)
 
 
-def search(frame: pd.DataFrame, queries: pd.DataFrame, pivots: Pivots, k: int) -> tuple[pd.DataFrame, int]:
-    """The k best candidates of one block for each query of one block, and how many were evaluated."""
-    whole_c, whole_q = stacked(frame["v"]), stacked(queries["v"])
-    c, q = products(whole_c, whole_q)
+def search(frame: pd.DataFrame, queries: pd.DataFrame, pivots: Pivots, k: int, slab: int = 1 << 21) -> tuple[pd.DataFrame, int]:
+    """The k best candidates of one block for each query of one block, and how many were evaluated.
+
+    Queries go side by side, in slabs: all take their next batch of candidates, each in the order of its own bounds,
+    until the next bound is beyond its radius.
+    """
+    c, q = products(stacked(frame["v"]), stacked(queries["v"]))
+    least = np.iinfo(np.int64).min if c.dtype == np.int64 else -np.inf
     ids, q_ids, rows = frame["id"].to_numpy(), queries["id"].to_numpy(), queries["row"].to_numpy()
     columns = np.ascontiguousarray(np.stack(frame["far"].to_numpy()).T)
     to = np.stack(queries["to"].to_numpy())
-    q_norm = (whole_q.astype(np.float64) ** 2).sum(1)
-    out, evaluated = [], 0
-    for i in range(len(q)):
-        bound = np.abs(columns[0] - to[i, 0])
+    q_norm = (stacked(queries["v"]).astype(np.float64) ** 2).sum(1)
+    out, evaluated, width = [], 0, max(1, slab // max(1, len(ids)))
+    for lo in range(0, len(q), width):
+        own = slice(lo, lo + width)
+        n = len(q[own])
+        bound = np.abs(columns[0] - to[own, :1])
         for p in range(1, len(columns)):
-            np.maximum(bound, np.abs(columns[p] - to[i, p]), out=bound)
-        order = np.argsort(bound, kind="stable")
-        sorted_bound = bound[order]
-        best_score, best_id = np.empty(0, c.dtype), np.empty(0, np.int64)
-        radius, at, step = float(queries["radius"].iloc[i]), 0, max(4 * k, 256)
-        while at < len(order) and sorted_bound[at] <= radius + pivots.slack:
-            pick = order[at : at + step]
-            evaluated += len(pick)
-            pick = pick[ids[pick] != q_ids[i]]
-            score, own = np.concatenate([best_score, c[pick] @ q[i]]), np.concatenate([best_id, ids[pick]])
-            first = best_of(score, own, k)
-            best_score, best_id = score[first], own[first]
-            if len(first) == k:
-                radius = min(radius, float(np.sqrt(max(0.0, q_norm[i] + pivots.top - 2 * float(best_score[-1])))))
+            np.maximum(bound, np.abs(columns[p] - to[own, p : p + 1]), out=bound)
+        order = np.argsort(bound, axis=1)
+        bound = np.take_along_axis(bound, order, axis=1)
+        scores = np.full(bound.shape, least, c.dtype)  # in the order of bounds; what isn't evaluated stays least
+        best = np.full((n, k), least, c.dtype)
+        radius = queries["radius"].to_numpy()[own] + pivots.slack
+        at, step = 0, max(4 * k, 256)
+        while at < len(ids) and len(live := np.flatnonzero(bound[:, at] <= radius)):
+            pick = order[live, at : at + step]
+            evaluated += pick.size
+            found = np.matmul(c[pick], q[own][live][:, :, None])[:, :, 0]
+            found[ids[pick] == q_ids[own][live][:, None]] = least
+            scores[live, at : at + step] = found
+            best[live] = largest(np.concatenate([best[live], found], axis=1), k)
+            kth = best[live].min(axis=1).astype(np.float64)
+            nearer = np.sqrt(np.maximum(0.0, q_norm[own][live] + pivots.top - 2 * kth)) + pivots.slack
+            radius[live] = np.where(best[live].min(axis=1) > least, np.minimum(radius[live], nearer), radius[live])
             at, step = at + step, step * 2
-        score = np.array([min(max(int(s), ENDS[0]), ENDS[1]) for s in best_score], np.int64)
-        out.append(pd.DataFrame({"query_row": rows[i], "query_id": q_ids[i], "vec_id": best_id, "score": score}))
-    return pd.concat(out), evaluated
+        for i in range(n):
+            some = np.flatnonzero((scores[i] >= best[i].min()) & (scores[i] > least))
+            names, score = ids[order[i, some]], [int(s) for s in scores[i, some]]
+            for j in sorted(range(len(some)), key=lambda j: (-score[j], names[j]))[:k]:
+                out.append((rows[lo + i], q_ids[lo + i], names[j], min(max(score[j], ENDS[0]), ENDS[1])))
+    return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"], dtype="int64"), evaluated
 
 
 def measure(v: DataFrame, pivots: Pivots) -> DataFrame:
