@@ -1,13 +1,15 @@
 r"""Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word (white space split, lower case, outer punctuation removed; one of over ``LONG`` characters, as in
-scripts without spaces, is a row of pieces, each a word of the window, that share out its n-grams) is the sum of the vectors of
-its character n-grams over a typical number of them, which share hashed rows of one table, so an unseen misspelling still has most
-of the vectors of the word it came from. The average over a window of ``WINDOW`` words goes through a
-linear softmax with two outputs. The table and the softmax are trained jointly, in numpy: a document's
-label is put on its window that looks most toxic so far (for the first epochs on a random one as well),
-since a few words make a long document toxic. A document's score is the largest over its windows, which
-overlap by half and cover the whole text.
+scripts without spaces, is a row of pieces, each a word of the window, that share out its n-grams) is the
+average of the vectors of its character n-grams, which share hashed rows of one table, so an unseen
+misspelling still has most of the vectors of the word it came from. The average over a window of ``WINDOW``
+words goes through a linear softmax with two outputs. The table and the softmax start at random and are
+trained jointly, in numpy: in the first epochs on random windows, then a document's label is put on its
+window that looks most toxic so far (and, if it is clean, on a random one as well), since a few words make a
+long document toxic. A document's score is the largest over its windows, which overlap by half and cover the
+whole text. Only rows whose n-grams stand in some texts, and in more or fewer toxic ones than chance explains
+(``SURE`` deviations), are trained; the others stay 0, so that single texts can't be learnt by heart.
 
 ``fit`` learns from at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean rows (documented bounds: the rows
 smallest by a hash of the id), in one task; the model is one row. Scoring is linear in a word's vector, so
@@ -15,7 +17,8 @@ each word costs one number, kept in a bounded cache.
 
 Nulls: a null text is empty; a text without words scores what the bias alone gives, under 0.5. Null ids
 are kept; null labels aren't learnt from. No labelled rows, or of one class only: all scores are 0 or 1. Empty table: empty result.
-Repeated rows score alike; an id with several labels is learnt from as toxic if one of them is. Other
+Repeated rows score alike; an id with several labels is learnt from as toxic if one of them is, one with
+several texts from the first of them by code points. Other
 columns are ignored.
 """
 
@@ -32,12 +35,12 @@ from pyspark.sql.functions import pandas_udf
 from .common import crc_bucket, slices
 
 BITS = 18
-WINDOW, BUCKETS, DIM, EPOCHS, MIN_DOCS, DECAY, RATE, CACHE = 50, 1 << BITS, 8, 12, 4, 0.0, 0.05, 200_000
-MAX_TOXIC, MAX_CLEAN = 1200, 1800
-SCALING, SURE, TYPICAL = 5, 3.0, 20.0
-GRAMS = (3, 4, 5, 6, 7)
-LONG = 40
-STEP = LONG - max(GRAMS) + 1  # where the next piece of a long word starts
+WINDOW, BUCKETS, DIM, EPOCHS, WARM, MIN_DOCS, RATE, CACHE = 50, 1 << BITS, 8, 10, 4, 4, 0.3, 200_000
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
+SURE = 2.5
+GRAMS = (2, 3, 4, 5, 6, 7)
+LONG, SPAN = 40, 16  # characters from which a word is long, and of its pieces, which so weigh about as much as a word
+STEP = SPAN - max(GRAMS) + 1  # where the next piece of a long word starts
 Piece = tuple[str, bool]  # of a long word, and whether it is the last
 EDGES = ".,;:!?\"'()[]{}<>|*%$&#@-_…«»“”‘’"
 
@@ -47,8 +50,8 @@ def pieces(word: str) -> list[str | Piece]:
     if len(word) <= LONG or len(bare := word.strip(EDGES)) <= LONG:
         return [word]
     marked = f"<{bare}>"
-    starts = range(0, len(marked) - LONG + STEP, STEP)
-    return [(marked[lo : lo + LONG], lo == starts[-1]) for lo in starts]
+    starts = range(0, len(marked) - SPAN + STEP, STEP)
+    return [(marked[lo : lo + SPAN], lo == starts[-1]) for lo in starts]
 
 
 def words_of(text: str) -> list[str | Piece]:
@@ -66,7 +69,7 @@ def ngrams(words: list[str | Piece]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
-    shared = np.repeat(np.fromiter((LONG - STEP if isinstance(w, tuple) and not w[1] else 0 for w in words), np.int64, len(words)), sizes)
+    shared = np.repeat(np.fromiter((SPAN - STEP if isinstance(w, tuple) and not w[1] else 0 for w in words), np.int64, len(words)), sizes)
     owners, rows = [], []
     hashed = np.zeros(len(codes), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -103,7 +106,7 @@ class Model:
 
     def words(self, words: list[str | Piece]) -> np.ndarray:
         owner, rows = ngrams(words)
-        return np.bincount(owner, self.v[rows], len(words)) / TYPICAL
+        return np.bincount(owner, self.v[rows], len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
 
     def scores(self, texts: list[str]) -> list[float]:
         """A batch at a time, so that words not seen before are worked out together."""
@@ -121,83 +124,85 @@ class Model:
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, dim: int = DIM, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, decay: float = DECAY, rate: float = RATE, seed: int = 5) -> Model:
-    """Joint training of the table E (rows x dim) and the softmax W (dim x 2), b, by gradient descent with decay.
+def uneven_rows(docs: list[np.ndarray], y: np.ndarray, grams: list[np.ndarray], min_docs: int, sure: float) -> np.ndarray:
+    """The rows of the table that are trained. Equal texts count once."""
+    seen, n = np.zeros((2, BUCKETS)), [0, 0]
+    for words, toxic in {(tuple(d.tolist()), t) for d, t in zip(docs, y.tolist())}:
+        seen[toxic][np.unique(np.concatenate([grams[w] for w in words]))] += 1
+        n[toxic] += 1
+    share = seen.sum(0) / sum(n)
+    off = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[1] + 1 / n[0]))
+    return np.flatnonzero((seen.sum(0) >= min_docs) & (np.abs(off) >= sure))
 
-    Rows whose n-grams stand in fewer than min_docs texts stay 0: what is seen once can't be told from chance.
-    """
+
+def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, dim: int = DIM, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, sure: float = SURE, rate: float = RATE, seed: int = 5) -> Model:
+    """Joint training of the table E (rows x dim) and the softmax W (dim x 2), b, by gradient descent."""
     rng = np.random.default_rng(seed)
     number: dict[str | Piece, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
     some = [i for i, d in enumerate(docs) if len(d)]
-    y = np.asarray(labels).astype(int)
-    if not some or not 0 < y[some].sum() < len(some):
-        return Model(np.zeros(BUCKETS), 500.0 if some and y[some].all() else -500.0, window)
-    vocabulary = list(number)
-    parts = [ngrams(vocabulary[lo : lo + 20_000]) for lo in range(0, len(vocabulary), 20_000)]  # a block of words at a time
-    owner = np.concatenate([o + np.int32(lo) for (o, _), lo in zip(parts, range(0, len(vocabulary), 20_000))])
+    docs, y = [docs[i] for i in some], np.asarray(labels).astype(int)[some]
+    if not some or not 0 < y.sum() < len(y):
+        return Model(np.zeros(BUCKETS), 500.0 if some and y.all() else -500.0, window)
+    vocabulary, block = list(number), 20_000  # a block of words at a time
+    parts = [ngrams(vocabulary[lo : lo + block]) for lo in range(0, len(vocabulary), block)]
+    owner = np.concatenate([o + np.int32(lo) for (o, _), lo in zip(parts, range(0, len(vocabulary), block))])
     flat = np.concatenate([f for _, f in parts])
-    del parts, vocabulary
-    lengths = np.bincount(owner, minlength=len(number))
+    del parts, vocabulary, number
+    whole = np.bincount(owner)  # n-grams of each word
+    used = uneven_rows(docs, y, np.split(flat, np.cumsum(whole)[:-1]), min_docs, sure)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    kept = place[flat] >= 0
+    owner, flat = owner[kept], place[flat[kept]]
+    lengths = np.bincount(owner, minlength=len(whole))  # trained n-grams of each word
     starts = np.cumsum(lengths) - lengths
-    grams = np.split(flat, starts[1:])
-    seen, toxic_seen, n_toxic, n_clean = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32), 0, 0
-    for words, toxic in {tuple(docs[i].tolist()): y[i] for i in some}.items():  # equal texts count once
-        rows = np.unique(np.concatenate([grams[w] for w in words]))
-        seen[rows] += 1
-        toxic_seen[rows] += toxic
-        n_toxic, n_clean = n_toxic + toxic, n_clean + 1 - toxic
-    used = seen >= min_docs
-    # a row starts, along its first coordinate, from how surely its n-grams stand in more toxic texts than clean ones
-    a1, n1, n0 = toxic_seen / max(1, n_toxic), max(1, n_toxic), max(1, n_clean)
-    a0, share_of = (seen - toxic_seen) / n0, seen / (n1 + n0)
-    surely = (a1 - a0) / np.sqrt(np.maximum(share_of * (1 - share_of), 1e-9) * (1 / n1 + 1 / n0))
-    E = rng.normal(0, 0.01, (BUCKETS, dim)) * used[:, None]
-    E[:, 0] += np.clip(surely - SURE, 0, 20) * used
-    W, b = rng.normal(0, 0.01, (dim, 2)), np.zeros(2)
-    W[0] += (-1.0, 1.0)
-    gE, gW, gb = np.full(BUCKETS, 1e-4), np.full(2, 1e-4), np.full(2, 1e-4)
-    weight = np.where(y == 1, 0.5 / y[some].sum(), 0.5 / (len(some) - y[some].sum())) * len(some)
+    E, W, b = rng.normal(0, 0.05, (len(used), dim)), rng.normal(0, 0.05, (dim, 2)), np.zeros(2)
+    gE, gW, gb = np.full(len(used), 1e-8), np.full(2, 1e-8), np.full(2, 1e-8)
+    weight = 0.5 * len(y) / np.where(y == 1, y.sum(), len(y) - y.sum())
+
+    def random_window(i: int) -> tuple[int, np.ndarray]:
+        at = rng.integers(max(1, len(docs[i]) - window + 1))
+        return i, docs[i][at : at + window]
+
     for epoch in range(epochs):
-        per_word = np.add.reduceat((E @ (W[:, 1] - W[:, 0])).astype(np.float32)[flat], starts) / TYPICAL
+        per_word = np.bincount(owner, (E @ (W[:, 1] - W[:, 0]))[flat], len(whole)) / whole
         picks = []
-        for i in some:
-            means, at = window_sums(per_word[docs[i]], window)
-            picks.append((i, docs[i][at[means.argmax()] :][:window]))
-            if y[i] == 0 and len(docs[i]) > window:  # clean texts are clean anywhere
-                s = rng.integers(len(docs[i]) - window + 1)
-                picks.append((i, docs[i][s : s + window]))
+        for i, d in enumerate(docs):
+            if epoch < WARM:
+                picks += [random_window(i), random_window(i)]
+                continue
+            means, at = window_sums(per_word[d], window)
+            picks.append((i, d[at[means.argmax()] :][:window]))
+            if y[i] == 0 and len(d) > window:  # clean texts are clean anywhere
+                picks.append(random_window(i))
         order = rng.permutation(len(picks))
         for lo in range(0, len(order), 64):
-            who = np.array([picks[j][0] for j in order[lo : lo + 64]])
-            words = [picks[j][1] for j in order[lo : lo + 64]]
-            sizes = np.array([len(w) for w in words])
-            flat_words = np.concatenate(words)
-            n = lengths[flat_words]
-            at = np.repeat(starts[flat_words] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            idx = flat[at]
-            share = np.repeat(1 / (TYPICAL * np.repeat(sizes, sizes)), n)
-            ends = np.cumsum(np.add.reduceat(n, np.cumsum(sizes) - sizes))
-            h = np.add.reduceat(E[idx] * share[:, None], np.r_[0, ends[:-1]])
+            batch = [picks[j] for j in order[lo : lo + 64]]
+            who, words = np.array([i for i, _ in batch]), np.concatenate([w for _, w in batch])
+            sizes = np.array([len(w) for _, w in batch])
+            n = lengths[words]
+            rows = flat[np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at = np.repeat(np.repeat(np.arange(len(batch)), sizes), n)
+            share = 1 / (np.repeat(whole[words], n) * sizes[at])
+            h = np.stack([np.bincount(at, E[rows, k] * share, len(batch)) for k in range(dim)], 1)
             z = h @ W + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(who)), y[who]] -= 1
             p *= weight[who][:, None]
             dW, db, dh = h.T @ p, p.sum(0), p @ W.T
-            step = np.repeat(dh, np.diff(np.r_[0, ends]), axis=0) * share[:, None]
-            rows, inverse = np.unique(idx, return_inverse=True)
-            dE = np.stack([np.bincount(inverse, step[:, k], len(rows)) for k in range(dim)], 1) + decay * E[rows]
-            dE *= used[rows][:, None]
-            gE[rows] += (dE * dE).mean(1)
+            touched, inverse = np.unique(rows, return_inverse=True)
+            dE = np.stack([np.bincount(inverse, dh[at, k] * share, len(touched)) for k in range(dim)], 1)
+            gE[touched] += (dE * dE).mean(1)
             gW += (dW * dW).mean(0)
             gb += db * db
-            if epoch >= SCALING:  # the first epochs only find the scale
-                E[rows] -= rate * dE / np.sqrt(gE[rows])[:, None]
+            E[touched] -= rate * dE / np.sqrt(gE[touched])[:, None]
             W -= 0.1 * dW / np.sqrt(gW)
             b -= 0.1 * db / np.sqrt(gb)
-    d = W[:, 1] - W[:, 0]
-    return Model(E @ d, float(b[1] - b[0]), window)
+    v = np.zeros(BUCKETS)
+    v[used] = E @ (W[:, 1] - W[:, 0])
+    return Model(v, float(b[1] - b[0]), window)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
@@ -207,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     take = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     sample = take[0].unionByName(take[1])  # bounded: at most max_toxic + max_clean rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(sample), "id").dropDuplicates(["id", "text"]).repartition(1)
+    # one text for each id, so that the number of rows is bounded as well
+    texts = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).repartition(1)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"id": [], "text": [], "toxic": []}), *frames]).sort_values(["id", "text"])

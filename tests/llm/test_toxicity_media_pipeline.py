@@ -75,9 +75,32 @@ def test_toxicity_reads_words_to_their_end(spark):
     assert model.scores([clean])[0] < 0.5 < model.scores([f"{clean}_{bad}_{clean}"])[0]
 
 
-def test_labels_are_no_input(spark):
-    a = entry.op2_toxicity(spark, FOLDER)
-    assert a.columns == ["doc_id", "held_out", "score", "predicted"] and a.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+def test_held_out_labels_are_no_input(spark):
+    docs, labels = labelled(spark)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
+    assert np.array_equal(a.v, b.v) and a.bias == b.bias
+
+
+def test_one_id_with_many_texts_is_learnt_from_once(spark):
+    docs, labels = labelled(spark, 200)
+    many = docs.unionByName(spark.createDataFrame([(1, f"~{i} " * 9, "") for i in range(500)], docs.schema))  # after its own text
+    a, b = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    assert np.array_equal(a.v, b.v) and a.bias == b.bias
+
+
+def test_accuracy_on_the_given_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    scored = entry.op2_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    right, found, toxic = scored.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert right / found > 0.95 and right / toxic > 0.85
+
+
+def test_scores_of_the_query(spark):
+    out = entry.op2_toxicity(spark, FOLDER)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert out.where("score < 0 OR score > 1 OR score IS NULL OR predicted <> CAST(score >= 0.5 AS INT)").count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 64 * 1024, 64 * 1024 + 1, 200_000])
