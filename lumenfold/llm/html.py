@@ -3,32 +3,37 @@
 A page is scanned once into blocks of text (what stands between block tags), each with its open tags, their
 class, id and role words, its length and the share of it inside links. A classifier turns these into two
 costs, of calling the block content and of calling it boilerplate: the capacities of its edges to the sink
-and from the source. Smoothness edges tie neighbours in page order and blocks that share a deep ancestor (DOM
+and from the source. Smoothness edges tie neighbours in page order and blocks that share a container (DOM
 proximity). The minimum cut by maximum flow separates content from boilerplate; what can never be content
 (script, style, head, templates, form controls) isn't a block at all.
 
-The classifier is logistic with two sets of weights: ``PRIOR``, what tags and names are meant for, and
-weights learnt from the pages themselves: pages that mark their article (or main) element are labelled rows,
-and a word of a class, id or role seen inside or outside of it gets its log odds. So a page that marks
-nothing is judged by the names that other pages use. ``fit`` counts these in Spark over all pages.
+The classifier adds log odds from three sides. ``features`` is what a block and its place look like without
+any name: lengths, links, sentences, position, its neighbours, the share of the page that its container
+holds; their weights are a logistic regression. Words of class, id and role have learnt log odds. Both are
+learnt from the pages that mark their article element, which is hidden from them: ``fit`` counts names
+over all of these (hashed to ``NAMES_HELD`` numbers, so that no name is left out), and fits the weights and
+the strengths of the smoothness edges on at most ``FITTED`` of them, the first by a hash of the page. So a
+page that marks nothing is judged by its looks, by the names that other pages use, and by what stands around a
+block. What elements and some words are meant for (``TAG_PRIOR``, ``WORD_PRIOR``) is the third side.
 
 White space inside a block becomes one space; character references are decoded once; blocks are joined by a
 line feed. A br is white space inside its block. Nulls: null html is empty, as is a page without content
 blocks; null ids and urls are kept. Malformed markup: unclosed tags end with their parent, head at the first thing
 that can't stand in it, form controls at the next block tag, stray end tags
 are ignored, a reference without a semicolon is decoded as browsers do. Empty table: empty result. Repeated
-rows are treated alike. Other columns are ignored.
+rows are treated alike. A very long page is one row; scan, features and flow are about linear in its blocks. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as references
-import math
 import re
-from collections import deque
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +66,11 @@ WORD_PRIOR = {
 WORD_SPLIT = re.compile(r"[^a-z]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-LAMBDA_NEXT, LAMBDA_DOM = 0.6, 0.5
+NAMES_HELD, FITTED = 1 << 16, 600
+PRIOR_SHARE = 0.6  # of the lists above, so that they don't drown what is learnt
+#: Kinds of smoothness edges: neighbours in one container, with equal or other tags; other neighbours; in one container, with others between.
+LIKE, BESIDE, NEXT, APART = range(4)
+LAMBDAS = (0.8, 0.6, 0.3, 0.5)  # where there is nothing to learn from
 
 
 @dataclass
@@ -202,22 +211,94 @@ def wrappers(blocks: list[Block]) -> set[int]:
     return found | {i for i, n in held.items() if 2 * n > sum(sizes)}
 
 
-def log_odds(block: Block, text: str, learnt: dict[str, float], around: set[int] = frozenset()) -> float:
-    """Nats for content over boilerplate. around: the forms that are wrappers."""
-    z = -0.5 + min(1.5, len(text) / 120)
-    share = block.linked / max(1, len(text))
-    z -= 4.0 * share if share > 0.5 else 0.0
-    tags = {t for i, t in block.tags if i not in around}
-    z += sum(TAG_PRIOR.get(t, 0.0) for t in tags if not (t == "header" and "article" in tags))
-    z += sum(WORD_PRIOR.get(w, learnt.get(w, 0.0)) for w in block.words)
-    if tags & {"li", "td", "th", "dt", "dd"} and not tags & {"article", "main"}:
-        z -= 0.5
-    return z
+def place(block: Block) -> tuple[str, int]:
+    """The tag of the block's own element, and the number of the container around that."""
+    around = [(i, t) for i, t in block.tags if t in BLOCK]
+    own = around[-1][1] if around else ""
+    return own, around[-2][0] if len(around) > 1 else 0
+
+
+def features(blocks: list[Block], texts: list[str], bare: bool = False) -> np.ndarray:
+    """What blocks look like, without names and without elements that mark content or boilerplate: a row each. bare: as if of div elements alone."""
+    n = len(blocks)
+    own, container = zip(*map(place, blocks))
+    size = np.array([len(t) for t in texts], float)
+    linked = np.minimum(1.0, np.array([b.linked for b in blocks]) / np.maximum(1, size))
+    ends = np.array([t.count(".") + t.count("!") + t.count("?") + t.count("\u3002") for t in texts]) / size
+    words = np.array([t.count(" ") + 1 for t in texts], float)
+    _, which = np.unique(np.array(container), return_inverse=True)
+    held, members = np.bincount(which, size)[which], np.bincount(which)[which]
+    log = np.log1p(size)
+    before, after = np.r_[0.0, log[:-1]], np.r_[log[1:], 0.0]
+    links_around = np.r_[1.0, linked[:-1]] + np.r_[linked[1:], 1.0]
+    at = (np.arange(n) + 0.5) / n
+    is_in = lambda *tags: np.array([t in tags and not bare for t in own], float)
+    return np.column_stack([
+        np.ones(n), log, linked, 100 * ends, size / words, before, after, links_around, at, at * at,
+        held / size.sum(), np.log1p(members), np.log1p(held), linked * (words < 8),
+        is_in("p", "blockquote", "pre"), is_in("h1", "h2", "h3", "h4", "h5", "h6"), is_in("li", "dt", "dd"), is_in("td", "th"),
+    ])
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Smoothness edges: two blocks and a kind."""
+    out = []
+    own, container = zip(*map(place, blocks))
+    last: dict[int, int] = {}  # element -> its last block so far
+    for i, b in enumerate(blocks):
+        if i:
+            out.append((i - 1, i, NEXT if container[i] != container[i - 1] else LIKE if own[i] == own[i - 1] else BESIDE))
+        for element, tag in reversed(b.tags):  # the block before in the nearest common container
+            if element in last and tag not in ("html", "body"):
+                if last[element] < i - 1:
+                    out.append((last[element], i, APART))
+                break
+        for element, _ in b.tags:
+            last[element] = i
+    return out
+
+
+def held_name(word: str) -> int:
+    return zlib.crc32(word.encode()) % NAMES_HELD
+
+
+@dataclass
+class Model:
+    """names: log odds by held_name; weights: of features; lambdas: of the kinds of edges."""
+
+    names: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    lambdas: tuple[float, ...] = LAMBDAS
+
+    def looks(self, blocks: list[Block], texts: list[str]) -> np.ndarray:
+        if self.weights is not None:
+            return np.clip(features(blocks, texts) @ self.weights, -4, 4)
+        size = np.array([len(t) for t in texts], float)
+        share = np.array([b.linked for b in blocks]) / np.maximum(1, size)
+        return np.minimum(1.5, size / 120) - 0.5 - np.where(share > 0.5, 4.0 * share, 0.0)
+
+    def log_odds(self, blocks: list[Block], texts: list[str]) -> np.ndarray:
+        """Nats for content over boilerplate."""
+        around = wrappers(blocks)
+        given = np.empty(len(blocks))
+        for k, b in enumerate(blocks):
+            tags = {t for i, t in b.tags if i not in around}
+            meant = sum(TAG_PRIOR.get(t, 0.0) for t in tags if not (t == "header" and "article" in tags))
+            meant += sum(WORD_PRIOR.get(w, 0.0) for w in b.words)
+            given[k] = PRIOR_SHARE * meant
+            if self.names is not None and b.words:
+                given[k] += float(np.clip(sum(self.names[held_name(w)] for w in b.words), -4, 4))
+        return np.clip(self.looks(blocks, texts) + given, -20, 20)
+
+    def labels(self, blocks: list[Block], texts: list[str]) -> list[bool]:
+        """Which blocks are content."""
+        z = self.log_odds(blocks, texts).tolist()
+        return min_cut([max(0.0, x) for x in z], [max(0.0, -x) for x in z], [(a, b, self.lambdas[kind]) for a, b, kind in edges_of(blocks)])
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay on the source's side of a minimum cut; the rest of the capacities is symmetric. Shortest augmenting paths."""
-    n = len(source)
+    """Which nodes stay on the source's side of a minimum cut; the rest of the capacities is symmetric. Blocking flows over level graphs."""
+    n, tiny = len(source), 1e-9
     # flow through one node at once: what is left is an excess or a deficit
     excess = [a - b for a, b in zip(source, sink)]
     cap: list[dict[int, float]] = [{} for _ in range(n)]
@@ -225,89 +306,137 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
         cap[a][b] = cap[a].get(b, 0.0) + c
         cap[b][a] = cap[b].get(a, 0.0) + c
     while True:
-        before = {i: -1 for i in range(n) if excess[i] > 1e-9}
-        queue, end = deque(before), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, c in cap[i].items():
-                if c > 1e-9 and j not in before:
-                    before[j] = i
-                    if excess[j] < -1e-9:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path, j = [], end
-        while before[j] >= 0:
-            path.append((before[j], j))
-            j = before[j]
-        push = min(excess[j], -excess[end], *(cap[a][b] for a, b in path))
-        excess[j] -= push
-        excess[end] += push
-        for a, b in path:
-            cap[a][b] -= push
-            cap[b][a] += push
-
-
-def extract(page: str, learnt: dict[str, float]) -> str:
-    blocks = [(b, t) for b in blocks_of(page) if (t := clean(b))]
-    if not blocks:
-        return ""
-    around = wrappers([b for b, _ in blocks])
-    z = [max(-20.0, min(20.0, log_odds(b, t, learnt, around))) for b, t in blocks]
-    edges = []
-    last: dict[int, int] = {}  # element -> its last block so far
-    for i, (b, _) in enumerate(blocks):
-        if i:
-            shared = sum(x == y for x, y in zip(b.tags, blocks[i - 1][0].tags))
-            deep = max(len(b.tags), len(blocks[i - 1][0].tags), 1)
-            edges.append((i - 1, i, LAMBDA_NEXT * shared / deep))
-        for element, tag in reversed(b.tags):  # the block before in the nearest common container
-            if element in last and tag not in ("html", "body"):
-                edges.append((last[element], i, LAMBDA_DOM))
-                break
-        for element, _ in b.tags:
-            last[element] = i
-    content = min_cut([max(0.0, x) for x in z], [max(0.0, -x) for x in z], edges)
-    return "\n".join(t for (_, t), keep in zip(blocks, content) if keep)
+        level = [-1] * n
+        front = [i for i in range(n) if excess[i] > tiny]
+        for i in front:
+            level[i] = 0
+        starts, reached, depth = front, False, 0
+        while front and not reached:
+            depth += 1
+            after = []
+            for i in front:
+                for j, c in cap[i].items():
+                    if c > tiny and level[j] < 0:
+                        level[j] = depth
+                        after.append(j)
+                        reached = reached or excess[j] < -tiny
+            front = after
+        if not reached:
+            return [x >= 0 for x in level]
+        rest = [None if x < 0 else iter([j for j in cap[i] if level[j] == x + 1]) for i, x in enumerate(level)]
+        head: list[int | None] = [next(it, None) if it else None for it in rest]
+        for start in starts:
+            path = [start]
+            while path and excess[start] > tiny:
+                i = path[-1]
+                if excess[i] < -tiny:
+                    push = min(excess[start], -excess[i], *(cap[a][b] for a, b in zip(path, path[1:])))
+                    excess[start] -= push
+                    excess[i] += push
+                    for a, b in zip(path, path[1:]):
+                        cap[a][b] -= push
+                        cap[b][a] += push
+                    path = path[:1]
+                elif head[i] is None:
+                    path.pop()
+                    if path:
+                        head[path[-1]] = next(rest[path[-1]], None)
+                elif cap[i][head[i]] > tiny:
+                    path.append(head[i])
+                else:
+                    head[i] = next(rest[i], None)
+
+
+def read_blocks(page: str) -> tuple[list[Block], list[str]]:
+    pairs = [(b, t) for b in blocks_of(page) if (t := clean(b))]
+    return [b for b, _ in pairs], [t for _, t in pairs]
+
+
+def extract(page: str, model: Model) -> str:
+    blocks, texts = read_blocks(page)
+    return "\n".join(t for t, keep in zip(texts, model.labels(blocks, texts)) if keep) if blocks else ""
+
+
+def inside(block: Block) -> bool:
+    return any(t == "article" for _, t in block.tags)
+
+
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression by Newton's steps; the ridge is on standardised features."""
+    mean, dev = x.mean(0), x.std(0)
+    keep = dev > 1e-9
+    z = np.column_stack([np.ones(len(x)), (x[:, keep] - mean[keep]) / dev[keep]])
+    pull = np.diag(np.r_[1e-6, np.full(keep.sum(), ridge)])
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull, z.T @ (y - p) - pull @ w)
+    out = np.zeros(x.shape[1])
+    out[keep] = w[1:] / dev[keep]
+    out[0] = w[0] - (out[keep] * mean[keep]).sum()  # the first feature is 1
+    return out
 
 
-def fit(pages: DataFrame, html_col: str = "html", smooth: float = 2.0, limit: float = 3.0) -> dict[str, float]:
-    """Log odds of words of class, id and role: inside or outside of the article, over all pages that mark one."""
+def fit_looks(pages: list[str], most: float = 1.5) -> tuple[np.ndarray | None, tuple[float, ...]]:
+    """Weights of features and strengths of edges, from pages that mark an article."""
+    x, y, pairs = [], [], np.ones((len(LAMBDAS), 2))
+    for page in pages:
+        blocks, texts = read_blocks(page)
+        label = [inside(b) for b in blocks]
+        if any(label) and not all(label):
+            x += [features(blocks, texts), features(blocks, texts, bare=True)]  # so that elements don't stand in for all else
+            y += label + label
+            for a, b, kind in edges_of(blocks):
+                pairs[kind, int(label[a] == label[b])] += 1
+    if not x:
+        return None, LAMBDAS
+    lambdas = np.clip(0.5 * np.log(pairs[:, 1] / pairs[:, 0]), 0.0, most)
+    return regression(np.concatenate(x), np.array(y, float)), tuple(lambdas.tolist())
+
+
+def fit(pages: DataFrame, html_col: str = "html", smooth: float = 10.0, fitted: int = FITTED) -> Model:
+    """Learns from the pages that mark an article: names from all, looks from at most ``fitted``."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros((NAMES_HELD, 2), np.int64)
         for pdf in frames:
-            found: dict[str, list[int]] = {}
             for page in pdf["html"]:
                 blocks = blocks_of(page)
-                if not any(t == "article" for b in blocks for _, t in b.tags):
+                if not any(map(inside, blocks)):
                     continue
                 around = wrappers(blocks)
                 for b in blocks:
                     if any(t == "form" and i not in around for i, t in b.tags):
                         continue  # a form says nothing of what its place is for
-                    inside = any(t == "article" for _, t in b.tags)
                     for w in b.words:
-                        found.setdefault(w[:40], [0, 0])[inside] += 1
-            yield pd.DataFrame([(w, *n) for w, n in found.items()], columns=["word", "outside", "inside"])
-
-    named = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("html")).where(F.col("html").rlike("(?i)<article"))
-    counts = named.mapInPandas(count, "word string, outside long, inside long").groupBy("word").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
-    # the words most seen: at most LEARNT of them go to the executors
-    rows = counts.where("inside + outside >= 20").orderBy(F.desc(F.col("inside") + F.col("outside")), "word").limit(LEARNT).collect()
-    return {r["word"]: max(-limit, min(limit, math.log((r["inside"] + smooth) / (r["outside"] + smooth)))) for r in rows}
+                        found[held_name(w), int(inside(b))] += 1
+        some = np.flatnonzero(found.sum(1))
+        yield pd.DataFrame({"name": some, "outside": found[some, 0], "inside": found[some, 1]})
 
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, lambdas = fit_looks([page for pdf in frames for page in pdf["html"]])
+        yield pd.DataFrame({"weights": [None if weights is None else weights.tolist()], "lambdas": [list(lambdas)]})
 
-LEARNT = 2000
-
-
-def main_text(pages: DataFrame, learnt: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    named = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("html")).where(F.col("html").rlike("(?i)<article"))
+    counts = named.mapInPandas(count, "name int, outside long, inside long").groupBy("name").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
+    names, total = np.zeros((NAMES_HELD, 2)), np.zeros(2)
+    for r in counts.collect():  # at most NAMES_HELD rows of three numbers
+        names[r["name"]] = r["outside"], r["inside"]
+    total = np.maximum(1.0, names.sum(0))
+    odds = np.log((names[:, 1] + smooth * total[1] / total.sum()) / (names[:, 0] + smooth * total[0] / total.sum())) - np.log(total[1] / total[0])
+    sample = named.orderBy(F.xxhash64("html"), "html").limit(fitted)  # a documented bound on labelled rows
+    looks = sample.repartition(1).mapInPandas(learn, "weights array<double>, lambdas array<double>").first()
+    if looks is None:
+        return Model()
+    return Model(np.clip(odds, -3, 3).astype(np.float32), None if looks["weights"] is None else np.array(looks["weights"]), tuple(looks["lambdas"]))
+
+
+def main_text(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = [extract(h, learnt) for h in pdf["html"]]
+            texts = [extract(h, model) for h in pdf["html"]]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

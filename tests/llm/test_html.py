@@ -1,6 +1,8 @@
 import html as references
 import random
 import re
+import time
+from collections import Counter
 
 from lumenfold.llm import html
 
@@ -21,16 +23,16 @@ TEXT = "A & B\nFirst para with bold, a link <tag> © 2024.\nLine one line two\nU
 
 
 def test_page_without_an_article():
-    assert html.extract(PAGE, {}) == TEXT
-    assert html.extract(PAGE.replace('class="post-content"', "").replace('class="layout"', ""), {}).startswith("A & B\nFirst")
+    assert html.extract(PAGE, html.Model()) == TEXT
+    assert html.extract(PAGE.replace('class="post-content"', "").replace('class="layout"', ""), html.Model()).startswith("A & B\nFirst")
     article = PAGE.replace('<div class="post-content">', "<article>").replace("ok.</p></div>", "ok.</p></article>")
-    assert html.extract(article, {}) == TEXT
+    assert html.extract(article, html.Model()) == TEXT
 
 
 def test_odd_input():
     for page in ("", "   ", "<", "<<<>>>", "<script>", "<p", "&amp", "<!-- x", "</p></div>", "<article>" * 3000):
-        assert isinstance(html.extract(page, {}), str)
-    assert html.extract("<article><p>" + "a < b " * 20000 + "</p></article>", {}) == ("a < b " * 20000).strip()
+        assert isinstance(html.extract(page, html.Model()), str)
+    assert html.extract("<article><p>" + "a < b " * 20000 + "</p></article>", html.Model()) == ("a < b " * 20000).strip()
 
 
 def brute_cut(source, sink, edges):
@@ -74,10 +76,60 @@ def test_implied_ends_and_forms():
     want, p = text.strip(), f"<p>{text}</p>"
     head = "<html><head><title>T</title><meta charset=utf-8><style>a{}</style>"
     for page in (f"{head}<body><article>{p}</article></body>", f"{head}<article>{p}</article>", f"{head}<noscript><link><body><article>{p}</article>", f"{head}</head><body><article>{p}</article>"):
-        assert html.extract(page, {}) == want
+        assert html.extract(page, html.Model()) == want
     for control in ("<label>Mail", "<button type=submit>Send", "<select><option>One<option>Two", "<label for=a>A<label>B"):
-        assert html.extract(f"<body>{control}<article>{p}</article><label>x</label>", {}) == want
-    assert html.extract(f"<body><article>{p}<button><div>Send {text}</div></button></article>", {}) == want  # with an end tag
-    assert html.extract(f"<body><form id=aspnetForm><div class=content>{p}</div><nav>Home</nav></form></body>", {}) == want
-    assert html.extract(f"<body><form><main>{p}</main><footer>{text * 4}</footer></form></body>", {}) == want
-    assert html.extract(f"<body><article>{p}{p}<form><p>Write what you think of this</p></form></article></body>", {}) == want + "\n" + want
+        assert html.extract(f"<body>{control}<article>{p}</article><label>x</label>", html.Model()) == want
+    assert html.extract(f"<body><article>{p}<button><div>Send {text}</div></button></article>", html.Model()) == want  # with an end tag
+    assert html.extract(f"<body><form id=aspnetForm><div class=content>{p}</div><nav>Home</nav></form></body>", html.Model()) == want
+    assert html.extract(f"<body><form><main>{p}</main><footer>{text * 4}</footer></form></body>", html.Model()) == want
+    assert html.extract(f"<body><article>{p}{p}<form><p>Write what you think of this</p></form></article></body>", html.Model()) == want + "\n" + want
+
+
+def test_a_page_of_many_blocks_takes_time_about_in_proportion():
+    rng = random.Random(5)
+    n = 50_000
+    source, sink = [3 * rng.random() * (i // 7 % 3 == 0) for i in range(n)], [3 * rng.random() * (i // 5 % 2) for i in range(n)]
+    edges = [(i, i + 1, 1.5 * rng.random()) for i in range(n - 1)] + [(i, i + rng.randint(2, 9), 0.5) for i in range(0, n - 10, 3)]
+    began = time.perf_counter()
+    assert len(html.min_cut(source, sink, edges)) == n
+    page = "<body><nav>" + "<a href=x>Go</a><p>" * 2000 + "</nav><article>" + "<p>Some words of a text that has an end.</p>" * 48_000 + "</article></body>"
+    assert html.extract(page, html.Model()).count("Some words") == 48_000
+    assert time.perf_counter() - began < 60
+
+
+def bare(page):
+    """Without names, and with div for all elements that mark content or boilerplate."""
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", page)
+    return re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def plain(page):
+    return re.sub(r"<(/?)(p|h[1-6]|ul|ol|li|blockquote|table|tr|td)\b", r"<\1div", bare(page))
+
+
+def token_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_pages_whose_marks_are_hidden(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html.fit(pages)
+    assert model.weights is not None and max(model.lambdas) > 1
+    given = [r["html"] for r in pages.collect()]
+    whole = [html.extract(page, model) for page in given]
+    for hide, least in ((bare, 0.99), (plain, 0.95)):
+        assert sum(token_f1(html.extract(hide(p), model), t) for p, t in zip(given, whole)) / len(given) > least
+    changed = 0
+    for page in map(plain, given):
+        blocks, texts = html.read_blocks(page)
+        changed += [z > 0 for z in model.log_odds(blocks, texts)] != model.labels(blocks, texts)
+    assert changed > 0.05 * len(given)  # pages where the cut says other than the classifier alone
+
+
+def test_names_are_learnt_whole(spark):
+    name = "q" * 60
+    page = lambda a, b: f"<body><div class={a}><p>One two three.</p></div><article><p class={b}>Four five six seven.</p></article></body>"
+    rows = [(i, page(name + "x", name + "y")) for i in range(40)]
+    model = html.fit(spark.createDataFrame(rows, "page_id long, html string"))
+    assert model.names[html.held_name(name + "x")] < -1 and model.names[html.held_name(name + "y")] > 1
