@@ -197,40 +197,77 @@ def test_lm_base_and_model_equal_brute_force(spark):
         assert r["base_score"] == pytest.approx(base, rel=1e-9, abs=1e-9) and r["score"] < 0
 
 
-def test_lm_beats_the_base_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+@pytest.mark.parametrize("sf, least", [("0.1", 0.97), ("0.01", 1.035)])
+def test_lm_against_the_base_on_held_out_texts(spark, sf, least):
+    """The model is ahead of the base from some million training tokens on. On sf0.01, with 0.3 million, it isn't: README says by how much."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
     r = lm.score_texts(docs, crc_bucket(F.col("id"), 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > r[1]
+    assert r[0] / r[1] < least
 
 
-def test_automaton_equals_longest_suffix_lookup():
-    rng = random.Random(5)
-    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 700))) for _ in range(30)]
-    docs = [lm.words_of(t) for t in texts]
-    depth = 3
+def counted(docs, depth):
+    """All counts of (context, next byte), by definition."""
     counts = {}
     for d in docs:
         s = bytes([lm.END]) * depth + b" ".join(d) + b"\n"
         for at in range(depth, len(s)):
             for k in range(depth + 1):
                 counts.setdefault(s[at - k : at], Counter())[s[at]] += 1
-    kept = {c: n for c, n in counts.items() if not c or sum(n.values()) >= 40}
-    rows = [(len(c), int.from_bytes(c, "big"), b, m) for c, n in kept.items() for b, m in n.items()]
-    auto = lm.Automaton.build(*(np.array(x) for x in zip(*rows)), depth)
+    return counts
+
+
+def gain(counts, c):
+    n, m = counts[c], counts[c[1:]]
+    return sum(x * math.log((x / n.total()) / (m[b] / m.total())) for b, x in n.items())
+
+
+def probability(kept, c, b):
+    """Of byte b at the longest kept suffix of c, smoothed down to the root."""
+    if not c:
+        return (kept[b""][b] + 1) / (kept[b""].total() + 256)
+    if c not in kept:
+        return probability(kept, c[1:], b)
+    n, kinds = kept[c].total(), len(kept[c])
+    return (kept[c][b] + kinds * probability(kept, c[1:], b)) / (n + kinds)
 
-    def p(c, b):
-        if not c:
-            return (kept[b""][b] + 1) / (sum(kept[b""].values()) + 256)
-        if c not in kept:
-            return p(c[1:], b)
-        n, kinds = sum(kept[c].values()), len(kept[c])
-        return kept[c][b] / (n + kinds) + kinds / (n + kinds) * p(c[1:], b)
 
-    for d, got in zip(docs, auto.score(docs)):
+def texts_of_few_letters():
+    rng = random.Random(5)
+    return ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 700))) for _ in range(30)] + ["abcabc " * 400]
+
+
+def test_kept_contexts_and_scores_equal_brute_force(spark):
+    texts, depth = texts_of_few_letters(), 3
+    docs = [lm.words_of(t) for t in texts]
+    counts = counted(docs, depth)
+    bytes_of = sum(sum(map(len, d)) + max(1, len(d)) for d in docs)
+    least = 0.1 * bytes_of**0.5
+    kept = {c: n for c, n in counts.items() if not c or n.total() >= 2 and gain(counts, c) >= least}
+    assert 5 < len(kept) < len(counts)
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    grams = lm.corpus_counts(table, depth).where("gram IS NOT NULL").select("gram", "n")
+    assert grams.agg(F.sum("n")).first()[0] == bytes_of
+    got = {(r["k"], r["ctx"], r["next"]): r["n"] for r in lm.kept_contexts(grams, depth, least).collect()}
+    assert got == {(len(c), int.from_bytes(c, "big"), b): m for c, n in kept.items() for b, m in n.items()}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scores = {r["id"]: r["score"] for r in lm.score_texts(rows, F.lit(False), depth=depth, nats=0.1).collect()}
+    for i, d in enumerate(docs):
         s = bytes([lm.END]) * depth + b" ".join(d) + b"\n"
-        assert got == pytest.approx(sum(math.log10(p(s[at - depth : at], s[at])) for at in range(depth, len(s))), rel=1e-4)
-    total = sum(10.0 ** float(x) for x in auto.logp[5][:-1]) + (256 - auto.logp.shape[1] + 1) * 10.0 ** float(auto.logp[5][-1])
-    assert total == pytest.approx(1.0, abs=1e-4)
+        assert scores[i] == pytest.approx(sum(math.log10(probability(kept, s[at - depth : at], s[at])) for at in range(depth, len(s))), rel=1e-6)
+    few = lm.score_texts(rows, F.lit(False), depth=depth, nats=0.1, most=30)  # a stricter test where the tree would be too large
+    assert few.agg(F.sum("score")).first()[0] < sum(scores.values())
+
+
+def test_probabilities_add_up_to_one():
+    docs = [lm.words_of(t) for t in texts_of_few_letters()]
+    counts = counted(docs, 3)
+    kept = {c: n for c, n in counts.items() if not c or gain(counts, c) >= 5}
+    rows = [(len(c), int.from_bytes(c, "big"), b, m) for c, n in kept.items() for b, m in n.items()]
+    tree = lm.Tree.build(*(np.array(x) for x in zip(*rows)), 3)
+    for c in (b"abc", b"  a", b"xyz", b"\n\n\n"):
+        grams = np.array([int.from_bytes(c + bytes([b]), "big") for b in range(256)], np.uint64)
+        p = 10.0 ** tree.log10(grams)
+        assert p.sum() == pytest.approx(1.0) and p[97] == pytest.approx(probability(kept, c, 97), rel=1e-6)
 
 
 def test_lm_empty(spark):
