@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 TERMS = 120
 
 
+def erfc(x: Column) -> Column:
+    """1 - erf of x >= 0: by the series up to 2, by a continued fraction beyond, where the difference would cancel."""
+    below = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(0.0), lambda t, k: (k / 2.0) / (x + t))
+    return F.when(x < 2.0, 1.0 - erf(x)).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / (x + below))
+
+
 def erf(x: Column) -> Column:
     """erf of x >= 0 by exp(-x^2) times a series of positive terms; 1 from 6 on."""
     step = F.lit(2.0) * x * x
@@ -21,7 +27,7 @@ def erf(x: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
-    return 1.0 - erf(F.abs(z) / math.sqrt(2.0))
+    return erfc(F.abs(z) / math.sqrt(2.0))
 
 
 def chi_square_tail(x: Column, df: int) -> Column:
@@ -29,7 +35,7 @@ def chi_square_tail(x: Column, df: int) -> Column:
     y = x / 2.0
     half = df / 2.0
     start = 1.0 if df % 2 == 0 else 0.5
-    total = F.exp(-y) if df % 2 == 0 else 1.0 - erf(F.sqrt(y))
+    total = F.exp(-y) if df % 2 == 0 else erfc(F.sqrt(y))
     a = start
     while a < half - 1e-9:
         total = total + F.pow(y, F.lit(a)) * F.exp(-y) / math.gamma(a + 1.0)

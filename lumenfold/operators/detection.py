@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered as numbered_rows
+
 #: Tells the boxes of an image apart, whatever ids repeat.
 GT_ORDER = ("class_id", "box_id", "cx", "cy", "w", "h")
+SLOTS = 1000
 ANNOTATION = "size struct<width:double,height:double>, object array<struct<name:string, bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
 
 
@@ -18,8 +21,11 @@ def parse_annotations(rows: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def to_boxes(objects: DataFrame, names: tuple[str, ...] | None, default: tuple[float, float] = (1024.0, 768.0)) -> DataFrame:
-    """Relative boxes, 6 digits, of positive size; class by place in names, unknown names dropped (D1), or 0 for all without names."""
-    width, height = (F.coalesce(c, F.lit(d)) for c, d in zip(("width", "height"), default))
+    """Relative boxes, 6 digits, of positive size; class by place in names, unknown names dropped (D1), or 0 for all without names.
+
+    An image size that is missing or 0 is the default one.
+    """
+    width, height = (F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(d)) for c, d in zip(("width", "height"), default))
     o = objects.withColumn("class_id", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")).cast("int") - 1 if names else F.lit(0))
     o = o.where("class_id >= 0").select(
         "image_id", "class_id",
@@ -43,20 +49,19 @@ def parse_labels(labels: DataFrame) -> DataFrame:
 
 
 def manifest(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """One row: number of classes seen and their names in order."""
-    seen = F.array_sort(F.collect_set("class_id"))
-    return boxes.agg(F.size(seen).alias("nc"), F.transform(seen, lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)).alias("names"))
+    """One row: number of all classes and their names in order, so that every split gives a class the same number; and how many are seen."""
+    return boxes.agg(F.lit(len(names)).alias("nc"), F.array(*[F.lit(n) for n in names]).alias("names"), F.count_distinct("class_id").alias("seen"))
 
 
 def head_split(images: DataFrame, train: int, val: int, key: str = "image_id") -> DataFrame:
     """The first train rows in key order, then val; others are left out (D3)."""
-    n = images.withColumn("_rn", F.row_number().over(Window.orderBy(key)))
+    n = numbered_rows(images, key, name="_rn")
     return n.where(F.col("_rn") <= train + val).withColumn("split", F.when(F.col("_rn") <= train, "train").otherwise("val")).drop("_rn")
 
 
 def share_split(images: DataFrame, share: float = 0.8, limits: dict[str, int] | None = None, key: str = "image_id") -> DataFrame:
     """The first share of the rows in key order is train, the rest val; at most limits[split] of each."""
-    n = images.withColumns({"_rn": F.row_number().over(Window.orderBy(key)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    n = numbered_rows(images, key, name="_rn").crossJoin(F.broadcast(images.agg(F.count(F.lit(1)).alias("_n"))))  # one row
     cut = F.floor(F.col("_n") * share)
     n = n.withColumns({"split": F.when(F.col("_rn") <= cut, "train").otherwise("val"), "_at": F.when(F.col("_rn") <= cut, F.col("_rn")).otherwise(F.col("_rn") - cut)})
     for name, most in (limits or {}).items():
@@ -100,10 +105,10 @@ def pick_scenes(scores: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Intersection over union of two boxes given by cx, cy, w, h."""
+    """Intersection over union of two boxes given by cx, cy, w, h; 0 for two without area."""
     side = lambda c, s: F.greatest(F.least(a[c] + a[s] / 2, b[c] + b[s] / 2) - F.greatest(a[c] - a[s] / 2, b[c] - b[s] / 2), F.lit(0.0))
     both = side("cx", "w") * side("cy", "h")
-    return both / (a["w"] * a["h"] + b["w"] * b["h"] - both)
+    return F.coalesce(F.try_divide(both, a["w"] * a["h"] + b["w"] * b["h"] - both), F.lit(0.0))
 
 
 def candidate_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -142,10 +147,16 @@ def average_precision(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> Dat
     pred = numbered(pred, "pred_no", F.desc("conf"), *GT_ORDER)
     hits = match(candidate_matches(gt, pred, least)).withColumn("hit", F.lit(1))
     p = pred.join(hits, ["method", "image_id", "class_id", "pred_no"], "left").fillna(0, ["hit"])
-    by = Window.partitionBy("method", "class_id").orderBy(F.desc("conf"), "image_id", "pred_no")
+    # running counts in two steps: over slots of confidence, of which a class has at most SLOTS + 1, and within each slot
+    slot = ["method", "class_id", "_slot"]
+    p = p.withColumn("_slot", F.floor((1 - F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0))) * SLOTS).cast("int"))
+    before = Window.partitionBy("method", "class_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = p.groupBy(*slot).agg(F.sum("hit").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*slot, F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    by = Window.partitionBy(*slot).orderBy(F.desc("conf"), "image_id", "pred_no")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = p.withColumns({"tp": F.sum("hit").over(so_far), "at": F.row_number().over(by)})
-    p = p.join(F.broadcast(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))), "class_id")
+    p = p.join(starts, slot).withColumns({"tp": F.col("_tp") + F.sum("hit").over(so_far), "at": F.col("_at") + F.row_number().over(by)})
+    p = p.join(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")), "class_id")
     p = p.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("at")})
     # the precision envelope at 101 recall points: the largest precision at any recall that reaches the point
     reach = F.floor(F.col("recall") * 100 + 1e-9).cast("int")

@@ -24,16 +24,32 @@ def box_taps(n: int) -> dict[int, float]:
 def _padded(px: DataFrame, axis: str, k: int, border: str, keys: tuple[str, ...]) -> DataFrame:
     """px with its rows near the border repeated at mirrored places outside, and the axis' last place as _last.
 
-    border: "mirror" (edge not repeated), "symmetric" (edge repeated), "valid" (nothing added).
+    border: "mirror" (edge not repeated), "symmetric" (edge repeated), "valid" (nothing added). Sides shorter than k are
+    mirrored as often as it takes. A line with a missing pixel is an error: filters count on neighbours.
     """
     line = Window.partitionBy(*keys, "x" if axis == "y" else "y")
-    px = px.withColumn("_last", F.max(axis).over(line))
+    px = px.withColumns({"_last": F.max(axis).over(line), "_there": F.count(F.lit(1)).over(line)})
+    gap = F.raise_error(F.concat(F.lit(f"a filter along {axis} needs whole lines; places there: "), F.col("_there").cast("string"), F.lit(", last: "), F.col("_last").cast("string")))
+    px = px.withColumn("_last", F.when(F.col("_there") == F.col("_last") + 1, F.col("_last")).otherwise(gap.cast("int"))).drop("_there")
     if border == "valid":
         return px
     a, last, off = F.col(axis), F.col("_last"), 0 if border == "mirror" else 1
     low, high = -a - off, 2 * last - a + off
-    places = F.array(a, F.when((low < 0) & (low >= -k), low), F.when((high > last) & (high <= last + k), high))
-    return px.withColumn(axis, F.explode(F.array_compact(places)))
+    once = F.array_compact(F.array(a, F.when((low < 0) & (low >= -k), low), F.when((high > last) & (high <= last + k), high)))
+    period = 2 * last + 2 * off
+
+    def mirrored(p: Column) -> Column:
+        at = F.pmod(p, F.greatest(period, F.lit(1)))
+        return F.least(at, period - off - at)
+
+    often = F.filter(F.sequence(F.lit(-k), last + k), lambda p: mirrored(p) == a)
+    return px.withColumn(axis, F.explode(F.when(last >= k, once).otherwise(often)))
+
+
+def beside(c: str, axis: str, d: int, w: Window) -> Column:
+    """The value d places along the axis; null where that pixel is missing."""
+    shift = F.lead if d > 0 else F.lag
+    return F.when(shift(axis, abs(d)).over(w) == F.col(axis) + d, shift(c, abs(d)).over(w))
 
 
 def tap_filter(px: DataFrame, columns: list[str], taps: dict[int, float], axis: str, border: str = "mirror", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -55,15 +71,15 @@ def separable(px: DataFrame, columns: list[str], taps: dict[int, float], border:
 
 def sobel(px: DataFrame, columns: list[str], fast: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """px with <column>_g and <column>_a, strength and orientation (N14: edges repeated, atan; N15, fast: mirrored, atan2)."""
-    wx, wy = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    windows = {"x": Window.partitionBy(*keys, "y").orderBy("x"), "y": Window.partitionBy(*keys, "x").orderBy("y")}
 
-    def beside(c: str, w: Window) -> tuple[Column, Column]:
-        before, after = F.lag(c).over(w), F.lead(c).over(w)
+    def both_sides(c: str, axis: str) -> tuple[Column, Column]:
+        before, after = (beside(c, axis, d, windows[axis]) for d in (-1, 1))
         return (F.coalesce(before, after), F.coalesce(after, before)) if fast else (F.coalesce(before, F.col(c)), F.coalesce(after, F.col(c)))
 
-    px = px.withColumns({f"_{c}_{side}": v for c in columns for side, v in zip(("l", "r"), beside(c, wx))})
+    px = px.withColumns({f"_{c}_{side}": v for c in columns for side, v in zip(("l", "r"), both_sides(c, "x"))})
     px = px.withColumns({f"_{c}_d": F.col(f"_{c}_r") - F.col(f"_{c}_l") for c in columns} | {f"_{c}_s": F.col(f"_{c}_l") + 2 * F.col(c) + F.col(f"_{c}_r") for c in columns})
-    px = px.withColumns({f"_{c}_{k}{side}": v for c in columns for k in "ds" for side, v in zip("ud", beside(f"_{c}_{k}", wy))})
+    px = px.withColumns({f"_{c}_{k}{side}": v for c in columns for k in "ds" for side, v in zip("ud", both_sides(f"_{c}_{k}", "y"))})
     out = {}
     for c in columns:
         gx = F.col(f"_{c}_du") + 2 * F.col(f"_{c}_d") + F.col(f"_{c}_dd")
@@ -80,7 +96,7 @@ def central_gradient(px: DataFrame, columns: list[str], keys: tuple[str, ...] =
     for axis, other in (("x", "y"), ("y", "x")):
         w = Window.partitionBy(*keys, other).orderBy(axis)
         for c in columns:
-            before, after = F.lag(c).over(w), F.lead(c).over(w)
+            before, after = beside(c, axis, -1, w), beside(c, axis, 1, w)
             out[f"{c}_g{axis}"] = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col(c)).when(after.isNull(), F.col(c) - before).otherwise((after - before) / 2.0)
     return px.withColumns(out)
 

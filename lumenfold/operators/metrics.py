@@ -69,7 +69,7 @@ def spatial_frequency(px: DataFrame, column: str = "f", keys: tuple[str, ...] =
     """Root of the mean squared row and column differences on the 0-255 scale (M6)."""
     v = clip01(F.col(column)) * 255.0
     px = px.withColumn("_v", v)
-    d = {f"_d{a}": F.col("_v") - F.lag("_v").over(Window.partitionBy(*keys, o).orderBy(a)) for a, o in (("x", "y"), ("y", "x"))}
+    d = {f"_d{a}": F.col("_v") - filters.beside("_v", a, -1, Window.partitionBy(*keys, o).orderBy(a)) for a, o in (("x", "y"), ("y", "x"))}
     return px.withColumns(d).groupBy(*keys).agg(F.sqrt(F.avg(F.col("_dx") * F.col("_dx")) + F.avg(F.col("_dy") * F.col("_dy"))).alias("value"))
 
 

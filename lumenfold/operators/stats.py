@@ -58,9 +58,10 @@ def friedman(meas: DataFrame, k: int) -> DataFrame:
     r = r.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("metric", "subject", "value")))
     per = r.groupBy("metric", "treatment").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
     n = F.max("n")
-    chi = (12.0 / (n * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3.0 * n * (k + 1)) / (1.0 - F.sum("t") / (n * float(k**3 - k)))
+    # where all values of all blocks are tied there is no statistic, and p is 1
+    chi = F.try_divide(12.0 / (n * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3.0 * n * (k + 1), 1.0 - F.sum("t") / (n * float(k**3 - k)))
     out = per.groupBy("metric").agg(chi.alias("chi2"))
-    out = out.withColumn("p_value", chi_square_tail(F.col("chi2"), k - 1))
+    out = out.withColumn("p_value", F.coalesce(chi_square_tail(F.col("chi2"), k - 1), F.lit(1.0)))
     return out.withColumn("significant", F.col("p_value") < 0.05)
 
 
@@ -118,13 +119,13 @@ def best_per_metric(meas: DataFrame, lower_better: set[str]) -> DataFrame:
 
 
 def ratio_to_best_rival(meas: DataFrame, lower_better: set[str]) -> DataFrame:
-    """metric, treatment, ratio: the best other treatment's mean over the own one."""
+    """metric, treatment, ratio: the best other treatment's mean over the own one; null where that is 0."""
     m = group_means(meas, None).withColumn("sign", directions(meas, lower_better))
     by = Window.partitionBy("metric").orderBy(F.col("sign") * F.col("mean"), "treatment")
     others = [by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)]
     # the best of the rest stands right before or at the end of this order
     top = F.greatest(F.max(F.col("sign") * F.col("mean")).over(others[0]), F.max(F.col("sign") * F.col("mean")).over(others[1]))
-    return m.select("metric", "treatment", (F.col("sign") * top / F.col("mean")).alias("ratio"))
+    return m.select("metric", "treatment", F.try_divide(F.col("sign") * top, F.col("mean")).alias("ratio"))
 
 
 def two_variants(meas: DataFrame, a: str, b: str, lower_better: set[str]) -> DataFrame:

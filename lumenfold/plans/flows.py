@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fusion, metrics
+from ..operators.ordering import numbered
 
 
 def numbered_pairs(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """key, rn from 1 in key order (P8, P9). One row per pair: a list of names, not of pixels."""
-    return pairs.select(key).withColumn("rn", F.row_number().over(Window.orderBy(key)))
+    """key, rn from 1 in key order."""
+    return numbered(pairs.select(key), key)
 
 
 def missing_results(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import detection, stats, sweep
+from ..operators import detection, filters, stats, sweep
 from ..sources import listing, tables
 from .fixtures import FILES, GT, GT_WHOLE, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, raster, sweep_history, truth
 from .pixel_queries import MCOLS, hist_sql, mirrored, r6, sobel_sql, stencil_sql, taps_sql
@@ -86,7 +86,7 @@ def boxes(spark, sf_dir, every=10):
 
 
 @boxes_query("d02_single_class_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cx + w / 2) * 1024) AS x1 FROM gt)
-SELECT image_id, class_id, count(*) AS n, round(sum(round((x1 - x0) / 1024, 6)), 6) + 0.0 AS w FROM (SELECT *, 0 AS z FROM i) GROUP BY image_id, z, class_id HAVING true""".replace("SELECT image_id, class_id, count", "SELECT image_id, 0 AS class_id, count").replace("GROUP BY image_id, z, class_id HAVING true", "GROUP BY image_id"))
+SELECT image_id, 0 AS class_id, count(*) AS n, round(sum(round((x1 - x0) / 1024, 6)), 6) + 0.0 AS w FROM i GROUP BY image_id""")
 def single_class_boxes(spark, sf_dir, every=10):
     b = detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir, every)), None)
     return b.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("w")).alias("w"))
@@ -100,10 +100,10 @@ def label_round_trip(spark, sf_dir, every=10):
     return detection.parse_labels(detection.format_labels(truth(spark, sf_dir, every)))
 
 
-@boxes_query("s11_manifest", f"WITH {GT}, n AS (SELECT DISTINCT class_id FROM gt) SELECT count(*) AS nc, string_agg(['People', 'Car', 'Bus', 'Motorcycle', 'Lamp', 'Other'][class_id + 1], ',' ORDER BY class_id) AS names FROM n")
+@boxes_query("s11_manifest", f"WITH {GT} SELECT 6 AS nc, 'People,Car,Bus,Motorcycle,Lamp,Other' AS names, count(DISTINCT class_id) AS seen FROM gt")
 def manifest(spark, sf_dir, every=10):
     m = detection.manifest(truth(spark, sf_dir, every), (*NAMES, "Other"))
-    return m.select("nc", F.array_join("names", ",").alias("names"))
+    return m.select("nc", F.array_join("names", ",").alias("names"), "seen")
 
 
 IDS = f"WITH {GT}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM gt))"
@@ -213,7 +213,7 @@ def best_configuration(spark, sf_dir):
     return sweep.best_configuration(sweep_history(spark, sf_dir)).select("config", "iter", *[rounded(F.col(c)).alias(c) for c in ("r", "m", "fit")])
 
 
-@query("o08_resume", f"WITH {PSO}, l AS (SELECT config, CAST(max(iter) AS INT) AS last FROM pso GROUP BY 1), b AS (SELECT CAST(avg(last) AS INT) AS budget FROM l) SELECT config, last, 41 * (SELECT count(*) FROM pso) // 1000 - last AS left FROM l WHERE last < 41 * (SELECT count(*) FROM pso) // 1000".replace(", b AS (SELECT CAST(avg(last) AS INT) AS budget FROM l)", ""))
+@query("o08_resume", f"WITH {PSO}, l AS (SELECT config, CAST(max(iter) AS INT) AS last FROM pso GROUP BY 1) SELECT config, last, 41 * (SELECT count(*) FROM pso) // 1000 - last AS left FROM l WHERE last < 41 * (SELECT count(*) FROM pso) // 1000")
 def resume(spark, sf_dir):
     h = sweep_history(spark, sf_dir)
     return sweep.to_resume(h, int(41 * h.count() // 1000)).select("config", "last", F.col("left").cast("long").alias("left"))
@@ -260,7 +260,7 @@ oc AS (SELECT a.pair_id, a.y, a.x, a.c, a.r, max(b.lo) AS op, min(b.hi) AS cl FR
 hat AS (SELECT pair_id, y, x, r, max(v - op) AS w, max(cl - v) AS b FROM oc JOIN pt USING (pair_id, y, x, c) GROUP BY ALL),
 cand(candidate, r, m) AS (VALUES ('a', 1, CAST(0.05 AS DOUBLE)), ('b', 2, CAST(0.07 AS DOUBLE)), ('c', 2, CAST(0.3 AS DOUBLE))),
 fx AS (SELECT candidate || ':' || pair_id AS pair_id, y, x, vis, ir, least(greatest((vis + ir) / 2 + m * w - m * b, 0.0), 1.0) AS f FROM px JOIN hat USING (pair_id, y, x) JOIN cand USING (r)),
-mo AS (SELECT pair_id, y, x, f, vis, ir, f * f AS ff, vis * vis AS vv, ir * ir AS ii, f * vis AS fv, f * ir AS fi FROM fx), {taps_sql({d: v for d, v in __import__("lumenfold.operators.filters", fromlist=["gaussian_taps"]).gaussian_taps(11, 1.5).items()})}, {stencil_sql("mo", MCOLS, 7, "mirror", "s")}"""
+mo AS (SELECT pair_id, y, x, f, vis, ir, f * f AS ff, vis * vis AS vv, ir * ir AS ii, f * vis AS fv, f * ir AS fi FROM fx), {taps_sql(filters.gaussian_taps(11, 1.5))}, {stencil_sql("mo", MCOLS, 7, "mirror", "s")}"""
 _one = lambda m, mm, fm: f"((2 * f * {m} + 0.0001) * (2 * ({fm} - f * {m}) + 0.0009)) / ((f * f + {m} * {m} + 0.0001) * ((ff - f * f) + ({mm} - {m} * {m}) + 0.0009) + 1e-12)"
 SSIM = f"si AS (SELECT pair_id, (avg({_one('vis', 'vv', 'fv')}) + avg({_one('ir', 'ii', 'fi')})) / 2 AS ssim FROM s GROUP BY 1)"
 

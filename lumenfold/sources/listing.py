@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+
 #: Image file endings (fixed values).
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
@@ -53,10 +55,10 @@ def list_labelled(vis: DataFrame, ir: DataFrame, labels: DataFrame, required: bo
 
 def discover(listing: DataFrame, candidates: list[str]) -> DataFrame:
     """stem, path: of all files with a stem the one in the first candidate folder, else anywhere (S4). Folder names count without case."""
-    lower = F.lower("path")
+    lower = F.concat(F.lit("/"), F.lower("path"))
     rank = F.lit(len(candidates))
     for i, c in reversed(list(enumerate(candidates))):
-        rank = F.when(lower.contains(f"{c.lower()}/"), F.lit(i)).otherwise(rank)
+        rank = F.when(lower.contains(f"/{c.lower()}/"), F.lit(i)).otherwise(rank)
     ranked = images(listing).withColumn("stem", stem(F.col("path")))
     best = F.min(F.struct(rank.alias("rank"), F.col("path").alias("path")))
     return ranked.groupBy("stem").agg(best.alias("b")).select("stem", "b.path", "b.rank")
@@ -87,6 +89,6 @@ def reorganise(listing: DataFrame, prefixes: tuple[str, ...] = ("VIS_", "IR_"),
 
 
 def batches(pairs: DataFrame, size: int, seed: int, key: str = "pair_id") -> DataFrame:
-    """pairs with batch, in an order shuffled by a hash (S13). The window orders names, not pixels."""
-    at = F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return pairs.withColumn("batch", F.floor((at - 1) / size).cast("long"))
+    """pairs with batch, in an order shuffled by a hash."""
+    at = numbered(pairs.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", key, name="_at")
+    return at.withColumn("batch", F.floor((F.col("_at") - 1) / size).cast("long")).drop("_h", "_at")
