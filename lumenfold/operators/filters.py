@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +116,19 @@ def box_mean(px: DataFrame, columns: list[str], n: int = 7, border: str = "symme
     return separable(px, columns, box_taps(n), border, keys)
 
 
+def aligned(frames: list[tuple[DataFrame, list[str]]], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, y, x and the columns of each relation at the places that all have; each place once in each.
+
+    An inner join by place as a union and a grouped maximum: rows that are dealt by the keys stay where they are, where a
+    join would deal both sides anew by place.
+    """
+    place = [*keys, "y", "x"]
+    every = {c: df.schema[c].dataType for df, columns in frames for c in columns}
+    parts = [df.select(*place, *[F.col(c) if c in own else F.lit(None).cast(kind).alias(c) for c, kind in every.items()]) for df, own in frames]
+    grouped = reduce(DataFrame.unionByName, parts).groupBy(*place).agg(*[F.max(c).alias(c) for c in every], F.count(F.lit(1)).alias("_n"))
+    return grouped.where(F.col("_n") == len(frames)).drop("_n")
+
+
 def pyr_down(px: DataFrame, columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Blur and keep even places."""
     px = separable(px, columns, PYRAMID_TAPS, "mirror", keys).where((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
@@ -126,6 +140,10 @@ def pyr_up(small: DataFrame, grid: DataFrame, columns: list[str], keys: tuple[st
 
     Past the end the last value counts, before the start the mirrored one, as doubling with inserted zeros and a mirrored border gives.
     """
+    return aligned([(grid, []), (_doubled(small, columns, keys), columns)], keys)
+
+
+def _doubled(small: DataFrame, columns: list[str], keys: tuple[str, ...]) -> DataFrame:
     out = small
     for axis, other in (("x", "y"), ("y", "x")):
         w = Window.partitionBy(*keys, other).orderBy(axis)
@@ -139,7 +157,13 @@ def pyr_up(small: DataFrame, grid: DataFrame, columns: list[str], keys: tuple[st
                 values[c] = 0.5 * here + 0.5 * right if odd else 0.125 * F.coalesce(before, after, here) + 0.75 * here + 0.125 * right
             both.append(F.struct((2 * F.col(axis) + odd).cast("int").alias(axis), *[v.alias(c) for c, v in values.items()]))
         out = out.select(*keys, other, F.explode(F.array(*both)).alias("_p")).select(*keys, other, f"_p.{axis}", *[f"_p.{c}" for c in columns])
-    return grid.select(*keys, "y", "x").join(out, [*keys, "y", "x"])
+    return out
+
+
+def with_up(fine: DataFrame, small: DataFrame, keep: list[str], columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, y, x, the columns keep of fine, and of small blown up to fine's places as _<column>_up."""
+    up = _doubled(small, columns, keys).withColumnsRenamed({c: f"_{c}_up" for c in columns})
+    return aligned([(fine, keep), (up, [f"_{c}_up" for c in columns])], keys)
 
 
 def gaussian_pyramid(px: DataFrame, columns: list[str], levels: int, keys: tuple[str, ...] = KEYS) -> list[DataFrame]:
@@ -154,8 +178,8 @@ def laplacian_pyramid(px: DataFrame, columns: list[str], levels: int, keys: tupl
     g = gaussian_pyramid(px, columns, levels, keys)
     out = []
     for fine, coarse in zip(g, g[1:]):
-        up = pyr_up(coarse, fine, columns, keys).withColumnsRenamed({c: f"_{c}_up" for c in columns})
-        out.append(fine.join(up, [*keys, "y", "x"]).select(*keys, "y", "x", *[(F.col(c) - F.col(f"_{c}_up")).alias(c) for c in columns]))
+        both = with_up(fine, coarse, columns, columns, keys)
+        out.append(both.select(*keys, "y", "x", *[(F.col(c) - F.col(f"_{c}_up")).alias(c) for c in columns]))
     return [*out, g[-1]]
 
 
@@ -163,8 +187,8 @@ def reconstruct(pyramid: list[DataFrame], columns: list[str], keys: tuple[str, .
     """The image of a Laplacian pyramid."""
     out = pyramid[-1]
     for fine in reversed(pyramid[:-1]):
-        up = pyr_up(out, fine, columns, keys).withColumnsRenamed({c: f"_{c}_up" for c in columns})
-        out = fine.join(up, [*keys, "y", "x"]).select(*keys, "y", "x", *[(F.col(c) + F.col(f"_{c}_up")).alias(c) for c in columns])
+        both = with_up(fine, out, columns, columns, keys)
+        out = both.select(*keys, "y", "x", *[(F.col(c) + F.col(f"_{c}_up")).alias(c) for c in columns])
     return out
 
 

@@ -42,7 +42,7 @@ def laplacian(px: DataFrame, levels: int = 4) -> DataFrame:
     for level in pyramid[:-1]:
         act = level.withColumns({f"{c}_act": F.abs(c) for c in SOURCES})
         act = filters.separable(act.select("pair_id", "y", "x", "vis_act", "ir_act"), ["vis_act", "ir_act"], filters.PYRAMID_TAPS)  # N12
-        both = level.join(act, ["pair_id", "y", "x"])
+        both = filters.aligned([(level, SOURCES), (act, ["vis_act", "ir_act"])])
         fused.append(both.select("pair_id", "y", "x", by_activity(F.col("vis_act"), F.col("ir_act"), F.col("vis"), F.col("ir")).alias("f")))
     fused.append(pyramid[-1].select("pair_id", "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f")))
     return _with_sources(px, filters.reconstruct(fused, ["f"]))
@@ -53,11 +53,10 @@ def ratio(px: DataFrame, levels: int = 4, eps: float = 1e-6) -> DataFrame:
     g = filters.gaussian_pyramid(px, SOURCES, levels + 1)
     out = g[-1].select("pair_id", "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f"))
     for fine, coarse in zip(reversed(g[:-1]), reversed(g[1:])):
-        up = filters.pyr_up(coarse, fine, SOURCES).withColumnsRenamed({c: f"{c}_up" for c in SOURCES})
-        r = fine.join(up, ["pair_id", "y", "x"])
-        vis, ir = ((F.col(c) + eps) / (F.col(f"{c}_up") + eps) for c in SOURCES)
-        r = r.select("pair_id", "y", "x", farthest_from_one(vis, ir).alias("r"))
-        out = filters.pyr_up(out, fine, ["f"]).join(r, ["pair_id", "y", "x"]).select("pair_id", "y", "x", (F.col("r") * (F.col("f") + eps)).alias("f"))
+        r = filters.with_up(fine, coarse, SOURCES, SOURCES)
+        vis, ir = ((F.col(c) + eps) / (F.col(f"_{c}_up") + eps) for c in SOURCES)
+        r = filters.with_up(r.select("pair_id", "y", "x", farthest_from_one(vis, ir).alias("r")), out, ["r"], ["f"])
+        out = r.select("pair_id", "y", "x", (F.col("r") * (F.col("_f_up") + eps)).alias("f"))
     return _with_sources(px, out)
 
 
@@ -77,7 +76,7 @@ def haar(px: DataFrame, levels: int = 3) -> DataFrame:
 
 
 def _with_sources(px: DataFrame, fused: DataFrame) -> DataFrame:
-    return px.join(fused.withColumn("f", clip01(F.col("f"))), ["pair_id", "y", "x"]).select(*OUT)
+    return filters.aligned([(px, SOURCES), (fused.withColumn("f", clip01(F.col("f"))), ["f"])]).select(*OUT)
 
 
 #: Name -> method with the parameters of the benchmark (F14); the sources themselves count as methods where detection needs them.
@@ -88,7 +87,7 @@ METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ratio": lambda px: ratio(px, 4),
     "haar": lambda px: haar(px, 3),
     "db4": lambda px: wavelets.db4_fusion(px, 3),
-    "dual_tree": lambda px: wavelets.dual_tree_fusion(px, wavelets.reversed_bank(), 4),
+    "dual_tree": lambda px: wavelets.dual_tree_fusion(px, 4),
     "average": average,
     "vis": lambda px: px.withColumn("f", F.col("vis")).select(*OUT),
     "ir": lambda px: px.withColumn("f", F.col("ir")).select(*OUT),

@@ -1,6 +1,8 @@
 """Image-quality metrics: fused pixel relations (keys..., y, x, vis, ir, f) to one row per key.
 
-Metrics that need the same pass share one: histograms, Sobel gradients, 7 x 7 stencils, moments.
+``evaluate`` and ``fast_pass`` take many metrics from one chain of windows and one grouped aggregate: all windows'
+keys contain those of the image, so the chain needs no shuffle of its own, and the fused pixels are made once. Counts of
+histogram bins are windows there too: a mean over pixels of the logarithm of the own bin's share is minus the entropy.
 """
 
 from __future__ import annotations
@@ -73,8 +75,8 @@ def spatial_frequency(px: DataFrame, column: str = "f", keys: tuple[str, ...] =
     return px.withColumns(d).groupBy(*keys).agg(F.sqrt(F.avg(F.col("_dx") * F.col("_dx")) + F.avg(F.col("_dy") * F.col("_dy"))).alias("value"))
 
 
-def _edges(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, qabf, nabf from columns <c>_g and <c>_a of vis, ir and f."""
+def _edge_columns(px: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """px with what it takes, and the aggregates Qabf and Nabf, from columns <c>_g and <c>_a of vis, ir and f."""
     g = {c: F.col(f"{c}_g") for c in ("vis", "ir", "f")}
     q = {c: edge_preservation(g[c], F.col(f"{c}_a"), g["f"], F.col("f_a")) for c in ("vis", "ir")}
     px = px.withColumns({"_qv": q["vis"], "_qi": q["ir"]})
@@ -82,12 +84,13 @@ def _edges(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     lost = (1 - F.col("_qv")) * g["vis"] + (1 - F.col("_qi")) * g["ir"]
     new = (g["f"] > g["vis"]) & (g["f"] > g["ir"])
     weight = F.sum(g["vis"] + g["ir"]) + 1e-12
-    return px.groupBy(*keys).agg((F.sum(kept) / weight).alias("qabf"), (F.sum(F.when(new, lost).otherwise(0.0)) / weight).alias("nabf"))
+    return px, F.sum(kept) / weight, F.sum(F.when(new, lost).otherwise(0.0)) / weight
 
 
 def edge_quality(px: DataFrame, fast: bool = False, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """keys, qabf, nabf: edges kept from the sources, and edges that neither has (M7; fast: the search's gradient)."""
-    return _edges(filters.sobel(px, ["vis", "ir", "f"], fast, keys), keys)
+    px, qabf, nabf = _edge_columns(filters.sobel(px, ["vis", "ir", "f"], fast, keys))
+    return px.groupBy(*keys).agg(qabf.alias("qabf"), nabf.alias("nabf"))
 
 
 def _moments(px: DataFrame, pairs: list[tuple[str, str]]) -> dict[str, Column]:
@@ -102,10 +105,11 @@ def ssim(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     return m.groupBy(*keys).agg((0.5 * (F.avg(_ssim_at("vis", 49 / 48)) + F.avg(_ssim_at("ir", 49 / 48)))).alias("value"))
 
 
-def _ssim_at(s: str, scale: float, eps: float = 0.0) -> Column:
+def _ssim_at(s: str, scale: float, eps: float = 0.0, mark: str = "") -> Column:
+    """Similarity at a place from local means, whose names begin with mark."""
     c1, c2 = 0.01**2, 0.03**2
-    f, x = F.col("f"), F.col(s)
-    vf, vx, cov = ((F.col(n) - p) * scale for n, p in (("_f_f", f * f), (f"_{s}_{s}", x * x), (f"_f_{s}", f * x)))
+    f, x = F.col(f"{mark}f"), F.col(f"{mark}{s}")
+    vf, vx, cov = ((F.col(mark + n) - p) * scale for n, p in (("_f_f", f * f), (f"_{s}_{s}", x * x), (f"_f_{s}", f * x)))
     return ((2 * f * x + c1) * (2 * cov + c2)) / ((f * f + x * x + c1) * (vf + vx + c2) + eps)
 
 
@@ -123,16 +127,24 @@ def correlation(a: Column, b: Column) -> Column:
     return (F.covar_pop(a, b) * n) / (F.sqrt(F.var_pop(a) * n * F.var_pop(b) * n) + 1e-12)
 
 
+def _scd() -> Column:
+    f, v, i = F.col("f"), F.col("vis"), F.col("ir")
+    return correlation(f - i, v) + correlation(f - v, i)
+
+
 def scd(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Sum of the correlations of each difference with the other source (M9)."""
-    f, v, i = F.col("f"), F.col("vis"), F.col("ir")
-    return px.groupBy(*keys).agg((correlation(f - i, v) + correlation(f - v, i)).alias("value"))
+    return px.groupBy(*keys).agg(_scd().alias("value"))
+
+
+def _psnr_share() -> Column:
+    mse = lambda c: F.avg((F.col("f") - F.col(c)) * (F.col("f") - F.col(c)))
+    return 10.0 * F.log10(1.0 / F.greatest(0.5 * (mse("vis") + mse("ir")), F.lit(1e-12))) / 100.0
 
 
 def psnr_share(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """PSNR over the mean squared error to both sources, / 100."""
-    mse = lambda c: F.avg((F.col("f") - F.col(c)) * (F.col("f") - F.col(c)))
-    return px.groupBy(*keys).agg((10.0 * F.log10(1.0 / F.greatest(0.5 * (mse("vis") + mse("ir")), F.lit(1e-12))) / 100.0).alias("value"))
+    return px.groupBy(*keys).agg(_psnr_share().alias("value"))
 
 
 def feature_information(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -145,31 +157,41 @@ def feature_information(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFram
     return parts[0].join(parts[1], list(keys)).select(*keys, (0.5 * (F.col("vis") + F.col("ir"))).alias("value"))
 
 
-def _local_quality(px: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
-    """keys, q0, qw of columns vis, ir, f."""
-    px = px.withColumns(_moments(px, [("f", "f"), ("vis", "vis"), ("ir", "ir"), ("vis", "f"), ("ir", "f")]))
-    cols = ["f", "vis", "ir", "_f_f", "_vis_vis", "_ir_ir", "_vis_f", "_ir_f"]
-    m = filters.box_mean(px.select(*keys, "y", "x", *cols), cols, n, "symmetric", keys)
-    var = {c: F.greatest(F.col(f"_{c}_{c}") - F.col(c) * F.col(c), F.lit(0.0)) for c in ("vis", "ir", "f")}
-    m = m.withColumns({f"_v_{c}": v for c, v in var.items()})
+def local_means(px: DataFrame, taps: dict[int, float], border: str, keys: tuple[str, ...], of: dict[str, str], mark: str) -> DataFrame:
+    """px with the local means of three images and of their products, as <mark>f, <mark>_f_f and so on; of: vis, ir and f -> column."""
+    v = {c: F.col(of[c]) for c in ("f", "vis", "ir")}
+    new = {f"{mark}{c}": x for c, x in v.items()} | {f"{mark}_{c}_{c}": x * x for c, x in v.items()} | {f"{mark}_f_{s}": v["f"] * v[s] for s in ("vis", "ir")}
+    return filters.separable(px.withColumns(new), list(new), taps, border, keys)
+
+
+def _local_columns(px: DataFrame, mark: str) -> DataFrame:
+    """px with <mark>local, the quality index at a place, and <mark>c, its saliency, from local means."""
+    m = lambda c: F.col(mark + c)
+    px = px.withColumns({f"{mark}v_{c}": F.greatest(m(f"_{c}_{c}") - m(c) * m(c), F.lit(0.0)) for c in ("vis", "ir", "f")})
 
     def q(s: str) -> Column:
-        x, f = F.col(s), F.col("f")
-        num = 4.0 * (F.col(f"_{s}_f") - x * f) * x * f
-        den = (F.col(f"_v_{s}") + F.col("_v_f")) * (x * x + f * f)
-        return F.when(den > 1e-12, num / den).otherwise(1.0)
+        x, f = m(s), m("f")
+        num = 4.0 * (m(f"_f_{s}") - x * f) * x * f
+        den = (m(f"v_{s}") + m("v_f")) * (x * x + f * f)
+        return F.when(den > 1e-12, F.try_divide(num, den)).otherwise(1.0)
+
+    share = m("v_vis") / (m("v_vis") + m("v_ir") + 1e-12)
+    return px.withColumns({f"{mark}local": share * q("vis") + (1.0 - share) * q("ir"), f"{mark}c": F.greatest(m("v_vis"), m("v_ir"))})
+
 
-    share = F.col("_v_vis") / (F.col("_v_vis") + F.col("_v_ir") + 1e-12)
-    m = m.withColumns({"_local": share * q("vis") + (1.0 - share) * q("ir"), "_c": F.greatest("_v_vis", "_v_ir")})
-    return m.groupBy(*keys).agg(F.avg("_local").alias("q0"), (F.sum(F.col("_c") * F.col("_local")) / (F.sum("_c") + 1e-12)).alias("qw"))
+def _weighted(mark: str) -> Column:
+    return F.sum(F.col(f"{mark}c") * F.col(f"{mark}local")) / (F.sum(f"{mark}c") + 1e-12)
+
+
+RAW, EDGE = ({c: c + end for c in ("vis", "ir", "f")} for end in ("", "_e"))
 
 
 def local_quality(px: DataFrame, n: int = 7, alpha: float = 1.0, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """keys, q0, qw, qe: local quality index, weighted by saliency, and times that of the edge maps."""
-    plain = _local_quality(px.select(*keys, "y", "x", "vis", "ir", "f"), keys, n)
-    e = filters.gradient_feature(px, ["vis", "ir", "f"], keys).select(*keys, "y", "x", *[F.col(f"{c}_e").alias(c) for c in ("vis", "ir", "f")])
-    edges = _local_quality(e, keys, n).select(*keys, F.col("qw").alias("_qwe"))
-    return plain.join(edges, list(keys)).select(*keys, "q0", "qw", (F.col("qw") * F.pow("_qwe", F.lit(alpha))).alias("qe"))
+    px = filters.gradient_feature(px.select(*keys, "y", "x", "vis", "ir", "f"), ["vis", "ir", "f"], keys)
+    for of, mark in ((RAW, "_p"), (EDGE, "_q")):
+        px = _local_columns(local_means(px, filters.box_taps(n), "symmetric", keys, of, mark), mark)
+    return px.groupBy(*keys).agg(F.avg("_plocal").alias("q0"), _weighted("_p").alias("qw"), (_weighted("_p") * F.pow(_weighted("_q"), F.lit(alpha))).alias("qe"))
 
 
 def _vif_scale(px: DataFrame, n: int, keys: tuple[str, ...]) -> DataFrame:
@@ -211,14 +233,87 @@ def vif(px: DataFrame, scales: int = 4, keys: tuple[str, ...] = PAIR) -> DataFra
     return total.select(*keys, (0.5 * (ratio("vis") + ratio("ir"))).alias("value"))
 
 
+def _share(px: DataFrame, by: list[Column], keys: tuple[str, ...]) -> Column:
+    """At each pixel, how many of its image's pixels have the same values."""
+    return F.count(F.lit(1)).over(Window.partitionBy(*keys, *by)).cast("double")
+
+
+def _bin(c: str, bins: int = 256) -> Column:
+    """The bin of a value; null outside of [0, 1]."""
+    v = F.col(c)
+    return F.when((v >= 0) & (v <= 1), F.least(F.floor(v * float(bins)), F.lit(bins - 1)).cast("int"))
+
+
+def _entropy_columns(px: DataFrame, columns: list[str], keys: tuple[str, ...], floor: float = 1e-12, bins: int = 256) -> tuple[DataFrame, dict[str, Column]]:
+    """px with each pixel's count of its bin, and the aggregates: entropies as ``entropy`` gives."""
+    px = px.withColumns({f"_b_{c}": _bin(c, bins) for c in columns})
+    px = px.withColumns({f"_n_{c}": F.when(F.col(f"_b_{c}").isNotNull(), _share(px, [F.col(f"_b_{c}")], keys)) for c in columns})
+    px = px.withColumns({f"_all_{c}": F.count(f"_b_{c}").over(Window.partitionBy(*keys)).cast("double") for c in columns})
+    out, total = {}, 1.0 + bins * floor
+    for c in columns:
+        n, every = F.col(f"_n_{c}"), F.col(f"_all_{c}")
+        q = (n / every + floor) / total
+        kinds = F.sum(1.0 / n)
+        empty = -(bins - kinds) * (floor / total) * F.log2(F.lit(floor / total)) if floor else F.lit(0.0)
+        out[c] = F.sum(-q * F.log2(q) / n) + empty  # a bin's term is shared out to its n pixels
+    return px, out
+
+
+def _information_columns(px: DataFrame, pairs: list[tuple[str, str]], of: dict[str, str], mark: str, keys: tuple[str, ...], bins: int = 64) -> tuple[DataFrame, dict[tuple[str, str], tuple[Column, Column, Column]]]:
+    """px with counts, and the aggregates of each pair of columns: mutual information and both entropies."""
+    names = sorted({c for p in pairs for c in p})
+    px = px.withColumns({f"{mark}l_{c}": level(F.col(of[c]), bins) for c in names})
+    count = lambda *c: _share(px, [F.col(f"{mark}l_{x}") for x in c], keys)
+    px = px.withColumns({f"{mark}n_{c}": count(c) for c in names} | {f"{mark}n_{a}_{b}": count(a, b) for a, b in pairs} | {f"{mark}all": _share(px, [], keys)})
+    n = lambda *c: F.col(f"{mark}n_" + "_".join(c))
+    every = F.col(f"{mark}all")
+    return px, {(a, b): (F.avg(F.log2(n(a, b) * every / (n(a) * n(b)))), F.avg(-F.log2(n(a) / every)), F.avg(-F.log2(n(b) / every))) for a, b in pairs}
+
+
+def fast_pass(px: DataFrame, keys: tuple[str, ...] = PAIR, edges: bool = True, information: bool = True) -> DataFrame:
+    """keys and the search's measures in one pass: ssim (M17), and qabf, nabf, scd, or en (M18 without / 8) and psnr."""
+    px = px.select(*keys, "y", "x", "vis", "ir", "f")
+    out = {}
+    if information:
+        px, en = _entropy_columns(px, ["f"], keys, floor=0.0)
+        out |= {"en": en["f"], "psnr": _psnr_share()}
+    if edges:
+        px, qabf, nabf = _edge_columns(filters.sobel(px, ["vis", "ir", "f"], True, keys))
+        out |= {"qabf": qabf, "nabf": nabf, "scd": _scd()}
+    px = local_means(px, filters.gaussian_taps(11, 1.5), "mirror", keys, RAW, "_m")
+    out["ssim"] = 0.5 * (F.avg(_ssim_at("vis", 1.0, 1e-12, "_m")) + F.avg(_ssim_at("ir", 1.0, 1e-12, "_m")))
+    return px.groupBy(*keys).agg(*[v.alias(n) for n, v in out.items()])
+
+
 def evaluate(px: DataFrame, with_vif: bool = True, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """One wide row per key with all metrics."""
-    named = {
-        "EN": entropy(px, "f", keys=keys), "SD": std_dev(px, keys=keys), "FE": fusion_efficiency(px, keys), "MG": mean_gradient(px, keys=keys),
-        "MI_vis": mutual_information(px, "f", "vis", keys=keys), "MI_ir": mutual_information(px, "f", "ir", keys=keys), "SF": spatial_frequency(px, keys=keys),
-        "SSIM": ssim(px, keys), "SCD": scd(px, keys), "FMI": feature_information(px, keys),
-    } | ({"VIF": vif(px, keys=keys)} if with_vif else {})
-    parts = [df.withColumnRenamed("value", name) for name, df in named.items()]
-    parts.append(edge_quality(px, keys=keys).withColumnsRenamed({"qabf": "Qabf", "nabf": "Nabf"}))
-    parts.append(local_quality(px, keys=keys).withColumnsRenamed({"q0": "Q0", "qw": "QW", "qe": "QE"}))
-    return reduce(lambda a, b: a.join(b, list(keys)), parts)
+    """One wide row per key with all metrics (M16): one pass for fifteen of them, one for VIF."""
+    images = ["f", "vis", "ir"]
+    raw = px
+    px = px.select(*keys, "y", "x", *images)
+    px, en = _entropy_columns(px, images, keys)
+    px, mi = _information_columns(px, [("f", "vis"), ("f", "ir")], RAW, "_i", keys)
+    px, qabf, nabf = _edge_columns(filters.sobel(px, images, False, keys))
+    px = px.withColumn("_v", clip01(F.col("f")) * 255.0)
+    px = px.withColumns({f"_d{a}": F.col("_v") - filters.beside("_v", a, -1, Window.partitionBy(*keys, o).orderBy(a)) for a, o in (("x", "y"), ("y", "x"))})
+    px = filters.central_gradient(px, images, keys)
+    px = px.withColumns({f"{c}_e": F.sqrt(F.col(f"{c}_gx") * F.col(f"{c}_gx") + F.col(f"{c}_gy") * F.col(f"{c}_gy")) for c in images}).withColumn("_slope", F.col("f_e"))
+    whole = Window.partitionBy(*keys)
+    px = px.withColumns({f"_{c}_{n}": f(f"{c}_e").over(whole) for c in images for n, f in (("lo", F.min), ("hi", F.max))})
+    px = px.withColumns({f"{c}_e": (F.col(f"{c}_e") - F.col(f"_{c}_lo")) / (F.col(f"_{c}_hi") - F.col(f"_{c}_lo") + 1e-12) for c in images})
+    px, fmi = _information_columns(px, [("f", "vis"), ("f", "ir")], EDGE, "_e", keys)
+    px = px.withColumns({f"_last_{a}": F.max(a).over(whole) for a in "xy"})
+    for of, mark in ((RAW, "_p"), (EDGE, "_q")):
+        px = _local_columns(local_means(px, filters.box_taps(7), "symmetric", keys, of, mark), mark)
+    # away from the border the same means are those of the similarity, which leaves the border out
+    inner = (F.col("x") >= 3) & (F.col("y") >= 3) & (F.col("x") <= F.col("_last_x") - 3) & (F.col("y") <= F.col("_last_y") - 3)
+    ssim_of = lambda s: F.avg(F.when(inner, _ssim_at(s, 49 / 48, 0.0, "_p")))
+    alike = lambda p: F.when(p[1] + p[2] > 1e-12, F.try_divide(2 * p[0], p[1] + p[2])).otherwise(0.0)
+    out = {
+        "EN": en["f"], "SD": F.stddev_pop("f"), "FE": en["f"] / ((en["vis"] + en["ir"]) / 2.0 + 1e-12), "MG": F.avg("_slope"),
+        "MI_vis": mi["f", "vis"][0], "MI_ir": mi["f", "ir"][0],
+        "SF": F.sqrt(F.avg(F.col("_dx") * F.col("_dx")) + F.avg(F.col("_dy") * F.col("_dy"))),
+        "SSIM": 0.5 * (ssim_of("vis") + ssim_of("ir")), "SCD": _scd(), "FMI": 0.5 * (alike(fmi["f", "vis"]) + alike(fmi["f", "ir"])),
+        "Qabf": qabf, "Nabf": nabf, "Q0": F.avg("_plocal"), "QW": _weighted("_p"), "QE": _weighted("_p") * _weighted("_q"),
+    }
+    one = px.groupBy(*keys).agg(*[v.alias(n) for n, v in out.items()])
+    return one.join(vif(raw, keys=keys).withColumnRenamed("value", "VIF"), list(keys)) if with_vif else one

@@ -18,6 +18,7 @@ KEYS = ("candidate", "pair_id")
 #: Fixed values of the search: bounds of r and m, inertia from the first to the last round, pulls.
 BOUNDS = {"r": (1.0, 25.0), "m": (0.05, 1.2)}
 W_MAX, W_MIN, C1, C2 = 0.9, 0.4, 1.5, 1.5
+STATE = ("config", "n", "rounds", "particle", "r", "m", "vr", "vm", "best_fit", "best_r", "best_m", "top_fit", "top_r", "top_m")
 
 
 def clipped(candidates: DataFrame, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -33,7 +34,8 @@ def fused_candidates(px: DataFrame, candidates: DataFrame, radii: list[int], cla
     for r in radii:
         hats = morphology.top_hats(px, ["vis", "ir"], "disk", r) if classic else morphology.combined_top_hats(px, ["vis", "ir"], r)
         detail = hats.select("pair_id", "y", "x", "vis", "ir", F.greatest("vis_wth", "ir_wth").alias("_w"), F.greatest("vis_bth", "ir_bth").alias("_b"))
-        parts.append(detail.join(F.broadcast(candidates.where(F.col("r") == r).select("candidate", "m"))))  # a generation: a swarm's size
+        own = candidates.where(F.col("r") == r).agg(F.collect_list(F.struct("candidate", "m")).alias("_own"))  # one row: a generation's candidates
+        parts.append(detail.crossJoin(F.broadcast(own)).withColumn("_c", F.explode("_own")).select(*detail.columns, "_c.candidate", "_c.m"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -41,25 +43,25 @@ def fused_candidates(px: DataFrame, candidates: DataFrame, radii: list[int], cla
     return out.select(*KEYS, "y", "x", "vis", "ir", f.alias("f"))
 
 
-def _mean_of(parts: dict[str, DataFrame], total: Column) -> DataFrame:
-    frames = [df.withColumnRenamed("value", n) for n, df in parts.items()]
-    joined = frames[0]
-    for df in frames[1:]:
-        joined = joined.join(df, list(KEYS))
-    return joined.groupBy("candidate").agg(F.avg(total).alias("fitness"))
-
-
 def fitness_edges(fused: DataFrame) -> DataFrame:
     """candidate, fitness: mean over scenes of similarity + Qabf + half of SCD - Nabf (O1)."""
-    parts = {"ssim": metrics.ssim_fast(fused, KEYS), "scd": metrics.scd(fused, KEYS), "edges": metrics.edge_quality(fused, True, KEYS)}
-    return _mean_of(parts, F.col("ssim") + F.col("qabf") + 0.5 * F.col("scd") - F.col("nabf"))
+    return both_fitnesses(fused, information=False).withColumnRenamed("edges", "fitness")
 
 
 def fitness_information(fused: DataFrame) -> DataFrame:
     """candidate, fitness: mean over scenes of similarity + entropy / 8 + PSNR / 100 (O2)."""
-    entropy = metrics.entropy(fused, "f", floor=0.0, keys=KEYS)
-    parts = {"ssim": metrics.ssim_fast(fused, KEYS), "en": entropy, "psnr": metrics.psnr_share(fused, KEYS)}
-    return _mean_of(parts, F.col("ssim") + F.col("en") / 8.0 + F.col("psnr"))
+    return both_fitnesses(fused, edges=False).withColumnRenamed("information", "fitness")
+
+
+def both_fitnesses(fused: DataFrame, edges: bool = True, information: bool = True) -> DataFrame:
+    """candidate, edges, information (or one of them): both objectives from one pass over the candidates' pixels (O3)."""
+    out = {}
+    if edges:
+        out["edges"] = F.avg(F.col("ssim") + F.col("qabf") + 0.5 * F.col("scd") - F.col("nabf"))
+    if information:
+        out["information"] = F.avg(F.col("ssim") + F.col("en") / 8.0 + F.col("psnr"))
+    measured = metrics.fast_pass(fused, KEYS, edges, information)
+    return measured.groupBy("candidate").agg(*[v.alias(n) for n, v in out.items()])
 
 
 def configurations(swarms: list[int], rounds: list[int], spark) -> DataFrame:
@@ -96,18 +98,22 @@ def step(state: DataFrame, t: Column) -> DataFrame:
     )
 
 
-def run(px: DataFrame, configs: DataFrame, fitness: Callable[[DataFrame], DataFrame], generations: int, keep: Callable[[DataFrame, int], DataFrame], classic: bool = False, seed: int = 7000) -> DataFrame:
-    """All swarms side by side, a Spark job a generation; keep(state, t) writes a generation and reads it back."""
-    state = particles(configs).withColumns({c: F.lit(None).cast("double") for c in ("best_fit", "best_r", "best_m")})
-    state = keep(state, 0)
-    for t in range(generations):
+def run(px: DataFrame, configs: DataFrame, fitness: Callable[[DataFrame], DataFrame], generations: int, keep: Callable[[DataFrame, int], DataFrame], classic: bool = False, seed: int = 7000, resume: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """All swarms side by side, a Spark job a generation; keep(state, t) writes generation t and reads it back.
+
+    resume: a kept state and its t; the generations after it follow, as if the run had never ended. Swarms whose rounds
+    are over stay as they are.
+    """
+    empty = {**{c: F.lit(None).cast("double") for c in ("best_fit", "best_r", "best_m")}, **{f"top_{c}": F.lit(None).cast("double") for c in ("fit", "r", "m")}}
+    state, begin = resume or (keep(particles(configs).withColumns(empty).select(*STATE), 0), 0)
+    for t in range(begin, generations):
         live = state.where(F.col("rounds") > t).withColumn("candidate", F.concat_ws(":", "config", F.col("particle").cast("string")))
         held = clipped(live.select("candidate", "r", "m"))
         radii = sorted(r["r"] for r in held.select("r").distinct().collect())  # 25 at most
         fit = fitness(fused_candidates(px, held, radii, classic)).withColumnRenamed("fitness", "fit")
         u = lambda salt: F.pmod(F.xxhash64("config", "particle", F.lit(seed + 10 * t + salt)), F.lit(1 << 40)) / float(1 << 40)  # noqa: E731, B023
         known = live.join(fit, "candidate").withColumns({"u1r": u(0), "u1m": u(1), "u2r": u(2), "u2m": u(3)})
-        state = keep(step(known, F.lit(t)), t + 1)
+        state = keep(step(known, F.lit(t)).select(*STATE).unionByName(state.where(F.col("rounds") <= t)), t + 1)
     return state
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip01, max_abs
-from .filters import _padded
+from .filters import _padded, aligned
 
 KEYS = ("pair_id",)
 #: Low-pass reconstruction taps of the Daubechies wavelet with four vanishing moments (fixed values).
@@ -17,6 +17,13 @@ DB4 = (
     -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278,
 )
 BANDS = ("LL", "LH", "HL", "HH")
+#: Low-pass taps of both trees of a dual-tree transform (fixed, published values): ten taps of the first level, a place
+#: apart, and the quarter-shift pair of the others, one the other's reverse.
+FIRST_A = (0.0, -0.08838834764832, 0.08838834764832, 0.695879989034, 0.695879989034, 0.08838834764832, -0.08838834764832, 0.01122679215254, 0.01122679215254, 0.0)
+FIRST_B = (0.01122679215254, 0.01122679215254, -0.08838834764832, 0.08838834764832, 0.695879989034, 0.695879989034, 0.08838834764832, -0.08838834764832, 0.0, 0.0)
+QUARTER_A = (0.03516384, 0.0, -0.08832942, 0.23389032, 0.76027237, 0.5875183, 0.0, -0.11430184, 0.0, 0.0)
+QUARTER_B = QUARTER_A[::-1]
+Bank = tuple[tuple[float, ...], tuple[float, ...]]
 
 
 def _filters(low: tuple[float, ...]) -> dict[str, tuple[float, ...]]:
@@ -67,45 +74,49 @@ def join(bands: DataFrame, columns: list[str], low_x: tuple[float, ...] = DB4, l
     return _synthesise(px, columns, low_x, "x", keys)
 
 
-def _levels(px: DataFrame, columns: list[str], levels: int, low_x, low_y) -> list[DataFrame]:
+def _levels(px: DataFrame, columns: list[str], lows: list[Bank]) -> list[DataFrame]:
+    """Bands of each level; lows: taps along x and along y of each."""
     out, approx = [], px
-    for _ in range(levels):
-        out.append(split(approx, columns, low_x, low_y))
+    for low in lows:
+        out.append(split(approx, columns, *low))
         approx = out[-1].select(*KEYS, "y", "x", *[F.col(f"{c}_LL").alias(c) for c in columns])
     return out
 
 
-def _rebuild(levels: list[DataFrame], low_x, low_y) -> DataFrame:
+def _rebuild(levels: list[DataFrame], lows: list[Bank]) -> DataFrame:
     """The image f of levels with f_LL (the last level's counts), f_LH, f_HL, f_HH."""
     out = levels[-1].select(*KEYS, "y", "x", F.col("f_LL").alias("f"))
-    for level in reversed(levels):
+    for level, low in zip(reversed(levels), reversed(lows)):
         details = level.select(*KEYS, "y", "x", "f_LH", "f_HL", "f_HH")
-        out = join(details.join(out.withColumnRenamed("f", "f_LL"), [*KEYS, "y", "x"]), ["f"], low_x, low_y)
+        bands = aligned([(details, ["f_LH", "f_HL", "f_HH"]), (out.withColumnRenamed("f", "f_LL"), ["f_LL"])])
+        out = join(bands, ["f"], *low)
     return out
 
 
 def _finish(px: DataFrame, fused: DataFrame) -> DataFrame:
-    return px.join(fused.withColumn("f", clip01(F.col("f"))), [*KEYS, "y", "x"]).select(*KEYS, "y", "x", "vis", "ir", "f")
+    fused = fused.withColumn("f", clip01(F.col("f")))
+    return aligned([(px, ["vis", "ir"]), (fused, ["f"])]).select(*KEYS, "y", "x", "vis", "ir", "f")
 
 
 def db4_fusion(px: DataFrame, levels: int = 3) -> DataFrame:
     """Details farther from 0, mean approximation, by the db4 wavelet."""
-    chosen = []
-    for level in _levels(px, ["vis", "ir"], levels, DB4, None):
+    chosen, lows = [], [(DB4, DB4)] * levels
+    for level in _levels(px, ["vis", "ir"], lows):
         pick = {f"f_{b}": max_abs(F.col(f"vis_{b}"), F.col(f"ir_{b}")) for b in BANDS[1:]}
         chosen.append(level.withColumns({**pick, "f_LL": 0.5 * (F.col("vis_LL") + F.col("ir_LL"))}))
-    return _finish(px, _rebuild(chosen, DB4, None))
+    return _finish(px, _rebuild(chosen, lows))
 
 
-def dual_tree_fusion(px: DataFrame, bank: tuple[tuple[float, ...], tuple[float, ...]], levels: int = 4) -> DataFrame:
+def dual_tree_fusion(px: DataFrame, levels: int = 4, first: Bank = (FIRST_A, FIRST_B), bank: Bank = (QUARTER_A, QUARTER_B)) -> DataFrame:
     """Six complex directional bands from two trees, the larger modulus wins, mean approximation.
 
-    bank: low-pass taps of tree a and of tree b, given by the caller. The four real transforms (a or b along
+    first, bank: low-pass taps of tree a and of tree b at the first level and at the others. The four real transforms (a or b along
     each axis) combine to complex bands re = (aa -+ bb), im = (ab +- ba); each is rebuilt by its own tree and
     the four images are averaged.
     """
-    trees = {x + y: (bank["ab".index(x)], bank["ab".index(y)]) for x in "ab" for y in "ab"}
-    parts = {t: _levels(px, ["vis", "ir"], levels, *low) for t, low in trees.items()}
+    banks = [first] + [bank] * (levels - 1)
+    trees = {x + y: [(b["ab".index(x)], b["ab".index(y)]) for b in banks] for x in "ab" for y in "ab"}
+    parts = {t: _levels(px, ["vis", "ir"], lows) for t, lows in trees.items()}
     fused: dict[str, list[DataFrame]] = {t: [] for t in trees}
     for i in range(levels):
         level = None
@@ -129,13 +140,8 @@ def dual_tree_fusion(px: DataFrame, bank: tuple[tuple[float, ...], tuple[float,
         for t in trees:
             fused[t].append(level.select(*KEYS, "y", "x", *[F.col(f"f_{b}_{t}").alias(f"f_{b}") for b in BANDS]))
     total = None
-    for t, low in trees.items():
-        one = _rebuild(fused[t], *low).withColumnRenamed("f", f"f_{t}")
+    for t, lows in trees.items():
+        one = _rebuild(fused[t], lows).withColumnRenamed("f", f"f_{t}")
         total = one if total is None else total.join(one, [*KEYS, "y", "x"])
     return _finish(px, total.withColumn("f", sum((F.col(f"f_{t}") for t in trees), F.lit(0.0)) / 4.0))
 
-
-def reversed_bank(low: tuple[float, ...] = DB4) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """A plain bank for tests: the taps, and the same in reverse."""
-    norm = math.sqrt(sum(v * v for v in low))
-    return tuple(v / norm for v in low), tuple(v / norm for v in reversed(low))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fusion, metrics
+from ..operators.morphology import co_partition
 from ..operators.ordering import numbered
 
 
@@ -22,14 +24,16 @@ def missing_results(wanted: DataFrame, done: DataFrame, keys: list[str]) -> Data
 
 
 def benchmark(px: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]], done: DataFrame | None = None, with_vif: bool = True) -> DataFrame:
-    """method, pair_id, metrics: every method on every pair that isn't done; each pair's pixels are shuffled once."""
+    """method, pair_id, metrics: every method on every pair that isn't done.
+
+    The fused pixels of all methods are dealt by (method, pair) once, and all records come from one pass over them, and
+    one more with_vif.
+    """
     parts = []
     for name, method in methods.items():
         todo = px
         if done is not None:
             todo = px.join(done.where(F.col("method") == name).select("pair_id").distinct(), "pair_id", "left_anti")
-        parts.append(metrics.evaluate(method(todo), with_vif).withColumn("method", F.lit(name)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts.append(method(todo).withColumn("method", F.lit(name)))
+    keys = ("method", "pair_id")
+    return metrics.evaluate(co_partition(reduce(DataFrame.unionByName, parts), keys), with_vif, keys)

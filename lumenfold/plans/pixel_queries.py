@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.scalar import clip01, rounded
 from ..operators import filters, fusion, metrics, morphology, wavelets
+from . import flows
 from .fixtures import PX, RASTER, pixels, raster
-from .registry import query
+from .registry import ORACLES, query
 
 R, M = 2, 0.0703
 
@@ -59,6 +60,9 @@ SELECT pair_id, y, x, {r6(f"least(greatest((vis + ir) * CAST(0.5 AS DOUBLE) + CA
 
 
 def mirrored(q: str, last: str, kind: str) -> str:
+    if kind == "mirror" and last.isdigit() and int(last) < 4:  # reflected more than once
+        p = max(1, 2 * int(last))
+        return f"least((({q}) % {p} + {p}) % {p}, {2 * int(last)} - (({q}) % {p} + {p}) % {p})"
     return {
         "mirror": f"CASE WHEN {q} < 0 THEN -({q}) WHEN {q} > {last} THEN 2 * {last} - ({q}) ELSE {q} END",
         "symmetric": f"CASE WHEN {q} < 0 THEN -({q}) - 1 WHEN {q} > {last} THEN 2 * {last} - ({q}) + 1 ELSE {q} END",
@@ -138,9 +142,7 @@ def resize(spark, sf_dir):
 @query("p08_p09_scene_picks", f"""WITH {PX}, n AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) AS rn FROM (SELECT DISTINCT pair_id FROM px))
 SELECT pair_id, rn, (rn - 1) % 7 = 0 AS sampled, rn IN (2, 8, 17) AS picked FROM n WHERE (rn - 1) % 7 = 0 OR rn IN (2, 8, 17)""")
 def scene_picks(spark, sf_dir):
-    from .flows import numbered_pairs
-
-    n = numbered_pairs(pixels(spark, sf_dir).select("pair_id").distinct())
+    n = flows.numbered_pairs(pixels(spark, sf_dir).select("pair_id").distinct())
     n = n.withColumns({"sampled": (F.col("rn") - 1) % 7 == 0, "picked": F.col("rn").isin(2, 8, 17)})
     return n.where("sampled OR picked")
 
@@ -170,6 +172,49 @@ def top_hats(spark, sf_dir):
     return out(morphology.top_hats(pixels(spark, sf_dir), ["vis"], "disk", R), "vis_wth", "vis_bth")
 
 
+def spread_sql(r: int, source: str, lo: str, hi: str, to: str) -> str:
+    """to(pair_id, y, x, c, shape, lo, hi): least lo and largest hi of source over the disk and the lines of radius r, each row by a frame, for 64 x 64 places."""
+    rows = morphology.disk_rows(r)
+    frames = [
+        f"SELECT pair_id, y, x, c, {h} AS h, min({lo}) OVER w AS lo, max({hi}) OVER w AS hi FROM {source} WHERE shape = 'disk' WINDOW w AS (PARTITION BY pair_id, c, y ORDER BY x RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+        for h in sorted(set(rows.values()))
+    ]
+    lines = []
+    for d in morphology.DIRECTIONS:
+        k, across, along = morphology.line_half_length(r, d), {0: "y", 90: "x", 45: "x + y", 135: "x - y"}[d], "y" if d == 90 else "x"
+        lines.append(f"SELECT pair_id, y, x, c, shape, min({lo}) OVER w AS lo, max({hi}) OVER w AS hi FROM {source} WHERE shape = '{d}' WINDOW w AS (PARTITION BY pair_id, c, {across} ORDER BY {along} RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING)")
+    offsets = ", ".join(f"({dy}, {h})" for dy, h in rows.items())
+    return f"""{to}f AS ({" UNION ALL ".join(frames)}), {to}o(dy, h) AS (VALUES {offsets}),
+{to} AS (SELECT f.pair_id, f.y - o.dy AS y, f.x, f.c, 'disk' AS shape, min(f.lo) AS lo, max(f.hi) AS hi FROM {to}f f JOIN {to}o o USING (h) WHERE f.y - o.dy BETWEEN 0 AND 63 GROUP BY ALL
+  UNION ALL {" UNION ALL ".join(lines)})"""
+
+
+def _both(hat: str) -> str:
+    of = lambda shape: f"max({hat}) FILTER (shape = '{shape}')"
+    return f"{of('disk')} + ({' + '.join(of(d) for d in morphology.DIRECTIONS)}) / 4"
+
+
+WIDE_R = 25
+SHAPES = "('disk'), " + ", ".join(f"('{d}')" for d in morphology.DIRECTIONS)
+WIDE = f"""WITH {RASTER}, pt AS (SELECT pair_id, y, x, 'vis' AS c, shape, vis AS v FROM px, (VALUES {SHAPES}) s(shape) UNION ALL SELECT pair_id, y, x, 'ir', shape, ir FROM px, (VALUES {SHAPES}) s(shape)),
+{spread_sql(WIDE_R, "pt", "v", "v", "e1")}, {spread_sql(WIDE_R, "e1", "hi", "lo", "e2")},
+hat AS (SELECT pt.pair_id, pt.y, pt.x, pt.c, pt.shape, v - e2.hi AS wth, e2.lo - v AS bth FROM pt JOIN e2 USING (pair_id, y, x, c, shape)),
+comb AS (SELECT pair_id, y, x, c, {_both('wth')} AS w, {_both('bth')} AS b FROM hat GROUP BY ALL),
+top AS (SELECT pair_id, y, x, max(w) AS w, max(b) AS b FROM comb GROUP BY ALL)"""
+
+
+@query("n04_wide_disk", f"{WIDE} SELECT pair_id, y, x, {r6('lo', 'lo')}, {r6('hi', 'hi')} FROM e1 WHERE c = 'vis' AND shape = 'disk'")
+def wide_disk(spark, sf_dir):
+    """Disk filters at the published radius, on 64 x 64 pairs."""
+    return out(morphology.disk_filter(raster(spark, sf_dir), {"lo": ("min", "vis"), "hi": ("max", "vis")}, WIDE_R), "lo", "hi")
+
+
+@query("f07_weighted_top_hat_published", f"{WIDE} SELECT pair_id, y, x, round(least(greatest((vis + ir) * CAST(0.5 AS DOUBLE) + CAST({M} AS DOUBLE) * w - CAST({M} AS DOUBLE) * b, 0.0), 1.0), 10) + 0.0 AS f FROM px JOIN top USING (pair_id, y, x)")
+def weighted_top_hat_published(spark, sf_dir):
+    """The proposal at its published r and m, on 64 x 64 pairs. Ten digits: all values that are short decimals have no more, so none is a tie."""
+    return fusion.weighted_top_hat(raster(spark, sf_dir), WIDE_R, M).select("pair_id", "y", "x", rounded(F.col("f"), 10).alias("f"))
+
+
 for _mode, _w, _b in (("sum", "wd + wl", "bd + bl"), ("avg", "(wd + wl) / 2", "(bd + bl) / 2"), ("max", "greatest(wd, wl)", "greatest(bd, bl)")):
 
     @query(f"n07_combined_{_mode}", f"{MORPHED} SELECT pair_id, y, x, {r6(_w, 'ir_wth')}, {r6(_b, 'ir_bth')} FROM comb WHERE c = 'ir'")
@@ -242,22 +287,41 @@ def db4_round_trip(spark, sf_dir):
     return out(wavelets.join(wavelets.split(pixels(spark, sf_dir), ["vis"]), ["vis"]).where("y < 8 AND x < 8"), "vis")
 
 
+def wavelet_sql(low_x: tuple[float, ...], low_y: tuple[float, ...], source: str = "px", column: str = "vis", last: int = 7) -> str:
+    """CTEs up to co(pair_id, y, x, LL, LH, HL, HH): one level by joins with the taps over the border mirrored with its edge."""
+    high = lambda low: [(-1) ** (len(low) - j) * low[len(low) - 1 - j] for j in range(len(low))]
+    rows = lambda low: ", ".join(f"({j - len(low) + 1}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for j, (a, b) in enumerate(zip(low, high(low))))
+    n = (last + len(low_x)) // 2
+    at = lambda t: mirrored(f"2 * i.range + 1 + {t}.d", str(last), "symmetric")
+    return f"""wx(d, l, h) AS (VALUES {rows(low_x)}), wy(d, l, h) AS (VALUES {rows(low_y)}),
+along AS (SELECT b.pair_id, b.y, i.range AS x, sum(l * b.{column}) AS l, sum(h * b.{column}) AS h FROM range({n}) i CROSS JOIN wx JOIN {source} b ON b.x = {at("wx")} GROUP BY ALL),
+co AS (SELECT b.pair_id, i.range AS y, b.x, sum(wy.l * b.l) AS LL, sum(wy.h * b.l) AS LH, sum(wy.l * b.h) AS HL, sum(wy.h * b.h) AS HH FROM range({n}) i CROSS JOIN wy JOIN along b ON b.y = {at("wy")} GROUP BY ALL)"""
+
+
+for _name, _taps in (("n19_db4_coefficients", (wavelets.DB4, wavelets.DB4)), ("n20_first_level_coefficients", (wavelets.FIRST_A, wavelets.FIRST_B)), ("n20_quarter_shift_coefficients", (wavelets.QUARTER_B, wavelets.QUARTER_A))):
+
+    @query(_name, f"WITH {PX}, {wavelet_sql(*_taps)} SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, " + ", ".join(r6(b, f"vis_{b}") for b in wavelets.BANDS) + " FROM co")
+    def coefficients(spark, sf_dir, taps=_taps):
+        return out(wavelets.split(pixels(spark, sf_dir), ["vis"], *taps), *[f"vis_{b}" for b in wavelets.BANDS])
+
+
 @query("n20_f13_dual_tree_same_sources", f"WITH {PX} SELECT pair_id, y, x, {r6('vis', 'f')} FROM px")
 def dual_tree_same(spark, sf_dir):
-    """Fusing an image with itself gives the image: perfect reconstruction of both trees."""
+    """Fusing an image with itself gives the image: perfect reconstruction of both trees (the quarter-shift taps are published with 8 digits, so deeper levels are a test)."""
     px = pixels(spark, sf_dir).withColumn("ir", F.col("vis"))
-    return out(wavelets.dual_tree_fusion(px, wavelets.reversed_bank(), 1), "f")
+    return out(wavelets.dual_tree_fusion(px, 1), "f")
 
 
 @query("f12_db4_fusion")
 def db4_fusion(spark, sf_dir):
-    """No SQL; reconstruction and equal sources are tested."""
-    return out(wavelets.db4_fusion(pixels(spark, sf_dir), 2), "f")
+    """Three levels. No SQL; the coefficients have it, reconstruction and equal sources are tested."""
+    return out(wavelets.db4_fusion(pixels(spark, sf_dir), 3), "f")
 
 
 @query("f13_dual_tree_fusion")
 def dual_tree_fusion(spark, sf_dir):
-    return out(wavelets.dual_tree_fusion(pixels(spark, sf_dir), wavelets.reversed_bank(), 1), "f")
+    """One level here, as each further level makes the plan of four trees four times as long; more are a test. No SQL; the coefficients have it."""
+    return out(wavelets.dual_tree_fusion(pixels(spark, sf_dir), 1), "f")
 
 
 @query("n21_box_mean", f"WITH {RASTER}, {taps_sql(filters.box_taps(7))}, {stencil_sql('px', ['vis'], 63, 'symmetric', 's')} SELECT pair_id, y, x, {r6('vis', 'vis')} FROM s")
@@ -289,6 +353,56 @@ def classic_top_hat(spark, sf_dir):
     return out(fusion.classic_top_hat(pixels(spark, sf_dir), R, 1.0), "f")
 
 
+def pyramid_sql(levels: int) -> tuple[str, list[int]]:
+    """CTEs px = g0, g1, ... of a Gaussian pyramid of vis and ir over 8 x 8 pairs, and each one's last place."""
+    parts, lasts, was = [f"WITH {PX}, {taps_sql(filters.PYRAMID_TAPS)}, g0 AS (SELECT * FROM px)"], [7], "g0"
+    for k in range(1, levels):
+        parts.append(stencil_sql(was, ["vis", "ir"], lasts[-1], "mirror", f"s{k}"))
+        parts.append(f"g{k} AS (SELECT pair_id, y // 2 AS y, x // 2 AS x, vis, ir FROM s{k} WHERE y % 2 = 0 AND x % 2 = 0)")
+        lasts.append(lasts[-1] // 2)
+        was = f"g{k}"
+    return ", ".join(parts), lasts
+
+
+def blown_up(small: str, to: str, last: int, column: str) -> str:
+    """up_sql; a single place blown up to a single place is itself."""
+    return up_sql(small, to, last, column) if last else f"{to} AS (SELECT pair_id, y, x, {column} FROM {small})"
+
+
+def laplacian_sql(levels: int) -> str:
+    head, lasts = pyramid_sql(levels)
+    parts = [head, f"r{levels - 1} AS (SELECT pair_id, y, x, (vis + ir) / 2 AS vis FROM g{levels - 1})"]
+    for k in range(levels - 2, -1, -1):
+        parts += [blown_up(f"g{k + 1}", f"uv{k}", lasts[k], "vis"), blown_up(f"g{k + 1}", f"ui{k}", lasts[k], "ir"), blown_up(f"r{k + 1}", f"ur{k}", lasts[k], "vis")]
+        parts.append(f"d{k} AS (SELECT g.pair_id, g.y, g.x, g.vis - v.vis AS vis, g.ir - i.ir AS ir FROM g{k} g JOIN uv{k} v USING (pair_id, y, x) JOIN ui{k} i USING (pair_id, y, x))")
+        parts += [f"ab{k} AS (SELECT pair_id, y, x, abs(vis) AS vis, abs(ir) AS ir FROM d{k})", stencil_sql(f"ab{k}", ["vis", "ir"], lasts[k], "mirror", f"act{k}")]
+        parts.append(f"r{k} AS (SELECT d.pair_id, d.y, d.x, u.vis + CASE WHEN a.vis >= a.ir THEN d.vis ELSE d.ir END AS vis FROM d{k} d JOIN act{k} a USING (pair_id, y, x) JOIN ur{k} u USING (pair_id, y, x))")
+    return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(vis, 0.0), 1.0)', 'f')} FROM r0"
+
+
+def ratio_sql(levels: int) -> str:
+    head, lasts = pyramid_sql(levels + 1)
+    parts = [head, f"r{levels} AS (SELECT pair_id, y, x, (vis + ir) / 2 AS vis FROM g{levels})"]
+    for k in range(levels - 1, -1, -1):
+        parts += [blown_up(f"g{k + 1}", f"uv{k}", lasts[k], "vis"), blown_up(f"g{k + 1}", f"ui{k}", lasts[k], "ir"), blown_up(f"r{k + 1}", f"ur{k}", lasts[k], "vis")]
+        parts.append(f"""q{k} AS (SELECT g.pair_id, g.y, g.x, (g.vis + 1e-6) / (v.vis + 1e-6) AS a, (g.ir + 1e-6) / (i.ir + 1e-6) AS b, u.vis AS up
+  FROM g{k} g JOIN uv{k} v USING (pair_id, y, x) JOIN ui{k} i USING (pair_id, y, x) JOIN ur{k} u USING (pair_id, y, x)),
+r{k} AS (SELECT pair_id, y, x, CASE WHEN abs(a - 1) >= abs(b - 1) THEN a ELSE b END * (up + 1e-6) AS vis FROM q{k})""")
+    return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(vis, 0.0), 1.0)', 'f')} FROM r0"
+
+
+@query("f09_laplacian_fusion_whole", laplacian_sql(4))
+def laplacian_fusion_whole(spark, sf_dir):
+    """At the benchmark's four levels."""
+    return out(fusion.laplacian(pixels(spark, sf_dir), 4), "f")
+
+
+@query("f10_ratio_fusion_whole", ratio_sql(4))
+def ratio_fusion_whole(spark, sf_dir):
+    """At the benchmark's four levels."""
+    return out(fusion.ratio(pixels(spark, sf_dir), 4), "f")
+
+
 @query("f09_laplacian_fusion", f"""{DOWN}, {up_sql("lv", "uv", 7)}, {up_sql("lv", "ui", 7, "ir")},
 d AS (SELECT px.pair_id, px.y, px.x, px.vis - uv.vis AS vis, px.ir - ui.ir AS ir FROM px JOIN uv USING (pair_id, y, x) JOIN ui USING (pair_id, y, x)),
 ab AS (SELECT pair_id, y, x, abs(vis) AS vis, abs(ir) AS ir FROM d), {stencil_sql("ab", ["vis", "ir"], 7, "mirror", "act")},
@@ -320,6 +434,27 @@ def haar_fusion(spark, sf_dir):
     return out(fusion.haar(pixels(spark, sf_dir), 1), "f")
 
 
+def haar_sql(levels: int) -> str:
+    """Levels of 2 x 2 cells of both sources down, then the chosen details up from the mean of the last."""
+    parts = [f"WITH {PX}, h0 AS (SELECT * FROM px)"]
+    kinds = (("a", "0", "0"), ("h", "y % 2", "0"), ("v", "0", "x % 2"), ("d", "y % 2", "x % 2"))
+    for k in range(levels):
+        cells = ", ".join(f"{_haar_cell(c, sy, sx)} AS {c}_{n}" for c in ("vis", "ir") for n, sy, sx in kinds)
+        parts.append(f"q{k} AS (SELECT pair_id, y // 2 AS y, x // 2 AS x, {cells} FROM h{k} GROUP BY 1, 2, 3), h{k + 1} AS (SELECT pair_id, y, x, vis_a AS vis, ir_a AS ir FROM q{k})")
+    parts.append(f"r{levels} AS (SELECT pair_id, y, x, (vis + ir) / 2 AS f FROM h{levels})")
+    for k in range(levels - 1, -1, -1):
+        pick = ", ".join(f"CASE WHEN abs(vis_{n}) >= abs(ir_{n}) THEN vis_{n} ELSE ir_{n} END AS {n}" for n in "hvd")
+        parts.append(f"""s{k} AS (SELECT pair_id, y, x, f AS a, {pick} FROM q{k} JOIN r{k + 1} USING (pair_id, y, x)),
+r{k} AS (SELECT pair_id, 2 * y + i.range AS y, 2 * x + j.range AS x, (a + (1 - 2 * i.range) * h + (1 - 2 * j.range) * v + (1 - 2 * i.range) * (1 - 2 * j.range) * d) / 2 AS f FROM s{k}, range(2) i, range(2) j)""")
+    return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(f, 0.0), 1.0)', 'f')} FROM r0"
+
+
+@query("f11_haar_fusion_whole", haar_sql(3))
+def haar_fusion_whole(spark, sf_dir):
+    """At the benchmark's three levels, which 8 x 8 pairs take exactly."""
+    return out(fusion.haar(pixels(spark, sf_dir), 3), "f")
+
+
 @query("f14_j06_fan_out", f"""WITH {PX} SELECT method, pair_id, {r6("sum(CASE method WHEN 'average' THEN (vis + ir) / 2 WHEN 'vis' THEN vis ELSE ir END)", "total")}
 FROM px CROSS JOIN (VALUES ('average'), ('vis'), ('ir')) m(method) GROUP BY 1, 2""")
 def fan_out(spark, sf_dir):
@@ -436,8 +571,60 @@ metric("m18_entropy_share", f"{hist_sql('f', 'h')} SELECT pair_id, {r6('-sum(p *
 metric("m19_psnr_share", f"z AS (SELECT 1) SELECT pair_id, {r6('log10(1 / greatest((avg(power(f - vis, 2)) + avg(power(f - ir, 2))) / 2, 1e-12)) / 10', 'value')} FROM fx GROUP BY 1")(metrics.psnr_share)
 
 
+def vif_sql(scales: int) -> str:
+    """Every scale of the 64 x 64 pairs: blurred and halved from the second on, then local moments of each window."""
+    columns, parts, was, last = ["f", "vis", "ir"], ["sc1 AS (SELECT pair_id, y, x, 255 * f AS f, 255 * vis AS vis, 255 * ir AS ir FROM fx)"], "sc1", 63
+    for k in range(1, scales + 1):
+        n = 2 ** (5 - k) + 1
+        parts.append(taps_sql(filters.gaussian_taps(n, n / 5.0), f"t{k}"))
+        if k > 1:
+            half = n // 2
+            parts.append(stencil_sql(was, columns, last, "valid", f"bl{k}", f"t{k}"))
+            parts.append(f"sc{k} AS (SELECT pair_id, (y - {half}) // 2 AS y, (x - {half}) // 2 AS x, f, vis, ir FROM bl{k} WHERE (y - {half}) % 2 = 0 AND (x - {half}) % 2 = 0)")
+            was, last = f"sc{k}", (last - 2 * half) // 2
+        parts.append(MOM.replace("FROM fx", f"FROM {was}").replace("mo AS", f"mo{k} AS"))
+        parts.append(stencil_sql(f"mo{k}", MCOLS, last, "valid", f"st{k}", f"t{k}"))
+        parts.append(f"m{k} AS ({vif_one('vis', 'vv', 'fv').replace('FROM s', f'FROM st{k}')} UNION ALL {vif_one('ir', 'ii', 'fi').replace('FROM s', f'FROM st{k}')})")
+    every = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, scales + 1))
+    return ", ".join(parts) + f""", m AS ({every}), g AS (SELECT pair_id, s, s2, CASE WHEN s1 < 1e-10 THEN 0 ELSE s1 END AS s1, CASE WHEN s1 < 1e-10 OR s2 < 1e-10 THEN 0 ELSE c / (s1 + 1e-10) END AS g,
+  CASE WHEN s2 < 1e-10 THEN 0 WHEN s1 < 1e-10 THEN s2 ELSE s2 - c / (s1 + 1e-10) * c END AS sv FROM m),
+h AS (SELECT pair_id, s, sum(log10(1 + power(greatest(g, 0), 2) * s1 / (greatest(CASE WHEN g < 0 THEN s2 ELSE sv END, 1e-10) + 2))) / (sum(log10(1 + s1 / 2)) + 1e-12) AS v FROM g GROUP BY 1, 2)
+SELECT pair_id, {r6("avg(v)", "value")} FROM h GROUP BY 1"""
+
+
+metric("m11_vif", vif_sql(4), rasters=True)(metrics.vif)
+
+#: The other fifteen of the record, by the queries above: name -> (query, its column).
+RECORD = {
+    "EN": ("m01_entropy", "value"), "SD": ("m02_std_dev", "value"), "FE": ("m03_fusion_efficiency", "value"), "MG": ("m04_mean_gradient", "value"), "MI_vis": ("m05_mutual_information", "value"),
+    "SF": ("m06_spatial_frequency", "value"), "Qabf": ("m07_edge_quality", "qabf"), "Nabf": ("m07_edge_quality", "nabf"), "SSIM": ("m08_ssim", "value"), "SCD": ("m09_m10_scd", "value"),
+    "FMI": ("m12_feature_information", "value"), "Q0": ("m13_m14_m15_local_quality", "q0"), "QW": ("m13_m14_m15_local_quality", "qw"), "QE": ("m13_m14_m15_local_quality", "qe"),
+}
+
+
+def record_sql() -> str:
+    used = sorted({q for q, _ in RECORD.values()})
+    joined = " JOIN ".join(f"({ORACLES[q]}) {q}" + (" USING (pair_id)" if i else "") for i, q in enumerate(used))
+    return "SELECT pair_id, " + ", ".join(f"{q}.{c} AS {n}" for n, (q, c) in RECORD.items()) + f" FROM {joined}"
+
+
+@query("m16_evaluate_pairs", record_sql())
+def evaluate_pairs(spark, sf_dir):
+    """The record of the plain f on all 8 x 8 pairs, which are too small for VIF; one pass against each metric's own SQL."""
+    return out(metrics.evaluate(with_fused(pixels(spark, sf_dir)), with_vif=False), *RECORD, keys=("pair_id",))
+
+
+@query("a21_benchmark")
+def benchmark(spark, sf_dir):
+    """Fuse, measure, append: methods at the benchmark's parameters on the pairs that an earlier run left out. The methods and the record have SQL."""
+    px = pixels(spark, sf_dir)
+    done = px.where(F.col("pair_id") % 2 == 0).select("pair_id").distinct().withColumn("method", F.lit("average"))
+    methods = {n: fusion.METHODS[n] for n in ("classic", "haar", "average", "vis", "ir")}
+    return flows.benchmark(px, methods, done, with_vif=False)
+
+
 @query("m16_evaluate_all")
 def evaluate_all(spark, sf_dir):
-    """All sixteen metrics of the plain f on the rasters; each has its own SQL above, the sixteenth (four scales) a test."""
+    """All sixteen metrics of the plain f on the rasters; each has its own SQL above."""
     px = with_fused(raster(spark, sf_dir))
     return metrics.evaluate(px)

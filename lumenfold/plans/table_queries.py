@@ -294,10 +294,9 @@ CURVE = (0.05, 0.0703, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0)
 def curve(spark, px, r):
     """candidate, m, edges and information by the proposal, classic: information by the classic operator; over all pairs."""
     c = spark.createDataFrame([(f"{m:.4f}", r, m) for m in CURVE], "candidate string, r int, m double")
-    fused = sweep.fused_candidates(px, c, [r])
-    parts = {"edges": sweep.fitness_edges(fused), "information": sweep.fitness_information(fused), "classic": sweep.fitness_information(sweep.fused_candidates(px, c, [r], True))}
-    a, b, d = (df.withColumnRenamed("fitness", n) for n, df in parts.items())
-    return a.join(b, "candidate").join(d, "candidate").withColumn("m", F.col("candidate").cast("double"))
+    proposal = sweep.both_fitnesses(sweep.fused_candidates(px, c, [r]))
+    classic = sweep.fitness_information(sweep.fused_candidates(px, c, [r], True)).withColumnRenamed("fitness", "classic")
+    return proposal.join(classic, "candidate").withColumn("m", F.col("candidate").cast("double"))
 
 
 @query("o06_fitness_curve")
