@@ -424,8 +424,11 @@ def fit(pages: DataFrame, html_col: str = "html", smooth: float = 10.0, fitted:
         names[r["name"]] = r["outside"], r["inside"]
     total = np.maximum(1.0, names.sum(0))
     odds = np.log((names[:, 1] + smooth * total[1] / total.sum()) / (names[:, 0] + smooth * total[0] / total.sum())) - np.log(total[1] / total[0])
-    sample = named.orderBy(F.xxhash64("html"), "html").limit(fitted)  # a documented bound on labelled rows
-    looks = sample.repartition(1).mapInPandas(learn, "weights array<double>, lambdas array<double>").first()
+    # a documented bound on labelled rows: the pages of the smallest hashes; only hashes are sorted, equal pages count once
+    hashed = named.withColumn("hash", F.xxhash64("html"))
+    most = hashed.select("hash").distinct().orderBy("hash").limit(fitted).agg(F.max("hash")).first()[0]
+    sample = hashed.where(F.col("hash") <= most).groupBy("hash").agg(F.min("html").alias("html")) if most is not None else named.limit(0)
+    looks = sample.select("html").repartition(1).mapInPandas(learn, "weights array<double>, lambdas array<double>").first()
     if looks is None:
         return Model()
     return Model(np.clip(odds, -3, 3).astype(np.float32), None if looks["weights"] is None else np.array(looks["weights"]), tuple(looks["lambdas"]))
