@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm import bpe, mixing, neardup, toxicity
 from lumenfold.llm.common import written
 
-#: SQL can't express the trained classifier or the random rounding; the stages are tested one by one.
+#: SQL can't express the trained classifier or the random rounding; a brute-force version of all stages is a test.
 ORACLE_SQL = None
 
 
@@ -26,10 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; five-word shingles, similarity of 0.8 or more.
 
-    Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: one stays.
+    Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: the one of the smallest text stays.
     """
     kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select(F.col("id").alias("_kept")).distinct()
-    one = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    one = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns)))
+    one = one.groupBy("doc_id").agg(first.alias("_row")).select("_row.*")
     return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
