@@ -124,6 +124,129 @@ def test_signed_rank_without_differences_and_ties(spark):
     assert (r["w"], r["p_value"], r["effect"]) == (None, 1.0, 0.0)
 
 
+def test_statistics_without_spread(spark):
+    rows = [(m, s, t, 0.0 if m == "flat" else float(s + (t == "b"))) for m in ("flat", "other") for s in range(6) for t in "abc"]
+    meas = spark.createDataFrame(rows, "metric string, subject int, treatment string, value double")
+    got = {r["metric"]: r for r in stats.friedman(meas, 3).collect()}
+    assert (got["flat"]["p_value"], got["flat"]["significant"]) == (1.0, False) and got["other"]["p_value"] < 0.05
+    ratios = {(r["metric"], r["treatment"]): r["ratio"] for r in stats.ratio_to_best_rival(meas, set()).collect()}
+    assert ratios["flat", "a"] is None and ratios["other", "a"] == pytest.approx(3.5 / 2.5)
+
+
+def test_boxes_without_area_and_size(spark):
+    b = spark.createDataFrame([(1, 0, 1, 0.5, 0.5, 0.0, 0.0)], "image_id long, class_id int, gt_no int, cx double, cy double, w double, h double")
+    pred = b.select(F.lit("m").alias("method"), "image_id", "class_id", F.col("gt_no").alias("pred_no"), "cx", "cy", "w", "h", F.lit(0.9).alias("conf"))
+    assert [r["iou"] for r in detection.candidate_matches(b, pred, 0.0).collect()] == [0.0]
+    xml = "<annotation><size><width>0</width><height>0</height></size><object><name>Car</name><bndbox><xmin>0</xmin><ymin>0</ymin><xmax>512</xmax><ymax>384</ymax></bndbox></object></annotation>"
+    rows = spark.createDataFrame([(1, xml)], "image_id long, xml string")
+    assert [tuple(r) for r in detection.to_boxes(detection.parse_annotations(rows), ("People", "Car")).collect()] == [(1, 1, 0.25, 0.25, 0.5, 0.5)]
+    assert detection.manifest(b, ("People", "Car")).first().asDict() == {"nc": 2, "names": ["People", "Car"], "seen": 1}
+
+
+def reflected(v, p, off):
+    n = len(v)
+    period = max(1, 2 * (n - 1) + 2 * off)
+    p %= period
+    return v[min(p, period - off - p)]
+
+
+@pytest.mark.parametrize("border, off", [("mirror", 0), ("symmetric", 1)])
+def test_filters_on_images_smaller_than_their_taps(spark, border, off):
+    v = noise(21, (3, 5))
+    taps = filters.gaussian_taps(11, 1.5)
+    along = lambda line: [sum(w * reflected(line, i + d, off) for d, w in taps.items()) for i in range(len(line))]
+    want = np.apply_along_axis(along, 0, np.apply_along_axis(along, 1, v))
+    assert np.allclose(image(filters.separable(relation(spark, (v, v)), ["vis"], taps, border), "vis", v.shape), want)
+
+
+def test_small_images_and_missing_pixels(spark):
+    v = noise(22, (3, 5))
+    assert np.allclose(image(wavelets.db4_fusion(relation(spark, (v, v)), 2), "f", v.shape), v, atol=1e-9)
+    assert np.allclose(image(wavelets.dual_tree_fusion(relation(spark, (v, v)), 1), "f", v.shape), v, atol=1e-9)
+    row = spark.createDataFrame([(0, 0, x, float(x * x), 0.0) for x in (0, 1, 2, 4, 5)], SCHEMA)
+    got = {r["x"]: r["vis_gx"] for r in filters.central_gradient(row, ["vis"]).collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 3.0, 4: 9.0, 5: 9.0}  # one-sided beside the gap
+    with pytest.raises(Exception, match="whole lines"):
+        filters.separable(row, ["vis"], filters.PYRAMID_TAPS).collect()
+    with pytest.raises(Exception, match="without missing"):
+        morphology.line_filter(row, {"lo": ("min", "vis")}, 5, 0).collect()
+
+
+@pytest.mark.parametrize("k", [4, 7, 8, 25])
+def test_lines_by_doubling_equal_frames(spark, k):
+    v = noise(23, (6, 31))
+    px = relation(spark, (v, v))
+    for direction in morphology.DIRECTIONS:
+        wanted = {"lo": ("min", "vis"), "hi": ("max", "vis")}
+        wide = morphology.line_filter(px, wanted, k, direction)
+        w = morphology._line_window(("pair_id",), direction).rangeBetween(-k, k)
+        plain = px.withColumns({"lo": F.min("vis").over(w), "hi": F.max("vis").over(w)})
+        for c in wanted:
+            assert np.array_equal(image(wide, c, v.shape), image(plain, c, v.shape))
+
+
+def test_records_equal_the_single_metrics(spark):
+    px = relation(spark, (noise(24, (48, 48)), noise(25, (48, 48)))).withColumn("f", F.greatest("vis", "ir"))
+    got = metrics.evaluate(px).first()
+    single = {
+        "EN": metrics.entropy(px, "f"), "SD": metrics.std_dev(px), "FE": metrics.fusion_efficiency(px), "MG": metrics.mean_gradient(px), "MI_ir": metrics.mutual_information(px, "f", "ir"),
+        "SF": metrics.spatial_frequency(px), "SSIM": metrics.ssim(px), "SCD": metrics.scd(px), "VIF": metrics.vif(px), "FMI": metrics.feature_information(px),
+    }
+    for name, df in single.items():
+        assert got[name] == pytest.approx(df.first()["value"], abs=1e-9), name
+    fast = metrics.fast_pass(px).first()
+    assert fast["ssim"] == pytest.approx(metrics.ssim_fast(px).first()["value"]) and fast["psnr"] == pytest.approx(metrics.psnr_share(px).first()["value"])
+    assert fast["en"] == pytest.approx(metrics.entropy(px, "f", floor=0.0).first()["value"]) and fast["nabf"] == pytest.approx(metrics.edge_quality(px, True).first()["nabf"])
+
+
+def test_numbers_over_an_order(spark):
+    from lumenfold.operators.ordering import numbered
+
+    keys = [None, *range(3000), 5, 5, *range(10_000, 10_200)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(7)
+    got = [r["k"] for r in numbered(rows, "k", "i", parts=8).orderBy("rn").collect()]
+    assert got == sorted(keys, key=lambda k: -1 if k is None else k)
+    assert sorted(r["rn"] for r in numbered(rows, "k", "i").collect()) == list(range(1, len(keys) + 1))
+    assert numbered(rows.limit(0), "k").count() == 0
+
+
+def test_discovery_takes_whole_folder_names(spark):
+    files = spark.createDataFrame([("x/stair/a.png",), ("x/IR/b.png",), ("y/IR/a.png",), ("ir/c.png",)], "path string")
+    got = {r["stem"]: (r["path"], r["rank"]) for r in listing.discover(files, ["ir"]).collect()}
+    assert got == {"a": ("y/IR/a.png", 0), "b": ("x/IR/b.png", 0), "c": ("ir/c.png", 0)}
+
+
+def test_far_tails_keep_their_digits(spark):
+    import math
+
+    df = spark.createDataFrame([(x,) for x in (1.9, 2.1, 6.0, 9.0, 20.0)], "x double")
+    for r in df.select("x", tails.normal_two_sided(F.col("x")).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(r["x"] / math.sqrt(2)), rel=1e-9)
+
+
+def test_a_resumed_sweep_equals_a_whole_one(spark, tmp_path):
+    px = relation(spark, (noise(11), noise(12)))
+
+    def keeper(name):
+        def keep(state, t):
+            state.write.mode("overwrite").parquet(f"file://{tmp_path}/{name}{t}")
+            return spark.read.parquet(f"file://{tmp_path}/{name}{t}")
+
+        return keep
+
+    configs = spark.createDataFrame([(2, 1), (2, 2)], "n int, rounds int")
+    bounds = dict(sweep.BOUNDS)
+    try:
+        sweep.BOUNDS["r"] = (1.0, 2.0)
+        whole = sweep.run(px, configs, sweep.fitness_information, 2, keeper("a"), classic=True)
+        half = sweep.run(px, configs, sweep.fitness_information, 1, keeper("b"), classic=True)
+        rest = sweep.run(px, configs, sweep.fitness_information, 2, keeper("c"), classic=True, resume=(half, 1))
+    finally:
+        sweep.BOUNDS.update(bounds)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(whole) == rows(rest) and len(rows(rest)) == 4
+
+
 def test_tails(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.3, 1.0, 1.96, 4.5, 9.0)], "x double")
     import math
