@@ -26,12 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; five-word shingles, similarity of 0.8 or more.
 
-    Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: the one of the smallest text stays.
+    Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: the one of the smallest hash stays.
     """
     kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select(F.col("id").alias("_kept")).distinct()
-    one = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi")
-    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns)))
-    one = one.groupBy("doc_id").agg(first.alias("_row")).select("_row.*")
+    row = F.xxhash64(*docs.columns)
+    first = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("_hash")).withColumnRenamed("doc_id", "_id")
+    kept = written(first.join(kept, F.col("_id") == F.col("_kept"), "left_semi"))
+    one = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (row == F.col("_hash")), "left_semi").dropDuplicates(["doc_id"])  # equal rows
     return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
