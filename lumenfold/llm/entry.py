@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, lm, media, mixing, neardup, topk, toxicity, urls
+from . import align, bpe, chat, html, licenses, lm, media, mixing, neardup, resample, topk, toxicity, urls
 from .common import crc_bucket, read
 
 
@@ -137,9 +137,94 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    out = align.align_texts(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+
+
+def op12_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), BASE_PHRASES).withColumnRenamed("id", "doc_id").drop("found")
+
+
+def _op12_sql() -> str:
+    """Every rule at every word of every document that holds one of its keywords, without blocks."""
+    found = licenses.rules(BASE_PHRASES)
+    reach = max(licenses.width(r[5]) for r in found)
+    rows = ", ".join(f"({rank}, {cls}, '{label}', {weight}, '{needs[0]}', '^((?:{pattern.replace('W', '[^ ]+')}))(?: |$)')" for rank, cls, label, weight, needs, pattern in found)
+    return f"""
+WITH rules (rank, class, label, weight, needs, pattern) AS (VALUES {rows}),
+w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), able AS MATERIALIZED (
+  SELECT doc_id, w, list(rank) AS ranks FROM w JOIN rules ON list_contains(w, needs) GROUP BY doc_id, w
+), places AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS start, array_to_string(w[i:i + {reach - 1}], ' ') AS here, ranks FROM (SELECT doc_id, w, ranks, unnest(range(1, len(w) + 1)) AS i FROM able)
+), tried AS (
+  SELECT doc_id, start, here, unnest(ranks) AS rank FROM places
+), hits AS MATERIALIZED (
+  SELECT doc_id, start, rank, class, label, weight, start + len(hit) - len(replace(hit, ' ', '')) AS stop FROM (
+    SELECT *, regexp_extract(here, pattern, 1) AS hit FROM tried JOIN rules USING (rank) WHERE contains(here, needs)
+  ) WHERE hit <> ''
+), kept AS (
+  SELECT * FROM hits d WHERE class < 0 OR NOT EXISTS (
+    SELECT 1 FROM hits e WHERE e.doc_id = d.doc_id AND e.class >= 0 AND e.rank < d.rank AND e.start <= d.start AND e.stop >= d.stop)
+), found AS (
+  SELECT doc_id, count(*) FILTER (class < 0) AS n_base, min(start) FILTER (class < 0) AS first_word, max(start) FILTER (class < 0) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (class < 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(weight) AS score
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN found USING (doc_id)
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc (n, k, v) AS (
+  SELECT n, 0, n FROM range(256) t (n)
+  UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8
+), steps AS MATERIALIZED (SELECT list(v ORDER BY n) AS t FROM crc WHERE k = 8),
+texts AS (
+  SELECT doc_id, text, true AS raw FROM documents UNION ALL SELECT NULL, text, false FROM benchmark
+), words AS MATERIALIZED (
+  SELECT doc_id, raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), each AS MATERIALIZED (
+  SELECT doc_id, raw, w, count(*) AS k FROM (SELECT doc_id, raw, unnest(w) AS w FROM words) GROUP BY ALL
+), hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_concat([4294967295], [CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, octet_length(encode(w)) + 1)]),
+    lambda a, b: xor(a >> 8, t[CAST(xor(a % 256, b) AS BIGINT) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM each), steps
+), counts AS (
+  SELECT bucket, coalesce(sum(k) FILTER (raw), 0) AS s, coalesce(sum(k) FILTER (NOT raw), 0) AS t FROM each JOIN hashed USING (w) GROUP BY bucket
+), gain AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * ((SELECT sum(s) FROM counts) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT sum(t) FROM counts) + 10000)))) AS g FROM counts
+), weights AS (
+  SELECT doc_id, CAST(sum(g * k) AS BIGINT) AS weight FROM each JOIN hashed USING (w) JOIN gain USING (bucket) WHERE raw GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(d.w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM words d LEFT JOIN weights USING (doc_id) WHERE raw
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_format_chat": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op1_format_chat": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op6_exact_top_k": OP6_SQL, "op12_scan_licenses": _op12_sql(), "op13_importance_resampling": OP13_SQL}
