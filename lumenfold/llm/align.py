@@ -7,8 +7,8 @@ ends slice both id lists into groups. Within a group an A and a B token are link
 
 A text is cut at every single space between two characters that aren't white space. There both tokenizers start
 anew (A's pattern begins a pre-token; no piece of B goes on over a space, which ``Aligner`` verifies), so a
-cut is a common end, and what is between two cuts is aligned on its own. Short parts repeat, so a bounded
-number of them is remembered. A very long text is read in sections that end at a cut, so that memory holds one
+cut is a common end, and what is between two cuts is aligned on its own. Parts repeat, so a bounded number of
+them is remembered. A very long text is read in sections that end at a cut, so that memory holds one
 section and the text's distinct linked pairs; a text without a cut is one part.
 
 How many documents hold a pair linked is counted over all documents. Documents come in blocks of about ``BLOCK``
@@ -23,13 +23,15 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Characters of a section, longest part and number of parts that are remembered, pairs of a block.
-SECTION, SHORT, REMEMBERED, BLOCK = 1 << 18, 64, 1 << 18, 1 << 20
+#: Characters of a section and of the sections that are worked on together, number of parts that are remembered, pairs of a block.
+SECTION, SLICE, REMEMBERED, BLOCK = 1 << 18, 1 << 20, 1 << 18, 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
+UNEVEN = re.compile(r"[^\S ]|  |\A | \Z")  # white space that isn't one space between two characters
+#: Parts of these characters only are told apart alike by all libraries; others go through the tokenizer's own.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
+#: The pre-tokens of byte-level BPE (fixed, published pattern).
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"
 FOUND = "block long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -58,34 +65,29 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(SPACE, " ").encode()
 
 
-def align(a_ids: list[int], a_sizes: list[int], b_ids: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
-    """(groups as text, their number, links as a << 32 | b) of two token lists over the same bytes."""
-    a_at, b_at, end = {}, {}, 0
-    for i, n in enumerate(a_sizes, 1):
-        a_at[end := end + n] = i
-    end = 0
-    for i, n in enumerate(b_sizes, 1):
-        b_at[end := end + n] = i
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
+def align(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
+    """(common ends, groups as text, link ends, links as a << 32 | b) of two token lists over the same bytes, from their ends.
+
+    A stretch between two neighbouring ends of either list lies in one token of each, and two tokens that overlap share just
+    one stretch: within a slice each stretch is a link, and it ends where the link is counted.
+    """
+    a_at, b_at = dict(zip(a_ends.tolist(), count(1))), dict(zip(b_ends.tolist(), count(1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    groups, i, j, a_text, b_text = [], 0, 0, list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+    for end in common:
         i2, j2 = a_at[end], b_at[end]
-        groups.append(f"{','.join(map(str, a_ids[i:i2]))}|{','.join(map(str, b_ids[j:j2]))}")
-        a_end, b_end = a_sizes[i], b_sizes[j]
-        links.append(a_ids[i] << 32 | b_ids[j])
-        while i < i2 - 1 or j < j2 - 1:  # within a group no two ends are equal: go on where the token ends first
-            if a_end < b_end:
-                i += 1
-                a_end += a_sizes[i]
-            else:
-                j += 1
-                b_end += b_sizes[j]
-            links.append(a_ids[i] << 32 | b_ids[j])
+        groups.append(a_text[i] + "|" + b_text[j] if i2 - i == j2 - j == 1 else ",".join(a_text[i:i2]) + "|" + ",".join(b_text[j:j2]))
         i, j = i2, j2
-    return ";".join(groups), len(groups), links
+    ends = np.union1d(a_ends, b_ends)
+    return common, groups, ends, a_ids[np.searchsorted(a_ends, ends)] << 32 | b_ids[np.searchsorted(b_ends, ends)]
 
 
 class Aligner:
-    """Two tokenizers and what is remembered of short parts; each Python worker builds one."""
+    """Two tokenizers and what is remembered of parts; each Python worker builds one.
+
+    A part has a code, and under it stand its counts, its groups as text and its links, so that a text is an array of
+    codes and what is gathered from it comes by sums over arrays.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,55 +97,144 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        letters, self.a_bytes = byte_letters(), {}
-        for entry, i in vocabulary.items():
+            model = json.load(f)["model"]
+        letters, self.a_bytes = byte_letters(), [b""] * (max(model["vocab"].values()) + 1)
+        for entry, i in model["vocab"].items():
             self.a_bytes[i] = bytes(letters[c] for c in entry)
+        self.a_fast = self._ranks(model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError("a piece goes on over a space: texts can't be cut there")
         self.b_bytes = [piece_bytes(p) for p in pieces]
-        self.known: dict[str, tuple | None] = {}
-
-    def parts(self, parts: list[str]) -> dict[str, tuple | None]:
-        """Each distinct part (a space goes before it) to (n_a, n_b, groups, n_groups, links); None if it isn't spelt."""
-        found, new = {}, []
-        for p in dict.fromkeys(parts):
-            if p in self.known:
-                found[p] = self.known[p]
-            else:
-                new.append(p)
-        if new:
-            for p, a, b in zip(new, self.a.encode_batch([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1)):
-                found[p] = self._aligned(p, a.ids, b)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-            self.known.update((p, found[p]) for p in new[:REMEMBERED] if len(p) <= SHORT)
-        return found
-
-    def _aligned(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        spelt = (" " + part).encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != spelt or b"".join(b_bytes) != spelt:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), "i8") for x in (self.a_bytes, self.b_bytes))
+        self._forget()
+
+    def _ranks(self, model: dict):
+        """A's merges for a quicker library, where they come in the order of their ids, so that the ids are ranks; else None."""
+        import tiktoken
+
+        vocab, merges = model["vocab"], (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        made = [vocab[x + y] for x, y in merges]
+        if made != sorted(made) or self.a.pre_tokenizer is None or "use_regex=True" not in repr(self.a.pre_tokenizer):
             return None
-        groups, n, links = align(a, list(map(len, a_bytes)), b, list(map(len, b_bytes)))
-        return len(a), len(b), groups, n, links
-
-    def text(self, text: str | None) -> tuple[int, int, int, int, str, Counter]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, how often each pair is linked)."""
-        n_a = n_b = n_groups = n_links = 0
-        pairs, digest = Counter(), hashlib.sha256()
-        for k, section in enumerate(sections(text or "")):
-            parts = CUT.split(section)
-            found = self.parts(parts)
-            for p, times in Counter(parts).items():
-                if (one := found[p]) is None:
-                    return 0, 0, 0, 0, "", Counter()
-                n_a, n_b, n_groups, n_links = n_a + times * one[0], n_b + times * one[1], n_groups + times * one[3], n_links + times * len(one[4])
-                for link in one[4]:
-                    pairs[link] += times
-            digest.update((";" * (k > 0) + ";".join([found[p][2] for p in parts])).encode())
-        return n_a, n_b, n_groups, n_links, digest.hexdigest() if n_groups else "", pairs
+        ranks = {self.a_bytes[i]: i for i in vocab.values()}
+        return tiktoken.Encoding("a", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str | None] = []  # None: not spelt by both
+        self.counts = array("q")  # n_a, n_b, n_groups, n_links of each code
+        self.links, self.starts, self.chars = array("q"), array("q", [0]), 0
+
+    def _learn(self, new: list[str]) -> None:
+        """Codes for new parts, of which each begins after a cut: their tokens are laid end to end and aligned at once."""
+        text, plain = " " + " ".join(new), self.a_fast is not None and all(map(PLAIN.fullmatch, new))
+        a = self.a_fast.encode_ordinary(text) if plain else list(chain.from_iterable(e.ids for e in self.a.encode_batch([" " + p for p in new], add_special_tokens=False)))
+        b = list(chain.from_iterable(self.b.encode(new, num_threads=1)))
+        spelt = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
+            if len(new) > 1:
+                self._learn(new[: len(new) // 2])
+                return self._learn(new[len(new) // 2 :])
+            return self._add(new, [None], np.zeros((1, 4), "i8"), np.zeros(0, "i8"))
+        a, b = np.array(a, "i8"), np.array(b, "i8")
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common, groups, link_ends, links = align(a, a_ends, b, b_ends)
+        part_ends = np.cumsum([1 + len(p.encode()) for p in new])
+        borders = np.stack([np.searchsorted(ends, part_ends, "right") for ends in (a_ends, b_ends, common, link_ends)], axis=1)
+        at = [0, *borders[:, 2].tolist()]
+        self._add(new, [";".join(groups[i:j]) for i, j in zip(at, at[1:])], np.diff(borders, axis=0, prepend=0), links)
+
+    def _add(self, new: list[str], groups: list[str | None], counts: np.ndarray, links: np.ndarray) -> None:
+        self.known.update(zip(new, count(len(self.groups))))
+        self.groups += groups
+        self.counts.frombytes(counts.tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(counts[:, 3])).tobytes())
+        self.links.frombytes(links.tobytes())
+        self.chars += sum(map(len, new))
+
+    def codes(self, parts: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(p for p in parts if p not in self.known))
+        for some in ([p for p in new if PLAIN.fullmatch(p)], [p for p in new if not PLAIN.fullmatch(p)]):
+            for i in range(0, len(some), 4096):
+                self._learn(some[i : i + 4096])
+        return np.fromiter(map(self.known.__getitem__, parts), "i8", len(parts))
+
+    def _gather(self, some: list[str]) -> Iterator[tuple[np.ndarray | None, str, np.ndarray, np.ndarray]]:
+        """For each of some sections: its four counts (None: not spelt), its groups, its distinct links and how often each occurs."""
+        if len(self.known) > REMEMBERED or self.chars > 64 * REMEMBERED:
+            self._forget()
+        parts = [cut_parts(section) for section in some]
+        sizes = np.fromiter(map(len, parts), "i8", len(parts))
+        codes = self.codes(list(chain.from_iterable(parts)))
+        ends = np.cumsum(sizes)
+        counts, links, starts = np.array(self.counts, "i8").reshape(-1, 4), np.array(self.links, "i8"), np.array(self.starts, "i8")
+        # each section's distinct codes, then their links laid side by side, then the distinct ones of these
+        keys, times = np.unique(np.repeat(np.arange(len(parts)), sizes) * len(counts) + codes, return_counts=True)
+        section, code = keys // len(counts), keys % len(counts)
+        n = starts[code + 1] - starts[code]
+        at = np.repeat(starts[code] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        pair, section, times = links[at], np.repeat(section, n), np.repeat(times, n)
+        order = np.lexsort((pair, section))
+        pair, section, times = pair[order], section[order], times[order]
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (section[1:] != section[:-1]))) if len(pair) else np.zeros(0, "i8")
+        times = np.add.reduceat(times, first) if len(first) else times
+        pair, borders = pair[first], np.searchsorted(section[first], np.arange(len(parts) + 1))
+        for k in range(len(parts)):
+            own = codes[ends[k] - sizes[k] : ends[k]]
+            texts = list(map(self.groups.__getitem__, own.tolist()))
+            spelt = None not in texts
+            yield counts[own].sum(axis=0) if spelt else None, ";".join(texts) if spelt else "", pair[borders[k] : borders[k + 1]], times[borders[k] : borders[k + 1]]
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """For each text n_a, n_b, n_groups, n_links, groups_sha256, its distinct links (a << 32 | b) and how often each occurs."""
+        nothing = np.zeros(0, "i8")
+
+        def found() -> tuple:
+            if total is None or not total[0]:
+                return 0, 0, 0, 0, "", nothing, nothing
+            pair, n = pairs[0], times[0]
+            if len(pairs) > 1:
+                pair, where = np.unique(np.concatenate(pairs), return_inverse=True)
+                n = np.bincount(where, np.concatenate(times)).astype("i8")
+            return *map(int, total), digest.hexdigest(), pair, n
+
+        total, digest, pairs, times = np.zeros(4, "i8"), hashlib.sha256(), [], []
+        for some in slices_of(texts):
+            for (_, last), (counts, groups, pair, n) in zip(some, self._gather([section for section, _ in some])):
+                if counts is None or total is None:
+                    total, pairs, times = None, [], []
+                else:
+                    digest.update((";" * bool(total[2]) + groups).encode())
+                    total = total + counts
+                    pairs.append(pair)
+                    times.append(n)
+                if last:
+                    yield found()
+                    total, digest, pairs, times = np.zeros(4, "i8"), hashlib.sha256(), [], []
+
+
+def cut_parts(section: str) -> list[str]:
+    """The parts between the cuts of a section."""
+    return CUT.split(section) if UNEVEN.search(section) else section.split(" ")
+
+
+def slices_of(texts: Iterable[str | None]) -> Iterator[list[tuple[str, bool]]]:
+    """(section, whether it is its text's last) of all texts in order, some at a time; an empty text is one empty section."""
+    some, chars = [], 0
+    for text in texts:
+        held = None
+        for section in sections(text or ""):
+            if held is not None:
+                some.append((held, False))
+            held = section
+            chars += len(section)
+            if chars >= SLICE and some:
+                yield some
+                some, chars = [], len(section)
+        some.append((held or "", True))
+    if some:
+        yield some
 
 
 def sections(text: str, chars: int = SECTION) -> Iterator[str]:
@@ -165,6 +256,7 @@ def _of_docs(rows: Iterator[pa.RecordBatch], a_path: str, b_path: str, most: int
     from pyspark import TaskContext
 
     both = aligner(a_path, b_path)
+    gc.disable()  # what is remembered has no cycles, and looking for some takes an eighth of the time
     block, full, out, held = TaskContext.get().partitionId() << 32, 0, [], 0
     schema = pa.schema([(n, pa.int64()) for n in ("block", "id", "n_a", "n_b", "n_groups", "n_links")] + [("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
@@ -172,17 +264,15 @@ def _of_docs(rows: Iterator[pa.RecordBatch], a_path: str, b_path: str, most: int
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     for some in rows:
-        for i, text in zip(some.column(0), some.column(1)):
-            *counts, pairs = both.text(text.as_py())
+        for i, (*counts, pairs, times) in zip(some.column(0), both.texts(t.as_py() for t in some.column(1))):
             if full and full + len(pairs) > most:
                 block, full = block + 1, 0
-            # plain int64 arrays: a very long text's pairs aren't held as Python numbers
-            n = len(pairs)
-            out.append((block, i.as_py(), *counts, np.fromiter(pairs.keys(), "i8", n), np.fromiter(pairs.values(), "i8", n)))
-            full, held = full + n, held + n
+            out.append((block, i.as_py(), *counts, pairs, times))
+            full, held = full + len(pairs), held + len(pairs)
             if held > most // 8 or len(out) >= 4096:
                 yield batch()
                 out, held = [], 0
+    gc.enable()
     if out:
         yield batch()
 

@@ -65,11 +65,10 @@ def mixed_texts(n, seed=1):
 def test_alignment_equals_spans_of_whole_texts(spark, monkeypatch, block, section, remembered):
     texts = ODD + mixed_texts(60) + mixed_texts(5, 2) + ["same text again"] * 4
     monkeypatch.setattr(align, "REMEMBERED", remembered)
+    monkeypatch.setattr(align.sections, "__defaults__", (section,))
     both = align.Aligner(A, B)
-    for text in texts:
-        monkeypatch.setattr(align.sections, "__defaults__", (section,))
-        n_a, n_b, n_groups, n_links, digest, pairs = both.text(text)
-        assert sum(pairs.values()) == n_links and (n_a > 0) == (digest != "")
+    for n_a, _, _, n_links, digest, pairs, times in both.texts(texts):
+        assert len(set(pairs)) == len(pairs) and times.sum() == n_links and (n_a > 0) == (digest != "")
     rows = [(i if i != 3 else None, t, "c", 7) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pairs string, block int").repartition(3)
     got = align.align_texts(docs, A, B, block=block).collect()
@@ -77,13 +76,18 @@ def test_alignment_equals_spans_of_whole_texts(spark, monkeypatch, block, sectio
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-def test_alignment_in_sections(monkeypatch):
-    texts = mixed_texts(40)
-    want = [align.Aligner(A, B).text(t) for t in texts[:1]] and [(lambda x: x.text(t))(both) for both in [align.Aligner(A, B)] for t in texts]
-    monkeypatch.setattr(align.sections, "__defaults__", (1,))
-    both = align.Aligner(A, B)
-    assert [both.text(t) for t in texts] == want
-    assert max(len(list(align.sections(t))) for t in texts) > 5
+@pytest.mark.parametrize("section, slice_, remembered", [(1, 1 << 20, 1 << 18), (30, 1, 50), (1 << 18, 100, 1)])
+def test_alignment_in_sections(monkeypatch, section, slice_, remembered):
+    texts = mixed_texts(40) + ODD
+    as_rows = lambda found: [(*r[:5], dict(zip(r[5].tolist(), r[6].tolist()))) for r in found]
+    want = as_rows(align.Aligner(A, B).texts(texts))
+    monkeypatch.setattr(align.sections, "__defaults__", (section,))
+    monkeypatch.setattr(align, "SLICE", slice_)
+    monkeypatch.setattr(align, "REMEMBERED", remembered)
+    assert as_rows(align.Aligner(A, B).texts(texts)) == want
+    assert ["".join(x for x, _ in s) for s in align.slices_of(["", None])] == [""]
+    for t in mixed_texts(40):
+        assert " ".join(align.sections(t)) == t and align.cut_parts(t) == align.CUT.split(t)
 
 
 def test_alignment_of_the_given_documents(spark):
