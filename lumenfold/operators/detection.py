@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .ordering import numbered as numbered_rows
 
 #: Tells the boxes of an image apart, whatever ids repeat.
@@ -124,49 +125,69 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def match(candidates: DataFrame) -> DataFrame:
-    """method, image_id, class_id, pred_no of the true positives: predictions, surest first, take the best box still free.
+def match(candidates: DataFrame, overlaps: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """method, image_id, class_id, pred_no, hits of the true positives: predictions, surest first, take the best box still free.
 
-    Greedy matching is sequential within an image and class, a small group: a fold over its sorted candidates.
+    hits says for each overlap whether the prediction is one there. Greedy matching is sequential within an image and
+    class, a small group: its sorted candidates are gathered once and folded for every overlap over those that reach it.
     """
     c = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("sure"), "pred_no", (-F.col("iou")).alias("far"), "gt_no")))
     g = candidates.groupBy("method", "image_id", "class_id").agg(c.alias("c"))
     none = F.array().cast("array<int>")
-    taken = F.aggregate(
-        "c", F.struct(none.alias("p"), none.alias("g")),
-        lambda s, x: F.when(F.array_contains(s["p"], x["pred_no"]) | F.array_contains(s["g"], x["gt_no"]), s).otherwise(
-            F.struct(F.array_append(s["p"], x["pred_no"]).alias("p"), F.array_append(s["g"], x["gt_no"]).alias("g"))
-        ),
-    )
-    return g.select("method", "image_id", "class_id", F.explode(taken["p"]).alias("pred_no"))
 
+    def taken(least: float) -> Column:
+        return F.aggregate(
+            F.filter("c", lambda x: -x["far"] >= least), F.struct(none.alias("p"), none.alias("g")),
+            lambda s, x: F.when(F.array_contains(s["p"], x["pred_no"]) | F.array_contains(s["g"], x["gt_no"]), s).otherwise(
+                F.struct(F.array_append(s["p"], x["pred_no"]).alias("p"), F.array_append(s["g"], x["gt_no"]).alias("g"))
+            ),
+        )["p"]
 
-def average_precision(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """method, class_id, ap, n_gt, tp, fp: average precision at an overlap, by 101 recall points."""
+    g = g.select("method", "image_id", "class_id", F.array(*[taken(o) for o in overlaps]).alias("taken"))
+    g = g.withColumn("pred_no", F.explode(F.array_distinct(F.flatten("taken"))))
+    return g.select("method", "image_id", "class_id", "pred_no", F.transform("taken", lambda t: F.array_contains(t, F.col("pred_no"))).alias("hits"))
+
+
+def average_precisions(gt: DataFrame, pred: DataFrame, overlaps: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """method, class_id, overlap, ap, n_gt, tp, fp: average precision at each overlap, by 101 recall points.
+
+    One pass for all overlaps: boxes are numbered, matched and ranked once, and the running counts of all overlaps are
+    columns of the same windows.
+    """
     gt = numbered(gt, "gt_no", *GT_ORDER)
     pred = numbered(pred, "pred_no", F.desc("conf"), *GT_ORDER)
-    hits = match(candidate_matches(gt, pred, least)).withColumn("hit", F.lit(1))
-    p = pred.join(hits, ["method", "image_id", "class_id", "pred_no"], "left").fillna(0, ["hit"])
+    hits = match(candidate_matches(gt, pred, min(overlaps)), overlaps)
+    p = pred.select("method", "image_id", "class_id", "pred_no", "conf").join(hits, ["method", "image_id", "class_id", "pred_no"], "left")
+    ks = range(len(overlaps))
+    p = p.withColumns({f"hit{k}": F.coalesce(F.get("hits", F.lit(k)), F.lit(False)).cast("int") for k in ks}).drop("hits")
     # running counts in two steps: over slots of confidence, of which a class has at most SLOTS + 1, and within each slot
     slot = ["method", "class_id", "_slot"]
-    p = p.withColumn("_slot", F.floor((1 - F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0))) * SLOTS).cast("int"))
+    p = staged(p.withColumn("_slot", F.floor((1 - F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0))) * SLOTS).cast("int")), tuple(slot))
     before = Window.partitionBy("method", "class_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = p.groupBy(*slot).agg(F.sum("hit").alias("_h"), F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*slot, F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    starts = p.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"hit{k}").alias(f"_h{k}") for k in ks])
+    sofar = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = starts.select(*slot, sofar("_n").alias("_at"), *[sofar(f"_h{k}").alias(f"_tp{k}") for k in ks])
     by = Window.partitionBy(*slot).orderBy(F.desc("conf"), "image_id", "pred_no")
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = p.join(starts, slot).withColumns({"tp": F.col("_tp") + F.sum("hit").over(so_far), "at": F.col("_at") + F.row_number().over(by)})
-    p = p.join(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")), "class_id")
-    p = p.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("at")})
+    within = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = p.withColumns({f"_in{k}": F.sum(f"hit{k}").over(within) for k in ks} | {"_pos": F.row_number().over(by)})
+    n_gt = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
+    p = p.join(starts, slot).join(F.broadcast(n_gt), "class_id")  # a row for each class
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hit{k}").alias("hit"), (F.col(f"_tp{k}") + F.col(f"_in{k}")).alias("tp")) for k in ks])
+    p = p.select("method", "class_id", "n_gt", (F.col("_at") + F.col("_pos")).alias("at"), F.explode(each).alias("o")).select("method", "class_id", "n_gt", "at", "o.*")
     # the precision envelope at 101 recall points: the largest precision at any recall that reaches the point
-    reach = F.floor(F.col("recall") * 100 + 1e-9).cast("int")
-    best = p.groupBy("method", "class_id", reach.alias("point")).agg(F.max("precision").alias("precision"))
-    points = F.explode(F.sequence(F.lit(0), F.lit(100)))
-    frame = p.select("method", "class_id").distinct().withColumn("point", points).join(best, ["method", "class_id", "point"], "left")
-    envelope = F.max("precision").over(Window.partitionBy("method", "class_id").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ap = frame.withColumn("e", F.coalesce(envelope, F.lit(0.0))).groupBy("method", "class_id").agg(F.avg("e").alias("ap"))
-    counts = p.groupBy("method", "class_id").agg(F.max("n_gt").alias("n_gt"), F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp"))
-    return ap.join(counts, ["method", "class_id"])
+    point = F.floor(F.col("tp") / F.col("n_gt") * 100 + 1e-9).cast("int")
+    best = p.groupBy("method", "class_id", "k", point.alias("point")).agg(F.max(F.col("tp") / F.col("at")).alias("precision"), F.max("n_gt").alias("n_gt"), F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp"))
+    best = staged(best, ("method", "class_id", "k"))  # at most 101 rows for each of these
+    counts = best.groupBy("method", "class_id", "k").agg(F.max("n_gt").alias("n_gt"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    frame = counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(100)))).join(best.select("method", "class_id", "k", "point", "precision"), ["method", "class_id", "k", "point"], "left")
+    envelope = F.max("precision").over(Window.partitionBy("method", "class_id", "k").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ap = frame.withColumn("e", F.coalesce(envelope, F.lit(0.0))).groupBy("method", "class_id", "k").agg(F.avg("e").alias("ap"), *[F.max(c).alias(c) for c in ("n_gt", "tp", "fp")])
+    return ap.select("method", "class_id", F.element_at(F.array(*[F.lit(o) for o in overlaps]), F.col("k") + 1).alias("overlap"), "ap", "n_gt", "tp", "fp")
+
+
+def average_precision(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """method, class_id, ap, n_gt, tp, fp at one overlap."""
+    return average_precisions(gt, pred, (least,)).drop("overlap")
 
 
 def scores(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -177,11 +198,7 @@ def scores(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 def mean_ap(gt: DataFrame, pred: DataFrame, overlaps: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))) -> DataFrame:
     """method, map50_95: mean over overlaps and classes."""
-    parts = [average_precision(gt, pred, o).select("method", "class_id", "ap") for o in overlaps]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("method").agg(F.avg("ap").alias("map50_95"))
+    return average_precisions(gt, pred, overlaps).groupBy("method").agg(F.avg("ap").alias("map50_95"))
 
 
 def wide_ap(ap: DataFrame, names: dict[int, str]) -> DataFrame:

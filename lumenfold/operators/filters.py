@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,28 +24,28 @@ def box_taps(n: int) -> dict[int, float]:
 
 
 def _padded(px: DataFrame, axis: str, k: int, border: str, keys: tuple[str, ...]) -> DataFrame:
-    """px with its rows near the border repeated at mirrored places outside, and the axis' last place as _last.
+    """px with its rows near the border repeated at mirrored places outside, and each line's first and last place as _first and _last.
 
     border: "mirror" (edge not repeated), "symmetric" (edge repeated), "valid" (nothing added). Sides shorter than k are
     mirrored as often as it takes. A line with a missing pixel is an error: filters count on neighbours.
     """
     line = Window.partitionBy(*keys, "x" if axis == "y" else "y")
-    px = px.withColumns({"_last": F.max(axis).over(line), "_there": F.count(F.lit(1)).over(line)})
+    px = px.withColumns({"_first": F.min(axis).over(line), "_last": F.max(axis).over(line), "_there": F.count(F.lit(1)).over(line)})
     gap = F.raise_error(F.concat(F.lit(f"a filter along {axis} needs whole lines; places there: "), F.col("_there").cast("string"), F.lit(", last: "), F.col("_last").cast("string")))
-    px = px.withColumn("_last", F.when(F.col("_there") == F.col("_last") + 1, F.col("_last")).otherwise(gap.cast("int"))).drop("_there")
+    px = px.withColumn("_last", F.when(F.col("_there") == F.col("_last") - F.col("_first") + 1, F.col("_last")).otherwise(gap.cast("int"))).drop("_there")
     if border == "valid":
         return px
-    a, last, off = F.col(axis), F.col("_last"), 0 if border == "mirror" else 1
-    low, high = -a - off, 2 * last - a + off
-    once = F.array_compact(F.array(a, F.when((low < 0) & (low >= -k), low), F.when((high > last) & (high <= last + k), high)))
-    period = 2 * last + 2 * off
+    a, first, last, off = F.col(axis), F.col("_first"), F.col("_last"), 0 if border == "mirror" else 1
+    low, high = 2 * first - a - off, 2 * last - a + off
+    once = F.array_compact(F.array(a, F.when((low < first) & (low >= first - k), low), F.when((high > last) & (high <= last + k), high)))
+    period = 2 * (last - first) + 2 * off
 
     def mirrored(p: Column) -> Column:
-        at = F.pmod(p, F.greatest(period, F.lit(1)))
-        return F.least(at, period - off - at)
+        at = F.pmod(p - first, F.greatest(period, F.lit(1)))
+        return first + F.least(at, period - off - at)
 
-    often = F.filter(F.sequence(F.lit(-k), last + k), lambda p: mirrored(p) == a)
-    return px.withColumn(axis, F.explode(F.when(last >= k, once).otherwise(often)))
+    often = F.filter(F.sequence(first - k, last + k), lambda p: mirrored(p) == a)
+    return px.withColumn(axis, F.explode(F.when(last - first >= k, once).otherwise(often)))
 
 
 def beside(c: str, axis: str, d: int, w: Window) -> Column:
@@ -58,11 +59,14 @@ def tap_filter(px: DataFrame, columns: list[str], taps: dict[int, float], axis:
     k = max(abs(d) for d in taps)
     px = _padded(px, axis, k, border, keys)
     w = Window.partitionBy(*keys, "x" if axis == "y" else "y").orderBy(axis)
-    at = lambda c, d: F.col(c) if d == 0 else (F.lead(c, d) if d > 0 else F.lag(c, -d)).over(w)
+    # one struct of all columns is looked up beside, so a tap costs one window expression
+    beside_it = {d: (F.lead if d > 0 else F.lag)("_tap", abs(d)).over(w) for d in taps if d}
+    px = px.withColumn("_tap", F.struct(*columns)).withColumns({f"_tap{d}": v for d, v in beside_it.items()})
+    at = lambda c, d: F.col(f"_tap{d}" if d else "_tap")[c]
     total = lambda c: sum((weight * at(c, d) for d, weight in taps.items()), F.lit(0.0))
-    px = px.withColumns({c: total(c) for c in columns})
     margin = k if border == "valid" else 0
-    return px.where((F.col(axis) >= margin) & (F.col(axis) <= F.col("_last") - margin)).drop("_last")
+    px = px.where((F.col(axis) >= F.col("_first") + margin) & (F.col(axis) <= F.col("_last") - margin))
+    return px.withColumns({c: total(c) for c in columns}).drop("_first", "_last", "_tap", *[f"_tap{d}" for d in beside_it])
 
 
 def separable(px: DataFrame, columns: list[str], taps: dict[int, float], border: str = "mirror", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -74,13 +78,16 @@ def sobel(px: DataFrame, columns: list[str], fast: bool = False, keys: tuple[str
     """px with <column>_g and <column>_a, strength and orientation (N14: edges repeated, atan; N15, fast: mirrored, atan2)."""
     windows = {"x": Window.partitionBy(*keys, "y").orderBy("x"), "y": Window.partitionBy(*keys, "x").orderBy("y")}
 
-    def both_sides(c: str, axis: str) -> tuple[Column, Column]:
-        before, after = (beside(c, axis, d, windows[axis]) for d in (-1, 1))
-        return (F.coalesce(before, after), F.coalesce(after, before)) if fast else (F.coalesce(before, F.col(c)), F.coalesce(after, F.col(c)))
+    def sides(px: DataFrame, names: dict[str, str], axis: str, ends: str) -> DataFrame:
+        """px with <name><end> of both neighbours for each column -> name; past the border the mirrored (fast) or the repeated one."""
+        px = px.withColumn("_here", F.struct(*names)).withColumns({f"_{d}": beside("_here", axis, d, windows[axis]) for d in (-1, 1)})
+        past = lambda c, d: F.col(f"_{-d}")[c] if fast else F.col(c)
+        found = {name + end: F.coalesce(F.col(f"_{d}")[c], past(c, d)) for c, name in names.items() for d, end in zip((-1, 1), ends)}
+        return px.withColumns(found).drop("_here", "_-1", "_1")
 
-    px = px.withColumns({f"_{c}_{side}": v for c in columns for side, v in zip(("l", "r"), both_sides(c, "x"))})
+    px = sides(px, {c: f"_{c}_" for c in columns}, "x", "lr")
     px = px.withColumns({f"_{c}_d": F.col(f"_{c}_r") - F.col(f"_{c}_l") for c in columns} | {f"_{c}_s": F.col(f"_{c}_l") + 2 * F.col(c) + F.col(f"_{c}_r") for c in columns})
-    px = px.withColumns({f"_{c}_{k}{side}": v for c in columns for k in "ds" for side, v in zip("ud", both_sides(f"_{c}_{k}", "y"))})
+    px = sides(px.drop(*[f"_{c}_{e}" for c in columns for e in "lr"]), {f"_{c}_{k}": f"_{c}_{k}" for c in columns for k in "ds"}, "y", "ud")
     out = {}
     for c in columns:
         gx = F.col(f"_{c}_du") + 2 * F.col(f"_{c}_d") + F.col(f"_{c}_dd")
@@ -88,7 +95,7 @@ def sobel(px: DataFrame, columns: list[str], fast: bool = False, keys: tuple[str
         out[f"{c}_g"] = F.sqrt(gx * gx + gy * gy)
         out[f"{c}_a"] = F.atan2(gy, gx + 1e-12) if fast else F.when(gx == 0, F.lit(math.pi / 2)).otherwise(F.atan(gy / -gx))
     px = px.withColumns(out)
-    return px.drop(*[f"_{c}_{k}" for c in columns for k in ("l", "r", "d", "s", "du", "dd", "su", "sd")])
+    return px.drop(*[f"_{c}_{k}{end}" for c in columns for k in "ds" for end in ("", "u", "d")])
 
 
 def central_gradient(px: DataFrame, columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -166,21 +173,23 @@ def with_up(fine: DataFrame, small: DataFrame, keep: list[str], columns: list[st
     return aligned([(fine, keep), (up, [f"_{c}_up" for c in columns])], keys)
 
 
-def gaussian_pyramid(px: DataFrame, columns: list[str], levels: int, keys: tuple[str, ...] = KEYS) -> list[DataFrame]:
+def gaussian_pyramid(px: DataFrame, columns: list[str], levels: int, keys: tuple[str, ...] = KEYS, cut: Callable[[DataFrame], DataFrame] = lambda level: level) -> list[DataFrame]:
+    """cut is applied to every level but the first: with ``staged`` a level starts from the written one before it."""
     out = [px.select(*keys, "y", "x", *columns)]
     for _ in range(levels - 1):
-        out.append(pyr_down(out[-1], columns, keys))
+        out.append(cut(pyr_down(out[-1], columns, keys)))
     return out
 
 
+def laplacian_level(fine: DataFrame, coarse: DataFrame, columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    both = with_up(fine, coarse, columns, columns, keys)
+    return both.select(*keys, "y", "x", *[(F.col(c) - F.col(f"_{c}_up")).alias(c) for c in columns])
+
+
 def laplacian_pyramid(px: DataFrame, columns: list[str], levels: int, keys: tuple[str, ...] = KEYS) -> list[DataFrame]:
     """Each level less the next one blown up; the last one as it is."""
     g = gaussian_pyramid(px, columns, levels, keys)
-    out = []
-    for fine, coarse in zip(g, g[1:]):
-        both = with_up(fine, coarse, columns, columns, keys)
-        out.append(both.select(*keys, "y", "x", *[(F.col(c) - F.col(f"_{c}_up")).alias(c) for c in columns]))
-    return [*out, g[-1]]
+    return [*[laplacian_level(fine, coarse, columns, keys) for fine, coarse in zip(g, g[1:])], g[-1]]
 
 
 def reconstruct(pyramid: list[DataFrame], columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:

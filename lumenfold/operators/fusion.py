@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import by_activity, clip01, farthest_from_one, max_abs
-from . import filters, morphology, wavelets
+from ..sources.staging import staged
+from . import filters, morphology, tiles, wavelets
 
 SOURCES = ["vis", "ir"]
 OUT = ("pair_id", "y", "x", "vis", "ir", "f")
@@ -25,9 +26,15 @@ def _add_details(px: DataFrame, m: float) -> DataFrame:
     return px.withColumn("f", clip01(base + m * bright - m * dark)).select(*OUT)
 
 
-def weighted_top_hat(px: DataFrame, r: float = 3, m: float = 1.0, mode: str = "sum") -> DataFrame:
-    """Mean of the sources plus m times the larger bright and less m times the larger dark details."""
-    return _add_details(morphology.combined_top_hats(px, SOURCES, r, mode), m)
+def weighted_top_hat(px: DataFrame, r: float = 3, m: float = 1.0, mode: str = "sum", tile: int | None = None) -> DataFrame:
+    """Mean of the sources plus m times the larger bright and less m times the larger dark details.
+
+    tile: side of the tiles that large images are cut into; an opening reaches 2 r far.
+    """
+    if tile is None:
+        return _add_details(morphology.combined_top_hats(px, SOURCES, r, mode), m)
+    reach = 2 * max(1, round(r))
+    return _add_details(tiles.tiled(px, lambda part, keys: morphology.combined_top_hats(part, SOURCES, r, mode, keys), max(tile, reach), reach), m)
 
 
 def classic_top_hat(px: DataFrame, r: float = 5, m: float = 1.0) -> DataFrame:
@@ -36,27 +43,27 @@ def classic_top_hat(px: DataFrame, r: float = 5, m: float = 1.0) -> DataFrame:
 
 
 def laplacian(px: DataFrame, levels: int = 4) -> DataFrame:
-    """Per level the source with the larger smoothed activity; the mean at the base."""
-    pyramid = filters.laplacian_pyramid(px, SOURCES, levels)
+    """Per level the source with the larger smoothed activity; the mean at the base (F9). Levels and chosen details are written tables."""
+    g = filters.gaussian_pyramid(px, SOURCES, levels, cut=staged)
     fused = []
-    for level in pyramid[:-1]:
+    for fine, coarse in zip(g, g[1:]):
+        level = filters.laplacian_level(fine, coarse, SOURCES)
         act = level.withColumns({f"{c}_act": F.abs(c) for c in SOURCES})
-        act = filters.separable(act.select("pair_id", "y", "x", "vis_act", "ir_act"), ["vis_act", "ir_act"], filters.PYRAMID_TAPS)  # N12
-        both = filters.aligned([(level, SOURCES), (act, ["vis_act", "ir_act"])])
-        fused.append(both.select("pair_id", "y", "x", by_activity(F.col("vis_act"), F.col("ir_act"), F.col("vis"), F.col("ir")).alias("f")))
-    fused.append(pyramid[-1].select("pair_id", "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f")))
+        act = filters.separable(act, ["vis_act", "ir_act"], filters.PYRAMID_TAPS)  # N12
+        fused.append(staged(act.select("pair_id", "y", "x", by_activity(F.col("vis_act"), F.col("ir_act"), F.col("vis"), F.col("ir")).alias("f"))))
+    fused.append(g[-1].select("pair_id", "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f")))
     return _with_sources(px, filters.reconstruct(fused, ["f"]))
 
 
 def ratio(px: DataFrame, levels: int = 4, eps: float = 1e-6) -> DataFrame:
-    """Pyramid of ratios to the blown-up next level, the one farther from 1; multiplied up from the mean base."""
-    g = filters.gaussian_pyramid(px, SOURCES, levels + 1)
+    """Pyramid of ratios to the blown-up next level, the one farther from 1; multiplied up from the mean base (F10). Levels are written tables."""
+    g = filters.gaussian_pyramid(px, SOURCES, levels + 1, cut=staged)
     out = g[-1].select("pair_id", "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f"))
     for fine, coarse in zip(reversed(g[:-1]), reversed(g[1:])):
-        r = filters.with_up(fine, coarse, SOURCES, SOURCES)
+        both = filters.aligned([(coarse, SOURCES), (out, ["f"])])
+        r = filters.with_up(fine, both, SOURCES, [*SOURCES, "f"])
         vis, ir = ((F.col(c) + eps) / (F.col(f"_{c}_up") + eps) for c in SOURCES)
-        r = filters.with_up(r.select("pair_id", "y", "x", farthest_from_one(vis, ir).alias("r")), out, ["r"], ["f"])
-        out = r.select("pair_id", "y", "x", (F.col("r") * (F.col("_f_up") + eps)).alias("f"))
+        out = staged(r.select("pair_id", "y", "x", (farthest_from_one(vis, ir) * (F.col("_f_up") + eps)).alias("f")))
     return _with_sources(px, out)
 
 

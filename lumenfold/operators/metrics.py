@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip01, edge_preservation, level
+from ..sources.staging import staged
 from . import filters
 
 PAIR = ("pair_id",)
@@ -75,13 +76,14 @@ def spatial_frequency(px: DataFrame, column: str = "f", keys: tuple[str, ...] =
     return px.withColumns(d).groupBy(*keys).agg(F.sqrt(F.avg(F.col("_dx") * F.col("_dx")) + F.avg(F.col("_dy") * F.col("_dy"))).alias("value"))
 
 
-def _edge_columns(px: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """px with what it takes, and the aggregates Qabf and Nabf, from columns <c>_g and <c>_a of vis, ir and f."""
-    g = {c: F.col(f"{c}_g") for c in ("vis", "ir", "f")}
-    q = {c: edge_preservation(g[c], F.col(f"{c}_a"), g["f"], F.col("f_a")) for c in ("vis", "ir")}
-    px = px.withColumns({"_qv": q["vis"], "_qi": q["ir"]})
-    kept = F.col("_qv") * g["vis"] + F.col("_qi") * g["ir"]
-    lost = (1 - F.col("_qv")) * g["vis"] + (1 - F.col("_qi")) * g["ir"]
+def _edge_columns(px: DataFrame, f: str = "f") -> tuple[DataFrame, Column, Column]:
+    """px with what it takes, and the aggregates Qabf and Nabf, from columns <c>_g and <c>_a of vis, ir and the image f."""
+    g = {c: F.col(f"{c}_g") for c in ("vis", "ir")} | {"f": F.col(f"{f}_g")}
+    q = {c: edge_preservation(g[c], F.col(f"{c}_a"), g["f"], F.col(f"{f}_a")) for c in ("vis", "ir")}
+    px = px.withColumns({f"_{f}_qv": q["vis"], f"_{f}_qi": q["ir"]})
+    qv, qi = F.col(f"_{f}_qv"), F.col(f"_{f}_qi")
+    kept = qv * g["vis"] + qi * g["ir"]
+    lost = (1 - qv) * g["vis"] + (1 - qi) * g["ir"]
     new = (g["f"] > g["vis"]) & (g["f"] > g["ir"])
     weight = F.sum(g["vis"] + g["ir"]) + 1e-12
     return px, F.sum(kept) / weight, F.sum(F.when(new, lost).otherwise(0.0)) / weight
@@ -105,11 +107,11 @@ def ssim(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     return m.groupBy(*keys).agg((0.5 * (F.avg(_ssim_at("vis", 49 / 48)) + F.avg(_ssim_at("ir", 49 / 48)))).alias("value"))
 
 
-def _ssim_at(s: str, scale: float, eps: float = 0.0, mark: str = "") -> Column:
-    """Similarity at a place from local means, whose names begin with mark."""
+def _ssim_at(s: str, scale: float, eps: float = 0.0, mark: str = "", image: str = "f") -> Column:
+    """Similarity at a place of an image and s from local means, whose names begin with mark."""
     c1, c2 = 0.01**2, 0.03**2
-    f, x = F.col(f"{mark}f"), F.col(f"{mark}{s}")
-    vf, vx, cov = ((F.col(mark + n) - p) * scale for n, p in (("_f_f", f * f), (f"_{s}_{s}", x * x), (f"_f_{s}", f * x)))
+    f, x = F.col(f"{mark}{image}"), F.col(f"{mark}{s}")
+    vf, vx, cov = ((F.col(mark + n) - p) * scale for n, p in ((f"_{image}_{image}", f * f), (f"_{s}_{s}", x * x), (f"_{image}_{s}", f * x)))
     return ((2 * f * x + c1) * (2 * cov + c2)) / ((f * f + x * x + c1) * (vf + vx + c2) + eps)
 
 
@@ -127,8 +129,8 @@ def correlation(a: Column, b: Column) -> Column:
     return (F.covar_pop(a, b) * n) / (F.sqrt(F.var_pop(a) * n * F.var_pop(b) * n) + 1e-12)
 
 
-def _scd() -> Column:
-    f, v, i = F.col("f"), F.col("vis"), F.col("ir")
+def _scd(image: str = "f") -> Column:
+    f, v, i = F.col(image), F.col("vis"), F.col("ir")
     return correlation(f - i, v) + correlation(f - v, i)
 
 
@@ -137,8 +139,8 @@ def scd(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     return px.groupBy(*keys).agg(_scd().alias("value"))
 
 
-def _psnr_share() -> Column:
-    mse = lambda c: F.avg((F.col("f") - F.col(c)) * (F.col("f") - F.col(c)))
+def _psnr_share(image: str = "f") -> Column:
+    mse = lambda c: F.avg((F.col(image) - F.col(c)) * (F.col(image) - F.col(c)))
     return 10.0 * F.log10(1.0 / F.greatest(0.5 * (mse("vis") + mse("ir")), F.lit(1e-12))) / 100.0
 
 
@@ -218,7 +220,7 @@ def _vif_scale(px: DataFrame, n: int, keys: tuple[str, ...]) -> DataFrame:
 
 
 def vif(px: DataFrame, scales: int = 4, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """Pixel-domain visual information fidelity, mean over the sources (M11); sides of 41 at least for four scales."""
+    """Pixel-domain visual information fidelity, mean over the sources (M11). No row for images that no window of the first scale fits; sides of 41 give all four."""
     px = px.select(*keys, "y", "x", *[(clip01(F.col(c)) * 255.0).alias(c) for c in ("vis", "ir", "f")])
     parts = []
     for scale in range(1, scales + 1):
@@ -227,6 +229,7 @@ def vif(px: DataFrame, scales: int = 4, keys: tuple[str, ...] = PAIR) -> DataFra
             px = filters.separable(px, ["vis", "ir", "f"], filters.gaussian_taps(n, n / 5.0), "valid", keys)
             k = n // 2  # the valid area starts at k; every second place of it stays
             px = px.where(((F.col("x") - k) % 2 == 0) & ((F.col("y") - k) % 2 == 0)).withColumns({a: ((F.col(a) - k) / 2).cast("int") for a in "xy"})
+            px = staged(px, keys)  # the scales from here on start from this one
         parts.append(_vif_scale(px, n, keys))
     total = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(f"{p}_{s}").alias(f"{p}_{s}") for p in ("num", "den") for s in ("vis", "ir")])
     ratio = lambda s: F.col(f"num_{s}") / (F.col(f"den_{s}") + 1e-12)
@@ -285,8 +288,38 @@ def fast_pass(px: DataFrame, keys: tuple[str, ...] = PAIR, edges: bool = True, i
     return px.groupBy(*keys).agg(*[v.alias(n) for n, v in out.items()])
 
 
+SEARCH_TAPS = filters.gaussian_taps(11, 1.5)
+
+
+def source_features(px: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """px with what the search's measures need of the sources alone: <s>_g and <s>_a, and the local means _m<s> and _m_<s>_<s>."""
+    px = filters.sobel(px.select(*keys, "y", "x", "vis", "ir"), ["vis", "ir"], True, keys)
+    px = px.withColumns({f"_m{s}": F.col(s) for s in ("vis", "ir")} | {f"_m_{s}_{s}": F.col(s) * F.col(s) for s in ("vis", "ir")})
+    return filters.separable(px, [f"_m{s}" for s in ("vis", "ir")] + [f"_m_{s}_{s}" for s in ("vis", "ir")], SEARCH_TAPS, "mirror", keys)
+
+
+def fast_columns(px: DataFrame, images: list[str], keys: tuple[str, ...] = PAIR, edges: bool = True) -> DataFrame:
+    """keys and measures: an array, one struct an image, of ssim (M17), psnr (M19) and, with edges, qabf, nabf and scd.
+
+    px has ``source_features`` and the images as columns: all of them go through the same windows, and nothing of the sources
+    is worked out again.
+    """
+    if edges:
+        px = filters.sobel(px, images, True, keys)
+    means = {f"_m{f}": F.col(f) for f in images} | {f"_m_{f}_{f}": F.col(f) * F.col(f) for f in images} | {f"_m_{f}_{s}": F.col(f) * F.col(s) for f in images for s in ("vis", "ir")}
+    px = filters.separable(px.withColumns(means), list(means), SEARCH_TAPS, "mirror", keys)
+    found = []
+    for f in images:
+        one = {"ssim": 0.5 * (F.avg(_ssim_at("vis", 1.0, 1e-12, "_m", f)) + F.avg(_ssim_at("ir", 1.0, 1e-12, "_m", f))), "psnr": _psnr_share(f)}
+        if edges:
+            px, one["qabf"], one["nabf"] = _edge_columns(px, f)
+            one["scd"] = _scd(f)
+        found.append(F.struct(*[v.alias(n) for n, v in one.items()]))
+    return px.groupBy(*keys).agg(F.array(*found).alias("measures"))
+
+
 def evaluate(px: DataFrame, with_vif: bool = True, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """One wide row per key with all metrics (M16): one pass for fifteen of them, one for VIF."""
+    """One wide row per key with all metrics (M16): one pass for fifteen of them, one for VIF, which is null for images too small for it."""
     images = ["f", "vis", "ir"]
     raw = px
     px = px.select(*keys, "y", "x", *images)
@@ -316,4 +349,4 @@ def evaluate(px: DataFrame, with_vif: bool = True, keys: tuple[str, ...] = PAIR)
         "Qabf": qabf, "Nabf": nabf, "Q0": F.avg("_plocal"), "QW": _weighted("_p"), "QE": _weighted("_p") * _weighted("_q"),
     }
     one = px.groupBy(*keys).agg(*[v.alias(n) for n, v in out.items()])
-    return one.join(vif(raw, keys=keys).withColumnRenamed("value", "VIF"), list(keys)) if with_vif else one
+    return one.join(vif(raw, keys=keys).withColumnRenamed("value", "VIF"), list(keys), "left") if with_vif else one

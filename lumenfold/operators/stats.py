@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi_square_tail, normal_two_sided, signed_rank_table
+from .ordering import placed, quantiles
 
 
 def to_long(wide: DataFrame, metrics: list[str], ids: tuple[str, ...] = ("subject", "treatment")) -> DataFrame:
@@ -26,9 +27,10 @@ def group_means(meas: DataFrame, digits: int | None = 4) -> DataFrame:
 
 def describe(meas: DataFrame) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum (A2)."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = meas.groupBy("metric", "treatment").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return d.select("metric", "treatment", "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    keys = ["metric", "treatment"]
+    d = meas.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    d = d.join(quantiles(meas, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys, "left")
+    return d.select(*keys, "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def box_stats(meas: DataFrame) -> DataFrame:
@@ -76,16 +78,17 @@ def wilcoxon(paired: DataFrame) -> DataFrame:
     """metric, a, b, mean_a, mean_b, diff, w, p_value, effect.
 
     Zero differences are dropped. Up to 50 without ties or zeros the exact table counts, else the normal
-    approximation with tie correction and no continuity correction; no differences: w null, p 1, effect 0.
+    approximation with tie correction and no continuity correction; no differences: w null, p 1, effect 0. Ranks come
+    by ranges of each key's distinct sizes, so one triple with most of the rows is many groups.
     """
     keys = ["metric", "a", "b"]
     d = paired.withColumn("d", F.col("va") - F.col("vb"))
     means = d.groupBy(*keys).agg(F.round(F.avg("va"), 4).alias("mean_a"), F.round(F.avg("vb"), 4).alias("mean_b"), (F.round(F.avg("va") - F.avg("vb"), 4) + F.lit(0.0)).alias("diff"), F.count_if(F.col("d") == 0).alias("zeros"))
-    r = d.where("d <> 0").withColumn("size", F.abs("d"))
-    r = r.withColumn("rank", average_rank(F.col("size"), *keys)).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "size")))
+    r = placed(d.where("d <> 0").withColumn("size", F.abs("d")), keys, "size", {"ups": F.count_if(F.col("d") > 0)})
+    rank = F.col("before") + (F.col("n") + 1) / 2.0  # of all rows of this size
     s = r.groupBy(*keys).agg(
-        F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("t"),
+        F.sum(rank * F.col("ups")).alias("up"), F.sum(rank * (F.col("n") - F.col("ups"))).alias("down"),
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1)).cast("double").alias("t"),
     )
     out = means.join(s, keys, "left").withColumn("w", F.least("up", "down"))
     exact = F.broadcast(signed_rank_table(paired.sparkSession).withColumnsRenamed({"n": "_n", "w": "_w", "p": "_p"}))  # a fixed 22,000 rows

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip01, max_abs
+from ..sources.staging import staged
 from .filters import _padded, aligned
 
 KEYS = ("pair_id",)
@@ -23,74 +24,59 @@ FIRST_A = (0.0, -0.08838834764832, 0.08838834764832, 0.695879989034, 0.695879989
 FIRST_B = (0.01122679215254, 0.01122679215254, -0.08838834764832, 0.08838834764832, 0.695879989034, 0.695879989034, 0.08838834764832, -0.08838834764832, 0.0, 0.0)
 QUARTER_A = (0.03516384, 0.0, -0.08832942, 0.23389032, 0.76027237, 0.5875183, 0.0, -0.11430184, 0.0, 0.0)
 QUARTER_B = QUARTER_A[::-1]
-Bank = tuple[tuple[float, ...], tuple[float, ...]]
+Taps = tuple[float, ...]
+Bank = tuple[Taps, Taps]
 
 
-def _filters(low: tuple[float, ...]) -> dict[str, tuple[float, ...]]:
+def _filters(low: Taps) -> dict[str, Taps]:
     """Synthesis taps of both halves; analysis uses them reversed."""
     n = len(low)
     return {"L": low, "H": tuple((-1.0) ** (n - j) * low[n - 1 - j] for j in range(n))}
 
 
-def _analyse(px: DataFrame, columns: list[str], low: tuple[float, ...], axis: str, keys: tuple[str, ...]) -> DataFrame:
-    """px at half the places along axis, with <column>L and <column>H; the border is mirrored with its edge repeated."""
-    n, other = len(low), "x" if axis == "y" else "y"
+def _look(px: DataFrame, columns: list[str], w: Window, shift: Callable, reach: int) -> DataFrame:
+    """px with _p0, _p1, ...: a struct of the columns here and at 1 to reach places beside; one window expression a place, whatever the columns."""
+    px = px.withColumn("_p0", F.struct(*columns))
+    return px.withColumns({f"_p{j}": shift("_p0", j).over(w) for j in range(1, reach + 1)})
+
+
+def _analyse(px: DataFrame, jobs: dict[str, tuple[str, Taps]], axis: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys and place at half the places along axis, with <new>L and <new>H for each new -> (column, low-pass taps); the border is mirrored with its edge repeated."""
+    n, other = len(next(iter(jobs.values()))[1]), "x" if axis == "y" else "y"
     w = Window.partitionBy(*keys, other).orderBy(axis)
-    padded = _padded(px, axis, n - 1, "symmetric", keys)
-    lag = lambda c, j: F.col(c) if j == 0 else F.lag(c, j).over(w)
-    out = {f"{c}{half}": sum((t * lag(c, n - 1 - j) for j, t in enumerate(taps)), F.lit(0.0)) for c in columns for half, taps in _filters(low).items()}
-    out = padded.withColumns(out).where((F.col(axis) % 2 == 1) & (F.col(axis) > 0) & (F.col(axis) <= F.col("_last") + n - 1))
-    return out.withColumn(axis, ((F.col(axis) - 1) / 2).cast("int")).drop("_last", *columns)
+    px = _look(_padded(px, axis, n - 1, "symmetric", keys), sorted({c for c, _ in jobs.values()}), w, F.lag, n - 1)
+    px = px.where((F.col(axis) % 2 == 1) & (F.col(axis) > 0) & (F.col(axis) <= F.col("_last") + n - 1))
+    total = lambda c, taps: sum((t * F.col(f"_p{n - 1 - j}")[c] for j, t in enumerate(taps) if t), F.lit(0.0))
+    out = [total(c, taps).alias(f"{new}{half}") for new, (c, low) in jobs.items() for half, taps in _filters(low).items()]
+    return px.select(*keys, other, ((F.col(axis) - 1) / 2).cast("int").alias(axis), *out)
 
 
-def _synthesise(px: DataFrame, columns: list[str], low: tuple[float, ...], axis: str, keys: tuple[str, ...]) -> DataFrame:
+def _synthesise(px: DataFrame, jobs: dict[str, Taps], axis: str, keys: tuple[str, ...]) -> DataFrame:
     """The inverse: columns from <column>L and <column>H at twice the places; a few past the end are the caller's to drop."""
-    n, other = len(low), "x" if axis == "y" else "y"
+    n, other = len(next(iter(jobs.values()))), "x" if axis == "y" else "y"
     w = Window.partitionBy(*keys, other).orderBy(axis)
-    ahead = lambda c, d: F.col(c) if d == 0 else F.coalesce(F.lead(c, d).over(w), F.lit(0.0))
-    sums = {}
-    for c in columns:
-        for odd in (0, 1):
-            terms = (taps[2 * i + odd] * ahead(f"{c}{half}", n // 2 - 1 - i) for half, taps in _filters(low).items() for i in range(n // 2))
-            sums[f"_{c}{odd}"] = sum(terms, F.lit(0.0))
-    px = px.withColumns(sums)
-    both = F.array(*[F.struct((2 * F.col(axis) + odd).alias(axis), *[F.col(f"_{c}{odd}").alias(c) for c in columns]) for odd in (0, 1)])
-    last = F.max(axis).over(Window.partitionBy(*keys, other))
-    px = px.withColumn("_last", last).where(F.col(axis) <= F.col("_last") - (n // 2 - 1))
+    px = _look(px, [f"{c}{half}" for c in jobs for half in "LH"], w, F.lead, n // 2 - 1)
+    px = px.withColumn("_last", F.max(axis).over(Window.partitionBy(*keys, other))).where(F.col(axis) <= F.col("_last") - (n // 2 - 1))
+
+    def total(c: str, low: Taps, odd: int) -> Column:
+        return sum((taps[2 * i + odd] * F.col(f"_p{n // 2 - 1 - i}")[f"{c}{half}"] for half, taps in _filters(low).items() for i in range(n // 2) if taps[2 * i + odd]), F.lit(0.0))
+
+    both = F.array(*[F.struct((2 * F.col(axis) + odd).alias(axis), *[total(c, low, odd).alias(c) for c, low in jobs.items()]) for odd in (0, 1)])
     return px.select(*keys, other, F.explode(both).alias("_p")).select(*keys, other, "_p.*")
 
 
-def split(px: DataFrame, columns: list[str], low_x: tuple[float, ...] = DB4, low_y: tuple[float, ...] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def split(px: DataFrame, columns: list[str], low_x: Taps = DB4, low_y: Taps | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One level: keys, y, x and <column>_LL, _LH, _HL, _HH, first letter along x."""
-    px = _analyse(px.select(*keys, "y", "x", *columns), columns, low_x, "x", keys)
-    px = _analyse(px, [f"{c}{h}" for c in columns for h in "LH"], low_y or low_x, "y", keys)
-    return px.withColumnsRenamed({f"{c}{b}": f"{c}_{b}" for c in columns for b in BANDS})
+    px = _analyse(px, {c: (c, low_x) for c in columns}, "x", keys)
+    px = _analyse(px, {f"{c}_{h}": (f"{c}{h}", low_y or low_x) for c in columns for h in "LH"}, "y", keys)
+    return px.select(*keys, "y", "x", *[f"{c}_{b}" for c in columns for b in BANDS])
 
 
-def join(bands: DataFrame, columns: list[str], low_x: tuple[float, ...] = DB4, low_y: tuple[float, ...] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def join(bands: DataFrame, columns: list[str], low_x: Taps = DB4, low_y: Taps | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The inverse of split."""
-    px = bands.withColumnsRenamed({f"{c}_{b}": f"{c}{b}" for c in columns for b in BANDS})
-    px = _synthesise(px, [f"{c}{h}" for c in columns for h in "LH"], low_y or low_x, "y", keys)
-    return _synthesise(px, columns, low_x, "x", keys)
-
-
-def _levels(px: DataFrame, columns: list[str], lows: list[Bank]) -> list[DataFrame]:
-    """Bands of each level; lows: taps along x and along y of each."""
-    out, approx = [], px
-    for low in lows:
-        out.append(split(approx, columns, *low))
-        approx = out[-1].select(*KEYS, "y", "x", *[F.col(f"{c}_LL").alias(c) for c in columns])
-    return out
-
-
-def _rebuild(levels: list[DataFrame], lows: list[Bank]) -> DataFrame:
-    """The image f of levels with f_LL (the last level's counts), f_LH, f_HL, f_HH."""
-    out = levels[-1].select(*KEYS, "y", "x", F.col("f_LL").alias("f"))
-    for level, low in zip(reversed(levels), reversed(lows)):
-        details = level.select(*KEYS, "y", "x", "f_LH", "f_HL", "f_HH")
-        bands = aligned([(details, ["f_LH", "f_HL", "f_HH"]), (out.withColumnRenamed("f", "f_LL"), ["f_LL"])])
-        out = join(bands, ["f"], *low)
-    return out
+    px = _synthesise(bands, {f"{c}_{h}": low_y or low_x for c in columns for h in "LH"}, "y", keys)
+    px = _synthesise(px.withColumnsRenamed({f"{c}_{h}": f"{c}{h}" for c in columns for h in "LH"}), {c: low_x for c in columns}, "x", keys)
+    return px.select(*keys, "y", "x", *columns)
 
 
 def _finish(px: DataFrame, fused: DataFrame) -> DataFrame:
@@ -99,49 +85,75 @@ def _finish(px: DataFrame, fused: DataFrame) -> DataFrame:
 
 
 def db4_fusion(px: DataFrame, levels: int = 3) -> DataFrame:
-    """Details farther from 0, mean approximation, by the db4 wavelet."""
-    chosen, lows = [], [(DB4, DB4)] * levels
-    for level in _levels(px, ["vis", "ir"], lows):
-        pick = {f"f_{b}": max_abs(F.col(f"vis_{b}"), F.col(f"ir_{b}")) for b in BANDS[1:]}
-        chosen.append(level.withColumns({**pick, "f_LL": 0.5 * (F.col("vis_LL") + F.col("ir_LL"))}))
-    return _finish(px, _rebuild(chosen, lows))
+    """Details farther from 0, mean approximation, by the db4 wavelet (F12). Every level is a written table."""
+    details, approx = [], px
+    for _ in range(levels):
+        level = split(approx, ["vis", "ir"])
+        pick = [max_abs(F.col(f"vis_{b}"), F.col(f"ir_{b}")).alias(f"f_{b}") for b in BANDS[1:]]
+        details.append(staged(level.select(*KEYS, "y", "x", "vis_LL", "ir_LL", *pick)))
+        approx = details[-1].select(*KEYS, "y", "x", F.col("vis_LL").alias("vis"), F.col("ir_LL").alias("ir"))
+    out = approx.select(*KEYS, "y", "x", (0.5 * (F.col("vis") + F.col("ir"))).alias("f"))
+    for level in reversed(details):
+        out = join(aligned([(level, [f"f_{b}" for b in BANDS[1:]]), (out.withColumnRenamed("f", "f_LL"), ["f_LL"])]), ["f"])
+    return _finish(px, out)
 
 
-def dual_tree_fusion(px: DataFrame, levels: int = 4, first: Bank = (FIRST_A, FIRST_B), bank: Bank = (QUARTER_A, QUARTER_B)) -> DataFrame:
-    """Six complex directional bands from two trees, the larger modulus wins, mean approximation.
+TREES = ("aa", "ab", "ba", "bb")
 
-    first, bank: low-pass taps of tree a and of tree b at the first level and at the others. The four real transforms (a or b along
-    each axis) combine to complex bands re = (aa -+ bb), im = (ab +- ba); each is rebuilt by its own tree and
-    the four images are averaged.
+
+def dual_tree_bands(px: DataFrame, columns: list[str], levels: int = 4, first: Bank = (FIRST_A, FIRST_B), bank: Bank = (QUARTER_A, QUARTER_B)) -> list[DataFrame]:
+    """Each level's keys, y, x, <column>_<tree>_<band>: four real transforms, tree a or b along x and along y, side by side.
+
+    first, bank: low-pass taps of trees a and b at the first level and at the others. The trees are columns of one
+    relation: a level is one chain of two windows for all of them and a written table, from which the next level starts.
     """
-    banks = [first] + [bank] * (levels - 1)
-    trees = {x + y: [(b["ab".index(x)], b["ab".index(y)]) for b in banks] for x in "ab" for y in "ab"}
-    parts = {t: _levels(px, ["vis", "ir"], lows) for t, lows in trees.items()}
-    fused: dict[str, list[DataFrame]] = {t: [] for t in trees}
+    out: list[DataFrame] = []
     for i in range(levels):
-        level = None
-        for t, own in parts.items():
-            named = own[i].withColumnsRenamed({f"{s}_{b}": f"{s}_{b}_{t}" for s in ("vis", "ir") for b in BANDS})
-            level = named if level is None else level.join(named, [*KEYS, "y", "x"])
-        out = {f"f_LL_{t}": 0.5 * (F.col(f"vis_LL_{t}") + F.col(f"ir_LL_{t}")) for t in trees}
+        low = dict(zip("ab", bank if i else first))
+        if i:  # every tree goes on from its own approximation
+            along_x = _analyse(out[-1], {f"{c}_{t}": (f"{c}_{t}_LL", low[t[0]]) for c in columns for t in TREES}, "x", KEYS)
+            source = lambda c, t: f"{c}_{t}"
+        else:
+            along_x = _analyse(px, {f"{c}_{t}": (c, low[t]) for c in columns for t in "ab"}, "x", KEYS)
+            source = lambda c, t: f"{c}_{t[0]}"
+        jobs = {f"{c}_{t}_{h}": (f"{source(c, t)}{h}", low[t[1]]) for c in columns for t in TREES for h in "LH"}
+        out.append(staged(_analyse(along_x, jobs, "y", KEYS)))
+    return out
+
+
+def directional(column: str, band: str) -> dict[int, tuple[Column, Column]]:
+    """Both complex bands, real and imaginary part, that a band's four real ones combine to: six over the three bands."""
+    v = {t: F.col(f"{column}_{t}_{band}") for t in TREES}
+    return {1: (v["aa"] - v["bb"], v["ab"] + v["ba"]), -1: (v["aa"] + v["bb"], v["ab"] - v["ba"])}
+
+
+def dual_tree_image(details: list[DataFrame], approx: DataFrame, first: Bank = (FIRST_A, FIRST_B), bank: Bank = (QUARTER_A, QUARTER_B)) -> DataFrame:
+    """keys, y, x, f: the mean of the four trees' images, from levels with f_<tree>_<band> and the last approximation's f_<tree>_LL."""
+    out = approx
+    for i in range(len(details) - 1, -1, -1):
+        low, own = dict(zip("ab", bank if i else first)), [f"f_{t}_{b}" for t in TREES for b in BANDS[1:]]
+        px = aligned([(details[i], own), (out, [f"f_{t}_LL" for t in TREES])])
+        px = _synthesise(px, {f"f_{t}_{h}": low[t[1]] for t in TREES for h in "LH"}, "y", KEYS)
+        px = px.withColumnsRenamed({f"f_{t}_{h}": f"f_{t}{h}" for t in TREES for h in "LH"})
+        px = _synthesise(px, {f"f_{t}": low[t[0]] for t in TREES}, "x", KEYS)
+        out = staged(px.withColumnsRenamed({f"f_{t}": f"f_{t}_LL" for t in TREES}))
+    return out.select(*KEYS, "y", "x", (sum((F.col(f"f_{t}_LL") for t in TREES), F.lit(0.0)) / 4.0).alias("f"))
+
+
+def dual_tree_fusion(px: DataFrame, levels: int = 4, first: Bank = (FIRST_A, FIRST_B), bank: Bank = (QUARTER_A, QUARTER_B)) -> DataFrame:
+    """Of both sources' six complex directional bands the one with the larger modulus, mean approximation."""
+    details = []
+    for level in dual_tree_bands(px, ["vis", "ir"], levels, first, bank):
+        out = {}
         for b in BANDS[1:]:
-            c = {s: {t: F.col(f"{s}_{b}_{t}") for t in trees} for s in ("vis", "ir")}
-            z = {s: {1: (v["aa"] - v["bb"], v["ab"] + v["ba"]), -1: (v["aa"] + v["bb"], v["ab"] - v["ba"])} for s, v in c.items()}
-            pick = {}
+            vis, ir, pick = directional("vis", b), directional("ir", b), {}
             for sign in (1, -1):
-                (rv, iv), (ri, ii) = z["vis"][sign], z["ir"][sign]
-                vis_wins = rv * rv + iv * iv >= ri * ri + ii * ii
-                pick[sign] = (F.when(vis_wins, rv).otherwise(ri), F.when(vis_wins, iv).otherwise(ii))
+                (rv, iv), (ri, ii) = vis[sign], ir[sign]
+                wins = rv * rv + iv * iv >= ri * ri + ii * ii
+                pick[sign] = (F.when(wins, rv).otherwise(ri), F.when(wins, iv).otherwise(ii))
             out |= {
-                f"f_{b}_aa": (pick[1][0] + pick[-1][0]) / 2.0, f"f_{b}_bb": (pick[-1][0] - pick[1][0]) / 2.0,
-                f"f_{b}_ab": (pick[1][1] + pick[-1][1]) / 2.0, f"f_{b}_ba": (pick[1][1] - pick[-1][1]) / 2.0,
+                f"f_aa_{b}": (pick[1][0] + pick[-1][0]) / 2.0, f"f_bb_{b}": (pick[-1][0] - pick[1][0]) / 2.0,
+                f"f_ab_{b}": (pick[1][1] + pick[-1][1]) / 2.0, f"f_ba_{b}": (pick[1][1] - pick[-1][1]) / 2.0,
             }
-        level = level.withColumns(out)
-        for t in trees:
-            fused[t].append(level.select(*KEYS, "y", "x", *[F.col(f"f_{b}_{t}").alias(f"f_{b}") for b in BANDS]))
-    total = None
-    for t, lows in trees.items():
-        one = _rebuild(fused[t], lows).withColumnRenamed("f", f"f_{t}")
-        total = one if total is None else total.join(one, [*KEYS, "y", "x"])
-    return _finish(px, total.withColumn("f", sum((F.col(f"f_{t}") for t in trees), F.lit(0.0)) / 4.0))
-
+        details.append(level.select(*KEYS, "y", "x", *[v.alias(c) for c, v in out.items()], *[(0.5 * (F.col(f"vis_{t}_LL") + F.col(f"ir_{t}_LL"))).alias(f"f_{t}_LL") for t in TREES]))
+    return _finish(px, dual_tree_image(details, details[-1].select(*KEYS, "y", "x", *[f"f_{t}_LL" for t in TREES]), first, bank))

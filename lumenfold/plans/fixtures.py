@@ -76,10 +76,10 @@ MANY = """wide AS (SELECT CAST(l_suppkey AS BIGINT) AS subject, o_orderpriority
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
-def truth(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    """Ground-truth boxes: image_id, class_id, box_id, cx, cy, w, h; of one order in so many, 1: all lineitem rows."""
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground-truth boxes: image_id, class_id, box_id, cx, cy, w, h; one for each lineitem row."""
     d = lambda c: F.col(c).cast("double")
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0)
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") % 6).cast("int").alias("class_id"), F.col("l_partkey").alias("box_id"),
         (0.1 + 0.8 * (F.col("l_partkey") % 97) / 96.0).alias("cx"), (0.1 + 0.8 * (F.col("l_suppkey") % 89) / 88.0).alias("cy"),
@@ -89,19 +89,16 @@ def truth(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
 
 GT = """gt AS (SELECT l_orderkey AS image_id, CAST(l_linenumber % 6 AS INT) AS class_id, l_partkey AS box_id,
   CAST(0.1 AS DOUBLE) + CAST(0.8 AS DOUBLE) * (l_partkey % 97) / CAST(96.0 AS DOUBLE) AS cx, CAST(0.1 AS DOUBLE) + CAST(0.8 AS DOUBLE) * (l_suppkey % 89) / CAST(88.0 AS DOUBLE) AS cy,
-  CAST(0.02 AS DOUBLE) + CAST(l_quantity AS DOUBLE) / CAST(500.0 AS DOUBLE) AS w, CAST(0.02 AS DOUBLE) + CAST(l_discount AS DOUBLE) AS h FROM lineitem WHERE l_orderkey % 10 = 0)"""
-
-#: The boxes of all lineitem rows.
-GT_WHOLE = GT.replace(" WHERE l_orderkey % 10 = 0", "")
+  CAST(0.02 AS DOUBLE) + CAST(l_quantity AS DOUBLE) / CAST(500.0 AS DOUBLE) AS w, CAST(0.02 AS DOUBLE) + CAST(l_discount AS DOUBLE) AS h FROM lineitem)"""
 
 #: Fixed parameters of the made-up detectors: name -> k.
 DETECTORS = {"VIS": 3, "IR": 5, "FUSED": 11}
 
 
-def predictions(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted boxes of three detectors: method, image_id, class_id, box_id, cx, cy, w, h, conf."""
     m = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.lit(k).alias("k")) for n, k in DETECTORS.items()]))
-    p = truth(spark, sf_dir, every).withColumn("m", m).select("*", "m.*")
+    p = truth(spark, sf_dir).withColumn("m", m).select("*", "m.*")
     p = p.where((F.col("box_id") + F.col("image_id")) % F.col("k") != 0)
     cx = F.col("cx") + ((F.col("box_id") * F.col("k")) % 7 - 3) * 0.004
     conf = ((F.col("box_id") * 31 + F.col("image_id") * 17 + F.col("k") * 7) % 1000) / 1000.0
@@ -116,7 +113,7 @@ PRED = """pred AS (SELECT m.method, g.image_id, g.class_id, g.box_id, g.cx + ((g
 NAMES = ("People", "Car", "Bus", "Motorcycle", "Lamp")
 
 
-def annotations(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, xml: one annotation per image with integer corners on 1024 x 768."""
     names = F.array(*[F.lit(n) for n in (*NAMES, "Other")])
     corner = lambda c, s, sign, size: F.floor((F.col(c) + sign * F.col(s) / 2.0) * size).cast("int")
@@ -125,7 +122,7 @@ def annotations(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
         F.element_at(names, F.col("class_id") + 1), corner("cx", "w", -1, 1024.0), corner("cy", "h", -1, 768.0), corner("cx", "w", 1, 1024.0), corner("cy", "h", 1, 768.0),
     )
     xml = F.concat(F.lit("<annotation><size><width>1024</width><height>768</height></size>"), F.concat_ws("", F.sort_array(F.collect_list(obj))), F.lit("</annotation>"))
-    return truth(spark, sf_dir, every).groupBy("image_id").agg(xml.alias("xml"))
+    return truth(spark, sf_dir).groupBy("image_id").agg(xml.alias("xml"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.scalar import clip01, rounded
 from ..operators import filters, fusion, metrics, morphology, wavelets
+from ..sources.staging import new_path, staged
 from . import flows
 from .fixtures import PX, RASTER, pixels, raster
 from .registry import ORACLES, query
@@ -172,8 +174,8 @@ def top_hats(spark, sf_dir):
     return out(morphology.top_hats(pixels(spark, sf_dir), ["vis"], "disk", R), "vis_wth", "vis_bth")
 
 
-def spread_sql(r: int, source: str, lo: str, hi: str, to: str) -> str:
-    """to(pair_id, y, x, c, shape, lo, hi): least lo and largest hi of source over the disk and the lines of radius r, each row by a frame, for 64 x 64 places."""
+def spread_sql(r: int, source: str, lo: str, hi: str, to: str, last: int = 63) -> str:
+    """to(pair_id, y, x, c, shape, lo, hi): least lo and largest hi of source over the disk and the lines of radius r, each row by a frame. Every step is worked out once."""
     rows = morphology.disk_rows(r)
     frames = [
         f"SELECT pair_id, y, x, c, {h} AS h, min({lo}) OVER w AS lo, max({hi}) OVER w AS hi FROM {source} WHERE shape = 'disk' WINDOW w AS (PARTITION BY pair_id, c, y ORDER BY x RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
@@ -184,8 +186,8 @@ def spread_sql(r: int, source: str, lo: str, hi: str, to: str) -> str:
         k, across, along = morphology.line_half_length(r, d), {0: "y", 90: "x", 45: "x + y", 135: "x - y"}[d], "y" if d == 90 else "x"
         lines.append(f"SELECT pair_id, y, x, c, shape, min({lo}) OVER w AS lo, max({hi}) OVER w AS hi FROM {source} WHERE shape = '{d}' WINDOW w AS (PARTITION BY pair_id, c, {across} ORDER BY {along} RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING)")
     offsets = ", ".join(f"({dy}, {h})" for dy, h in rows.items())
-    return f"""{to}f AS ({" UNION ALL ".join(frames)}), {to}o(dy, h) AS (VALUES {offsets}),
-{to} AS (SELECT f.pair_id, f.y - o.dy AS y, f.x, f.c, 'disk' AS shape, min(f.lo) AS lo, max(f.hi) AS hi FROM {to}f f JOIN {to}o o USING (h) WHERE f.y - o.dy BETWEEN 0 AND 63 GROUP BY ALL
+    return f"""{to}f AS MATERIALIZED ({" UNION ALL ".join(frames)}), {to}o(dy, h) AS (VALUES {offsets}),
+{to} AS MATERIALIZED (SELECT f.pair_id, f.y - o.dy AS y, f.x, f.c, 'disk' AS shape, min(f.lo) AS lo, max(f.hi) AS hi FROM {to}f f JOIN {to}o o USING (h) WHERE f.y - o.dy BETWEEN 0 AND {last} GROUP BY ALL
   UNION ALL {" UNION ALL ".join(lines)})"""
 
 
@@ -196,11 +198,22 @@ def _both(hat: str) -> str:
 
 WIDE_R = 25
 SHAPES = "('disk'), " + ", ".join(f"('{d}')" for d in morphology.DIRECTIONS)
-WIDE = f"""WITH {RASTER}, pt AS (SELECT pair_id, y, x, 'vis' AS c, shape, vis AS v FROM px, (VALUES {SHAPES}) s(shape) UNION ALL SELECT pair_id, y, x, 'ir', shape, ir FROM px, (VALUES {SHAPES}) s(shape)),
-{spread_sql(WIDE_R, "pt", "v", "v", "e1")}, {spread_sql(WIDE_R, "e1", "hi", "lo", "e2")},
+
+
+def hats_sql(px: str, r: int, last: int) -> str:
+    """CTEs up to comb(pair_id, y, x, c, w, b, wd, bd): combined top-hats and those of the disk, of the pairs that the CTEs px give."""
+    return f"""{px}, pt AS MATERIALIZED (SELECT pair_id, y, x, 'vis' AS c, shape, vis AS v FROM px, (VALUES {SHAPES}) s(shape) UNION ALL SELECT pair_id, y, x, 'ir', shape, ir FROM px, (VALUES {SHAPES}) s(shape)),
+{spread_sql(r, "pt", "v", "v", "e1", last)}, {spread_sql(r, "e1", "hi", "lo", "e2", last)},
 hat AS (SELECT pt.pair_id, pt.y, pt.x, pt.c, pt.shape, v - e2.hi AS wth, e2.lo - v AS bth FROM pt JOIN e2 USING (pair_id, y, x, c, shape)),
-comb AS (SELECT pair_id, y, x, c, {_both('wth')} AS w, {_both('bth')} AS b FROM hat GROUP BY ALL),
-top AS (SELECT pair_id, y, x, max(w) AS w, max(b) AS b FROM comb GROUP BY ALL)"""
+comb AS (SELECT pair_id, y, x, c, {_both('wth')} AS w, {_both('bth')} AS b, max(wth) FILTER (shape = 'disk') AS wd, max(bth) FILTER (shape = 'disk') AS bd FROM hat GROUP BY ALL)"""
+
+
+def top_hat_sql(px: str, r: int, last: int, m: float, w: str = "w", b: str = "b", digits: int = 6) -> str:
+    return f"""WITH {hats_sql(px, r, last)}, top AS (SELECT pair_id, y, x, max({w}) AS w, max({b}) AS b FROM comb GROUP BY ALL)
+SELECT pair_id, y, x, round(least(greatest((vis + ir) * CAST(0.5 AS DOUBLE) + CAST({m} AS DOUBLE) * w - CAST({m} AS DOUBLE) * b, 0.0), 1.0), {digits}) + 0.0 AS f FROM px JOIN top USING (pair_id, y, x)"""
+
+
+WIDE = f"WITH {hats_sql(RASTER, WIDE_R, 63)}"
 
 
 @query("n04_wide_disk", f"{WIDE} SELECT pair_id, y, x, {r6('lo', 'lo')}, {r6('hi', 'hi')} FROM e1 WHERE c = 'vis' AND shape = 'disk'")
@@ -209,12 +222,18 @@ def wide_disk(spark, sf_dir):
     return out(morphology.disk_filter(raster(spark, sf_dir), {"lo": ("min", "vis"), "hi": ("max", "vis")}, WIDE_R), "lo", "hi")
 
 
-@query("f07_weighted_top_hat_published", f"{WIDE} SELECT pair_id, y, x, round(least(greatest((vis + ir) * CAST(0.5 AS DOUBLE) + CAST({M} AS DOUBLE) * w - CAST({M} AS DOUBLE) * b, 0.0), 1.0), 10) + 0.0 AS f FROM px JOIN top USING (pair_id, y, x)")
+@query("f07_weighted_top_hat_published", top_hat_sql(RASTER, WIDE_R, 63, M, digits=10))
 def weighted_top_hat_published(spark, sf_dir):
     """The proposal at its published r and m, on 64 x 64 pairs. Ten digits: all values that are short decimals have no more, so none is a tie."""
     return fusion.weighted_top_hat(raster(spark, sf_dir), WIDE_R, M).select("pair_id", "y", "x", rounded(F.col("f"), 10).alias("f"))
 
 
+@query("f07_weighted_top_hat_tiled", top_hat_sql(RASTER, 5, 63, M, digits=10))
+def weighted_top_hat_tiled(spark, sf_dir):
+    """Each 64 x 64 pair in sixteen tiles with halos of ten places."""
+    return fusion.weighted_top_hat(raster(spark, sf_dir), 5, M, tile=16).select("pair_id", "y", "x", rounded(F.col("f"), 10).alias("f"))
+
+
 for _mode, _w, _b in (("sum", "wd + wl", "bd + bl"), ("avg", "(wd + wl) / 2", "(bd + bl) / 2"), ("max", "greatest(wd, wl)", "greatest(bd, bl)")):
 
     @query(f"n07_combined_{_mode}", f"{MORPHED} SELECT pair_id, y, x, {r6(_w, 'ir_wth')}, {r6(_b, 'ir_bth')} FROM comb WHERE c = 'ir'")
@@ -305,6 +324,98 @@ for _name, _taps in (("n19_db4_coefficients", (wavelets.DB4, wavelets.DB4)), ("n
         return out(wavelets.split(pixels(spark, sf_dir), ["vis"], *taps), *[f"vis_{b}" for b in wavelets.BANDS])
 
 
+def taps_rows(low: tuple[float, ...]) -> str:
+    """(j, l, h) of a bank's synthesis taps."""
+    n = len(low)
+    return "VALUES " + ", ".join(f"({j}, CAST({low[j]!r} AS DOUBLE), CAST({(-1) ** (n - j) * low[n - 1 - j]!r} AS DOUBLE))" for j in range(n))
+
+
+def analysis_sql(to: str, source: str, columns: dict[str, str], low_x: tuple[float, ...], low_y: tuple[float, ...], last: int) -> tuple[str, int]:
+    """CTEs up to to(pair_id, y, x, <c>_LL, <c>_LH, <c>_HL, <c>_HH) of the source's columns (c -> column), and its last place."""
+    n = (last + len(low_x)) // 2
+    at = lambda size: mirrored(f"2 * i.range + 2 - {size} + w.j", str(last), "symmetric")
+    along = ", ".join(f"sum(w.{k} * s.{column}) AS {c}_{k}" for c, column in columns.items() for k in "lh")
+    bands = ", ".join(f"sum(w.{k} * s.{c}_{h}) AS {c}_{(h + k).upper()}" for c in columns for h in "lh" for k in "lh")
+    return f"""{to}x AS MATERIALIZED (SELECT s.pair_id, s.y, i.range AS x, {along} FROM range({n}) i CROSS JOIN ({taps_rows(low_x)}) w(j, l, h) JOIN {source} s ON s.x = {at(len(low_x))} GROUP BY ALL),
+{to} AS MATERIALIZED (SELECT s.pair_id, i.range AS y, s.x, {bands} FROM range({n}) i CROSS JOIN ({taps_rows(low_y)}) w(j, l, h) JOIN {to}x s ON s.y = {at(len(low_y))} GROUP BY ALL)""", n - 1
+
+
+def synthesis_sql(to: str, source: str, low_x: tuple[float, ...], low_y: tuple[float, ...], last: int) -> str:
+    """CTEs up to to(pair_id, y, x, f) of bands LL, LH, HL, HH: each coefficient spreads over as many places as there are taps."""
+    to_y, to_x = (f"2 * (s.{axis} - {len(low) // 2 - 1}) + w.j" for axis, low in (("y", low_y), ("x", low_x)))
+    return f"""{to}y AS MATERIALIZED (SELECT s.pair_id, {to_y} AS y, s.x, sum(w.l * s.LL + w.h * s.LH) AS l, sum(w.l * s.HL + w.h * s.HH) AS h FROM {source} s CROSS JOIN ({taps_rows(low_y)}) w(j, l, h) WHERE {to_y} BETWEEN 0 AND {last} GROUP BY ALL),
+{to} AS MATERIALIZED (SELECT s.pair_id, s.y, {to_x} AS x, sum(w.l * s.l + w.h * s.h) AS f FROM {to}y s CROSS JOIN ({taps_rows(low_x)}) w(j, l, h) WHERE {to_x} BETWEEN 0 AND {last} GROUP BY ALL)"""
+
+
+def db4_sql(levels: int) -> str:
+    parts, lasts, was, both = [f"WITH {PX}"], [7], "px", {"vis": "vis", "ir": "ir"}
+    for k in range(levels):
+        text, last = analysis_sql(f"w{k}", was, both, wavelets.DB4, wavelets.DB4, lasts[-1])
+        parts, lasts, was, both = [*parts, text], [*lasts, last], f"w{k}", {"vis": "vis_LL", "ir": "ir_LL"}
+    parts.append(f"r{levels} AS (SELECT pair_id, y, x, (vis_LL + ir_LL) / 2 AS f FROM {was})")
+    for k in range(levels - 1, -1, -1):
+        pick = ", ".join(f"CASE WHEN abs(vis_{b}) >= abs(ir_{b}) THEN vis_{b} ELSE ir_{b} END AS {b}" for b in wavelets.BANDS[1:])
+        parts.append(f"d{k} AS (SELECT pair_id, y, x, f AS LL, {pick} FROM w{k} JOIN r{k + 1} USING (pair_id, y, x))")
+        parts.append(synthesis_sql(f"r{k}", f"d{k}", wavelets.DB4, wavelets.DB4, lasts[k]))
+    return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(f, 0.0), 1.0)', 'f')} FROM r0"
+
+
+def tree_levels(levels: int, px: str = PX) -> tuple[list[str], list[int]]:
+    """CTEs t<k>_<tree> with vis_<band> and ir_<band> of each level, and the last place of each."""
+    parts, lasts = [f"WITH {px}"], [7]
+    for k in range(levels):
+        low = dict(zip("ab", (wavelets.QUARTER_A, wavelets.QUARTER_B) if k else (wavelets.FIRST_A, wavelets.FIRST_B)))
+        for t in wavelets.TREES:
+            text, last = analysis_sql(f"t{k}_{t}", f"t{k - 1}_{t}" if k else "px", {c: f"{c}_LL" if k else c for c in ("vis", "ir")}, low[t[0]], low[t[1]], lasts[k])
+            parts.append(text)
+        lasts.append(last)
+    return parts, lasts
+
+
+def dual_tree_sql(levels: int) -> str:
+    parts, lasts = tree_levels(levels)
+    parts += [f"r{levels}_{t} AS (SELECT pair_id, y, x, (vis_LL + ir_LL) / 2 AS f FROM t{levels - 1}_{t})" for t in wavelets.TREES]
+    for k in range(levels - 1, -1, -1):
+        names = lambda c, b: {t: f"{t}.{c}_{b}" for t in wavelets.TREES}
+        z, picks, mixed = [], [], {t: [] for t in wavelets.TREES}
+        for b in wavelets.BANDS[1:]:
+            for c in ("vis", "ir"):
+                v = names(c, b)
+                z += [f"{v['aa']} - {v['bb']} AS {c}_{b}_r1, {v['ab']} + {v['ba']} AS {c}_{b}_i1, {v['aa']} + {v['bb']} AS {c}_{b}_r2, {v['ab']} - {v['ba']} AS {c}_{b}_i2"]
+            for g in "12":
+                size = lambda c: f"{c}_{b}_r{g} * {c}_{b}_r{g} + {c}_{b}_i{g} * {c}_{b}_i{g}"  # noqa: B023, E731
+                picks += [f"CASE WHEN {size('vis')} >= {size('ir')} THEN vis_{b}_{p}{g} ELSE ir_{b}_{p}{g} END AS {b}_{p}{g}" for p in "ri"]
+            mixed["aa"].append(f"({b}_r1 + {b}_r2) / 2 AS {b}")
+            mixed["bb"].append(f"({b}_r2 - {b}_r1) / 2 AS {b}")
+            mixed["ab"].append(f"({b}_i1 + {b}_i2) / 2 AS {b}")
+            mixed["ba"].append(f"({b}_i1 - {b}_i2) / 2 AS {b}")
+        joined = f"t{k}_aa aa " + " ".join(f"JOIN t{k}_{t} {t} USING (pair_id, y, x)" for t in wavelets.TREES[1:])
+        parts.append(f"z{k} AS MATERIALIZED (SELECT pair_id, y, x, {', '.join(z)} FROM {joined}), p{k} AS MATERIALIZED (SELECT pair_id, y, x, {', '.join(picks)} FROM z{k})")
+        low = dict(zip("ab", (wavelets.QUARTER_A, wavelets.QUARTER_B) if k else (wavelets.FIRST_A, wavelets.FIRST_B)))
+        for t in wavelets.TREES:
+            parts.append(f"d{k}_{t} AS (SELECT pair_id, y, x, f AS LL, {', '.join(mixed[t])} FROM p{k} JOIN r{k + 1}_{t} USING (pair_id, y, x))")
+            parts.append(synthesis_sql(f"r{k}_{t}", f"d{k}_{t}", low[t[0]], low[t[1]], lasts[k]))
+    joined = "r0_aa aa " + " ".join(f"JOIN r0_{t} {t} USING (pair_id, y, x)" for t in wavelets.TREES[1:])
+    f = "(aa.f + ab.f + ba.f + bb.f) / 4"
+    return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6(f'least(greatest({f}, 0.0), 1.0)', 'f')} FROM {joined}"
+
+
+def _four_levels(levels: int = 4) -> str:
+    parts, _ = tree_levels(levels)
+    rows = [f"SELECT {k + 1} AS level, '{t}' AS tree, pair_id, y, x, " + ", ".join(r6(f"vis_{b}", b) for b in wavelets.BANDS) + f" FROM t{k}_{t}" for k in range(levels) for t in wavelets.TREES]
+    return ", ".join(parts) + " SELECT CAST(level AS INT) AS level, tree, pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, " + ", ".join(wavelets.BANDS) + f" FROM ({' UNION ALL '.join(rows)})"
+
+
+@query("n20_dual_tree_four_levels", _four_levels())
+def dual_tree_bands(spark, sf_dir):
+    """All real bands of the four trees at the benchmark's four levels."""
+    every = []
+    for k, level in enumerate(wavelets.dual_tree_bands(pixels(spark, sf_dir), ["vis"]), 1):
+        rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), *[rounded(F.col(f"vis_{t}_{b}")).alias(b) for b in wavelets.BANDS]) for t in wavelets.TREES]))
+        every.append(level.select(F.lit(k).alias("level"), "pair_id", "y", "x", rows.alias("r")).select("level", "r.tree", "pair_id", "y", "x", *[f"r.{b}" for b in wavelets.BANDS]))
+    return reduce(DataFrame.unionByName, every)
+
+
 @query("n20_f13_dual_tree_same_sources", f"WITH {PX} SELECT pair_id, y, x, {r6('vis', 'f')} FROM px")
 def dual_tree_same(spark, sf_dir):
     """Fusing an image with itself gives the image: perfect reconstruction of both trees (the quarter-shift taps are published with 8 digits, so deeper levels are a test)."""
@@ -312,16 +423,16 @@ def dual_tree_same(spark, sf_dir):
     return out(wavelets.dual_tree_fusion(px, 1), "f")
 
 
-@query("f12_db4_fusion")
+@query("f12_db4_fusion", db4_sql(3))
 def db4_fusion(spark, sf_dir):
-    """Three levels. No SQL; the coefficients have it, reconstruction and equal sources are tested."""
+    """At the benchmark's three levels."""
     return out(wavelets.db4_fusion(pixels(spark, sf_dir), 3), "f")
 
 
-@query("f13_dual_tree_fusion")
+@query("f13_dual_tree_fusion", dual_tree_sql(4))
 def dual_tree_fusion(spark, sf_dir):
-    """One level here, as each further level makes the plan of four trees four times as long; more are a test. No SQL; the coefficients have it."""
-    return out(wavelets.dual_tree_fusion(pixels(spark, sf_dir), 1), "f")
+    """At the benchmark's four levels."""
+    return out(wavelets.dual_tree_fusion(pixels(spark, sf_dir), 4), "f")
 
 
 @query("n21_box_mean", f"WITH {RASTER}, {taps_sql(filters.box_taps(7))}, {stencil_sql('px', ['vis'], 63, 'symmetric', 's')} SELECT pair_id, y, x, {r6('vis', 'vis')} FROM s")
@@ -391,49 +502,22 @@ r{k} AS (SELECT pair_id, y, x, CASE WHEN abs(a - 1) >= abs(b - 1) THEN a ELSE b
     return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(vis, 0.0), 1.0)', 'f')} FROM r0"
 
 
-@query("f09_laplacian_fusion_whole", laplacian_sql(4))
-def laplacian_fusion_whole(spark, sf_dir):
+@query("f09_laplacian_fusion", laplacian_sql(4))
+def laplacian_fusion(spark, sf_dir):
     """At the benchmark's four levels."""
     return out(fusion.laplacian(pixels(spark, sf_dir), 4), "f")
 
 
-@query("f10_ratio_fusion_whole", ratio_sql(4))
-def ratio_fusion_whole(spark, sf_dir):
+@query("f10_ratio_fusion", ratio_sql(4))
+def ratio_fusion(spark, sf_dir):
     """At the benchmark's four levels."""
     return out(fusion.ratio(pixels(spark, sf_dir), 4), "f")
 
 
-@query("f09_laplacian_fusion", f"""{DOWN}, {up_sql("lv", "uv", 7)}, {up_sql("lv", "ui", 7, "ir")},
-d AS (SELECT px.pair_id, px.y, px.x, px.vis - uv.vis AS vis, px.ir - ui.ir AS ir FROM px JOIN uv USING (pair_id, y, x) JOIN ui USING (pair_id, y, x)),
-ab AS (SELECT pair_id, y, x, abs(vis) AS vis, abs(ir) AS ir FROM d), {stencil_sql("ab", ["vis", "ir"], 7, "mirror", "act")},
-b AS (SELECT pair_id, y, x, (vis + ir) / 2 AS vis FROM lv), {up_sql("b", "ub", 7)}
-SELECT d.pair_id, d.y, d.x, {r6("least(greatest(ub.vis + CASE WHEN act.vis >= act.ir THEN d.vis ELSE d.ir END, 0.0), 1.0)", "f")}
-FROM d JOIN act USING (pair_id, y, x) JOIN ub USING (pair_id, y, x)""")
-def laplacian_fusion(spark, sf_dir):
-    return out(fusion.laplacian(pixels(spark, sf_dir), 2), "f")
-
-
-@query("f10_ratio_fusion", f"""{DOWN}, {up_sql("lv", "uv", 7)}, {up_sql("lv", "ui", 7, "ir")},
-d AS (SELECT px.pair_id, px.y, px.x, (px.vis + 1e-6) / (uv.vis + 1e-6) AS a, (px.ir + 1e-6) / (ui.ir + 1e-6) AS b FROM px JOIN uv USING (pair_id, y, x) JOIN ui USING (pair_id, y, x)),
-m AS (SELECT pair_id, y, x, (vis + ir) / 2 AS vis FROM lv), {up_sql("m", "um", 7)}
-SELECT d.pair_id, d.y, d.x, {r6("least(greatest(CASE WHEN abs(a - 1) >= abs(b - 1) THEN a ELSE b END * (um.vis + 1e-6), 0.0), 1.0)", "f")} FROM d JOIN um USING (pair_id, y, x)""")
-def ratio_fusion(spark, sf_dir):
-    return out(fusion.ratio(pixels(spark, sf_dir), 1), "f")
-
-
 def _haar_cell(c: str, sy: str, sx: str) -> str:
     return f"sum({c} * CASE WHEN {sy} = 0 THEN 1 ELSE -1 END * CASE WHEN {sx} = 0 THEN 1 ELSE -1 END) / 2"
 
 
-@query("f06_f11_haar_fusion", f"""WITH {PX}, q AS (SELECT pair_id, y // 2 AS cy, x // 2 AS cx,
-  {", ".join(f"{_haar_cell(c, sy, sx)} AS {c}_{n}" for c in ("vis", "ir") for n, sy, sx in (("a", "0", "0"), ("h", "y % 2", "0"), ("v", "0", "x % 2"), ("d", "y % 2", "x % 2")))} FROM px GROUP BY 1, 2, 3),
-s AS (SELECT pair_id, cy, cx, (vis_a + ir_a) / 2 AS a, {", ".join(f"CASE WHEN abs(vis_{n}) >= abs(ir_{n}) THEN vis_{n} ELSE ir_{n} END AS {n}" for n in "hvd")} FROM q)
-SELECT pair_id, CAST(2 * cy + i.range AS INT) AS y, CAST(2 * cx + j.range AS INT) AS x,
-  {r6("least(greatest((a + (1 - 2 * i.range) * h + (1 - 2 * j.range) * v + (1 - 2 * i.range) * (1 - 2 * j.range) * d) / 2, 0.0), 1.0)", "f")} FROM s, range(2) i, range(2) j""")
-def haar_fusion(spark, sf_dir):
-    return out(fusion.haar(pixels(spark, sf_dir), 1), "f")
-
-
 def haar_sql(levels: int) -> str:
     """Levels of 2 x 2 cells of both sources down, then the chosen details up from the mean of the last."""
     parts = [f"WITH {PX}, h0 AS (SELECT * FROM px)"]
@@ -449,8 +533,8 @@ r{k} AS (SELECT pair_id, 2 * y + i.range AS y, 2 * x + j.range AS x, (a + (1 - 2
     return ", ".join(parts) + f" SELECT pair_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6('least(greatest(f, 0.0), 1.0)', 'f')} FROM r0"
 
 
-@query("f11_haar_fusion_whole", haar_sql(3))
-def haar_fusion_whole(spark, sf_dir):
+@query("f06_f11_haar_fusion", haar_sql(3))
+def haar_fusion(spark, sf_dir):
     """At the benchmark's three levels, which 8 x 8 pairs take exactly."""
     return out(fusion.haar(pixels(spark, sf_dir), 3), "f")
 
@@ -614,13 +698,43 @@ def evaluate_pairs(spark, sf_dir):
     return out(metrics.evaluate(with_fused(pixels(spark, sf_dir)), with_vif=False), *RECORD, keys=("pair_id",))
 
 
-@query("a21_benchmark")
+#: The benchmark's seven methods: name -> SQL of f with 6 digits.
+SEVEN = {
+    "proposal": top_hat_sql(PX, WIDE_R, 7, M), "classic": top_hat_sql(PX, 5, 7, 1.0, "wd", "bd"), "laplacian": laplacian_sql(4), "ratio": ratio_sql(4),
+    "haar": haar_sql(3), "db4": db4_sql(3), "dual_tree": dual_tree_sql(4),
+}
+
+
+def seven_sql() -> str:
+    """CTEs up to f7(pair_id, y, x, vis, ir, f), method and pair as one name."""
+    rows = [f"SELECT '{m}:' || pair_id AS pair_id, y, x, vis, ir, f FROM px JOIN ({sql}) q USING (pair_id, y, x)" for m, sql in SEVEN.items()]
+    return f"WITH {PX}, f7 AS MATERIALIZED ({' UNION ALL '.join(rows)})"
+
+
+def benchmark_sql() -> str:
+    of_f7 = lambda sql: sql.replace(f"WITH {PX}, {FUSED}, ", "WITH fx AS (SELECT * FROM f7), ")
+    record = RECORD | {"MI_ir": ("mi_ir", "value")}
+    texts = {q: of_f7(ORACLES[q]) for q, _ in RECORD.values()} | {"mi_ir": of_f7(f"WITH {PX}, {FUSED}, {info_sql('fx', 'f', 'ir', 'i')} SELECT pair_id, {r6('mi', 'value')} FROM i")}
+    joined = " JOIN ".join(f"({sql}) {q}" + (" USING (pair_id)" if i else "") for i, (q, sql) in enumerate(texts.items()))
+    columns = ", ".join(f"{q}.{c} AS {n}" for n, (q, c) in record.items())
+    return f"{seven_sql()} SELECT split_part(pair_id, ':', 1) AS method, CAST(split_part(pair_id, ':', 2) AS BIGINT) AS pair_id, {columns}, CAST(NULL AS DOUBLE) AS VIF FROM {joined}"
+
+
+@query("f14_j06_seven_methods", f"{seven_sql()} SELECT split_part(pair_id, ':', 1) AS method, CAST(split_part(pair_id, ':', 2) AS BIGINT) AS pair_id, y, x, f FROM f7")
+def seven_methods(spark, sf_dir):
+    """The fan-out of all seven methods at their published parameters."""
+    fused = fusion.fan_out(pixels(spark, sf_dir), {m: fusion.METHODS[m] for m in SEVEN})
+    return fused.select("method", "pair_id", "y", "x", rounded(F.col("f")).alias("f"))
+
+
+@query("a21_benchmark", benchmark_sql())
 def benchmark(spark, sf_dir):
-    """Fuse, measure, append: methods at the benchmark's parameters on the pairs that an earlier run left out. The methods and the record have SQL."""
-    px = pixels(spark, sf_dir)
-    done = px.where(F.col("pair_id") % 2 == 0).select("pair_id").distinct().withColumn("method", F.lit("average"))
-    methods = {n: fusion.METHODS[n] for n in ("classic", "haar", "average", "vis", "ir")}
-    return flows.benchmark(px, methods, done, with_vif=False)
+    """Fuse, measure, append: seven methods on half of the pairs, then on all; the second run does what the first left out. VIF is null: 8 x 8 pairs are too small for it."""
+    px = staged(pixels(spark, sf_dir))
+    bench = flows.Benchmark(spark, new_path(spark, "benchmark"))
+    methods = {m: fusion.METHODS[m] for m in SEVEN}
+    bench.run(px.where(F.col("pair_id") % 2 == 0), methods)
+    return bench.run(px, methods).select("method", "pair_id", *[rounded(F.col(c)).alias(c) for c in flows.RECORD])
 
 
 @query("m16_evaluate_all")

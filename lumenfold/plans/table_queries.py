@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import detection, filters, stats, sweep
 from ..sources import listing, tables
-from .fixtures import FILES, GT, GT_WHOLE, NAMES, PRED, PSO, PX, annotations, files, pixels, predictions, raster, sweep_history, truth
+from ..sources.staging import new_path, staged
+from .fixtures import FILES, GT, MEASURES, NAMES, PRED, PSO, PX, annotations, files, measures, pixels, predictions, raster, sweep_history, table, truth
 from .pixel_queries import MCOLS, hist_sql, mirrored, r6, sobel_sql, stencil_sql, taps_sql
 from .registry import query
 
@@ -69,80 +68,70 @@ def reorganise(spark, sf_dir):
 
 
 # --- detection
-def boxes_query(name: str, sql: str | None = None):
-    """The query over the boxes of the fixture, one order in ten, and as name_whole over those of all lineitem rows."""
-
-    def keep(f):
-        query(f"{name}_whole", sql and sql.replace(GT, GT_WHOLE))(partial(f, every=1))
-        return query(name, sql)(f)
-
-    return keep
-
-
-@boxes_query("s09_d01_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cy - h / 2) * 768) AS y0, floor((cx + w / 2) * 1024) AS x1, floor((cy + h / 2) * 768) AS y1 FROM gt)
+@query("s09_d01_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cy - h / 2) * 768) AS y0, floor((cx + w / 2) * 1024) AS x1, floor((cy + h / 2) * 768) AS y1 FROM gt)
 SELECT image_id, class_id, round((x0 + x1) / 2 / 1024, 6) AS cx, round((y0 + y1) / 2 / 768, 6) AS cy, round((x1 - x0) / 1024, 6) AS w, round((y1 - y0) / 768, 6) AS h FROM i WHERE class_id < 5""")
-def boxes(spark, sf_dir, every=10):
-    return detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir, every)), NAMES)
+def boxes(spark, sf_dir):
+    return detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir)), NAMES)
 
 
-@boxes_query("d02_single_class_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cx + w / 2) * 1024) AS x1 FROM gt)
+@query("d02_single_class_boxes", f"""WITH {GT}, i AS (SELECT *, floor((cx - w / 2) * 1024) AS x0, floor((cx + w / 2) * 1024) AS x1 FROM gt)
 SELECT image_id, 0 AS class_id, count(*) AS n, round(sum(round((x1 - x0) / 1024, 6)), 6) + 0.0 AS w FROM i GROUP BY image_id""")
-def single_class_boxes(spark, sf_dir, every=10):
-    b = detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir, every)), None)
+def single_class_boxes(spark, sf_dir):
+    b = detection.to_boxes(detection.parse_annotations(annotations(spark, sf_dir)), None)
     return b.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("w")).alias("w"))
 
 
 LINE = "printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)"
 
 
-@boxes_query("s10_s11_label_round_trip", f"WITH {GT} SELECT image_id, class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM gt")
-def label_round_trip(spark, sf_dir, every=10):
-    return detection.parse_labels(detection.format_labels(truth(spark, sf_dir, every)))
+@query("s10_s11_label_round_trip", f"WITH {GT} SELECT image_id, class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM gt")
+def label_round_trip(spark, sf_dir):
+    return detection.parse_labels(detection.format_labels(truth(spark, sf_dir)))
 
 
-@boxes_query("s11_manifest", f"WITH {GT} SELECT 6 AS nc, 'People,Car,Bus,Motorcycle,Lamp,Other' AS names, count(DISTINCT class_id) AS seen FROM gt")
-def manifest(spark, sf_dir, every=10):
-    m = detection.manifest(truth(spark, sf_dir, every), (*NAMES, "Other"))
+@query("s11_manifest", f"WITH {GT} SELECT 6 AS nc, 'People,Car,Bus,Motorcycle,Lamp,Other' AS names, count(DISTINCT class_id) AS seen FROM gt")
+def manifest(spark, sf_dir):
+    m = detection.manifest(truth(spark, sf_dir), (*NAMES, "Other"))
     return m.select("nc", F.array_join("names", ",").alias("names"), "seen")
 
 
 IDS = f"WITH {GT}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM gt))"
 
 
-@boxes_query("d03_head_split", f"{IDS} SELECT image_id, CASE WHEN rn <= 40 THEN 'train' ELSE 'val' END AS split FROM n WHERE rn <= 60")
-def head_split(spark, sf_dir, every=10):
-    return detection.head_split(truth(spark, sf_dir, every).select("image_id").distinct(), 40, 20)
+@query("d03_head_split", f"{IDS} SELECT image_id, CASE WHEN rn <= 40 THEN 'train' ELSE 'val' END AS split FROM n WHERE rn <= 60")
+def head_split(spark, sf_dir):
+    return detection.head_split(truth(spark, sf_dir).select("image_id").distinct(), 40, 20)
 
 
-@boxes_query("d04_share_split", f"{IDS} SELECT image_id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM n WHERE rn > floor(n * 0.8) OR rn <= 100")
-def share_split(spark, sf_dir, every=10):
-    return detection.share_split(truth(spark, sf_dir, every).select("image_id").distinct(), 0.8, {"train": 100})
+@query("d04_share_split", f"{IDS} SELECT image_id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM n WHERE rn > floor(n * 0.8) OR rn <= 100")
+def share_split(spark, sf_dir):
+    return detection.share_split(truth(spark, sf_dir).select("image_id").distinct(), 0.8, {"train": 100})
 
 
-@boxes_query("d06_mixed_modality", f"WITH {GT} SELECT image_id || '__' || m AS image, class_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('vi'), ('ir')) t(m) GROUP BY 1, 2")
-def mixed(spark, sf_dir, every=10):
-    return detection.mixed_modality(truth(spark, sf_dir, every)).groupBy("image", "class_id").agg(F.count(F.lit(1)).alias("n"))
+@query("d06_mixed_modality", f"WITH {GT} SELECT image_id || '__' || m AS image, class_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('vi'), ('ir')) t(m) GROUP BY 1, 2")
+def mixed(spark, sf_dir):
+    return detection.mixed_modality(truth(spark, sf_dir)).groupBy("image", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@boxes_query("d07_label_fan_out", f"WITH {GT} SELECT method, image_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('VIS'), ('IR'), ('FUSED')) t(method) GROUP BY 1, 2")
-def label_fan_out(spark, sf_dir, every=10):
-    return detection.fan_out_labels(truth(spark, sf_dir, every), ["VIS", "IR", "FUSED"]).groupBy("method", "image_id").agg(F.count(F.lit(1)).alias("n"))
+@query("d07_label_fan_out", f"WITH {GT} SELECT method, image_id, count(*) AS n FROM gt CROSS JOIN (VALUES ('VIS'), ('IR'), ('FUSED')) t(method) GROUP BY 1, 2")
+def label_fan_out(spark, sf_dir):
+    return detection.fan_out_labels(truth(spark, sf_dir), ["VIS", "IR", "FUSED"]).groupBy("method", "image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@boxes_query("p11_d08_class_counts", f"WITH {GT}, {PRED} SELECT image_id, method, count(*) FILTER (conf >= 0.3 AND class_id = 0) AS people, count(*) FILTER (conf >= 0.3 AND class_id = 4) AS lamps FROM pred GROUP BY 1, 2")
-def class_counts(spark, sf_dir, every=10):
-    return detection.class_counts(predictions(spark, sf_dir, every), {"people": 0, "lamps": 4})
+@query("p11_d08_class_counts", f"WITH {GT}, {PRED} SELECT image_id, method, count(*) FILTER (conf >= 0.3 AND class_id = 0) AS people, count(*) FILTER (conf >= 0.3 AND class_id = 4) AS lamps FROM pred GROUP BY 1, 2")
+def class_counts(spark, sf_dir):
+    return detection.class_counts(predictions(spark, sf_dir), {"people": 0, "lamps": 4})
 
 
-@boxes_query("p10_candidate_scenes", f"WITH {GT} SELECT image_id FROM gt GROUP BY 1 HAVING count(*) FILTER (class_id = 0) >= 1 AND count(*) FILTER (class_id = 4) >= 2")
-def candidate_scenes(spark, sf_dir, every=10):
-    return detection.candidate_scenes(truth(spark, sf_dir, every), {0: 1, 4: 2})
+@query("p10_candidate_scenes", f"WITH {GT} SELECT image_id FROM gt GROUP BY 1 HAVING count(*) FILTER (class_id = 0) >= 1 AND count(*) FILTER (class_id = 4) >= 2")
+def candidate_scenes(spark, sf_dir):
+    return detection.candidate_scenes(truth(spark, sf_dir), {0: 1, 4: 2})
 
 
-@boxes_query("d11_pick_scenes", f"""WITH {GT}, {PRED}, s AS (SELECT image_id, count(*) FILTER (class_id = 0) AS people, count(*) FILTER (class_id = 4) AS lamps FROM pred WHERE conf >= 0.3 GROUP BY 1),
+@query("d11_pick_scenes", f"""WITH {GT}, {PRED}, s AS (SELECT image_id, count(*) FILTER (class_id = 0) AS people, count(*) FILTER (class_id = 4) AS lamps FROM pred WHERE conf >= 0.3 GROUP BY 1),
 a AS (SELECT image_id FROM s ORDER BY people DESC, image_id LIMIT 1) SELECT a.image_id AS first_image, (SELECT image_id FROM s WHERE s.image_id <> a.image_id ORDER BY lamps DESC, image_id LIMIT 1) AS second_image FROM a""")
-def pick_scenes(spark, sf_dir, every=10):
-    p = predictions(spark, sf_dir, every).where("conf >= 0.3").groupBy("image_id").agg(F.count_if(F.col("class_id") == 0).alias("people"), F.count_if(F.col("class_id") == 4).alias("lamps"))
+def pick_scenes(spark, sf_dir):
+    p = predictions(spark, sf_dir).where("conf >= 0.3").groupBy("image_id").agg(F.count_if(F.col("class_id") == 0).alias("people"), F.count_if(F.col("class_id") == 4).alias("lamps"))
     return detection.pick_scenes(p, "people", "lamps")
 
 
@@ -151,10 +140,10 @@ c0 AS (SELECT p.method, p.image_id, p.class_id, pred_no, gt_no, conf, greatest(l
   FROM p JOIN g ON g.image_id = p.image_id AND g.class_id = p.class_id), c AS (SELECT *, inter / (pa + ga - inter) AS iou FROM c0 WHERE inter / (pa + ga - inter) >= 0.5)"""
 
 
-@boxes_query("j09_box_matching", f"WITH {GT}, {PRED}, {NUMBERED} SELECT method, image_id, class_id, pred_no, gt_no, {r6('iou', 'iou')} FROM c")
-def box_matching(spark, sf_dir, every=10):
-    g = detection.numbered(truth(spark, sf_dir, every), "gt_no", *detection.GT_ORDER)
-    p = detection.numbered(predictions(spark, sf_dir, every), "pred_no", F.desc("conf"), *detection.GT_ORDER)
+@query("j09_box_matching", f"WITH {GT}, {PRED}, {NUMBERED} SELECT method, image_id, class_id, pred_no, gt_no, {r6('iou', 'iou')} FROM c")
+def box_matching(spark, sf_dir):
+    g = detection.numbered(truth(spark, sf_dir), "gt_no", *detection.GT_ORDER)
+    p = detection.numbered(predictions(spark, sf_dir), "pred_no", F.desc("conf"), *detection.GT_ORDER)
     return detection.candidate_matches(g, p).select("method", "image_id", "class_id", "pred_no", "gt_no", rounded(F.col("iou")).alias("iou"))
 
 
@@ -172,33 +161,38 @@ ap AS (SELECT method, class_id, avg(coalesce(best, 0)) AS ap, any_value(n_gt) AS
 SCORED = f"WITH RECURSIVE {GT}, {PRED}, {NUMBERED}, {GREEDY}"
 
 
-@boxes_query("d09_average_precision", f"{SCORED} SELECT method, class_id, {r6('ap', 'ap')}, n_gt, tp, fp FROM ap")
-def average_precision(spark, sf_dir, every=10):
-    return detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).withColumn("ap", rounded(F.col("ap")))
+@query("d09_average_precision", f"{SCORED} SELECT method, class_id, {r6('ap', 'ap')}, n_gt, tp, fp FROM ap")
+def average_precision(spark, sf_dir):
+    return detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)).withColumn("ap", rounded(F.col("ap")))
+
 
+@query("d09_scores", f"{SCORED} SELECT method, {r6('avg(ap)', 'map50')}, {r6('sum(tp) / sum(tp + fp)', 'precision')}, {r6('sum(tp) / sum(n_gt)', 'recall')} FROM ap GROUP BY 1")
+def scores(spark, sf_dir):
+    return detection.scores(truth(spark, sf_dir), predictions(spark, sf_dir)).select("method", *[rounded(F.col(c)).alias(c) for c in ("map50", "precision", "recall")])
 
-@boxes_query("d09_scores", f"{SCORED} SELECT method, {r6('avg(ap)', 'map50')}, {r6('sum(tp) / sum(tp + fp)', 'precision')}, {r6('sum(tp) / sum(n_gt)', 'recall')} FROM ap GROUP BY 1")
-def scores(spark, sf_dir, every=10):
-    return detection.scores(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).select("method", *[rounded(F.col(c)).alias(c) for c in ("map50", "precision", "recall")])
 
+#: The same at ten overlaps: a detector at an overlap counts as a detector of its own.
+TEN = "th(th) AS (SELECT round(CAST(0.5 AS DOUBLE) + CAST(0.05 AS DOUBLE) * range, 2) FROM range(10)), c10 AS (SELECT c.* REPLACE (method || '|' || th AS method) FROM c JOIN th ON iou >= th), p10 AS (SELECT p.* REPLACE (method || '|' || th AS method) FROM p, th)"
+GREEDY_TEN = GREEDY.replace(" FROM c),", " FROM c10),").replace("FROM p LEFT JOIN hit", "FROM p10 p LEFT JOIN hit")
 
-@boxes_query("d09_map50_95")
-def map50_95(spark, sf_dir, every=10):
-    """Mean over ten overlaps; each is the query above at another overlap."""
-    return detection.mean_ap(truth(spark, sf_dir, every), predictions(spark, sf_dir, every))
 
+@query("d09_map50_95", f"WITH RECURSIVE {GT}, {PRED}, {NUMBERED}, {TEN}, {GREEDY_TEN} SELECT split_part(method, '|', 1) AS method, {r6('avg(ap)', 'map50_95')} FROM ap GROUP BY 1")
+def map50_95(spark, sf_dir):
+    """Mean over ten overlaps and the classes, all overlaps in one pass."""
+    return detection.mean_ap(truth(spark, sf_dir), predictions(spark, sf_dir)).withColumn("map50_95", rounded(F.col("map50_95")))
 
-@boxes_query("d10_wide_ap", f"{SCORED} SELECT method, " + ", ".join(f"round(max(ap) FILTER (class_id = {i}), 6) + 0.0 AS AP50_{n}" for i, n in enumerate(NAMES)) + " FROM ap GROUP BY 1")
-def wide_ap(spark, sf_dir, every=10):
+
+@query("d10_wide_ap", f"{SCORED} SELECT method, " + ", ".join(f"round(max(ap) FILTER (class_id = {i}), 6) + 0.0 AS AP50_{n}" for i, n in enumerate(NAMES)) + " FROM ap GROUP BY 1")
+def wide_ap(spark, sf_dir):
     names = dict(enumerate(NAMES))
-    w = detection.wide_ap(detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)).where("class_id < 5"), names)
+    w = detection.wide_ap(detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)).where("class_id < 5"), names)
     return w.select("method", *[rounded(F.col(f"AP50_{n}")).alias(f"AP50_{n}") for n in NAMES])
 
 
-@boxes_query("d12_complementary_mean", f"""{SCORED}, mm AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM mm WHERE method IN ('VIS', 'IR'))
+@query("d12_complementary_mean", f"""{SCORED}, mm AS (SELECT method, avg(ap) AS mean FROM ap WHERE class_id IN (0, 4) GROUP BY 1), b AS (SELECT max(mean) AS best FROM mm WHERE method IN ('VIS', 'IR'))
 SELECT method, {r6("mean", "mean")}, {r6("best", "best_single")}, mean > best AS beats_single FROM mm, b""")
-def complementary(spark, sf_dir, every=10):
-    c = detection.complementary_mean(detection.average_precision(truth(spark, sf_dir, every), predictions(spark, sf_dir, every)), (0, 4), ("VIS", "IR"))
+def complementary(spark, sf_dir):
+    c = detection.complementary_mean(detection.average_precision(truth(spark, sf_dir), predictions(spark, sf_dir)), (0, 4), ("VIS", "IR"))
     return c.withColumns({k: rounded(F.col(k)) for k in ("mean", "best_single")})
 
 
@@ -228,6 +222,23 @@ def state(spark, sf_dir):
     return back.select("config", "s.t", F.size("s.history").cast("long").alias("entries"), rounded(best).alias("best"))
 
 
+@query("s12_state_round_trip", f"WITH {PSO} SELECT CAST(config AS VARCHAR) AS config, CAST(max(iter) OVER w AS INT) AS t, CAST(count(*) OVER w AS INT) AS evals, max(iter) OVER w >= 30 AS done, CAST(iter AS INT) AS it, {r6('fit', 'gbest_fit')}, {r6('r', 'r')}, {r6('m', 'm')} FROM pso WINDOW w AS (PARTITION BY config)")
+def state_round_trip(spark, sf_dir):
+    """Sweep state written to the shared folder and read back."""
+    path = new_path(spark, "state")
+    tables.write_state(sweep_history(spark, sf_dir).select("config", F.col("iter").alias("it"), F.col("fit").alias("gbest_fit"), "r", "m"), path, 30)
+    back = tables.read_state(spark, path, lines=True)
+    return back.select("config", "t", "evals", "done", "it", *[rounded(F.col(c)).alias(c) for c in ("gbest_fit", "r", "m")])
+
+
+@query("s06_s07_csv_round_trip", f"WITH {MEASURES} SELECT subject, treatment, {r6('price_mean', 'price_mean')}, {r6('price_sd', 'price_sd')}, {r6('n_orders', 'n_orders')}, {r6('open_rate', 'open_rate')} FROM wide")
+def csv_round_trip(spark, sf_dir):
+    """A result table written with six digits to the shared folder and read back by its schema."""
+    m, path = measures(spark, sf_dir), new_path(spark, "results")
+    tables.write_csv(m, path)
+    return tables.read_csv(spark, path, m.schema)
+
+
 @query("a17_near_best", f"WITH {PSO} SELECT config, CAST(iter AS INT) AS iter, {r6('fit', 'fit')} FROM pso WHERE abs((SELECT max(fit) FROM pso) - fit) < 5")
 def near_best(spark, sf_dir):
     return stats.near_best(sweep_history(spark, sf_dir), "fit", 5.0).where("best").select("config", "iter", rounded(F.col("fit")).alias("fit"))
@@ -244,6 +255,51 @@ def swarm_step(spark, sf_dir):
     return out.select("config", "particle", *[rounded(F.col(c)).alias(c) for c in ("r", "m", "vr", "vm")])
 
 
+#: The configurations of the sweep query: swarm sizes (published) and rounds (a fifth of the published ones).
+SWARMS, ROUNDS = (2, 4, 6, 8, 10), (2, 4, 6, 8, 10)
+
+
+def arithmetic(salt: int) -> sweep.Draw:
+    """Draws that SQL can make too."""
+    return lambda more: ((F.col("n") * 7919 + F.col("rounds") * 104729 + F.col("particle") * 1299709 + (salt + more) * 15485863) % 99991) / 99991.0
+
+
+def _draw(salt: str) -> str:
+    return f"((n * 7919 + rounds * 104729 + particle * 1299709 + ({salt}) * 15485863) % 99991) / CAST(99991 AS DOUBLE)"
+
+
+FITNESS = "-((r0 - a) * (r0 - a) + va) / 100 - 4 * ((m - b) * (m - b) + vb)"
+
+
+@query("o04_o05_o08_sweep", f"""WITH RECURSIVE mo AS (SELECT avg(1 + CAST(event_id % 25 AS DOUBLE)) AS a, var_pop(1 + CAST(event_id % 25 AS DOUBLE)) AS va, avg((event_id * 7 % 116) / CAST(100 AS DOUBLE)) AS b, var_pop((event_id * 7 % 116) / CAST(100 AS DOUBLE)) AS vb FROM events),
+p0 AS (SELECT CAST(n AS BIGINT) AS n, CAST(rounds AS BIGINT) AS rounds, p.range AS particle FROM (VALUES {", ".join(f"({n})" for n in SWARMS)}) s(n), (VALUES {", ".join(f"({t})" for t in ROUNDS)}) c(rounds), range(10) p WHERE p.range < n),
+st AS (
+  SELECT 0 AS t, n, rounds, particle, 1 + 24 * {_draw("1000")} AS r, CAST(0.05 AS DOUBLE) + CAST(1.15 AS DOUBLE) * {_draw("1001")} AS m, CAST(-0.3 AS DOUBLE) + CAST(0.6 AS DOUBLE) * {_draw("1002")} AS vr, CAST(-0.3 AS DOUBLE) + CAST(0.6 AS DOUBLE) * {_draw("1003")} AS vm,
+    CAST(NULL AS DOUBLE) AS best_fit, CAST(NULL AS DOUBLE) AS best_r, CAST(NULL AS DOUBLE) AS best_m, CAST(NULL AS DOUBLE) AS top_fit, CAST(NULL AS DOUBLE) AS top_r, CAST(NULL AS DOUBLE) AS top_m FROM p0
+  UNION ALL
+  SELECT t + 1, n, rounds, particle, least(greatest(r + nvr, 1), 25), least(greatest(m + nvm, 0.05), CAST(1.2 AS DOUBLE)), nvr, nvm, bf, br, bm, tf, tr, tm FROM (
+    SELECT *, w * vr + 1.5 * {_draw("7000 + 10 * t")} * (br - r) + 1.5 * {_draw("7002 + 10 * t")} * (tr - r) AS nvr, w * vm + 1.5 * {_draw("7001 + 10 * t")} * (bm - m) + 1.5 * {_draw("7003 + 10 * t")} * (tm - m) AS nvm FROM (
+      SELECT *, CAST(0.9 AS DOUBLE) - CAST(0.5 AS DOUBLE) * t / greatest(1, rounds - 1) AS w, first_value(bf) OVER o AS tf, first_value(br) OVER o AS tr, first_value(bm) OVER o AS tm FROM (
+        SELECT *, CASE WHEN best_fit IS NULL OR fit > best_fit THEN fit ELSE best_fit END AS bf, CASE WHEN best_fit IS NULL OR fit > best_fit THEN r ELSE best_r END AS br, CASE WHEN best_fit IS NULL OR fit > best_fit THEN m ELSE best_m END AS bm FROM (
+          SELECT *, {FITNESS} AS fit FROM (SELECT *, round_even(r, 0) AS r0 FROM st WHERE t < rounds), mo)
+      ) WINDOW o AS (PARTITION BY n, rounds ORDER BY bf DESC, particle)))
+)
+SELECT n || 'x' || rounds AS config, CAST(particle AS INT) AS particle, {", ".join(r6(c, c) for c in ("r", "m", "vr", "vm", "best_fit", "best_r", "best_m", "top_fit", "top_r", "top_m"))} FROM st WHERE t = rounds""")
+def whole_sweep(spark, sf_dir):
+    """All 25 configurations over a fitness with its peak at moments of the events; ended after three generations and gone on with from the kept state."""
+    r, m = 1.0 + (F.col("event_id") % 25).cast("double"), (F.col("event_id") * 7 % 116) / 100.0
+    moments = staged(table(spark, sf_dir, "events").agg(F.avg(r).alias("a"), F.var_pop(r).alias("va"), F.avg(m).alias("b"), F.var_pop(m).alias("vb")), ("a",))
+
+    def fitness(candidates):
+        return candidates.crossJoin(F.broadcast(moments)).select("candidate", F.expr(FITNESS.replace("r0", "r")).alias("fitness"))  # one row of moments
+
+    configs = sweep.configurations(list(SWARMS), list(ROUNDS), spark)
+    folder = new_path(spark, "sweep")
+    sweep.run(configs, fitness, 3, sweep.Generations(spark, folder), draws=arithmetic)
+    end = sweep.run(configs, fitness, max(ROUNDS), sweep.Generations(spark, folder), draws=arithmetic)
+    return end.select("config", "particle", *[rounded(F.col(c)).alias(c) for c in sweep.STATE[4:]])
+
+
 #: Candidates of the fitness queries: (candidate, r, m); r is rounded and both held to their bounds.
 CANDIDATES = [("a", 1.4, 0.01), ("b", 2.0, 0.07), ("c", 2.4, 0.3)]
 
@@ -270,7 +326,7 @@ ps AS (SELECT pair_id, log10(1 / greatest((avg(power(f - vis, 2)) + avg(power(f
 SELECT split_part(pair_id, ':', 1) AS candidate, {r6("avg(ssim + en + psnr)", "fitness")} FROM si JOIN en USING (pair_id) JOIN ps USING (pair_id) GROUP BY 1""")
 def fitness_information(spark, sf_dir):
     held = sweep.clipped(candidate_rows(spark))
-    return sweep.fitness_information(sweep.fused_candidates(pixels(spark, sf_dir), held, [1, 2], True)).withColumn("fitness", rounded(F.col("fitness")))
+    return sweep.SourceStore(pixels(spark, sf_dir)).fitness("information", classic=True)(held).withColumn("fitness", rounded(F.col("fitness")))
 
 
 _q = lambda s: f"""0.9994 / (1 + exp(-15.0 * (CASE WHEN {s}.g > sf.g THEN sf.g / ({s}.g + 1e-12) WHEN {s}.g < sf.g THEN {s}.g / (sf.g + 1e-12) ELSE sf.g END - 0.5))) * 0.9879 / (1 + exp(-22.0 * (1 - abs({s}.a - sf.a) / (pi() / 2) - 0.8)))"""
@@ -284,7 +340,7 @@ c AS (SELECT pair_id, covar_pop(a, vis) * count(*) / (sqrt(var_pop(a) * count(*)
 SELECT split_part(pair_id, ':', 1) AS candidate, {r6("avg(ssim + qabf + 0.5 * scd - nabf)", "fitness")} FROM ss JOIN qe USING (pair_id) JOIN c USING (pair_id) GROUP BY 1""")
 def fitness_edges(spark, sf_dir):
     held = sweep.clipped(candidate_rows(spark))
-    return sweep.fitness_edges(sweep.fused_candidates(pixels(spark, sf_dir), held, [1, 2], True)).withColumn("fitness", rounded(F.col("fitness")))
+    return sweep.SourceStore(pixels(spark, sf_dir)).fitness("edges", classic=True)(held).withColumn("fitness", rounded(F.col("fitness")))
 
 
 #: The thirteen published m of the fitness curve.
@@ -294,8 +350,9 @@ CURVE = (0.05, 0.0703, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0)
 def curve(spark, px, r):
     """candidate, m, edges and information by the proposal, classic: information by the classic operator; over all pairs."""
     c = spark.createDataFrame([(f"{m:.4f}", r, m) for m in CURVE], "candidate string, r int, m double")
-    proposal = sweep.both_fitnesses(sweep.fused_candidates(px, c, [r]))
-    classic = sweep.fitness_information(sweep.fused_candidates(px, c, [r], True)).withColumnRenamed("fitness", "classic")
+    store = sweep.SourceStore(px)
+    proposal = store.fitnesses(c)
+    classic = store.fitness("information", classic=True)(c).withColumnRenamed("fitness", "classic")
     return proposal.join(classic, "candidate").withColumn("m", F.col("candidate").cast("double"))
 
 

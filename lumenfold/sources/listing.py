@@ -83,11 +83,35 @@ def reorganise(listing: DataFrame, prefixes: tuple[str, ...] = ("VIS_", "IR_"),
         core = F.when(core.endswith(s), F.substring(core, 1, F.length(core) - len(s))).otherwise(core)
     vis = d.where(F.col("upper").contains("VIS")).select("directory", core.alias("core"), F.col("path").alias("vis_path"))
     ir = d.where(F.col("upper").contains("IR")).select("directory", F.col("path").alias("ir_path"), F.col("name").alias("ir_name"))
-    match = vis.join(ir, (vis["directory"] == ir["directory"]) & ir["ir_name"].contains(vis["core"])).drop(ir["directory"])
+    match = containing(vis, ir, ["directory"], "core", "ir_name")
     first = match.groupBy("directory", "core", "vis_path").agg(F.min("ir_path").alias("ir_path"))
     return first.withColumn("degenerate", F.col("vis_path") == F.col("ir_path"))
 
 
+def grams(text: Column, q: int) -> Column:
+    """The distinct runs of q characters of a text."""
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(parts: DataFrame, names: DataFrame, keys: list[str], part: str, name: str, q: int = 4) -> DataFrame:
+    """All rows of parts and names, equal in keys, where the name contains the part.
+
+    The names' runs of characters are an index; a part asks it for the one of its own that the fewest names of its keys
+    have, so it meets few names in vain. Runs have q characters; parts shorter than that ask for themselves, and an empty part, which every
+    name contains, meets all names of its keys. A part with a run that no name has is in none.
+    """
+    n = F.length(part)
+    asked = parts.where(n > 0).select(*keys, part).distinct()
+    asked = asked.withColumn("gram", F.explode(F.when(n < q, F.array(part)).otherwise(grams(F.col(part), q))))
+    index = names.withColumn("gram", F.explode(F.concat(*[grams(F.col(name), k) for k in range(1, q + 1)])))
+    often = index.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_often"))
+    known = asked.join(often, [*keys, "gram"], "left")
+    rarest = known.groupBy(*keys, part).agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "gram")).alias("_rare")).where("_rare.often > 0")
+    rarest = rarest.select(*keys, part, F.col("_rare.gram").alias("gram"))
+    met = rarest.join(index, [*keys, "gram"]).where(F.col(name).contains(F.col(part))).drop("gram")
+    return parts.where(n > 0).join(met, [*keys, part]).unionByName(parts.where(n == 0).join(names, keys))
+
+
 def batches(pairs: DataFrame, size: int, seed: int, key: str = "pair_id") -> DataFrame:
     """pairs with batch, in an order shuffled by a hash."""
     at = numbered(pairs.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", key, name="_at")

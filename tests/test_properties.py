@@ -107,14 +107,37 @@ def test_metrics_of_equal_and_constant_images(spark):
     assert metrics.entropy(flat, "f").first()["value"] == pytest.approx(0.0, abs=1e-6)
 
 
-def test_all_sixteen_and_resume(spark):
-    px = relation(spark, (noise(9, (48, 48)), noise(10, (48, 48))))
-    out = flows.benchmark(px, {"average": fusion.average})
-    row = out.first().asDict()
-    assert set(row) == {"method", "pair_id", "EN", "SD", "FE", "MG", "MI_vis", "MI_ir", "SF", "Qabf", "Nabf", "SSIM", "SCD", "VIF", "FMI", "Q0", "QW", "QE"}
-    assert all(v is not None for v in row.values())
-    done = spark.createDataFrame([("average", 0)], "method string, pair_id long")
-    assert flows.benchmark(px, {"average": fusion.average}, done, with_vif=False).count() == 0
+def test_all_sixteen_and_append(spark, tmp_path):
+    px = relation(spark, (noise(9, (48, 48)), noise(10, (48, 48))), (noise(7, (48, 48)), noise(8, (48, 48))), (noise(5, (48, 48)), noise(6, (48, 48))))
+    bench = flows.Benchmark(spark, f"file://{tmp_path}/b", batch_pairs=1)
+    methods = {"average": fusion.average, "haar": lambda px: fusion.haar(px, 2)}
+
+    def broken(px):
+        raise RuntimeError("no such method\nmore")
+
+    first = bench.run(px.where("pair_id < 2"), {**methods, "broken": broken}, with_vif=False).collect()
+    assert len(first) == 4 and {tuple(r) for r in bench.failures().collect()} == {("no such method", 2, "broken")}
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.glob("b/fused/*/*/*.parquet")}
+    assert len(files) == 4
+    out = {(r["method"], r["pair_id"]): r for r in bench.run(px, {**methods, "broken": fusion.average}).collect()}
+    assert set(out) == {(m, p) for m in ("average", "haar", "broken") for p in range(3)}
+    assert set(out["haar", 0].asDict()) == {"method", "pair_id", *flows.RECORD} and all(v is not None for v in out["haar", 2])
+    assert out["haar", 0]["VIF"] is None and [out[r["method"], r["pair_id"]] for r in first] == first
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())  # what was there is not written again
+    assert bench.failures().count() == 0
+    whole = {p: p.stat().st_mtime_ns for p in tmp_path.glob("b/*/*/*/*.parquet")}
+    assert {(r["method"], r["pair_id"]): r for r in bench.run(px, {**methods, "broken": fusion.average}).collect()} == out
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.glob("b/*/*/*/*.parquet")} == whole
+
+
+def test_a_lost_partition_is_done_again(spark, tmp_path):
+    px = relation(spark, (noise(9), noise(10)), (noise(7), noise(8)))
+    bench = flows.Benchmark(spark, f"file://{tmp_path}/b", batch_pairs=1)
+    want = sorted(map(tuple, bench.run(px, {"average": fusion.average}, with_vif=False).collect()), key=str)
+    for table, batch in (("fused", 0), ("results", 0), ("results", 1)):  # as a run leaves it that is ended halfway
+        for p in tmp_path.glob(f"b/{table}/method=average/batch={batch}/*"):
+            p.unlink()
+    assert sorted(map(tuple, bench.run(px, {"average": fusion.average}, with_vif=False).collect()), key=str) == want
 
 
 def test_signed_rank_without_differences_and_ties(spark):
@@ -226,25 +249,45 @@ def test_far_tails_keep_their_digits(spark):
 
 def test_a_resumed_sweep_equals_a_whole_one(spark, tmp_path):
     px = relation(spark, (noise(11), noise(12)))
-
-    def keeper(name):
-        def keep(state, t):
-            state.write.mode("overwrite").parquet(f"file://{tmp_path}/{name}{t}")
-            return spark.read.parquet(f"file://{tmp_path}/{name}{t}")
-
-        return keep
-
+    kept = lambda name: sweep.Generations(spark, f"file://{tmp_path}/{name}")
     configs = spark.createDataFrame([(2, 1), (2, 2)], "n int, rounds int")
     bounds = dict(sweep.BOUNDS)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     try:
         sweep.BOUNDS["r"] = (1.0, 2.0)
-        whole = sweep.run(px, configs, sweep.fitness_information, 2, keeper("a"), classic=True)
-        half = sweep.run(px, configs, sweep.fitness_information, 1, keeper("b"), classic=True)
-        rest = sweep.run(px, configs, sweep.fitness_information, 2, keeper("c"), classic=True, resume=(half, 1))
+        fitness = sweep.SourceStore(px).fitness("information", classic=True)
+        whole = rows(sweep.run(configs, fitness, 2, kept("a")))
+        sweep.run(configs, fitness, 1, kept("b"))
+        assert rows(sweep.run(configs, fitness, 2, kept("b"))) == whole and len(whole) == 4
+        # ended while the last generation was written: files without the marker
+        for p in (tmp_path / "b/state/t=2").iterdir():
+            if p.name == "_SUCCESS" or p.suffix == ".parquet":
+                p.unlink()
+        assert kept("b").last()[1] == 1
+        assert rows(sweep.run(configs, fitness, 2, kept("b"))) == whole
     finally:
         sweep.BOUNDS.update(bounds)
-    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
-    assert rows(whole) == rows(rest) and len(rows(rest)) == 4
+    history = kept("b").history()
+    assert rows(history) == rows(kept("a").history()) and history.count() == 2 * 1 + 2 * 2
+    best = {r["config"]: r["fit"] for r in sweep.best_configuration(history).collect()}
+    assert best == {r[0]: pytest.approx(r[STATE_TOP]) for r in whole}
+
+
+STATE_TOP = sweep.STATE.index("top_fit")
+
+
+def test_the_store_measures_what_the_plain_form_does(spark):
+    px = relation(spark, (noise(13), noise(14)), (noise(15, (9, 7)), noise(16, (9, 7))))
+    c = spark.createDataFrame([(f"c{i}", 1 + i % 2, 0.05 + 0.03 * i) for i in range(37)], "candidate string, r int, m double")
+    store = sweep.SourceStore(px)
+    for classic in (False, True):
+        plain = {r["candidate"]: r for r in sweep.both_fitnesses(sweep.fused_candidates(px, c, [1, 2], classic)).collect()}
+        got = store.fitnesses(c, classic).collect()
+        assert len(got) == len(plain) == 37
+        for r in got:
+            assert (r["edges"], r["information"]) == pytest.approx((plain[r["candidate"]]["edges"], plain[r["candidate"]]["information"]), abs=1e-9)
+    plan = store.of_radius(1).groupBy("pair_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_tails(spark):
@@ -299,25 +342,19 @@ def test_degenerate_pairs_are_marked(spark):
 def test_swarms_improve(spark, tmp_path):
     px = relation(spark, (noise(11), noise(12)))
 
-    def keep(state, t):
-        state.write.mode("overwrite").parquet(f"file://{tmp_path}/g{t}")
-        return spark.read.parquet(f"file://{tmp_path}/g{t}")
-
     configs = spark.createDataFrame([(2, 2)], "n int, rounds int")
     bounds = dict(sweep.BOUNDS)
     try:
         sweep.BOUNDS["r"] = (1.0, 2.0)
-        out = sweep.run(px, configs, sweep.fitness_information, 2, keep, classic=True).collect()
+        out = sweep.run(configs, sweep.SourceStore(px).fitness("information", classic=True), 2, sweep.Generations(spark, f"file://{tmp_path}/g")).collect()
     finally:
         sweep.BOUNDS.update(bounds)
     assert len(out) == 2 and all(r["top_fit"] >= r["best_fit"] for r in out)
 
 
-def test_whole_detection_queries_reach_every_row(spark):
+def test_detection_queries_reach_every_row(spark):
     folder = "/root/testdata/sf0.001"
-    assert QUERIES["s10_s11_label_round_trip_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
-    fixture, whole = ({n for n in QUERIES if n.startswith(("d0", "d1", "j09", "p1", "s09", "s1")) and n.endswith(end)} for end in ("", "_whole"))
-    assert len(whole) == 17 and {n.removesuffix("_whole") for n in whole} <= fixture
+    assert QUERIES["s10_s11_label_round_trip"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
 
 
 def test_fitness_curve_takes_every_pair_and_three_objectives(spark):
