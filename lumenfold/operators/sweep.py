@@ -59,7 +59,7 @@ class SourceStore:
     scan serve all of them. The store lives as long as the sweep: each generation asks for what it needs.
     """
 
-    WIDTH = 16
+    WIDTH = 4
 
     def __init__(self, px: DataFrame):
         self.features = staged(metrics.source_features(px))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip01, max_abs
 from ..sources.staging import staged
-from .filters import _padded, aligned
+from .filters import _padded, aligned, weighted_sum
 
 KEYS = ("pair_id",)
 #: Low-pass reconstruction taps of the Daubechies wavelet with four vanishing moments (fixed values).
@@ -46,7 +46,7 @@ def _analyse(px: DataFrame, jobs: dict[str, tuple[str, Taps]], axis: str, keys:
     w = Window.partitionBy(*keys, other).orderBy(axis)
     px = _look(_padded(px, axis, n - 1, "symmetric", keys), sorted({c for c, _ in jobs.values()}), w, F.lag, n - 1)
     px = px.where((F.col(axis) % 2 == 1) & (F.col(axis) > 0) & (F.col(axis) <= F.col("_last") + n - 1))
-    total = lambda c, taps: sum((t * F.col(f"_p{n - 1 - j}")[c] for j, t in enumerate(taps) if t), F.lit(0.0))
+    total = lambda c, taps: weighted_sum([(t, f"_p{n - 1 - j}", c) for j, t in enumerate(taps) if t])
     out = [total(c, taps).alias(f"{new}{half}") for new, (c, low) in jobs.items() for half, taps in _filters(low).items()]
     return px.select(*keys, other, ((F.col(axis) - 1) / 2).cast("int").alias(axis), *out)
 
@@ -59,7 +59,7 @@ def _synthesise(px: DataFrame, jobs: dict[str, Taps], axis: str, keys: tuple[str
     px = px.withColumn("_last", F.max(axis).over(Window.partitionBy(*keys, other))).where(F.col(axis) <= F.col("_last") - (n // 2 - 1))
 
     def total(c: str, low: Taps, odd: int) -> Column:
-        return sum((taps[2 * i + odd] * F.col(f"_p{n // 2 - 1 - i}")[f"{c}{half}"] for half, taps in _filters(low).items() for i in range(n // 2) if taps[2 * i + odd]), F.lit(0.0))
+        return weighted_sum([(taps[2 * i + odd], f"_p{n // 2 - 1 - i}", f"{c}{half}") for half, taps in _filters(low).items() for i in range(n // 2) if taps[2 * i + odd]])
 
     both = F.array(*[F.struct((2 * F.col(axis) + odd).alias(axis), *[total(c, low, odd).alias(c) for c, low in jobs.items()]) for odd in (0, 1)])
     return px.select(*keys, other, F.explode(both).alias("_p")).select(*keys, other, "_p.*")

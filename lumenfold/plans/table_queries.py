@@ -265,7 +265,7 @@ def arithmetic(salt: int) -> sweep.Draw:
 
 
 def _draw(salt: str) -> str:
-    return f"((n * 7919 + rounds * 104729 + particle * 1299709 + ({salt}) * 15485863) % 99991) / CAST(99991 AS DOUBLE)"
+    return f"((n * 7919 + rounds * 104729 + particle * 1299709 + ({salt}) * CAST(15485863 AS BIGINT)) % 99991) / CAST(99991 AS DOUBLE)"
 
 
 FITNESS = "-((r0 - a) * (r0 - a) + va) / 100 - 4 * ((m - b) * (m - b) + vb)"

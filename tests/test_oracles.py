@@ -17,7 +17,6 @@ def test_equals_sql(spark, tables, name):
     check(spark, tables, FOLDER, QUERIES[name], ORACLES[name])
 
 
-# the benchmark's flow has a test of its own, on fewer pixels
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"a21_benchmark"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
