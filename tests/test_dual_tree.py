@@ -94,7 +94,8 @@ def test_stripes_are_told_apart(spark):
     """Each of six directions has a complex band of its own in which its stripes are the strongest."""
     y, x = np.mgrid[0:48, 0:48]
     angles = (15, 45, 75, 105, 135, 165)
-    stripes = [0.5 + 0.5 * np.cos(2 * np.pi * 0.18 * (x * np.cos(np.radians(a)) + y * np.sin(np.radians(a)))) for a in angles]
+    # in the middle of the second level's band: 0.18 along one axis, or along both for the diagonals
+    stripes = [0.5 + 0.5 * np.cos(2 * np.pi * 0.18 * (2**0.5 if a % 90 == 45 else 1) * (x * np.cos(np.radians(a)) + y * np.sin(np.radians(a)))) for a in angles]
     level = wavelets.dual_tree_bands(relation(spark, *[(v, v) for v in stripes]), ["vis"], 2)[1]
     energy = np.zeros((len(angles), 6))
     for i, (b, sign) in enumerate(itertools.product(wavelets.BANDS[1:], (1, -1))):
