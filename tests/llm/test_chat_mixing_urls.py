@@ -85,6 +85,7 @@ def test_mixing_meets_the_targets_of_the_given_tables(spark, sf):
     for _, own in out.groupby("source", dropna=False):
         target = own["target"].iloc[0]
         assert abs(own["taken"].sum() - target) <= max(0.01 * target, own["size"].median())
+    assert out["alone"].sum() <= out["source"].nunique(dropna=False)  # one document of a source is rounded by itself, all others in pairs
     c = connection(folder)
     words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
     want = c.execute(f"SELECT doc_id, {words}, sum({words}) OVER (PARTITION BY source) FROM documents ORDER BY 1, 2").fetchall()
@@ -103,6 +104,20 @@ def test_mixing_with_one_document_of_a_fifth_of_its_source(spark):
     assert copies <= {1, 2}  # the rate is 1.29
 
 
+def test_large_documents_keep_their_mean(spark):
+    """Documents of unequal sizes, most of them large, are taken by their source's rate on the mean of many like sources."""
+    sizes, n = [40, 36, 33, 30, 28, 25] + [10 + i for i in range(12)], 300
+    docs = spark.createDataFrame([(s * 100 + i, "w " * size, f"s{s:03}") for s in range(n) for i, size in enumerate(sizes)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, mixing.word_count(F.col("text"))).toPandas()
+    for weight in range(3):
+        own = out[out["source"].str[1:].astype(int) % 3 == weight]
+        rate = own["target"].iloc[0] / own["source_size"].iloc[0]
+        mean = own.groupby(own["id"] % 100)["copies"].mean()
+        spread = 4 * (rate % 1 * (1 - rate % 1) / (n / 3)) ** 0.5 + 1e-9
+        assert (abs(mean - rate) < spread).all(), (rate, mean)
+        assert own.groupby("source")["taken"].sum().sub(own["target"].iloc[0]).abs().max() <= 21  # the last of the small ones
+
+
 def test_mixing_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(docs, mixing.word_count(F.col("text"))).count() == 0
