@@ -2,11 +2,14 @@
 are mixed to target weights, and the mix is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents; a row travels whole in one column, so that other
+columns can have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,25 +31,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Blank texts and null ids are linked with nothing and stay. Rows that repeat an id: the one of the smallest hash stays.
     """
-    kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select(F.col("id").alias("_kept")).distinct()
-    row = F.xxhash64(*docs.columns)
-    first = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("_hash")).withColumnRenamed("doc_id", "_id")
-    kept = written(first.join(kept, F.col("_id") == F.col("_kept"), "left_semi"))
-    one = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (row == F.col("_hash")), "left_semi").dropDuplicates(["doc_id"])  # equal rows
-    return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    kept = neardup.near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select(F.col("id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("*").alias("hash"), F.struct("*").alias("row"))
+    first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("hash").alias("least"), F.count(F.lit(1)).alias("rows"))
+    kept = written(first.join(kept, F.col("id") == F.col("kept_id"), "left_semi").withColumnRenamed("id", "kept_id"))
+    one = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("least")))
+    again = one.where("rows > 1").dropDuplicates(["id"])  # equal rows
+    parts = [one.where("rows = 1"), again, rows.where("id IS NULL")]
+    return reduce(DataFrame.unionByName, [part.select("row") for part in parts]).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies (none to three) of each document as the mix takes."""
     size = mixing.word_count(F.col("text"))
-    taken = mixing.mix_sources(docs, size).groupBy("id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = written(taken.withColumnsRenamed({"id": "_id", "source": "_source", "size": "_words"}))
-    keyed = docs.withColumn("_size", size)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    taken = mixing.mix_sources(docs, size).groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.select(*[F.col(c).alias(f"of_{c}") for c in ("id", "source", "size")], "copies", "rows"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source"), size.alias("size"), F.xxhash64("text").alias("pick"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
     # ids are distinct after the stage before; null ids of one source and size share their copies evenly
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.pmod(F.xxhash64("text"), F.col("_rows")) < F.col("_copies") % F.col("_rows")).cast("long")
-    copies = keyed.join(taken, same).withColumn("_n", share).where("_n > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.pmod("pick", "rows") < F.col("copies") % F.col("rows")).cast("long")
+    copies = keyed.join(taken, same).withColumn("n", share).where("n > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,6 +186,20 @@ def test_pipeline_odd_rows(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).count() == 5
 
 
+def test_pipeline_with_any_other_columns(spark):
+    """Columns named like anything the stages add, other data in each row: they come out as they went in."""
+    names = ["row", "id", "hash", "least", "rows", "kept_id", "kept", "size", "of_id", "of_source", "of_size", "copies", "pick", "n", "copy", "_id", "_hash", "_size", "_n", "_copy", "score", "a.b"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    given = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r == given[r["doc_id"]] for r in found), name
+    assert corpus_pipeline.encode(spark, docs, FOLDER).count() == len(given)
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
