@@ -178,6 +178,19 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want
 
 
+def test_no_rule_of_chance(spark):
+    """One URL, or a few that happen to be blocked, make no rule; a bad directory among many does."""
+    rows = [([f"dir={i}", "top=com", f"sub=s{i % 12}"], "block" if i % 2 else "allow") for i in range(80)]
+    rows += [(["dir=bad", "top=net"], "block")] * 9 + [(["dir=good"], "allow")] * 9 + [(["dir=rare"], "block")] * 4
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    one = urls.mine(labelled, 0.002, 0.9).collect()
+    assert ["dir=1"] in [r["tokens"] for r in one]
+    got = urls.mine(labelled, 0.002, 0.9, least=5, deviations=2.5).collect()
+    hits = {tuple(r["tokens"]): [v for t, v in rows if set(r["tokens"]) <= set(t)] for r in got}
+    assert ("dir=bad",) in hits and ("dir=rare",) not in hits and ("dir=1",) not in hits
+    assert all(len(v) >= 5 and v.count("block") / len(v) >= 0.9 for v in hits.values())
+
+
 def test_tokens_are_whole_and_all_there(spark):
     long = "p" * 100
     given = f"HTTP://a.b.Example.org/x/{long}1/{long}2.html?k={long}&l&k=2#f"
