@@ -6,12 +6,15 @@ contexts are the last 0 to ``DEPTH`` bytes, across words (line feeds stand befor
 (context, next byte) of the training texts are summed by Spark. A context is kept if it was seen twice and its
 next-byte distribution diverges from that of the context one byte shorter: its count times the divergence must reach
 ``NATS`` times the root of the corpus's bytes. The divergences of a depth add up to at most log(256) nats a byte, so the
-number of contexts grows with the root of the corpus, and the tree is small enough to send out: if it ever had more than
-``MOST`` counts, the test would be made stricter until it hasn't. A kept context's distribution is smoothed with that of
+number of contexts grows with the root of the corpus. A kept context's distribution is smoothed with that of
 its longest kept suffix (Witten-Bell), down to add-one over the 256 bytes. Each byte is scored at its longest kept
 suffix. The tree is held as sorted arrays of what was seen, and each distinct run of bytes in a list of texts is looked
 up once.
 
+A tree of any size is used whole. One of more than ``SENT`` counts is cut into pieces of about so many (``pieces_of``):
+ranges of contexts read backwards, so that all suffixes of a context lie in its own range or hold its whole start. Each
+piece is sent out by itself and scores the bytes after its contexts, and a text's score is the sum over the pieces.
+
 The unigram base needs the exact count of every token: those with a share of at least 2^-``FREQUENT_BITS`` of
 the corpus (so at most 2^FREQUENT_BITS words) are sent out, all others are met by a join.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-DEPTH, NATS, MOST, FREQUENT_BITS, SLICE, CACHED = 5, 0.005, 1 << 22, 18, 1 << 20, 1 << 20
+DEPTH, NATS, SENT, FREQUENT_BITS, SLICE, CACHED = 5, 0.005, 1 << 22, 18, 1 << 20, 1 << 20
 END, SPACE = 10, 32
 
 
@@ -133,11 +137,31 @@ def kept_contexts(grams: DataFrame, depth: int, least: float) -> DataFrame:
     return written(out)
 
 
+def backwards(k: Column, ctx: Column, depth: int) -> tuple[Column, Column]:
+    """The range, end excluded, of the contexts of depth bytes that end in ctx (k bytes), as numbers whose first byte is the last of the context."""
+    lo = F.lit(0).cast("long")
+    for i in range(depth):
+        lo = lo + F.shiftleft(F.shiftright(ctx, 8 * i).bitwiseAND(F.lit(255)), 8 * (depth - 1 - i))
+    return lo, lo + F.element_at(F.array(*[F.lit(1 << 8 * (depth - i)) for i in range(depth + 1)]).cast("array<long>"), k + 1)
+
+
+def pieces_of(kept: DataFrame, depth: int, sent: int) -> list[tuple[int, int]]:
+    """Ranges of backward contexts that hold about sent counts of the tree each, none left out. Few counts share a start, so no range is large."""
+    n = -(-kept.count() // sent)
+    inner = []
+    if n > 1:
+        lo, _ = backwards(F.col("k"), F.col("ctx"), depth)
+        inner = kept.select(F.percentile_approx(lo, [i / n for i in range(1, n)], 100 * n)).first()[0]
+    bounds = sorted({0, *inner, 1 << 8 * depth})
+    return list(zip(bounds, bounds[1:]))
+
+
 class Tree:
     """The kept contexts as arrays. levels[k - 1]: contexts of k bytes (sorted), their counts and numbers of next bytes; then (context, next) and counts."""
 
     def __init__(self, root: np.ndarray, levels: list[tuple[np.ndarray, ...]], depth: int) -> None:
         self.root, self.levels, self.depth = root, levels, depth
+        self.piece: tuple[int, int] | None = None  # the range of backward contexts it is made for; None: all
         self.known, self.value = np.empty(0, np.uint64), np.empty(0)  # runs that were looked up before
 
     @classmethod
@@ -156,6 +180,15 @@ class Tree:
             levels.append((names, sums, kinds.astype(np.float32), gram, count))
         return cls(root / root.sum(), levels, depth)
 
+    @classmethod
+    def collect(cls, kept: DataFrame, depth: int, piece: tuple[int, int]) -> Tree:
+        """Of the counts whose contexts meet a piece, about SENT of them: its own, and those of the few suffixes of its first context."""
+        lo, hi = backwards(F.col("k"), F.col("ctx"), depth)
+        rows = kept.where((lo < piece[1]) & (hi > piece[0])).select("k", "ctx", "next", "n").toArrow()
+        tree = cls.build(*(rows.column(c).to_numpy() for c in ("k", "ctx", "next", "n")), depth)
+        tree.piece = None if piece == (0, 1 << 8 * depth) else piece
+        return tree
+
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each run of depth + 1 bytes after the others. Runs are distinct and sorted."""
         runs, back = [grams], []  # of depth + 1, depth, ... bytes: few distinct ones are left, each looked up once and in order
@@ -178,8 +211,12 @@ class Tree:
         return np.log10(p)
 
     def score(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Log10 probability of each document's symbols."""
+        """Log10 probability of each document's symbols; of a piece, of those after its contexts."""
         grams, owner = grams_of(docs, self.depth)
+        if self.piece:
+            back = (grams >> np.uint64(8)).byteswap() >> np.uint64(64 - 8 * self.depth)
+            own = (back >= self.piece[0]) & (back < self.piece[1])
+            grams, owner = grams[own], owner[own]
         distinct, at = np.unique(grams, return_inverse=True)
         return np.bincount(owner, self.looked_up(distinct)[at], len(docs))
 
@@ -201,8 +238,28 @@ class Tree:
         return out
 
 
-def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, nats: float = NATS, most: int = MOST) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. held: a condition on the column id."""
+def score_piece(docs: DataFrame, tree: Tree) -> DataFrame:
+    """(row, part): of each text's score, what a piece of the tree adds."""
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column("text").to_pylist(), SLICE):
+                values = sent.value.score([words_of(t) for t in part])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(part)), pa.array(values, pa.float64())], ["row", "part"])
+                at += len(part)
+
+    scored = written(docs.select("row", "text").mapInArrow(score, "row long, part double"))
+    sent.unpersist()
+    return scored
+
+
+def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, nats: float = NATS, most: int | None = None, sent: int = SENT) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. held: a condition on the column id.
+
+    most: a caller may ask for a smaller model, by a stricter test; by default the tree is whole. sent: counts of a piece, which changes no score.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(held, F.lit(False)))
@@ -213,18 +270,21 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     strict = nats * float(total) ** 0.5
     kept = kept_contexts(grams, depth, strict)
-    while kept.where(F.col("gain") >= strict).count() > most:
+    while most is not None and kept.where(F.col("gain") >= strict).count() > most:
         strict *= 2
-    kept = kept.where(F.col("gain") >= strict).select("k", "ctx", "next", "n").toArrow()  # at most MOST rows, or the root
-    tree = Tree.build(*(kept.column(c).to_numpy() for c in ("k", "ctx", "next", "n")), depth)
+    kept = kept.where(F.col("gain") >= strict)
+    pieces = pieces_of(kept, depth, sent)
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if len(pieces) > 1:
+        docs = written(docs)  # all passes see the same numbers
     least = max(1.0, tokens / (1 << FREQUENT_BITS))
     below = float(np.log10(tokens + kinds + 1.0))
     often = vocab.where(F.col("n") >= least).select("word", (F.log10(F.col("n") + 1.0) - below).alias("x")).toArrow()  # at most 2^FREQUENT_BITS words
     often = dict(zip(often.column("word").to_pylist(), often.column("x").to_pylist()))
-    sent = spark.sparkContext.broadcast((tree, often))
+    first = spark.sparkContext.broadcast((Tree.collect(kept, depth, pieces[0]), often))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = sent.value
+        own, known = first.value
         for batch in batches:
             at = 0
             for part in slices(batch.column("text").to_pylist(), SLICE):
@@ -244,13 +304,14 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
                     known_n.append(n_known)
                     ends.append(len(rare))
                 lists = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64())], ["word", "n"])
-                columns = [batch.column("id").slice(at, len(part)), batch.column("held_out").slice(at, len(part))]
+                columns = [batch.column(c).slice(at, len(part)) for c in ("row", "id", "held_out")]
                 columns += [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(values, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists)], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists)], ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
                 at += len(part)
 
-    schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
-    scored = written(docs.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()))
+    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
+    scored = written(docs.mapInArrow(score, schema))
+    first.unpersist()
     met = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = met.join(vocab.where(F.col("n") < least), "word", "left")
     c = F.coalesce("n", F.lit(0))
@@ -258,6 +319,11 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         F.sum(F.col("times") * (F.log10(c + 1.0) - below)).alias("rest"), F.coalesce(F.sum(F.when(c > 0, F.col("times"))), F.lit(0)).alias("rest_known")
     )
     out = scored.drop("rare").join(rest, "row", "left")
+    if len(pieces) > 1:
+        others = [score_piece(docs, Tree.collect(kept, depth, p)).withColumn("piece", F.lit(i)) for i, p in enumerate(pieces[1:])]
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"])  # in order, so that reruns agree
+        more = reduce(DataFrame.unionByName, others).groupBy("row").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("more"))
+        out = out.join(more, "row").withColumn("score", F.col("score") + F.col("more"))
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",

@@ -258,6 +258,36 @@ def test_kept_contexts_and_scores_equal_brute_force(spark):
     assert few.agg(F.sum("score")).first()[0] < sum(scores.values())
 
 
+@pytest.mark.parametrize("sent", [1, 30, 400])
+def test_a_tree_in_pieces_gives_the_scores_of_the_whole_one(spark, sent):
+    """However few counts are sent out at once, no context is dropped."""
+    texts = texts_of_few_letters() + ["", None, "\x00 \u00e9\uffff \U0010ffff" * 50]
+    rows = spark.createDataFrame([(i % 30, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    results = [lm.score_texts(rows, F.lit(False), depth=3, nats=0.05, sent=s).collect() for s in (1 << 22, sent)]
+    whole, pieces = ([(r["id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in sorted(x)] for x in results)
+    assert whole == pieces
+    for a, b in zip(*map(sorted, results)):
+        assert b["score"] == pytest.approx(a["score"], rel=1e-12)
+
+
+def test_pieces_hold_every_context_of_their_runs(spark):
+    docs = [lm.words_of(t) for t in texts_of_few_letters()]
+    counts = counted(docs, 3)
+    rows = [(len(c), int.from_bytes(c, "big"), b, m) for c, n in counts.items() for b, m in n.items()]
+    kept = spark.createDataFrame(rows, "k int, ctx long, next int, n long")
+    pieces = lm.pieces_of(kept, 3, 40)
+    assert len(pieces) > 5 and pieces[0][0] == 0 and pieces[-1][1] == 1 << 24 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    trees = [lm.Tree.collect(kept, 3, p) for p in pieces]
+    for tree in trees:
+        assert sum(len(level[3]) for level in tree.levels) < len(rows) / 2
+    own = [[c for c in counts if len(c) == 3 and p[0] <= int.from_bytes(c[::-1], "big") < p[1]] for p in pieces]
+    assert sum(map(len, own)) == sum(len(c) == 3 for c in counts)
+    for tree, contexts in zip(trees, own):
+        runs = sorted(int.from_bytes(c + b"a", "big") for c in contexts)
+        want = [math.log10(probability(counts, r.to_bytes(4, "big")[:3], 97)) for r in runs]
+        assert list(tree.log10(np.array(runs, np.uint64))) == pytest.approx(want, rel=1e-6)
+
+
 def test_probabilities_add_up_to_one():
     docs = [lm.words_of(t) for t in texts_of_few_letters()]
     counts = counted(docs, 3)
