@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip01, edge_preservation, level
 from ..sources.staging import staged
-from . import filters
+from . import filters, whole
 
 PAIR = ("pair_id",)
+ONE_PASS = ("EN", "SD", "FE", "MG", "MI_vis", "MI_ir", "SF", "SSIM", "SCD", "FMI", "Qabf", "Nabf", "Q0", "QW", "QE")
 
 
 def histogram(px: DataFrame, column: str, bins: int = 256, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -319,34 +320,6 @@ def fast_columns(px: DataFrame, images: list[str], keys: tuple[str, ...] = PAIR,
 
 
 def evaluate(px: DataFrame, with_vif: bool = True, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """One wide row per key with all metrics (M16): one pass for fifteen of them, one for VIF, which is null for images too small for it."""
-    images = ["f", "vis", "ir"]
-    raw = px
-    px = px.select(*keys, "y", "x", *images)
-    px, en = _entropy_columns(px, images, keys)
-    px, mi = _information_columns(px, [("f", "vis"), ("f", "ir")], RAW, "_i", keys)
-    px, qabf, nabf = _edge_columns(filters.sobel(px, images, False, keys))
-    px = px.withColumn("_v", clip01(F.col("f")) * 255.0)
-    px = px.withColumns({f"_d{a}": F.col("_v") - filters.beside("_v", a, -1, Window.partitionBy(*keys, o).orderBy(a)) for a, o in (("x", "y"), ("y", "x"))})
-    px = filters.central_gradient(px, images, keys)
-    px = px.withColumns({f"{c}_e": F.sqrt(F.col(f"{c}_gx") * F.col(f"{c}_gx") + F.col(f"{c}_gy") * F.col(f"{c}_gy")) for c in images}).withColumn("_slope", F.col("f_e"))
-    whole = Window.partitionBy(*keys)
-    px = px.withColumns({f"_{c}_{n}": f(f"{c}_e").over(whole) for c in images for n, f in (("lo", F.min), ("hi", F.max))})
-    px = px.withColumns({f"{c}_e": (F.col(f"{c}_e") - F.col(f"_{c}_lo")) / (F.col(f"_{c}_hi") - F.col(f"_{c}_lo") + 1e-12) for c in images})
-    px, fmi = _information_columns(px, [("f", "vis"), ("f", "ir")], EDGE, "_e", keys)
-    px = px.withColumns({f"_last_{a}": F.max(a).over(whole) for a in "xy"})
-    for of, mark in ((RAW, "_p"), (EDGE, "_q")):
-        px = _local_columns(local_means(px, filters.box_taps(7), "symmetric", keys, of, mark), mark)
-    # away from the border the same means are those of the similarity, which leaves the border out
-    inner = (F.col("x") >= 3) & (F.col("y") >= 3) & (F.col("x") <= F.col("_last_x") - 3) & (F.col("y") <= F.col("_last_y") - 3)
-    ssim_of = lambda s: F.avg(F.when(inner, _ssim_at(s, 49 / 48, 0.0, "_p")))
-    alike = lambda p: F.when(p[1] + p[2] > 1e-12, F.try_divide(2 * p[0], p[1] + p[2])).otherwise(0.0)
-    out = {
-        "EN": en["f"], "SD": F.stddev_pop("f"), "FE": en["f"] / ((en["vis"] + en["ir"]) / 2.0 + 1e-12), "MG": F.avg("_slope"),
-        "MI_vis": mi["f", "vis"][0], "MI_ir": mi["f", "ir"][0],
-        "SF": F.sqrt(F.avg(F.col("_dx") * F.col("_dx")) + F.avg(F.col("_dy") * F.col("_dy"))),
-        "SSIM": 0.5 * (ssim_of("vis") + ssim_of("ir")), "SCD": _scd(), "FMI": 0.5 * (alike(fmi["f", "vis"]) + alike(fmi["f", "ir"])),
-        "Qabf": qabf, "Nabf": nabf, "Q0": F.avg("_plocal"), "QW": _weighted("_p"), "QE": _weighted("_p") * _weighted("_q"),
-    }
-    one = px.groupBy(*keys).agg(*[v.alias(n) for n, v in out.items()])
-    return one.join(vif(raw, keys=keys).withColumnRenamed("value", "VIF"), list(keys), "left") if with_vif else one
+    """One wide row per key with all metrics (M16): one pass over whole images for fifteen of them, one for VIF, which is null for images too small for it."""
+    one = whole.measured(px, keys, list(ONE_PASS), whole.record)
+    return one.join(vif(px, keys=keys).withColumnRenamed("value", "VIF"), list(keys), "left") if with_vif else one
