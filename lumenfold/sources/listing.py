@@ -77,10 +77,8 @@ def reorganise(listing: DataFrame, prefixes: tuple[str, ...] = ("VIS_", "IR_"),
     name = file_name(F.col("path"))
     d = listing.select(F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("directory"), "path", name.alias("name"), F.upper(name).alias("upper"))
     core = stem(F.col("path"))
-    for p in prefixes:
-        core = F.when(core.startswith(p), F.substring(core, len(p) + 1, 1 << 20)).otherwise(core)
-    for s in suffixes:
-        core = F.when(core.endswith(s), F.substring(core, 1, F.length(core) - len(s))).otherwise(core)
+    for end in (*[rf"\A\Q{p}\E" for p in prefixes], *[rf"\Q{s}\E\z" for s in suffixes]):
+        core = F.regexp_replace(core, end, "")  # each step names the one before once: conditions on it would double the text every time
     vis = d.where(F.col("upper").contains("VIS")).select("directory", core.alias("core"), F.col("path").alias("vis_path"))
     ir = d.where(F.col("upper").contains("IR")).select("directory", F.col("path").alias("ir_path"), F.col("name").alias("ir_name"))
     match = containing(vis, ir, ["directory"], "core", "ir_name")
@@ -88,28 +86,32 @@ def reorganise(listing: DataFrame, prefixes: tuple[str, ...] = ("VIS_", "IR_"),
     return first.withColumn("degenerate", F.col("vis_path") == F.col("ir_path"))
 
 
-def grams(text: Column, q: int) -> Column:
+def grams(text: Column, q: int | Column) -> Column:
     """The distinct runs of q characters of a text."""
-    return F.when(F.length(text) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q if isinstance(q, Column) else F.lit(q))))).otherwise(F.array().cast("array<string>"))
 
 
 def containing(parts: DataFrame, names: DataFrame, keys: list[str], part: str, name: str, q: int = 4) -> DataFrame:
     """All rows of parts and names, equal in keys, where the name contains the part.
 
     The names' runs of characters are an index; a part asks it for the one of its own that the fewest names of its keys
-    have, so it meets few names in vain. Runs have q characters; parts shorter than that ask for themselves, and an empty part, which every
-    name contains, meets all names of its keys. A part with a run that no name has is in none.
+    have, so it meets few names in vain. Runs have q characters; parts shorter than that ask for themselves (names are cut into the lengths that are asked
+    for only), and an empty part, which every name contains, meets all names of its keys. A part with a run that no name has is in none.
+    Runs are many times the rows they come from, which estimates by file size don't see: their joins are held to sorting, since a
+    broadcast of them would pass through the driver.
     """
     n = F.length(part)
     asked = parts.where(n > 0).select(*keys, part).distinct()
+    lengths = asked.agg(F.collect_set(F.least(n, F.lit(q))).alias("_lengths"))  # one row of at most q numbers
     asked = asked.withColumn("gram", F.explode(F.when(n < q, F.array(part)).otherwise(grams(F.col(part), q))))
-    index = names.withColumn("gram", F.explode(F.concat(*[grams(F.col(name), k) for k in range(1, q + 1)])))
+    cut = F.explode(F.flatten(F.transform("_lengths", lambda k: grams(F.col(name), k))))
+    index = names.crossJoin(F.broadcast(lengths)).withColumn("gram", cut).drop("_lengths")
     often = index.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_often"))
-    known = asked.join(often, [*keys, "gram"], "left")
+    known = asked.hint("merge").join(often.hint("merge"), [*keys, "gram"], "left")
     rarest = known.groupBy(*keys, part).agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "gram")).alias("_rare")).where("_rare.often > 0")
     rarest = rarest.select(*keys, part, F.col("_rare.gram").alias("gram"))
-    met = rarest.join(index, [*keys, "gram"]).where(F.col(name).contains(F.col(part))).drop("gram")
-    return parts.where(n > 0).join(met, [*keys, part]).unionByName(parts.where(n == 0).join(names, keys))
+    met = rarest.hint("merge").join(index.hint("merge"), [*keys, "gram"]).where(F.col(name).contains(F.col(part))).drop("gram")
+    return parts.where(n > 0).hint("merge").join(met.hint("merge"), [*keys, part]).unionByName(parts.where(n == 0).hint("merge").join(names.hint("merge"), keys))
 
 
 def batches(pairs: DataFrame, size: int, seed: int, key: str = "pair_id") -> DataFrame:

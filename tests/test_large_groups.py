@@ -76,3 +76,13 @@ def test_a_folder_of_many_names(spark):
     names = spark.range(20_000).select(F.lit("f").alias("d"), F.format_string("scene_%06d_IR.png", "id").alias("n"))
     parts = spark.range(20_000).select(F.lit("f").alias("d"), F.format_string("scene_%06d", "id").alias("p"))
     assert listing.containing(parts, names, ["d"], "p", "n").count() == 20_000
+
+
+def test_runs_of_names_are_not_broadcast(spark, tmp_path):
+    """Small files hold many times their size in runs; a core is one expression, not one for each condition."""
+    spark.range(300).select(F.format_string("d/VIS_scene_%04d.png", "id").alias("path")).union(spark.range(300).select(F.format_string("d/scene_%04d_IR.png", "id").alias("path"))).write.parquet(f"{tmp_path}/names")
+    found = listing.reorganise(spark.read.parquet(f"{tmp_path}/names"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and plan.count("regexp") < 400
+    assert found.count() == 300
+    assert {r["core"] for r in listing.reorganise(spark.createDataFrame([("d/VIS_IR_a_IR_VIS.png",), ("d/IR_VIS_b_VIS_IR.png",), ("d/a_IR.png",), ("d/VIS_b_VIS_IR.png",)], "path string")).collect()} == {"a", "VIS_b_VIS", "b_VIS"}
