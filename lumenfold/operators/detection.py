@@ -125,6 +125,17 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def taken(least: float) -> Column:
+    """The predictions that take a box at an overlap, from the sorted candidates c of a group."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        F.filter("c", lambda x: -x["far"] >= least), F.struct(none.alias("p"), none.alias("g")),
+        lambda s, x: F.when(F.array_contains(s["p"], x["pred_no"]) | F.array_contains(s["g"], x["gt_no"]), s).otherwise(
+            F.struct(F.array_append(s["p"], x["pred_no"]).alias("p"), F.array_append(s["g"], x["gt_no"]).alias("g"))
+        ),
+    )["p"]
+
+
 def match(candidates: DataFrame, overlaps: tuple[float, ...] = (0.5,)) -> DataFrame:
     """method, image_id, class_id, pred_no, hits of the true positives: predictions, surest first, take the best box still free.
 
@@ -133,36 +144,46 @@ def match(candidates: DataFrame, overlaps: tuple[float, ...] = (0.5,)) -> DataFr
     """
     c = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("sure"), "pred_no", (-F.col("iou")).alias("far"), "gt_no")))
     g = candidates.groupBy("method", "image_id", "class_id").agg(c.alias("c"))
-    none = F.array().cast("array<int>")
-
-    def taken(least: float) -> Column:
-        return F.aggregate(
-            F.filter("c", lambda x: -x["far"] >= least), F.struct(none.alias("p"), none.alias("g")),
-            lambda s, x: F.when(F.array_contains(s["p"], x["pred_no"]) | F.array_contains(s["g"], x["gt_no"]), s).otherwise(
-                F.struct(F.array_append(s["p"], x["pred_no"]).alias("p"), F.array_append(s["g"], x["gt_no"]).alias("g"))
-            ),
-        )["p"]
-
     g = g.select("method", "image_id", "class_id", F.array(*[taken(o) for o in overlaps]).alias("taken"))
     g = g.withColumn("pred_no", F.explode(F.array_distinct(F.flatten("taken"))))
     return g.select("method", "image_id", "class_id", "pred_no", F.transform("taken", lambda t: F.array_contains(t, F.col("pred_no"))).alias("hits"))
 
 
+def _judged(gt: DataFrame, pred: DataFrame, overlaps: tuple[float, ...]) -> DataFrame:
+    """method, image_id, class_id, pred_no, conf, hits of all predictions; hits as ``match`` gives them.
+
+    Boxes of both sides are written once, in one table in buckets by image; numbers, overlaps and matching are windows and groups over
+    more keys than that, so rows aren't dealt anew, where joins by image and class, then by prediction, would do it for all of them.
+    """
+    side = ("cx", "cy", "w", "h")
+    both = gt.select(F.lit(True).alias("truth"), "image_id", *GT_ORDER).unionByName(pred.select(F.lit(False).alias("truth"), "method", "image_id", *GT_ORDER, "conf"), allowMissingColumns=True)
+    both = staged(both, ("image_id",), shuffle=False)
+    both = both.withColumn("no", F.row_number().over(Window.partitionBy("truth", "method", "image_id").orderBy(F.desc("conf"), *GT_ORDER)))
+    real = F.col("truth") & F.col("image_id").isNotNull() & F.col("class_id").isNotNull()
+    of = F.collect_list(F.when(real, F.struct("no", *side)))
+    p = both.withColumn("gs", of.over(Window.partitionBy("image_id", "class_id"))).where("NOT truth")
+    iou = lambda g: overlap({c: F.col(c) for c in side}, {c: g[c] for c in side})
+    near = F.transform("gs", lambda g: F.struct((-F.col("conf")).alias("sure"), F.col("no").alias("pred_no"), (-iou(g)).alias("far"), g["no"].alias("gt_no")))
+    p = p.withColumn("near", F.filter(near, lambda x: -x["far"] >= min(overlaps)))
+    g = p.groupBy("method", "image_id", "class_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("c"), F.collect_list(F.struct(F.col("no").alias("pred_no"), "conf")).alias("ps"))
+    g = g.select("method", "image_id", "class_id", "ps", F.array(*[taken(o) for o in overlaps]).alias("taken"))
+    g = g.select("method", "image_id", "class_id", "taken", F.explode("ps").alias("p")).select("method", "image_id", "class_id", "taken", "p.*")
+    return g.select("method", "image_id", "class_id", "pred_no", "conf", F.transform("taken", lambda t: F.array_contains(t, F.col("pred_no"))).alias("hits"))
+
+
 def average_precisions(gt: DataFrame, pred: DataFrame, overlaps: tuple[float, ...] = (0.5,)) -> DataFrame:
     """method, class_id, overlap, ap, n_gt, tp, fp: average precision at each overlap, by 101 recall points.
 
     One pass for all overlaps: boxes are numbered, matched and ranked once, and the running counts of all overlaps are
-    columns of the same windows.
+    columns of the same windows. Boxes are written once in buckets by image, and predictions once more, without their boxes, by slot;
+    what lies between needs no shuffle.
     """
-    gt = numbered(gt, "gt_no", *GT_ORDER)
-    pred = numbered(pred, "pred_no", F.desc("conf"), *GT_ORDER)
-    hits = match(candidate_matches(gt, pred, min(overlaps)), overlaps)
-    p = pred.select("method", "image_id", "class_id", "pred_no", "conf").join(hits, ["method", "image_id", "class_id", "pred_no"], "left")
+    p = _judged(gt, pred, overlaps)
     ks = range(len(overlaps))
     p = p.withColumns({f"hit{k}": F.coalesce(F.get("hits", F.lit(k)), F.lit(False)).cast("int") for k in ks}).drop("hits")
     # running counts in two steps: over slots of confidence, of which a class has at most SLOTS + 1, and within each slot
     slot = ["method", "class_id", "_slot"]
-    p = staged(p.withColumn("_slot", F.floor((1 - F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0))) * SLOTS).cast("int")), tuple(slot))
+    p = staged(p.withColumn("_slot", F.floor((1 - F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0))) * SLOTS).cast("int")), tuple(slot), shuffle=False)
     before = Window.partitionBy("method", "class_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = p.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"hit{k}").alias(f"_h{k}") for k in ks])
     sofar = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))

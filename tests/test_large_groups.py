@@ -86,3 +86,18 @@ def test_runs_of_names_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and plan.count("regexp") < 400
     assert found.count() == 300
     assert {r["core"] for r in listing.reorganise(spark.createDataFrame([("d/VIS_IR_a_IR_VIS.png",), ("d/IR_VIS_b_VIS_IR.png",), ("d/a_IR.png",), ("d/VIS_b_VIS_IR.png",)], "path string")).collect()} == {"a", "VIS_b_VIS", "b_VIS"}
+
+
+def test_boxes_are_dealt_once(spark, monkeypatch):
+    """Between the two tables of boxes and of ranked predictions no row is shuffled; each task writes its part of a bucket."""
+    from lumenfold.operators import detection
+    from lumenfold.sources import staging
+
+    box = "image_id long, class_id int, box_id long, cx double, cy double, w double, h double"
+    gt = spark.createDataFrame([(1, 0, 1, 0.5, 0.5, 0.2, 0.2), (1, 0, 2, 0.1, 0.1, 0.1, 0.1), (1, None, 3, 0.5, 0.5, 0.2, 0.2), (2, 1, 4, 0.3, 0.3, 0.2, 0.2), (None, 1, 5, 0.3, 0.3, 0.2, 0.2)], box)
+    pred = spark.createDataFrame([("a", 1, 0, 1, 0.5, 0.5, 0.2, 0.2, 0.9), ("a", 1, 0, 2, 0.5, 0.5, 0.2, 0.19, 0.8), ("a", 1, None, 3, 0.5, 0.5, 0.2, 0.2, 0.7), ("a", 2, 1, 4, 0.9, 0.9, 0.1, 0.1, 0.6), ("a", None, 1, 5, 0.3, 0.3, 0.2, 0.2, 0.5)], f"method string, {box}, conf double")
+    plans = []
+    monkeypatch.setattr(detection, "staged", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staging.staged(df, *a, **k))
+    got = {r["class_id"]: (r["n_gt"], r["tp"], r["fp"]) for r in detection.average_precision(gt, pred).collect()}
+    assert got == {0: (2, 1, 1), 1: (2, 0, 2)}
+    assert "Exchange" not in plans[0] and "Exchange" not in plans[1] and len(plans) == 3
