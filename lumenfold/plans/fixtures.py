@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.morphology import co_partition
@@ -13,12 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 pairs: vectors 2k (vis) and 2k + 1 (ir)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
-    v = F.least(F.greatest(F.col("e").cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))
-    px = e.groupBy(F.floor(F.col("vec_id") / 2).cast("long").alias("pair_id"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"))
-    px = px.agg(F.max(F.when(F.col("vec_id") % 2 == 0, v)).alias("vis"), F.max(F.when(F.col("vec_id") % 2 == 1, v)).alias("ir"), F.count(F.lit(1)).alias("n"))
-    return co_partition(px.where("n = 2").drop("n"))
+    """8 x 8 pairs: vectors 2k (vis) and 2k + 1 (ir).
+
+    Vectors are dealt by pair as they are and cut into pixels there: a place counts if two vectors of its pair have it, so the two
+    longest tell all pixels, from the length of the third on.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("pair_id"), "vec_id", (F.col("vec_id") % 2).alias("odd"), "embedding")
+    e = e.withColumn("size", F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)))
+    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("size"), "vec_id"))).where("rn <= 3")
+    of = lambda c, n: F.max(F.when(F.col("rn") == n, F.col(c)))
+    two = e.groupBy("pair_id").agg(*[of(c, n).alias(f"{c}{n}") for n in (1, 2) for c in ("odd", "embedding")], of("size", 2).alias("end"), F.coalesce(of("size", 3), F.lit(0)).alias("from"))
+    part = lambda n: F.slice(f"embedding{n}", F.col("from") + 1, F.col("end") - F.col("from")).alias(f"e{n}")
+    two = two.where(F.col("end") > F.col("from")).select("pair_id", "from", "odd1", "odd2", F.posexplode(F.arrays_zip(part(1), part(2))).alias("at", "e"))
+    v = lambda n: F.least(F.greatest(F.col(f"e.e{n}").cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))
+    one = lambda odd: F.greatest(*[F.when(F.col(f"odd{n}") == odd, v(n)) for n in (1, 2)])
+    p = F.col("from") + F.col("at")
+    px = two.select("pair_id", F.floor(p / 8).cast("int").alias("y"), (p % 8).cast("int").alias("x"), one(0).alias("vis"), one(1).alias("ir"))
+    return co_partition(px)
 
 
 PX = """e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS e FROM embeddings),

@@ -55,3 +55,21 @@ def test_a_gap_is_an_error(spark):
     px = relation(spark, (noise(35), noise(36))).where("NOT (y = 3 AND x = 4)")
     with pytest.raises(Exception, match="must be whole"):
         fusion.METHODS["haar"](px).collect()
+
+
+def test_vectors_are_dealt_before_they_are_cut_into_pixels(spark, tmp_path):
+    import duckdb
+
+    from lumenfold.plans import fixtures
+
+    rows = [(0, [0.1] * 64), (1, [0.2] * 64), (2, [0.3] * 64), (3, [0.1] * 40), (4, [0.1] * 64), (6, [0.1] * 16), (6, [0.2] * 16), (7, [0.3] * 8), (8, [0.1] * 8), (8, [0.2] * 8), (9, [0.2] * 8)]
+    rows += [(9, [0.4] * 24), (10, [0.5] * 8), (10, None), (11, []), (13, [0.9, None, -0.9, 0.4] * 2), (12, [None] * 8), (-1, [0.3] * 8), (-2, [0.1] * 8), (14, [0.1] * 8), (14, [0.3] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    px = fixtures.pixels(spark, str(tmp_path))
+    plan = px._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = {name: [i for i, line in enumerate(plan) if name in line] for name in ("Exchange", "Generate")}
+    assert len(at["Exchange"]) == 1 and at["Generate"][0] < at["Exchange"][0]  # rows go up the plan
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = ({tuple(r) for r in x} for x in (px.select("pair_id", "y", "x", "vis", "ir").collect(), c.execute(f"WITH {fixtures.PX} SELECT pair_id, y, x, vis, ir FROM px").fetchall()))
+    assert got == want and len(got) > 100
